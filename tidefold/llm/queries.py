@@ -7,11 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    return predict(docs, learn(docs, ~out), ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, out = _read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    scored = score(docs, learn(docs, _read(spark, sf_dir, "labels"), ~out), ["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_nbsvm import learn, score
+
+    docs, out = _read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    scored = score(docs, learn(docs, _read(spark, sf_dir, "labels"), ~out), ["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_rules import line_verdicts
 
