@@ -14,6 +14,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted, linear_replies, loss_text, read_back
+
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, i, role, tricky) for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    # longer answers count more; a chain has but one path
+    df = formatted(linear_replies(turns), F.length("text"))
+    df = df.withColumn("back", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("mask")))
+    plain = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return df.select(
+        F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id"),
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(plain, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn, predict
 
@@ -66,4 +86,6 @@ def oracle_sql() -> dict[str, str]:
     from .line_rules import LINE_VERDICTS_SQL
     from .mixing import MIXED_SQL
 
-    return {"op7_quality_rules": LINE_VERDICTS_SQL, "op9_mixing": MIXED_SQL}
+    from .chat import FORMATTED_SQL
+
+    return {"op1_chat_format": FORMATTED_SQL, "op7_quality_rules": LINE_VERDICTS_SQL, "op9_mixing": MIXED_SQL}
