@@ -64,6 +64,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(_read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
