@@ -34,6 +34,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoded, load_pieces
+
+    df = encoded(_read(spark, sf_dir, "documents"), ["doc_id"], load_pieces())
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn, predict
 
