@@ -1 +1 @@
-
+"""Whole evaluations made of the operators."""
