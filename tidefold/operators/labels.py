@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import guarded_ln
+from ..functions.numeric import finite, guarded_ln
 from .axis import by_pos, series
 
 def fixed_horizon_returns(axis: DataFrame, horizon: int, *, kind: str = "log") -> DataFrame:
     """axis with fwd: the return over the next `horizon` bars, null for the last ones."""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
-    ahead, now = F.lead("close", horizon).over(by_pos()), F.col("close")
+    now = finite("close")
+    ahead = F.lead(now, horizon).over(by_pos())
     if kind == "log":
         return axis.withColumn("fwd", F.ln(ahead) - F.ln(now))
     if kind == "simple":
@@ -66,10 +67,10 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     if side:
         own = own.where(F.col("side").isNotNull())
         own = own.withColumn("side", F.when(F.abs("side") == 1, F.col("side")).otherwise(F.raise_error(F.lit("side must be 1 or -1")).cast("double")))
-    start = axis.select("series_id", "pos", F.col("close").alias("p0"))
+    start = axis.select("series_id", "pos", finite("close").alias("p0"))
     own = own.join(start, ["series_id", "pos"]).where(F.col("p0") > 0)
     spread = own.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("pos") / bucket), F.floor(F.col("t1_pos") / bucket))))
-    path = axis.select("series_id", F.floor(F.col("pos") / bucket).alias("bucket"), F.col("pos").alias("q"), "close")
+    path = axis.select("series_id", F.floor(F.col("pos") / bucket).alias("bucket"), F.col("pos").alias("q"), finite("close").alias("close"))
     path = spread.join(path, ["series_id", "bucket"]).where(F.col("q").between(F.col("pos"), F.col("t1_pos")))
     ratio = F.col("close") / F.col("p0")
     path = path.withColumn("r", F.col("side") * (guarded_ln(ratio) if log_returns else ratio - 1))
