@@ -104,6 +104,8 @@ def first_documents(fragments: list[bytes], least: np.ndarray, width: int, memor
     """(where each fragment starts, the least document that the window at each position starts in)."""
     size = np.fromiter(map(len, fragments), np.int64, len(fragments))
     start = np.cumsum(size + 1) - size - 1
+    if not fragments:
+        return start, least
     text = np.frombuffer(b"".join(f + b"\0" for f in fragments), np.uint8).astype(np.int64) + 1
     stop = np.zeros(len(text), bool)
     stop[start + size] = True
@@ -216,37 +218,47 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         for s, part in by_shard(keys, shards):
             part = part[np.argsort(keys[part], kind="stable")]
             own = [pieces[i] for i in part.tolist()]
-            out.append((s, int(table.column("_block")[0].as_py()), pack(b"".join(own)), pack(np.array([len(p) for p in own], np.int32).tobytes()), pack(docs_of[part].tobytes())))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("shard", "_block", "pieces", "sizes", "docs"), kinds, strict=True))})
+            out.append((s, int(table.column("_block")[0].as_py()), pack(b"".join(own)), pack(np.array([len(p) for p in own], np.int32).tobytes()), pack(docs_of[part].tobytes()), six(keys[part])))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("shard", "_block", "pieces", "sizes", "docs", "keys"), kinds, strict=True))})
 
-    fragments = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(cut_out, "shard int, _block int, pieces binary, sizes binary, docs binary")
+    fragments = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(cut_out, "shard int, _block int, pieces binary, sizes binary, docs binary, keys binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
         """For each block, the fragments in which it has something to remove, and the first document of each of their windows in runs."""
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         number: dict[bytes, int] = {}
-        asked_by, low = [], []
-        for data, sizes, docs_of in zip(*[table.column(c).to_pylist() for c in ("pieces", "sizes", "docs")], strict=True):
+        asked_by, low, anchor = [], [], []
+        for data, sizes, docs_of, keys in zip(*[table.column(c).to_pylist() for c in ("pieces", "sizes", "docs", "keys")], strict=True):
             whole, ends = unpack(data), np.cumsum(np.frombuffer(unpack(sizes), np.int32)).tolist()
             pair = np.frombuffer(unpack(docs_of), np.int64).reshape(-1, 2)
             own = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
             asked_by.append((own, pair[:, 1]))
             low.append((own, pair[:, 0]))
+            anchor.append(from_six(keys))
         least = np.full(len(number), LAST)
         for own, docs_low in low:
             np.minimum.at(least, own, docs_low)
-        pieces = list(number)
-        start, first = first_documents(pieces, least, width, memory_rows)
-        windows = np.fromiter((len(p) - width + 1 for p in pieces), np.int64, len(pieces))
-        lowest = np.array([first[a : a + n].min() for a, n in zip(start.tolist(), windows.tolist(), strict=True)], np.int64)
+        # windows are equal only if their anchors are, so an anchor with but one fragment has nothing to be compared with
+        key = np.zeros(len(number), np.uint64)
+        for (own, _), keys in zip(low, anchor, strict=True):
+            key[own] = keys
+        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        pieces, sorted_ones = list(number), np.flatnonzero(count[group] > 1)
+        place = np.full(len(pieces), -1)
+        place[sorted_ones] = np.arange(len(sorted_ones))
+        start, first = first_documents([pieces[i] for i in sorted_ones.tolist()], least[sorted_ones], width, memory_rows)
+        windows = np.fromiter((len(pieces[i]) - width + 1 for i in sorted_ones.tolist()), np.int64, len(sorted_ones))
+        lowest = least.copy()
+        lowest[sorted_ones] = [first[a : a + n].min() for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
         runs: dict[int, bytes] = {}
         out = []
         for block, (own, most) in zip(table.column("_block").to_pylist(), asked_by, strict=True):
             names, told = [], []
             for i in own[lowest[own] < most].tolist():
                 if i not in runs:
-                    f = first[start[i] : start[i] + windows[i]]
+                    k = place[i]
+                    f = first[start[k] : start[k] + windows[k]] if k >= 0 else least[i : i + 1]
                     at = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
                     runs[i] = np.stack([at, f[at]]).T.tobytes()
                 names.append(xxhash.xxh3_128_digest(pieces[i]))
