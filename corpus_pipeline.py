@@ -15,10 +15,17 @@ from tidefold.llm import mixing, pieces, repeats, simhash, toxicity
 from tidefold.llm.common import held_out, stored
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with all but the columns that operators read under other names, and the columns that give the first names back."""
+    own = {c: c if c in ("doc_id", "text", "lang", "source", "n_chars") else f"_more{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), [F.col(n).alias(c) for c, n in own.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents with a toxicity score of 0.3 or more; the model learns from the labels of the documents it gets."""
+    docs, back = aside(docs)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id"), 4, 2))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < 0.3).select(*docs.columns)
+    return toxicity.score(docs, model, docs.columns).where(F.col("score") < 0.3).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 50 bytes or more that also start in a document of smaller doc_id, by whole characters; n_chars follows the text. Null texts stay null."""
+    docs, back = aside(docs)
     rest = [c for c in docs.columns if c != "text"]
     df = repeats.removed(docs.withColumn("_none", F.col("text").isNull()), [*rest, "_none"], whole_characters=True)
     df = df.withColumn("text", F.when(~F.col("_none"), F.col("kept").cast("string")))
     if "n_chars" in rest:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    return df.select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be not at all."""
+    docs, back = aside(docs)
     df = mixing.mixed(docs, docs.columns).where(F.col("repeats") > 0)
-    return df.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy")).select(*docs.columns)
+    return df.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy")).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+class Kept:
+    """Columns that an operator passes on, under names that clash with none of its own; those named like a result give way."""
+
+    def __init__(self, keep: list[str], *results: str) -> None:
+        self.names = [c for c in keep if c not in results]
+        self.inner = [f"_keep{i}" for i in range(len(self.names))]
+
+    def columns(self) -> list[Column]:
+        return [F.col(f"`{c}`").alias(i) for c, i in zip(self.names, self.inner, strict=True)]
+
+    def restored(self, df: DataFrame, *rest) -> DataFrame:
+        return df.select(*[F.col(i).alias(c) for c, i in zip(self.names, self.inner, strict=True)], *rest)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

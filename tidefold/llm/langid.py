@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 UNKNOWN = "und"
 #: ASCII characters that say nothing of the language are left out, in texts and dictionaries.
 PLAIN = str.maketrans("", "", "".join(c for c in map(chr, range(128)) if not c.isalpha() and not c.isspace() and c != "'"))
@@ -104,7 +106,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float =
     pieces. Ties go to the language with more training rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by shape.max_languages dictionaries
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("margin", "double").add("narrow", "boolean")
+    results = ["lang_pred", "score", "margin", "narrow"]
+    kept = Kept(keep, *results)
+    keep = kept.inner
+    schema = docs.select(*kept.columns()).schema.add("lang_pred", "string").add("score", "double").add("margin", "double").add("narrow", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value)
@@ -118,4 +123,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float =
                 margin.append(m)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(narrow, pa.bool_())], [*keep, "lang_pred", "score", "margin", "narrow"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), *results)

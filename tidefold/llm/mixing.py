@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import Kept, words_of
 
 BUCKETS = 4096
 
@@ -51,7 +51,9 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     """
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    df = docs.select(*keep, src.alias("_src"), key.alias("_key"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    results = ["size", "source_size", "target", "repeats"]
+    kept = Kept(keep, *results)
+    df = docs.select(*kept.columns(), src.alias("_src"), key.alias("_key"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
     # a source's documents are spread over buckets of their key, whose sums are put in order first
     keys = df.groupBy("_src", F.substring("_key", 1, 3).alias("_bucket"), "_key").agg(F.sum("size").alias("_n"))
     buckets = keys.groupBy("_src", "_bucket").agg(F.sum("_n").alias("_n"))
@@ -69,7 +71,7 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     plan = targets.join(last, "_src", "left")
     df = df.join(plan, "_src")
     more = ((F.col("size") > 0) & (F.col("_key") <= F.coalesce("_last", F.lit("")))).cast("int")
-    return df.select(*keep, "size", "source_size", "target", (F.col("_whole") + more).alias("repeats"))
+    return kept.restored(df.withColumn("repeats", F.col("_whole") + more), *results)
 
 
 MIXED_SQL = r"""

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
 from .toxicity import calibrate, labelled_sample
 
 
@@ -126,7 +127,7 @@ class Model:
 
     def score(self, features: np.ndarray) -> float:
         z = self.slope * self.margin(features) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(features) else self.share
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(features) and self.slope else self.share
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Shape()) -> Model:
@@ -135,7 +136,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Sha
     labels = np.asarray(labels, np.int64)
     fitted = np.arange(len(texts)) % 5 != 4
     if len(set(labels[fitted].tolist())) < 2 or len(set(labels[~fitted].tolist())) < 2:
-        return Model(np.zeros(size), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), share, shape)
+        return Model(np.zeros(size), 0.0, 0.0, 0.0, share, shape)
     grams = Grams(shape.bits)
     features = [grams(t) for t in texts]
     own, y = [f for f, k in zip(features, fitted, strict=True) if k], labels[fitted]
@@ -162,7 +163,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     one label only, or none, were to be had. Repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by shape.bits
-    schema = docs.select(*keep).schema.add("score", "double")
+    kept = Kept(keep, "score")
+    keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, own = Grams(shared.value.shape.bits), shared.value
@@ -170,4 +172,4 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             scores = pa.array([own.score(grams(t)) for t in b.column("_text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], scores], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), "score")

@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
 from .induced import suffixes
 
 GRAM = 16
@@ -139,7 +140,9 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
     shards = max(blocks, -(-total // shard_bytes))
-    kept_schema = docs.select(*keep).schema
+    kept = Kept(keep, "n_bytes", "spans", "kept")
+    keep, passed = kept.inner, kept.columns()
+    kept_schema = docs.select(*passed).schema
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -148,7 +151,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    head = [F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_block"), order.alias("_doc"), *keep]
+    head = [F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_block"), order.alias("_doc"), *passed]
     packed = docs.select(*head, F.col("text").alias("_text")).mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
 
     def texts_of(b, *columns: str) -> Iterator[tuple]:
@@ -289,7 +292,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         for names, sizes, data in zip(*[found.column(c).to_pylist() for c in ("names", "sizes", "runs")], strict=True):
             whole, ends = unpack(data), np.cumsum(np.frombuffer(unpack(sizes), np.int32)).tolist()
             known.update((names[16 * i : 16 * i + 16], whole[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)))
-        n_bytes, spans, kept = [], [], []
+        n_bytes, spans, rest = [], [], []
         for rows in portions(texts_of(table, "_doc")):
             hits: list[list] = [[] for _ in rows]
             if known:
@@ -304,15 +307,15 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
                     own = [x for x in (whole_span(data, a, b) for a, b in own) if x[0] < x[1]]
                 n_bytes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in own])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *[x[1] for x in own]], [*[x[0] for x in own], len(data)], strict=True)))
+                rest.append(b"".join(data[a:b] for a, b in zip([0, *[x[1] for x in own]], [*[x[0] for x in own], len(data)], strict=True)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.Table.from_arrays([*[table.column(c) for c in keep], pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], [*keep, "n_bytes", "spans", "kept"])
+        return pa.Table.from_arrays([*[table.column(c) for c in keep], pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(rest, pa.binary())], [*keep, "n_bytes", "spans", "kept"])
 
     spark = docs.sparkSession
     schema = spark.createDataFrame([], "n_bytes long, spans array<struct<start:long,end:long>>, kept binary").schema
     for f in schema:
         kept_schema = kept_schema.add(f)
-    return packed.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(remove, kept_schema)
+    return kept.restored(packed.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(remove, kept_schema), "n_bytes", "spans", "kept")
 
 
 def whole_span(data: bytes, start: int, end: int) -> tuple[int, int]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -152,7 +154,7 @@ class Model:
         out = []
         for odds in scorer.of_words(texts):
             z = self.slope * scorer.top(odds)[0] + self.offset
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(odds) else self.share)
+            out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) if len(odds) and self.slope else self.share)
         return out
 
 
@@ -176,7 +178,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Sha
     labels = np.asarray(labels, np.int64)
     fitted = np.arange(len(texts)) % 5 != 4
     if len(set(labels[fitted].tolist())) < 2 or len(set(labels[~fitted].tolist())) < 2:
-        return Model(np.zeros(shape.buckets), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), share, shape)
+        return Model(np.zeros(shape.buckets), 0.0, 0.0, share, shape)
     own = [(texts[i], int(labels[i])) for i in np.flatnonzero(fitted)]
     odds, _ = fit([bag(t, shape) for t, _ in own], labels[fitted], shape, shape.text_epochs)
     bags, kind = [], []
@@ -235,7 +237,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by shape.buckets
-    schema = docs.select(*keep).schema.add("score", "double")
+    kept = Kept(keep, "score")
+    keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.odds, shared.value.shape)
@@ -243,4 +246,4 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             scores = pa.array(shared.value.scores(b.column("_text").to_pylist(), scorer), pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], scores], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), "score")
