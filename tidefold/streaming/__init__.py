@@ -1 +1,6 @@
+"""Nothing here: the evaluation operators are defined on finished series.
 
+Positions, purging and paths depend on a series' length and last rows, so a
+stream would have to revise its results. The embargo of a split is a filter of
+training rows and no watermark.
+"""
