@@ -98,17 +98,38 @@ class RangeMinimum:
         return out
 
 
-def common_prefix(text: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of the suffixes at a[i] and b[i], up to `most` and the next stop."""
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for d in range(most):
-        x, y = a[live] + d, b[live] + d
-        live = live[(text[x] == text[y]) & ~stop[x] & ~stop[y]]
-        if not len(live):
-            break
-        out[live] += 1
-    return out
+class Prefixes:
+    """Common prefixes of suffixes, up to `most` and the next stop, read off the text eight symbols at a time."""
+
+    def __init__(self, text: np.ndarray, stop: np.ndarray, most: int) -> None:
+        self.most, self.text, self.stop = most, text, stop
+        self.words = None
+        if text.max() < 256 and np.array_equal(text == 0, stop):
+            padded = np.append(text, np.zeros(8, text.dtype)).astype(np.uint8)
+            self.words = np.zeros(len(text), np.uint64)
+            for k in range(8):
+                self.words |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        live, step = np.arange(len(a)), 1 if self.words is None else 8
+        low, high, one = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(1)
+        for d in range(0, self.most, step):
+            x, y = a[live] + d, b[live] + d
+            if self.words is None:
+                live = live[(self.text[x] == self.text[y]) & ~self.stop[x] & ~self.stop[y]]
+                out[live] += 1
+            else:
+                x, y = self.words[x], self.words[y]
+                end = (x ^ y) | ((x - low) & ~x & high)  # where the two differ, or the first stops
+                whole = end == 0
+                part = end[~whole]
+                out[live[~whole]] += np.bitwise_count((part & (~part + one)) - one) // 8
+                live = live[whole]
+                out[live] += 8
+            if not len(live):
+                break
+        return np.minimum(out, self.most)
 
 
 def scan(text, allowed, seeds, prefixes, sign: int, queue: DiskQueue, seam: Callable | None, most: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +197,7 @@ def scan(text, allowed, seeds, prefixes, sign: int, queue: DiskQueue, seam: Call
 def kinds(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is S, is S*) of each position. Stops are S*, and smaller than all else."""
     n = len(text)
-    value = np.where(stop, -1, text)
+    value = np.where(stop, text.dtype.type(-1), text)
     rises = np.append(np.sign(value[1:] - value[:-1]), 1)
     rises[stop] = 1
     steps = np.flatnonzero(rises)
@@ -229,7 +250,7 @@ def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarr
 def doubled(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a string of names that fits in memory, by doubling. Its last name is unique."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     h = 1
     while True:
         rank = np.empty(n, np.int64)
@@ -239,7 +260,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
             return order
         second = np.append(rank[h:], np.full(min(h, n), -1))[:n]
         names = rank * (n + 1) + second + 1
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         h *= 2
 
 
@@ -250,14 +271,14 @@ def two_scans(text, stop, s, stars, most: int | None, memory_rows: int):
     the order alone. Unsorted S* positions give the order of S* substrings.
     """
     symbols = int(text.max()) + 1
-    seam = None if most is None else lambda a, b: common_prefix(text, stop, a, b, most)
+    seam = None if most is None else Prefixes(text, stop, most)
     # the S* positions in order of symbols; those of one symbol stay in the order given
     stars = stars[np.argsort(text[stars], kind="stable")]
     stops = np.flatnonzero(stop)
-    value = np.where(stop, -1, text)
+    value = np.where(stop, text.dtype.type(-1), text)
     prefix = np.zeros(len(stars), np.int64)
     if most is not None and len(stars) > 1:
-        prefix[1:] = common_prefix(text, stop, stars[:-1], stars[1:], most)
+        prefix[1:] = seam(stars[:-1], stars[1:])
     seeds = np.concatenate([stops, stars])
     queue = DiskQueue(memory_rows)
     low, low_prefix = scan(value, ~s & ~stop, seeds, np.concatenate([np.zeros(len(stops), np.int64), prefix]), 1, queue, seam, most or 0, symbols)
@@ -277,7 +298,7 @@ def two_scans(text, stop, s, stars, most: int | None, memory_rows: int):
     bucket = bucket[order]
     turn = np.flatnonzero((bucket[1:] != bucket[:-1]) & (bucket[1:] // 2 == bucket[:-1] // 2)) + 1
     prefixes[np.flatnonzero(np.append(True, bucket[1:] // 2 != bucket[:-1] // 2))] = 0
-    prefixes[turn] = common_prefix(text, stop, both[turn - 1], both[turn], most)
+    prefixes[turn] = seam(both[turn - 1], both[turn])
     return both, prefixes
 
 
@@ -290,7 +311,7 @@ def suffixes(text: np.ndarray, stop: np.ndarray, most: int, base_rows: int = 1 <
     """
     if stop.all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = text.astype(np.int64)
+    text = text.astype(np.int16 if text.max() < 1 << 14 else np.int64)  # short symbols sort by radix and stay in cache
     s, star = kinds(text, stop)
     stars = star_order(text, stop, s, star, base_rows, memory_rows)
     return two_scans(text, stop, s, stars, most, memory_rows)
