@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Kept
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-#: Stands for a space mark that is in the text itself, so that it is written as bytes and not taken for a space.
-OWN_MARK = "▁"
+#: Stands for a space mark that the text itself holds; it becomes bytes, so that decoding does not take it for a space.
+OWN_MARK = "\U0010fffe"
 LONG = 256  # characters; longer chunks are folded in the task that meets them
 
 
@@ -57,7 +59,7 @@ def load_pieces(path: str = MODEL_FILE) -> Pieces:
 def units_of(text: str) -> list[str]:
     """The text behind a leading space, with spaces as marks, cut before each run of marks. Joined, the units give it back."""
     if SPACE_MARK in text:
-        text = text.replace(SPACE_MARK, "")
+        text = text.replace(SPACE_MARK, OWN_MARK)
     if not text:
         return []
     if "  " in text or text[0] == " " or text[-1] == " ":
@@ -67,10 +69,56 @@ def units_of(text: str) -> list[str]:
     return units
 
 
-def cut(unit: str, pairs: frozenset[str]) -> list[str]:
-    """Chunks of a unit, which no piece crosses: segmenting them apart changes nothing."""
-    at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-    return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)]
+class Cuts:
+    """Cuts units into chunks that no piece crosses, so that segmenting them apart changes nothing.
+
+    Whether a piece holds two characters side by side is looked up in a table
+    of hashed pairs. A false hit leaves a cut out, which does no harm.
+    """
+
+    def __init__(self, pairs: frozenset[str], bits: int = 22) -> None:
+        self.bits = np.uint64(64 - bits)
+        self.joined = np.zeros(1 << bits, bool)
+        code = np.frombuffer("".join(sorted(pairs)).encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.joined[self.slot(code[::2], code[1::2])] = True
+
+    def slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0x110000) + b) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
+
+    def __call__(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """(chunks of all units in order, number of chunks of each unit)."""
+        if not units:
+            return [], np.zeros(0, np.int64)
+        whole = "".join(units)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        at = np.zeros(len(code) + 1, bool)
+        at[1:-1] = ~self.joined[self.slot(code[:-1], code[1:])]
+        at[ends] = True
+        place = np.flatnonzero(at)
+        counts = np.diff(np.append(0, np.searchsorted(place, ends, "right")))
+        place = [0, *place.tolist()]
+        return [whole[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], counts
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] numbers, then those from start[1], and so on."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def spelled(ids: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """ids and sizes with unknown characters, which are -1 - code point, as the ids of their bytes."""
+    unknown = np.flatnonzero(ids < 0)
+    if not len(unknown):
+        return ids, size
+    owner = np.repeat(np.arange(len(size)), size)
+    parts, at, size = [], 0, size.copy()
+    for i in unknown.tolist():
+        own = [pieces.byte_ids[b] for b in chr(-1 - int(ids[i])).replace(OWN_MARK, SPACE_MARK).encode()]
+        parts += [ids[at:i], np.array(own, ids.dtype)]
+        at = i + 1
+        size[owner[i]] += len(own) - 1
+    return np.concatenate([*parts, ids[at:]]), size
 
 
 def best_path(chunk: str, table: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[int]:
@@ -92,20 +140,20 @@ def best_path(chunk: str, table: dict[str, tuple[int, float]], longest: int, unk
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, path): the ids of the best path of each distinct chunk of at most LONG characters.
+    """(chunk, path, least): the ids of the best path of each distinct chunk, of 1 to LONG characters; `least` is as given.
 
     The path has the highest sum of piece scores; ties go to the longer last
     piece. A character without a piece counts as unknown and is -1 - its code
     point in `path`. The piece table is broadcast, as its size is the
-    vocabulary's. `chunks` should be partitioned by `chunk`: nothing here
-    shuffles it again.
+    vocabulary's. If `chunks` is partitioned by chunk, nothing here shuffles it
+    again.
     """
     spark = chunks.sparkSession
     table = spark.createDataFrame(list(zip(pieces.names, pieces.ids, pieces.scores, strict=True)), "piece string, id int, score double")
     longest = max(map(len, pieces.names))
-    subs = chunks.select("chunk", F.length("chunk").alias("n")).where((F.col("n") > 0) & (F.col("n") <= LONG))
-    subs = subs.select("chunk", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at"))
-    subs = subs.select("chunk", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("len"))
+    subs = chunks.select("chunk", "least", F.length("chunk").alias("n"))
+    subs = subs.select("chunk", "least", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at"))
+    subs = subs.select("chunk", "least", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("len"))
     subs = subs.withColumn("piece", F.substring("chunk", F.col("at"), F.col("len")))
     edges = subs.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     edge = F.struct(
@@ -114,7 +162,8 @@ def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
         F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
     )
-    return edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("chunk", viterbi(F.col("edges")).alias("path"))
+    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.min("least").alias("least"))
+    return grouped.select("chunk", viterbi(F.col("edges")).alias("path"), "least")
 
 
 def viterbi(edges: Column) -> Column:
@@ -133,11 +182,23 @@ def viterbi(edges: Column) -> Column:
         new = F.array(F.struct(score.alias("score"), F.concat(origin["path"], F.array(x["id"])).alias("path")))
         opened = F.size(acc) <= x["end"]
         better = score > F.get(acc, x["end"])["score"]
-        return F.when(opened, F.concat(acc, new)).when(better, F.concat(F.slice(acc, F.lit(1), x["end"]), new)).otherwise(acc).cast(state)
+        return F.when(opened, F.concat(acc, new)).when(better, F.concat(F.slice(acc, F.lit(1), x["end"]), new)).otherwise(acc)
 
     return F.aggregate(edges, zero, step, lambda acc: F.element_at(acc, -1)["path"])
 
 
+#: Between chunks that are sent together; no text holds a lone surrogate.
+BETWEEN = "\ud800"
+
+
+def joined(chunks: list[str]) -> bytes:
+    return BETWEEN.join(chunks).encode("utf-8", "surrogatepass")
+
+
+def parted(data: bytes) -> list[str]:
+    return data.decode("utf-8", "surrogatepass").split(BETWEEN)
+
+
 class Decoder:
     """Ids back to text; the counterpart of encoding, exact for every text."""
 
@@ -149,8 +210,11 @@ class Decoder:
         for b, i in enumerate(pieces.byte_ids):
             self.parts[i] = bytes([b])
 
+    def raw(self, ids: Iterable[int]) -> str:
+        return b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace")
+
     def __call__(self, ids: Iterable[int]) -> str:
-        return b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return self.raw(ids)[1:]
 
 
 def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
@@ -162,10 +226,10 @@ def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
             texts = pa.array([None if x is None else decode(x) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "string"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 24_000_000) -> DataFrame:
+def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 5_000_000) -> DataFrame:
     """The columns `keep` and ids (array<int>), exact (boolean): every row's whole text as piece ids.
 
     Segmentation maximises the sum of the model's piece scores over each
@@ -175,67 +239,119 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     The noncharacter U+10FFFE is read as U+2581.
 
     Rows are dealt into blocks of about `block_bytes` by hash of doc_id. Each
-    block asks once for each distinct chunk in it; all blocks' chunks are
-    joined to the segmented ones, and each block's answers meet its texts in
-    one task. No dictionary of the whole corpus is ever in one place.
+    block asks once for each distinct chunk in it; all blocks' questions are
+    joined to the segmented chunks, and the answers, bundled by block, meet
+    its texts in one task. No dictionary of the whole corpus is in one place.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
-    pairs = pieces.pairs()
+    cuts = Cuts(pieces.pairs())
     table = dict(zip(pieces.names, zip(pieces.ids, pieces.scores, strict=True), strict=True))
     longest = max(map(len, pieces.names))
-    kept = docs.select(*keep).schema
+    kept = Kept(keep, "ids", "exact")
+    keep, own = kept.inner, kept.columns()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=9)
         for b in batches:
             texts = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    source = docs.select(block.alias("_block"), *keep, F.col("text").alias("_text"))
-    schema = docs.select(block.alias("_block"), *keep).schema.add("_packed", "binary")
+    source = docs.select(block.alias("_block"), *own, F.col("text").alias("_text"))
+    schema = docs.select(block.alias("_block"), *own).schema.add("_packed", "binary")
     packed = source.mapInArrow(pack, schema).repartition(blocks, "_block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct chunks of each block, in order, which packs them better."""
         unpacker, seen = zstandard.ZstdDecompressor(), {}
         for b in batches:
             for k, data in zip(b.column("_block").to_pylist(), b.column("_packed").to_pylist(), strict=True):
                 seen.setdefault(k, set()).update(units_of(unpacker.decompress(data).decode("utf-8", "surrogatepass")))
         for k in sorted(seen):
-            chunks = list({c for u in seen.pop(k) for c in cut(u, pairs) if len(c) <= LONG})
-            for i in range(0, len(chunks), 50_000):
-                part = chunks[i : i + 50_000]
+            units, chunks = list(seen.pop(k)), set()
+            for i in range(0, len(units), 50_000):
+                chunks.update(cuts(units[i : i + 50_000])[0])
+            ordered = sorted(c for c in chunks if len(c) <= LONG)
+            for i in range(0, len(ordered), 20_000):
+                part = ordered[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string())], ["_block", "chunk"])
 
-    asked = packed.mapInArrow(ask, "_block int, chunk string").repartition("chunk")  # all columns, so that one exchange serves both uses
-    answers = asked.hint("merge").join(lattice(asked.select("chunk").distinct(), pieces), "chunk")
-
-    def assemble(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        known = dict(zip(found.column("chunk").to_pylist(), found.column("path").to_pylist(), strict=True))
-        units: dict[str, np.ndarray] = {}
-        decode, unpacker = Decoder(pieces), zstandard.ZstdDecompressor()
-        out, exact = [], []
-        for data in texts.column("_packed").to_pylist():
-            text = unpacker.decompress(data).decode("utf-8", "surrogatepass")
-            parts = []
-            for u in units_of(text):
-                ids = units.get(u)
-                if ids is None:
-                    path = []
-                    for c in cut(u, pairs):
-                        path += known[c] if len(c) <= LONG else best_path(c, table, longest, pieces.unknown_score)
-                    full = []
-                    for i in path:
-                        full += [i] if i >= 0 else [pieces.byte_ids[x] for x in chr(-1 - i).replace("", SPACE_MARK).encode()]
-                    ids = units[u] = np.array(full, np.int32)
-                parts.append(ids)
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            out.append(ids)
-            exact.append(decode(ids.tolist()) == text)
-        offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+    asked = packed.mapInArrow(ask, "_block int, chunk string").repartition("chunk")  # all columns of packed, so that one exchange serves both uses
+    # `least` is carried along so that both uses of the questions read the same columns, hence the same exchange
+    distinct = asked.groupBy("chunk").agg(F.min("_block").alias("least"))
+    answers = asked.hint("merge").join(lattice(distinct, pieces), "chunk").where(F.col("least") >= 0).select("_block", "chunk", "path")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task has for each block, packed in one row: chunks, numbers of ids, ids."""
+        held: dict[int, list] = {}
+        pack = zstandard.ZstdCompressor(level=9).compress
+        for b in batches:
+            block, path = b.column("_block").to_numpy(), b.column("path")
+            flat, ends = path.values.to_numpy(), path.offsets.to_numpy().astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            chunks = np.array(b.column("chunk").to_pylist(), object)
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+                size = ends[part + 1] - ends[part]
+                held.setdefault(int(block[part[0]]), []).append((chunks[part].tolist(), size.astype("<u2"), flat[ranges(ends[part], size)]))
+        for k, parts in held.items():
+            ids = np.concatenate([x[2] for x in parts])
+            kind = "<u2" if ids.min() >= 0 and ids.max() < 1 << 16 else "<i4"
+            row = (k, pack(joined([c for x in parts for c in x[0]])), pack(np.concatenate([x[1] for x in parts]).tobytes()), kind, pack(ids.astype(kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()), strict=True)], ["_block", "chunks", "sizes", "kind", "ids"])
+
+    bundles = answers.mapInArrow(bundle, "_block int, chunks binary, sizes binary, kind string, ids binary")
+
+    def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[str, int] = {}
+        flat, sizes = [], []
+        for r in found.to_pylist():
+            chunks = parted(unpack(r["chunks"]))
+            known.update(zip(chunks, range(len(known), len(known) + len(chunks)), strict=True))
+            sizes.append(np.frombuffer(unpack(r["sizes"]), "<u2"))
+            flat.append(np.frombuffer(unpack(r["ids"]), r["kind"]).astype(np.int32))
+        data = texts.column("_packed").to_pylist()
+        units_at = lambda i: units_of(unpack(data[i]).decode("utf-8", "surrogatepass"))
+        units = set()
+        for i in range(len(data)):
+            units.update(units_at(i))
+        units = list(units)
+        parts = [cuts(units[i : i + 20_000]) for i in range(0, len(units), 20_000)]
+        chunks, counts = [c for p in parts for c in p[0]], np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+        for c in {c for c in chunks if len(c) > LONG}:
+            known[c] = len(known)
+            flat.append(np.array(best_path(c, table, longest, pieces.unknown_score), np.int32))
+            sizes.append(np.array([len(flat[-1])]))
+        flat = np.concatenate([np.zeros(0, np.int32), *flat])
+        size = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+        flat, size = spelled(flat, size, pieces)
+        of_chunk = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        del parts, chunks, known
+        ids = flat[ranges((np.cumsum(size) - size)[of_chunk], size[of_chunk])]
+        chunk_ends = np.cumsum(np.append(0, size[of_chunk]))
+        unit_ends = chunk_ends[np.cumsum(np.append(0, counts))]
+        number = dict(zip(units, range(len(units)), strict=True))
+        # decoding all units at once shows whether each is exact; only if not, one by one
+        decode = Decoder(pieces)
+        plain = lambda u: u.replace(SPACE_MARK, " ").replace(OWN_MARK, SPACE_MARK)
+        wrong = set()
+        if decode.raw(ids.tolist()) != plain("".join(units)):
+            wrong = {u for u, a, b in zip(units, unit_ends[:-1], unit_ends[1:], strict=True) if decode.raw(ids[a:b].tolist()) != plain(u)}
+        ends, out, exact, held = [0], [], [], []
+        for i in range(len(data)):  # texts are split again, a few at a time, as their units take far more room than they do
+            own = units_at(i)
+            exact.append(not wrong or wrong.isdisjoint(own))
+            own = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+            ends.append(ends[-1] + int((unit_ends[own + 1] - unit_ends[own]).sum()))
+            held.append(own)
+            if i + 1 == len(data) or sum(map(len, held)) > 100_000:
+                own = np.concatenate(held)
+                out.append(ids[ranges(unit_ends[own], unit_ends[own + 1] - unit_ends[own])].astype(np.int32))
+                held = []
+        ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([*[texts.column(c) for c in keep], ids, pa.array(exact, pa.bool_())], [*keep, "ids", "exact"])
 
-    schema = kept.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean")
-    return packed.groupBy("_block").cogroup(answers.select("_block", "chunk", "path").groupBy("_block")).applyInArrow(assemble, schema)
+    schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean")
+    return kept.restored(packed.groupBy("_block").cogroup(bundles.groupBy("_block")).applyInArrow(assemble, schema), "ids", "exact")
