@@ -199,6 +199,11 @@ def parted(data: bytes) -> list[str]:
     return data.decode("utf-8", "surrogatepass").split(BETWEEN)
 
 
+def frugal() -> None:
+    """Arrow memory of this worker goes back to the system when it is freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 class Decoder:
     """Ids back to text; the counterpart of encoding, exact for every text."""
 
@@ -253,8 +258,11 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=9)
+        frugal()
         for b in batches:
-            texts = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
+            texts = []
+            for i in range(0, b.num_rows, 256):
+                texts += [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").slice(i, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
@@ -264,26 +272,35 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct chunks of each block, in order, which packs them better."""
-        unpacker, seen = zstandard.ZstdDecompressor(), {}
-        for b in batches:
-            for k, data in zip(b.column("_block").to_pylist(), b.column("_packed").to_pylist(), strict=True):
-                seen.setdefault(k, set()).update(units_of(unpacker.decompress(data).decode("utf-8", "surrogatepass")))
-        for k in sorted(seen):
-            units, chunks = list(seen.pop(k)), set()
-            for i in range(0, len(units), 50_000):
-                chunks.update(cuts(units[i : i + 50_000])[0])
+        frugal()
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def questions(k: int, units: list[str]) -> Iterator[pa.RecordBatch]:
+            chunks = set()
+            for i in range(0, len(units), 20_000):
+                chunks.update(cuts(units[i : i + 20_000])[0])
             ordered = sorted(c for c in chunks if len(c) <= LONG)
             for i in range(0, len(ordered), 20_000):
                 part = ordered[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string())], ["_block", "chunk"])
 
-    asked = packed.mapInArrow(ask, "_block int, chunk string").repartition("chunk")  # all columns of packed, so that one exchange serves both uses
+        now, seen = None, set()
+        for b in batches:
+            for k, data in zip(b.column("_block").to_pylist(), b.column("_packed").to_pylist(), strict=True):
+                if k != now:
+                    yield from questions(now, list(seen))
+                    now, seen = k, set()
+                seen.update(units_of(unpack(data).decode("utf-8", "surrogatepass")))
+        yield from questions(now, list(seen))
+
+    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "_block int, chunk string").repartition("chunk")  # all columns of packed, so that one exchange serves both uses
     # `least` is carried along so that both uses of the questions read the same columns, hence the same exchange
     distinct = asked.groupBy("chunk").agg(F.min("_block").alias("least"))
     answers = asked.hint("merge").join(lattice(distinct, pieces), "chunk").where(F.col("least") >= 0).select("_block", "chunk", "path")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What a task has for each block, packed in one row: chunks, numbers of ids, ids."""
+        frugal()
         held: dict[int, list] = {}
         pack = zstandard.ZstdCompressor(level=9).compress
         for b in batches:
@@ -303,6 +320,7 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     bundles = answers.mapInArrow(bundle, "_block int, chunks binary, sizes binary, kind string, ids binary")
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
+        frugal()
         unpack = zstandard.ZstdDecompressor().decompress
         known: dict[str, int] = {}
         flat, sizes = [], []
@@ -350,7 +368,6 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
                 out.append(ids[ranges(unit_ends[own], unit_ends[own + 1] - unit_ends[own])].astype(np.int32))
                 held = []
         ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([*[texts.column(c) for c in keep], ids, pa.array(exact, pa.bool_())], [*keep, "ids", "exact"])
 
     schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean")

@@ -62,9 +62,7 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     new = np.append(True, own[1:] != own[:-1])
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)]
-    text = np.searchsorted(start, first, "right") - 1
-    while (empty := size[text] == 0).any():  # an empty text starts where the next one does
-        text[empty] += 1
+    text = np.searchsorted(start, first, "right") - 1  # of texts that start at one place, the last is the one that is not empty
     return text, first - start[text], last - start[text], mixed(h[own[new]] + np.uint64(1))
 
 
