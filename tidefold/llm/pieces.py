@@ -234,7 +234,7 @@ def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 5_000_000) -> DataFrame:
+def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 8_000_000) -> DataFrame:
     """The columns `keep` and ids (array<int>), exact (boolean): every row's whole text as piece ids.
 
     Segmentation maximises the sum of the model's piece scores over each
