@@ -8,7 +8,7 @@ tables and further columns, which they pass on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import mixing, pieces, repeats, simhash, toxicity
@@ -29,10 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of the smallest doc_id stays; of rows that share it, one."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each SimHash component the row of the least (doc_id, text) stays, null ids last; of rows equal in both, one."""
+    docs, back = aside(docs)
+    # ranked before the shuffle too (a group limit), so that a component of a third of all rows does not gather in one task
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text"))
+    return simhash.grouped(docs, docs.columns).withColumn("_place", place).where(F.col("_place") == 1).select(*back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -398,6 +398,19 @@ def test_pipeline(spark, real):
     assert len(kept) == len(ODD) and kept[0] is None and kept[1] == ""
 
 
+def test_near_copies_are_rows(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    a, b, *rest = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 60)) for _ in range(12)]
+    rows = [(3, a), (7, a), (7, b), (None, a), *[(None, t) for t in rest], (None, rest[0]), (None, None), (9, None), (9, "")]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = corpus_pipeline.drop_near_copies(spark, df, DATA)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (7, b), *[(None, t) for t in rest], (9, None)], key=str)
+
+
 def test_digest_of_a_plain_conversation(spark):
     row = queries.op1_chat_format(spark, DATA).where("conv_id = -7").first()
     text = "\\### Assistant: </turn> ok"

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, stored
+from .common import Kept, components, local_roots, stored
 
 SEED = 42
 
@@ -42,15 +42,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): one row per input row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, fp long): one row per input row; a null text counts as empty."""
+    kept = Kept(keep, "fp")
+    columns = docs.select(*kept.columns())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*kept.inner, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, columns.schema.add("fp", "long")), "fp")
 
 
 def forest_links(shard: np.ndarray, fp: np.ndarray, query: np.ndarray, member: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,26 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, chunk: int = 20_000) -> D
     return dealt.repartition(*columns).mapInPandas(run, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame, keep: list[str], radius: int = 4) -> DataFrame:
+    """(keep, fp long, component long, component_id long), one row per input row.
+
+    `component` is a fingerprint that names the component, also where ids are
+    null; all else is as in `near_duplicates`. `keep` holds doc_id.
+    """
+    kept = Kept(keep, "fp", "component", "component_id")
+    keep = kept.names
+    fps = stored(fingerprints(docs, keep), "fingerprints")
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("_first"))
+    found = components(fingerprint_links(fps, radius), "a", "b").withColumnRenamed("node", "fp")
+    groups = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = groups.groupBy("component").agg(F.min("_first").alias("component_id"))
+    named = groups.join(least, "component").select("fp", "component", "component_id")
+    # equal fingerprints may be a third of all rows, with null ids or one id too: both sides are salted, rows by their place in the stored files
+    named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    fps = fps.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(8)).cast("int"))
+    return fps.join(named, ["fp", "_salt"]).select(*[F.col(f"`{c}`") for c in keep], "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id long), one row per input row.
 
@@ -146,16 +168,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     fingerprint 0 and are linked like any other. Rows with a null doc_id take
     part, but never name a component unless it has no other id (then null).
     """
-    fps = stored(fingerprints(docs), "fingerprints")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(fingerprint_links(fps, radius), "a", "b").withColumnRenamed("node", "fp")
-    groups = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = groups.join(least, "component").select("fp", "component_id")
-    # equal fingerprints may be a third of all rows: both sides are salted
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    fps = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
-    return fps.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return grouped(docs, ["doc_id"], radius).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp):
