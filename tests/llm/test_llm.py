@@ -153,6 +153,24 @@ def test_removed_is_brute_force(spark):
     assert repeats.removed(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_an_anchor_of_many_variants_is_dealt_out(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    digits = [" ".join(map(str, x)) for x in rng.integers(0, 10**9, (40_000, 5)).tolist()]
+    texts = [f"{a} see also: http://example.org/ {b}" for a, b in zip(digits[::2], digits[1::2], strict=True)]
+    texts += [texts[i][c : -1 - c] for i, c in zip(rng.integers(0, 20_000, 90).tolist(), [0, 20, 40] * 30, strict=True)]
+    folder = str(tmp_path)
+
+    def noted(fragments, *rest, real=repeats.first_documents, folder=folder):
+        open(f"{folder}/{sum(map(len, fragments))}", "w").close()
+        return real(fragments, *rest)
+
+    monkeypatch.setattr(repeats, "first_documents", noted)  # reaches the workers with the functions that use it
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = sorted(((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in repeats.removed(df, ["doc_id"]).collect()), key=str)
+    assert got == brute_removed([(i, t.encode()) for i, t in enumerate(texts)])
+    assert 0 < max(int(f.name) for f in tmp_path.iterdir()) < 8192 * 84
+
+
 # --- 3 SentencePiece --------------------------------------------------------
 
 

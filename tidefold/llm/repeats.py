@@ -8,6 +8,10 @@ shard, whose suffixes are sorted (see `induced`) to find equal windows. Only
 fragments whose anchor is in two documents or more are sent, each once per
 block of documents, with the least doc_id it has there; so copies, however
 many, weigh as one per block.
+
+An anchor with many variants is not sent to one shard: its fragments are cut
+into single windows, which are dealt out by the hash of all their bytes, so
+equal windows still meet and no shard gets more than its part.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first window, last window, key) of each anchor, in order; windows are counted from the text's start."""
+def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first window, last window, key, hash of the fragment) of each anchor, in order; windows are counted from the text's start."""
     none = np.zeros(0, np.int64)
     joined = np.frombuffer(b"".join(texts), np.uint8)
     if len(joined) < width:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(size) - size
     h = joined.astype(np.uint64) + np.uint64(1)
@@ -57,13 +61,17 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
         inside[a : a + n - width + 1] = True
     window = np.flatnonzero(inside)
     if not len(window):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     own = place[window]
     new = np.append(True, own[1:] != own[:-1])
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)]
     text = np.searchsorted(start, first, "right") - 1  # of texts that start at one place, the last is the one that is not empty
-    return text, first - start[text], last - start[text], mixed(h[own[new]] + np.uint64(1))
+    end = last + (width - GRAM)
+    sign = (end - first).astype(np.uint64)
+    for k in range(0, 2 * (width - GRAM) + GRAM, GRAM):  # grams that cover the longest fragment
+        sign = mixed(sign + h[np.minimum(first + k, end)])
+    return text, first - start[text], last - start[text], mixed(h[own[new]] + np.uint64(1)), sign
 
 
 def portions(rows: Iterator[tuple], limit: int = 2_000_000) -> Iterator[list[tuple]]:
@@ -118,7 +126,7 @@ def first_documents(fragments: list[bytes], least: np.ndarray, width: int, memor
     return start, first
 
 
-def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 3_000_000, memory_rows: int = 1 << 21, whole_characters: bool = False) -> DataFrame:
+def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 3_000_000, memory_rows: int = 1 << 21, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
     """The columns `keep` and n_bytes (long), spans (array of start, end in bytes), kept (binary), one row per input row.
 
     Texts are UTF-8 bytes, null as empty. A byte is removed if a string of
@@ -132,8 +140,10 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
 
     Documents are dealt into blocks of about `block_bytes` and fragments into
     shards for about `shard_bytes` of text each; both grow with the input. A
-    shard's sort holds `memory_rows` queue entries in memory and the rest in
-    the task's own temporary file.
+    shard is held in memory, with its suffixes; of the queue of its sort,
+    `memory_rows` entries, and the rest in the task's own temporary file. An
+    anchor with more than `most_variants` fragments (counted by block, so one
+    may count several times) is dealt out by windows.
     """
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
@@ -158,60 +168,70 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
             yield (*own, unpack(data))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors of each block, and whether several of its documents have them."""
+        """Anchors of each block, whether several of its documents have them, and in how many variants about."""
         seen: dict[int, list] = {}
+        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for rows in portions(texts_of(b, "_block", "_doc")):
-                text, _, _, key = anchors([r[-1] for r in rows], width)
+                text, _, _, key, sign = anchors([r[-1] for r in rows], width)
                 block, doc = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
                 for k in np.unique(block):
                     mine = block[text] == k
-                    seen.setdefault(int(k), []).append((key[mine], doc[text[mine]]))
+                    seen.setdefault(int(k), []).append((key[mine], doc[text[mine]], sign[mine]))
         for k in sorted(seen):
             parts = seen.pop(k)
-            key, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            key, doc, sign = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
             at = np.lexsort((doc, key))
-            key, doc = key[at], doc[at]
+            key, doc, sign = key[at], doc[at], sign[at]
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             several = doc[new] != doc[np.append(new[1:], len(key)) - 1] if len(new) else np.zeros(0, bool)
-            key = key[new]
-            got = [(s, k, six(key[part]), np.packbits(several[part]).tobytes()) for s, part in by_shard(key, shards)]
+            variants = np.diff(np.append(new, len(key)))
+            for i in np.flatnonzero(variants > 16).tolist():
+                variants[i] = len(np.unique(sign[new[i] : new[i] + variants[i]]))
+            key, variants = key[new], variants.astype(np.uint32)
+            got = [(s, k, six(key[part]), np.packbits(several[part]).tobytes(), packer.compress(variants[part].tobytes())) for s, part in by_shard(key, shards)]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "_block", "keys", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["shard", "_block", "keys", "several", "variants"])
 
-    asked = packed.mapInArrow(ask, "shard int, _block int, keys binary, several binary")
+    asked = packed.mapInArrow(ask, "shard int, _block int, keys binary, several binary, variants binary")
 
     def answer(table: pa.Table) -> pa.Table:
-        """The anchors that two documents or more have, to each block that has them."""
+        """The anchors that two documents or more have, to each block that has them, and which of them have too many variants for one shard."""
+        unpack = zstandard.ZstdDecompressor().decompress
         parts = [from_six(x) for x in table.column("keys").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
         whole, weight = np.concatenate(parts), np.concatenate(flags).astype(np.int64) + 1
         unique, back = np.unique(whole, return_inverse=True)
         shared = np.bincount(back, weights=weight) >= 2
-        out = [p[shared[np.searchsorted(unique, p)]] for p in parts]
-        rows = [(b, six(p)) for b, p in zip(table.column("_block").to_pylist(), out, strict=True) if len(p)]
-        return pa.table({"_block": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+        variants = np.concatenate([np.frombuffer(unpack(x), np.uint32) for x in table.column("variants").to_pylist()])
+        hot = shared & (np.bincount(back, weights=variants) > most_variants)
+        at = [np.searchsorted(unique, p) for p in parts]
+        rows = [(b, six(p[shared[i]]), six(p[hot[i]])) for b, p, i in zip(table.column("_block").to_pylist(), parts, at, strict=True) if shared[i].any()]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("_block", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())))})
 
-    shared = asked.groupBy("shard").applyInArrow(answer, "_block int, keys binary")
+    shared = asked.groupBy("shard").applyInArrow(answer, "_block int, keys binary, hot binary")
 
     def cut_out(table: pa.Table, found: pa.Table) -> pa.Table:
-        """Each distinct fragment of a block with a shared anchor, with the least and the largest document that has it."""
+        """Each distinct fragment of a block with a shared anchor (of hot anchors, each window), with the least and the largest document that has it."""
+        hot = b"".join(found.column("hot").to_pylist())
+        apart = set(from_six(hot).tolist())
         wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(from_six, found.column("keys").to_pylist())]))
         fragments: dict[bytes, list] = {}
         for rows in portions(texts_of(table, "_doc")) if len(wanted) else []:
-            text, lo, hi, own = anchors([r[-1] for r in rows], width)
+            text, lo, hi, own, _ = anchors([r[-1] for r in rows], width)
             short = own & ~np.uint64(0xFFFF)
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short)
             for t, a, b, k in zip(text[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), own[hit].tolist(), strict=True):
                 doc, data = rows[t]
-                piece = data[a : b + width]
-                was = fragments.get(piece)
-                if was is None:
-                    fragments[piece] = [doc, doc, k]
-                elif doc < was[0]:
-                    was[0] = doc
-                elif doc > was[1]:
-                    was[1] = doc
+                windows = apart and k & ~0xFFFF in apart
+                for piece in [data[i : i + width] for i in range(a, b + 1)] if windows else [data[a : b + width]]:
+                    was = fragments.get(piece)
+                    if was is None:
+                        fragments[piece] = [doc, doc, xxhash.xxh3_64_intdigest(piece) if windows else k]
+                    elif doc < was[0]:
+                        was[0] = doc
+                    elif doc > was[1]:
+                        was[1] = doc
         pieces = list(fragments)
         docs_of = np.array([fragments[p][:2] for p in pieces], np.int64).reshape(-1, 2)
         keys = np.array([fragments[p][2] for p in pieces], np.uint64)
@@ -219,11 +239,11 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         for s, part in by_shard(keys, shards):
             part = part[np.argsort(keys[part], kind="stable")]
             own = [pieces[i] for i in part.tolist()]
-            out.append((s, int(table.column("_block")[0].as_py()), pack(b"".join(own)), pack(np.array([len(p) for p in own], np.int32).tobytes()), pack(docs_of[part].tobytes()), six(keys[part])))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("shard", "_block", "pieces", "sizes", "docs", "keys"), kinds, strict=True))})
+            out.append((s, int(table.column("_block")[0].as_py()), pack(b"".join(own)), pack(np.array([len(p) for p in own], np.int32).tobytes()), pack(docs_of[part].tobytes()), six(keys[part]), b"" if out else hot))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("shard", "_block", "pieces", "sizes", "docs", "keys", "hot"), kinds, strict=True))})
 
-    fragments = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(cut_out, "shard int, _block int, pieces binary, sizes binary, docs binary, keys binary")
+    fragments = packed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(cut_out, "shard int, _block int, pieces binary, sizes binary, docs binary, keys binary, hot binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
         """For each block, the fragments in which it has something to remove, and the first document of each of their windows in runs."""
@@ -254,7 +274,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         lowest[sorted_ones] = [first[a : a + n].min() for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
         runs: dict[int, bytes] = {}
         out = []
-        for block, (own, most) in zip(table.column("_block").to_pylist(), asked_by, strict=True):
+        for block, hot, (own, most) in zip(table.column("_block").to_pylist(), table.column("hot").to_pylist(), asked_by, strict=True):
             names, told = [], []
             for i in own[lowest[own] < most].tolist():
                 if i not in runs:
@@ -264,12 +284,12 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
                     runs[i] = np.stack([at, f[at]]).T.tobytes()
                 names.append(xxhash.xxh3_128_digest(pieces[i]))
                 told.append(runs[i])
-            if names:
-                out.append((block, b"".join(names), pack(np.array([len(t) for t in told], np.int32).tobytes()), pack(b"".join(told))))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("_block", "names", "sizes", "runs"), kinds, strict=True))})
+            if names or hot:
+                out.append((block, b"".join(names), pack(np.array([len(t) for t in told], np.int32).tobytes()), pack(b"".join(told)), hot))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("_block", "names", "sizes", "runs", "hot"), kinds, strict=True))})
 
-    told = fragments.groupBy("shard").applyInArrow(sort_shard, "_block int, names binary, sizes binary, runs binary")
+    told = fragments.groupBy("shard").applyInArrow(sort_shard, "_block int, names binary, sizes binary, runs binary, hot binary")
 
     def spans_of(doc: int, windows: list[tuple[int, int, bytes]]) -> list[list[int]]:
         """Maximal runs removed from one document, from (first window, last window, runs of first documents)."""
@@ -287,6 +307,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         known: dict[bytes, bytes] = {}
+        apart = set(from_six(b"".join(found.column("hot").to_pylist())).tolist())
         for names, sizes, data in zip(*[found.column(c).to_pylist() for c in ("names", "sizes", "runs")], strict=True):
             whole, ends = unpack(data), np.cumsum(np.frombuffer(unpack(sizes), np.int32)).tolist()
             known.update((names[16 * i : 16 * i + 16], whole[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)))
@@ -294,11 +315,12 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         for rows in portions(texts_of(table, "_doc")):
             hits: list[list] = [[] for _ in rows]
             if known:
-                text, lo, hi, _ = anchors([r[-1] for r in rows], width)
-                for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    runs = known.get(xxhash.xxh3_128_digest(rows[t][-1][a : b + width]))
-                    if runs is not None:
-                        hits[t].append((a, b, runs))
+                text, lo, hi, key, _ = anchors([r[-1] for r in rows], width)
+                for t, a, b, k in zip(text.tolist(), lo.tolist(), hi.tolist(), (key & ~np.uint64(0xFFFF)).tolist(), strict=True):
+                    for i, j in [(i, i) for i in range(a, b + 1)] if k in apart else ((a, b),):
+                        runs = known.get(xxhash.xxh3_128_digest(rows[t][-1][i : j + width]))
+                        if runs is not None:
+                            hits[t].append((i, j, runs))
             for (doc, data), windows in zip(rows, hits, strict=True):
                 own = spans_of(doc, windows)
                 if whole_characters:
