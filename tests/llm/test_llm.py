@@ -325,6 +325,15 @@ def test_embeddings_are_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_need_no_key(spark):
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(None, 0), (None, 0), (5, 8), (3, -8), (9, 90), (9, 97), (9, 180), (None, 270)]
+    df = spark.createDataFrame([(i, at(x), 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in embed_dedup.near_duplicates(df).collect()]
+    want = [(None, 3, 3, False), (None, 3, 3, False), (5, 2, 3, False), (3, 2, 3, True), (9, 1, 9, True), (9, 1, 9, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 9 mixing -----------------------------------------------------------------------
 
 

@@ -164,19 +164,23 @@ def near_duplicates(vectors: DataFrame, shape: Shape = Shape()) -> DataFrame:
     non-finite components, and rows without label, have no link and are kept.
     Vectors of different lengths are not linked. Equal vectors count as links
     of each other, but only one of them is compared with others. Rows that
-    repeat a vec_id count as vectors of their own.
+    repeat a vec_id count as vectors of their own. Rows with a null vec_id
+    take part, but name a component only if it has no other id (then null;
+    its rows, as others that share the component's id, are all kept).
     """
     units = stored(unit_vectors(vectors), "units")
-    reps = units.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    reps = stored(reps, "reps")
+    reps = units.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # vec_id is no key; rep is fixed by the files
     links = stored(cell_links(reps, fitted_centroids(reps, shape), shape), "cell-links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     found = components(links.where(F.col("root") != F.col("rep")), "rep", "root")
     reps = reps.join(counts, "rep", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    reps = reps.select("label", "key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    reps = reps.withColumn("component", F.coalesce("component", "rep"))
+    reps = reps.join(reps.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    reps = reps.select("label", "key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # a vector may be that of a third of all rows: both sides are salted
     reps = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    named = units.select("vec_id", "label", "key", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("salt"))
+    named = units.select("vec_id", "label", "key", F.pmod(F.monotonically_increasing_id(), F.lit(8)).cast("int").alias("salt"))
     named = named.join(reps, ["label", "key", "salt"]).select("vec_id", "n_links", "component_id")
     # the rest: what unit_vectors leaves out, row by row
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
