@@ -179,41 +179,93 @@ def table():
     return pieces.load_pieces()
 
 
-def test_lattice_is_exhaustive_search(spark, table):
+def edges_of(table, word):
+    """(start, end, id, score) of every piece in a word, unknown characters too."""
     by_name = dict(zip(table.names, zip(table.ids, table.scores, strict=True), strict=True))
+    longest = max(map(len, table.names))
+    out = []
+    for e in range(1, len(word) + 1):
+        for s in range(max(0, e - longest), e):
+            hit = by_name.get(word[s:e]) or ((-1 - ord(word[s]), table.unknown_score) if e - s == 1 else None)
+            if hit:
+                out.append((s, e, *hit))
+    return out
+
+
+def best_path(table, word):
+    """Dynamic programme: the best sum of scores, ties to the longer last piece."""
+    at = {0: (0.0, [])}
+    for s, e, i, score in edges_of(table, word):
+        total = at[s][0] + score
+        if e not in at or total > at[e][0]:
+            at[e] = (total, (s, i))
+    ids, e = [], len(word)
+    while e:
+        e, i = at[e][1]
+        ids.append(i)
+    return ids[::-1]
+
+
+def all_paths(edges, n, s=0):
+    if s == n:
+        yield 0.0, []
+    for a, b, i, score in edges:
+        if a == s:
+            for total, ids in all_paths(edges, n, b):
+                yield score + total, [i, *ids]
+
+
+def lattice_of(spark, table, words):
+    df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "chunk string, least long").withColumn("h", F.xxhash64("chunk"))
+    return {words[r.least]: r.path for r in pieces.lattice(df, table).collect()}
+
+
+def test_lattice_is_exhaustive_search(spark, table):
+    words = ["▁the", "▁unhappi", "▁", "▁▁▁▁▁", "😀", "▁naïveté", "aaaaaaa", "ﬁ漢", "\n", "nesses"]
+    got = lattice_of(spark, table, words)
+    scores = dict(zip(table.ids, table.scores, strict=True))
+    for w in words:
+        paths = list(all_paths(edges_of(table, w), len(w)))
+        total = sum(scores.get(i, table.unknown_score) for i in got[w])
+        assert total == max(t for t, _ in paths) and got[w] in [p for t, p in paths if t == total]
+        assert got[w] == best_path(table, w)
 
-    def best(word):
-        found = [(0.0, 0, [])]
-        for e in range(1, len(word) + 1):
-            options = []
-            for s in range(e):
-                hit = by_name.get(word[s:e]) or ((-1 - ord(word[s]), table.unknown_score) if e - s == 1 else None)
-                if hit:
-                    options.append((found[s][0] + hit[1], -s, [*found[s][2], hit[0]]))
-            found.append(max(options, key=lambda o: o[:2]))
-        return found[-1][2]
 
-    words = ["▁the", "▁unhappiness", "▁", "▁▁▁▁▁", "😀", "▁naïveté", "aaaaaaa", "ﬁ漢", "\n"]
-    df = spark.createDataFrame([(w, 0) for w in words], "chunk string, least int")
-    got = {r.chunk: r.path for r in pieces.lattice(df, table).collect()}
-    assert got == {w: best(w) for w in words}
-    assert all(pieces.best_path(w, by_name, max(map(len, table.names)), table.unknown_score) == best(w) for w in words)
+def test_long_chunks_stay_in_the_lattice(spark, table):
+    rng = np.random.default_rng(1)
+    words = ["a" * n for n in (255, 256, 257, 258, 511, 512, 513, 3000)] + ["".join(rng.choice(list("aeioustrnl"), n)) for n in (300, 1200)]
+    assert lattice_of(spark, table, words) == {w: best_path(table, w) for w in words}
 
 
 def test_encoding_round_trip(spark, table, real):
-    texts = [*ODD, " leading", "trailing ", "two  spaces", "▁ mark", "\n\n", "b" * 700 + " z", "tab\tand\rreturn", *[r.text for r in real.limit(40).collect()]]
+    texts = [*ODD, " leading", "trailing ", "two  spaces", "▁ mark", "▁▁", "a▁b ▁c", "\U0010fffe \U0010ffff", "\n\n", "b" * 700 + " z", "tab\tand\rreturn", " ", "  ", *[r.text for r in real.limit(40).collect()]]
     df = docs(spark, texts)
-    out = pieces.encoded(df, ["doc_id", "size"], table, block_bytes=5_000)
+    out = pieces.encoded(df, ["doc_id", "size", "text"], table, block_bytes=5_000)
     rows = pieces.decoded(out, table).collect()
-    assert len(rows) == len(texts) and all(r.exact and r.decoded == (texts[r.doc_id] or "") for r in rows)
+    assert len(rows) == len(texts) and all(r.exact and r.decoded == (texts[r.doc_id] or "") and r.text == texts[r.doc_id] for r in rows)
     assert next(r for r in rows if r.doc_id == 0).ids == []
-    by_name = dict(zip(table.names, zip(table.ids, table.scores, strict=True), strict=True))
-    for r in rows[:25]:
+    for r in rows:
         t = texts[r.doc_id] or ""
-        path = pieces.best_path("".join(pieces.units_of(t)), by_name, max(map(len, table.names)), table.unknown_score)
-        ids, _ = pieces.spelled(np.array(path, np.int32), np.array([len(path)]), table)
-        assert ids.tolist() == r.ids
-    assert pieces.encoded(df.limit(0), ["doc_id"], table).count() == 0
+        if "▁" not in t and len(t) < 20_000:
+            path = best_path(table, "▁" + t.replace(" ", "▁")) if t else []
+            assert pieces.spelled(np.array(path, np.int32), np.array([len(path)]), table)[0].tolist() == r.ids
+    assert pieces.encoded(df.limit(0), ["doc_id", "text"], table).count() == 0
+
+
+def test_encoding_needs_no_key(spark, table):
+    df = docs(spark, ["same text", "same text", "other", None, None], [None, None, None, 3, 3])
+    rows = pieces.encoded(df, ["doc_id", "text"], table).collect()
+    assert sorted((r.text or "", len(r.ids) > 0) for r in rows) == [("", False), ("", False), ("other", True), ("same text", True), ("same text", True)]
+
+
+def test_inexact_ids_are_told(table):
+    import pyarrow as pa
+
+    units = pa.array([b"\xe2\x96\x81the", b"\xe2\x96\x81of"], pa.binary())
+    the, of = (table.ids[table.names.index(x)] for x in ("▁the", "▁of"))
+    parts = pieces.Decoder(table).parts
+    assert pieces.inexact(np.array([the, of], np.int32), np.array([0, 1, 2]), units, parts).tolist() == [False, False]
+    assert pieces.inexact(np.array([the, the], np.int32), np.array([0, 1, 2]), units, parts).tolist() == [False, True]
 
 
 # --- 4 to 6 classifiers -----------------------------------------------------

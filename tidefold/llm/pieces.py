@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,12 @@ from .common import Kept
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
+MARK = SPACE_MARK.encode()
 UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-#: Stands for a space mark that the text itself holds; it becomes bytes, so that decoding does not take it for a space.
-OWN_MARK = "\U0010fffe"
-LONG = 256  # characters; longer chunks are folded in the task that meets them
+#: Stands for a space mark that the text itself holds. It is a chunk of its own, has the ids of the mark's bytes and is no character of any text.
+OWN_MARK = "\ud800"
+OWN = OWN_MARK.encode("utf-8", "surrogatepass")
+SPAN = 256  # characters whose substrings are taken from one piece of a chunk, and positions that the fold holds before it puts them away
 
 
 @dataclass(frozen=True)
@@ -56,17 +59,14 @@ def load_pieces(path: str = MODEL_FILE) -> Pieces:
     return Pieces(tuple(map(p.id_to_piece, normal)), tuple(normal), tuple(scores), tuple(byte_ids[b] for b in range(256)), min(scores) - 10)
 
 
-def units_of(text: str) -> list[str]:
-    """The text behind a leading space, with spaces as marks, cut before each run of marks. Joined, the units give it back."""
-    if SPACE_MARK in text:
-        text = text.replace(SPACE_MARK, OWN_MARK)
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        units = UNITS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
-    else:
-        units = [SPACE_MARK + w for w in text.split(" ")]
-    return units
+def in_units(data: bytes) -> bytes | None:
+    """A text as units between single spaces: behind a leading space, spaces as marks, cut before each run of marks; each unit without its first mark."""
+    if not data:
+        return None
+    if b"  " in data or data[:1] == b" " or data[-1:] == b" " or MARK in data:
+        text = SPACE_MARK + data.decode("utf-8", "surrogatepass").replace(SPACE_MARK, OWN_MARK).replace(" ", SPACE_MARK)
+        return " ".join(u[1:] for u in UNITS.findall(text)).encode("utf-8", "surrogatepass")
+    return data
 
 
 class Cuts:
@@ -85,20 +85,54 @@ class Cuts:
     def slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a * np.uint64(0x110000) + b) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
 
-    def __call__(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+    def __call__(self, units: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
         """(chunks of all units in order, number of chunks of each unit)."""
-        if not units:
-            return [], np.zeros(0, np.int64)
-        whole = "".join(units)
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        at = np.zeros(len(code) + 1, bool)
-        at[1:-1] = ~self.joined[self.slot(code[:-1], code[1:])]
-        at[ends] = True
-        place = np.flatnonzero(at)
-        counts = np.diff(np.append(0, np.searchsorted(place, ends, "right")))
-        place = [0, *place.tolist()]
-        return [whole[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], counts
+        if not len(units):
+            return units, np.zeros(0, np.int64)
+        ends = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1].astype(np.int64)
+        data = units.buffers()[2].to_pybytes()[ends[0] : ends[-1]]
+        ends -= ends[0]
+        first = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # byte of each character
+        code = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        own = code == ord(OWN_MARK)
+        at = np.ones(len(code) + 1, bool)
+        at[1:-1] = ~self.joined[self.slot(code[:-1], code[1:])] | own[1:] | own[:-1]
+        at[np.searchsorted(first, ends)] = True
+        place = np.append(first, len(data))[np.flatnonzero(at)]
+        chunks = pa.Array.from_buffers(pa.binary(), len(place) - 1, [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data)])
+        return chunks, np.diff(np.searchsorted(place, ends))
+
+
+@dataclass
+class Block:
+    """What a block's texts consist of: occurrences of distinct units, and these of distinct chunks."""
+
+    ends: np.ndarray  # where each text's occurrences end, from 0
+    unit: np.ndarray  # unit of each occurrence
+    units: pa.BinaryArray  # distinct, with their marks
+    counts: np.ndarray  # chunks of each distinct unit
+    number: np.ndarray  # of each such chunk, among the distinct ones in order; -1: OWN_MARK
+    chunks: pa.BinaryArray  # distinct, in order of their bytes
+
+
+def block_of(texts: list[bytes | None], cuts: Cuts) -> Block:
+    """The order of the chunks depends on the texts alone, not on their order, so a block has the same numbers wherever it is made."""
+    split = pc.split_pattern(pa.array([in_units(t or b"") for t in texts], pa.binary()), b" ")
+    many = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    units = pc.binary_join_element_wise(pa.scalar(MARK), coded.dictionary, pa.scalar(b""))
+    parts = [cuts(units[i : i + 50_000]) for i in range(0, len(units), 50_000)]
+    named = pa.chunked_array([p[0] for p in parts], pa.binary()).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(named.dictionary).to_numpy()
+    chunks = named.dictionary.take(pa.array(order))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    mark = pc.index(chunks, pa.scalar(OWN, pa.binary())).as_py()
+    if mark >= 0:  # out of the order
+        rank = np.where(rank == mark, -1, rank - (rank > mark))
+        chunks = pc.filter(chunks, pc.not_equal(chunks, pa.scalar(OWN, pa.binary())))
+    counts = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+    return Block(np.append(0, np.cumsum(many)), coded.indices.to_numpy(), units, counts, rank[named.indices.to_numpy()], chunks)
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,47 +148,34 @@ def spelled(ids: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
     owner = np.repeat(np.arange(len(size)), size)
     parts, at, size = [], 0, size.copy()
     for i in unknown.tolist():
-        own = [pieces.byte_ids[b] for b in chr(-1 - int(ids[i])).replace(OWN_MARK, SPACE_MARK).encode()]
+        own = [pieces.byte_ids[b] for b in chr(-1 - int(ids[i])).encode()]
         parts += [ids[at:i], np.array(own, ids.dtype)]
         at = i + 1
         size[owner[i]] += len(own) - 1
     return np.concatenate([*parts, ids[at:]]), size
 
 
-def best_path(chunk: str, table: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[int]:
-    """What the lattice fold gives, for one chunk of any length in linear memory; unknown characters as -1 - code point."""
-    n = len(chunk)
-    score, back = [0.0] + [0.0] * n, [(0, 0)] * (n + 1)
-    for e in range(1, n + 1):
-        best = None
-        for s in range(max(0, e - longest), e):
-            hit = table.get(chunk[s:e]) or ((-1 - ord(chunk[s]), unknown) if e - s == 1 else None)
-            if hit and (best is None or score[s] + hit[1] > best):
-                best, back[e] = score[s] + hit[1], (s, hit[0])
-        score[e] = best
-    ids = []
-    while n:
-        n, i = back[n]
-        ids.append(i)
-    return ids[::-1]
-
-
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, path, least): the ids of the best path of each distinct chunk, of 1 to LONG characters; `least` is as given.
-
-    The path has the highest sum of piece scores; ties go to the longer last
-    piece. A character without a piece counts as unknown and is -1 - its code
-    point in `path`. The piece table is broadcast, as its size is the
-    vocabulary's. If `chunks` is partitioned by chunk, nothing here shuffles it
-    again.
+    """(h, key, least, path): the ids of the best path of each distinct chunk (h, chunk, least); the rest is as given.
+
+    `key` is the chunk, or of a chunk of more than SPAN characters its digest,
+    so that edges are light. The path has the highest sum of piece scores;
+    ties go to the longer last piece. A character without a piece counts as
+    unknown and is -1 - its code point in `path`. The piece table is
+    broadcast, as its size is the vocabulary's. If `chunks` is partitioned by
+    h, nothing here shuffles it again.
     """
     spark = chunks.sparkSession
     table = spark.createDataFrame(list(zip(pieces.names, pieces.ids, pieces.scores, strict=True)), "piece string, id int, score double")
     longest = max(map(len, pieces.names))
-    subs = chunks.select("chunk", "least", F.length("chunk").alias("n"))
-    subs = subs.select("chunk", "least", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at"))
-    subs = subs.select("chunk", "least", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("len"))
-    subs = subs.withColumn("piece", F.substring("chunk", F.col("at"), F.col("len")))
+    subs = chunks.select("h", "chunk", "least", F.length("chunk").alias("n"))
+    subs = subs.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPAN))).alias("base"))
+    # overlapping parts of a chunk; of most chunks there is one
+    part = F.when(F.col("n") <= SPAN, F.col("chunk")).otherwise(F.substring("chunk", F.col("base") + 1, F.lit(SPAN + longest)))
+    subs = subs.select("h", key_of("chunk").alias("key"), "least", "base", F.least(F.lit(SPAN), F.col("n") - F.col("base")).alias("starts"), (F.col("n") - F.col("base")).alias("rest"), part.alias("part"))
+    subs = subs.select("*", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("at"))
+    subs = subs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("rest") - F.col("at") + 1))).alias("len"))
+    subs = subs.select("h", "key", "least", (F.col("base") + F.col("at")).alias("at"), "len", F.substring("part", F.col("at"), F.col("len")).alias("piece"))
     edges = subs.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     edge = F.struct(
         (F.col("at") + F.col("len") - 1).alias("end"),
@@ -162,41 +183,80 @@ def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
         F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
     )
-    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.min("least").alias("least"))
-    return grouped.select("chunk", viterbi(F.col("edges")).alias("path"), "least")
+    grouped = edges.groupBy("h", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.min("least").alias("least"))
+    return grouped.select("h", "key", viterbi(F.col("edges"), longest).alias("path"), "least")
+
+
+def key_of(chunk: str) -> Column:
+    """The chunk, or for a long one its digest, which is longer than any short chunk."""
+    return F.when(F.length(chunk) <= SPAN, F.col(chunk)).otherwise(F.repeat(F.sha2(F.col(chunk), 256), 1 + SPAN // 64))
+
 
+NODE = "struct<score:double,start:int,id:int>"
 
-def viterbi(edges: Column) -> Column:
+
+def named(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def viterbi(edges: Column, longest: int) -> Column:
     """Fold edges (end, start, score, id) in order of their ends into the ids of the best path.
 
-    The state holds, for every position so far, the best score and the path to
-    it. Edges of one end follow each other, so an edge either opens the next
-    position or competes for the last.
+    The state is copied at every step, so it holds no paths, only the best
+    score, start and id of an edge at each position, and of a long chunk only
+    those of one span: a fold over spans puts away all but the last `longest`
+    positions. A second fold walks back from the end along the starts.
     """
-    state = "array<struct<score:double,path:array<int>>>"
-    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path"))).cast(state)
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(0).alias("id"))).cast(f"array<{NODE}>")
+    short = named(F.aggregate(edges, first, lambda near, x: opened(near, x, F.lit(0))), lambda nodes: walked(nodes, F.size(nodes) - 1, F.size(nodes) - 1)["few"])
+    return F.when(F.element_at(edges, -1)["end"] <= SPAN, short).otherwise(named(spans_of(edges), lambda spans: long_path(spans, first, longest)))
+
+
+def opened(near: Column, x: Column, base: Column) -> Column:
+    """The nodes from position `base` on, with one more edge. Edges of one end follow each other, so it opens the next position or competes for the last."""
+    end = x["end"] - base
+    score = F.get(near, x["start"] - base)["score"] + x["score"]
+    new = F.array(F.struct(score.alias("score"), x["start"].alias("start"), x["id"].alias("id"))).cast(f"array<{NODE}>")
+    return F.when(F.size(near) <= end, F.concat(near, new)).when(score > F.get(near, end)["score"], F.concat(F.slice(near, F.lit(1), end), new)).otherwise(near)
+
+
+def walked(nodes: Column, left: Column, at: Column) -> Column:
+    """(left, at, few): a walk back over nodes, the last of which is at position `left`; `at` is the next position on the path, few the ids so far."""
+    zero = F.struct(left.alias("left"), at.alias("at"), F.array().cast("array<int>").alias("few"))
 
     def step(acc: Column, x: Column) -> Column:
-        origin = F.get(acc, x["start"])
-        score = origin["score"] + x["score"]
-        new = F.array(F.struct(score.alias("score"), F.concat(origin["path"], F.array(x["id"])).alias("path")))
-        opened = F.size(acc) <= x["end"]
-        better = score > F.get(acc, x["end"])["score"]
-        return F.when(opened, F.concat(acc, new)).when(better, F.concat(F.slice(acc, F.lit(1), x["end"]), new)).otherwise(acc)
+        here = (acc["at"] == acc["left"]) & (x["start"] >= 0)
+        return F.struct((acc["left"] - 1).alias("left"), F.when(here, x["start"]).otherwise(acc["at"]).alias("at"), F.when(here, F.concat(F.array(x["id"]), acc["few"])).otherwise(acc["few"]).alias("few"))
+
+    return F.aggregate(F.reverse(nodes), zero, step)
 
-    return F.aggregate(edges, zero, step, lambda acc: F.element_at(acc, -1)["path"])
 
+def spans_of(edges: Column) -> Column:
+    """Edges in arrays by the span of their end."""
+    span = lambda i: F.floor((F.get(edges, i)["end"] - 1) / SPAN)
+    starts = F.filter(F.sequence(F.lit(0), F.size(edges) - 1), lambda i: (i == 0) | (span(i) != span(i - 1)))
+    return named(starts, lambda at: F.transform(at, lambda i, k: F.slice(edges, i + 1, F.coalesce(F.get(at, k + 1), F.size(edges)) - i)))
 
-#: Between chunks that are sent together; no text holds a lone surrogate.
-BETWEEN = "\ud800"
 
+def long_path(spans: Column, first: Column, longest: int) -> Column:
+    far = f"array<array<{NODE}>>"
+    zero = F.struct(F.lit(0).alias("base"), first.alias("near"), F.array().cast(far).alias("far"))
 
-def joined(chunks: list[str]) -> bytes:
-    return BETWEEN.join(chunks).encode("utf-8", "surrogatepass")
+    def forward(acc: Column, edges: Column) -> Column:
+        grown = F.aggregate(edges, acc["near"], lambda near, x: opened(near, x, acc["base"]))
+        done = lambda g: F.greatest(F.size(g) - longest, F.lit(0))
+        return named(grown, lambda g: F.struct((acc["base"] + done(g)).alias("base"), F.slice(g, done(g) + 1, F.lit(longest)).alias("near"), F.concat(acc["far"], F.array(F.slice(g, F.lit(1), done(g)))).alias("far")))
 
+    def back(acc: Column, nodes: Column) -> Column:
+        return named(walked(nodes, acc["left"], acc["at"]), lambda w: F.struct(w["left"].alias("left"), w["at"].alias("at"), F.concat(w["few"], acc["path"]).alias("path")))
 
-def parted(data: bytes) -> list[str]:
-    return data.decode("utf-8", "surrogatepass").split(BETWEEN)
+    def path(state: Column) -> Column:
+        last = state["base"] + F.size(state["near"]) - 1
+        none = F.array().cast("array<int>")
+        return F.aggregate(F.reverse(F.concat(state["far"], F.array(state["near"]))), F.struct(last.alias("left"), last.alias("at"), none.alias("path")), back, lambda acc: acc["path"])
+
+    return named(F.aggregate(spans, zero, forward), path)
 
 
 def frugal() -> None:
@@ -215,11 +275,8 @@ class Decoder:
         for b, i in enumerate(pieces.byte_ids):
             self.parts[i] = bytes([b])
 
-    def raw(self, ids: Iterable[int]) -> str:
-        return b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace")
-
     def __call__(self, ids: Iterable[int]) -> str:
-        return self.raw(ids)[1:]
+        return b"".join([self.parts[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
 def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
@@ -240,135 +297,135 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     Segmentation maximises the sum of the model's piece scores over each
     chunk; characters without a piece become the ids of their UTF-8 bytes, and
     so does U+2581 where the text itself holds it. `exact` says that decoding
-    the ids gave the text again. Null and empty texts have no ids.
-    The noncharacter U+10FFFE is read as U+2581.
-
-    Rows are dealt into blocks of about `block_bytes` by hash of doc_id. Each
-    block asks once for each distinct chunk in it; all blocks' questions are
-    joined to the segmented chunks, and the answers, bundled by block, meet
-    its texts in one task. No dictionary of the whole corpus is in one place.
+    the ids gives the text again. Null and empty texts have no ids, equal rows
+    equal ids, an empty table no rows. Columns of `keep` named like a result
+    give way to it.
+
+    Rows are dealt into blocks of about `block_bytes` by hash of doc_id and
+    text. Each block numbers its distinct chunks and asks once for each; all
+    blocks' questions are joined to the segmented chunks, and the answers,
+    bundled by block, meet its texts in one task. No dictionary of the whole
+    corpus is in one place.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
     cuts = Cuts(pieces.pairs())
-    table = dict(zip(pieces.names, zip(pieces.ids, pieces.scores, strict=True), strict=True))
-    longest = max(map(len, pieces.names))
     kept = Kept(keep, "ids", "exact")
-    keep, own = kept.inner, kept.columns()
+    # a text that is to be passed on is unpacked at the end instead of travelling twice
+    at_text = kept.names.index("text") if "text" in kept.names else -1
+    columns = [c for i, c in enumerate(kept.columns()) if i != at_text]
+    others = [c for i, c in enumerate(kept.inner) if i != at_text]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=9)
+        packer = zstandard.ZstdCompressor(level=3)
         frugal()
         for b in batches:
             texts = []
             for i in range(0, b.num_rows, 256):
-                texts += [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").slice(i, 256).to_pylist()]
+                texts += [None if t is None else packer.compress(t) for t in b.column("_text").slice(i, 256).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    source = docs.select(block.alias("_block"), *own, F.col("text").alias("_text"))
-    schema = docs.select(block.alias("_block"), *own).schema.add("_packed", "binary")
-    packed = source.mapInArrow(pack, schema).repartition(blocks, "_block")
+    head = [F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"), *columns]
+    source = docs.select(*head, F.col("text").alias("_text"))
+    packed = source.mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct chunks of each block, in order, which packs them better."""
+        """(block and number, chunk) of the distinct chunks of each block, in order."""
         frugal()
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def questions(k: int, units: list[str]) -> Iterator[pa.RecordBatch]:
-            chunks = set()
-            for i in range(0, len(units), 20_000):
-                chunks.update(cuts(units[i : i + 20_000])[0])
-            ordered = sorted(c for c in chunks if len(c) <= LONG)
-            for i in range(0, len(ordered), 20_000):
-                part = ordered[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), pa.int32()), pa.array(part, pa.string())], ["_block", "chunk"])
+        def questions(k: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            chunks = block_of(texts, cuts).chunks
+            for i in range(0, len(chunks), 20_000):
+                part = chunks[i : i + 20_000].cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)) + (k << 32)), part], ["at", "chunk"])
 
-        now, seen = None, set()
+        now, held = None, []
         for b in batches:
             for k, data in zip(b.column("_block").to_pylist(), b.column("_packed").to_pylist(), strict=True):
                 if k != now:
-                    yield from questions(now, list(seen))
-                    now, seen = k, set()
-                seen.update(units_of(unpack(data).decode("utf-8", "surrogatepass")))
-        yield from questions(now, list(seen))
-
-    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "_block int, chunk string").repartition("chunk")  # all columns of packed, so that one exchange serves both uses
-    # `least` is carried along so that both uses of the questions read the same columns, hence the same exchange
-    distinct = asked.groupBy("chunk").agg(F.min("_block").alias("least"))
-    answers = asked.hint("merge").join(lattice(distinct, pieces), "chunk").where(F.col("least") >= 0).select("_block", "chunk", "path")
+                    yield from questions(now, held) if held else ()
+                    now, held = k, []
+                if data:
+                    held.append(unpack(data))
+        yield from questions(now, held) if held else ()
+
+    # all columns of packed, so that one exchange serves both uses; likewise `least` is carried along
+    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "at long, chunk string").repartition(F.xxhash64("chunk")).withColumn("h", F.xxhash64("chunk"))
+    distinct = asked.groupBy("h", "chunk").agg(F.min("at").alias("least"))
+    questions = asked.select("h", key_of("chunk").alias("key"), "at").hint("merge")
+    answers = questions.join(lattice(distinct, pieces), ["h", "key"]).where(F.col("least") >= 0).select("at", "path")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a task has for each block, packed in one row: chunks, numbers of ids, ids."""
+        """What a task has for each block, packed in one row: numbers of chunks, numbers of ids, ids."""
         frugal()
         held: dict[int, list] = {}
-        pack = zstandard.ZstdCompressor(level=9).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            block, path = b.column("_block").to_numpy(), b.column("path")
+            at, path = b.column("at").to_numpy(), b.column("path")
             flat, ends = path.values.to_numpy(), path.offsets.to_numpy().astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            chunks = np.array(b.column("chunk").to_pylist(), object)
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+            order = np.argsort(at)
+            block = at[order] >> 32
+            for part in np.split(order, np.flatnonzero(np.diff(block)) + 1) if len(order) else []:
                 size = ends[part + 1] - ends[part]
-                held.setdefault(int(block[part[0]]), []).append((chunks[part].tolist(), size.astype("<u2"), flat[ranges(ends[part], size)]))
-        for k, parts in held.items():
-            ids = np.concatenate([x[2] for x in parts])
+                held.setdefault(int(at[part[0]] >> 32), []).append((at[part] & 0xFFFFFFFF, size, flat[ranges(ends[part], size)]))
+        for k in sorted(held):
+            number, size, ids = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
             kind = "<u2" if ids.min() >= 0 and ids.max() < 1 << 16 else "<i4"
-            row = (k, pack(joined([c for x in parts for c in x[0]])), pack(np.concatenate([x[1] for x in parts]).tobytes()), kind, pack(ids.astype(kind).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()), strict=True)], ["_block", "chunks", "sizes", "kind", "ids"])
+            row = (k, *[pack(x.astype("<u4").tobytes()) for x in (number, size)], kind, pack(ids.astype(kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()), strict=True)], ["_block", "numbers", "sizes", "kind", "ids"])
 
-    bundles = answers.mapInArrow(bundle, "_block int, chunks binary, sizes binary, kind string, ids binary")
+    bundles = answers.mapInArrow(bundle, "_block int, numbers binary, sizes binary, kind string, ids binary")
 
-    def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def assemble(table: pa.Table, found: pa.Table) -> pa.Table:
         frugal()
         unpack = zstandard.ZstdDecompressor().decompress
-        known: dict[str, int] = {}
-        flat, sizes = [], []
+        texts = [None if x is None else unpack(x) for x in table.column("_packed").to_pylist()]
+        block = block_of(texts, cuts)
+        number, size, flat = [], [], []
         for r in found.to_pylist():
-            chunks = parted(unpack(r["chunks"]))
-            known.update(zip(chunks, range(len(known), len(known) + len(chunks)), strict=True))
-            sizes.append(np.frombuffer(unpack(r["sizes"]), "<u2"))
+            number.append(np.frombuffer(unpack(r["numbers"]), "<u4"))
+            size.append(np.frombuffer(unpack(r["sizes"]), "<u4"))
             flat.append(np.frombuffer(unpack(r["ids"]), r["kind"]).astype(np.int32))
-        data = texts.column("_packed").to_pylist()
-        units_at = lambda i: units_of(unpack(data[i]).decode("utf-8", "surrogatepass"))
-        units = set()
-        for i in range(len(data)):
-            units.update(units_at(i))
-        units = list(units)
-        parts = [cuts(units[i : i + 20_000]) for i in range(0, len(units), 20_000)]
-        chunks, counts = [c for p in parts for c in p[0]], np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
-        for c in {c for c in chunks if len(c) > LONG}:
-            known[c] = len(known)
-            flat.append(np.array(best_path(c, table, longest, pieces.unknown_score), np.int32))
-            sizes.append(np.array([len(flat[-1])]))
-        flat = np.concatenate([np.zeros(0, np.int32), *flat])
-        size = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+        mark = np.array([pieces.byte_ids[b] for b in MARK], np.int32)
+        number, size, flat = np.concatenate([*number, [len(block.chunks)]]).astype(np.int64), np.concatenate([*size, [3]]).astype(np.int64), np.concatenate([*flat, mark])
+        if len(number) != len(block.chunks) + 1:
+            raise RuntimeError(f"{len(block.chunks)} chunks were asked for, {len(number) - 1} answered")
         flat, size = spelled(flat, size, pieces)
-        of_chunk = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        del parts, chunks, known
+        row = np.empty(len(number), np.int64)
+        row[number] = np.arange(len(number))
+        of_chunk = row[block.number]  # -1, the mark, is the last
         ids = flat[ranges((np.cumsum(size) - size)[of_chunk], size[of_chunk])]
-        chunk_ends = np.cumsum(np.append(0, size[of_chunk]))
-        unit_ends = chunk_ends[np.cumsum(np.append(0, counts))]
-        number = dict(zip(units, range(len(units)), strict=True))
-        # decoding all units at once shows whether each is exact; only if not, one by one
-        decode = Decoder(pieces)
-        plain = lambda u: u.replace(SPACE_MARK, " ").replace(OWN_MARK, SPACE_MARK)
-        wrong = set()
-        if decode.raw(ids.tolist()) != plain("".join(units)):
-            wrong = {u for u, a, b in zip(units, unit_ends[:-1], unit_ends[1:], strict=True) if decode.raw(ids[a:b].tolist()) != plain(u)}
-        ends, out, exact, held = [0], [], [], []
-        for i in range(len(data)):  # texts are split again, a few at a time, as their units take far more room than they do
-            own = units_at(i)
-            exact.append(not wrong or wrong.isdisjoint(own))
-            own = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            ends.append(ends[-1] + int((unit_ends[own + 1] - unit_ends[own]).sum()))
-            held.append(own)
-            if i + 1 == len(data) or sum(map(len, held)) > 100_000:
-                own = np.concatenate(held)
-                out.append(ids[ranges(unit_ends[own], unit_ends[own + 1] - unit_ends[own])].astype(np.int32))
-                held = []
-        ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-        return pa.Table.from_arrays([*[texts.column(c) for c in keep], ids, pa.array(exact, pa.bool_())], [*keep, "ids", "exact"])
-
-    schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean")
+        chunk_ends = np.append(0, np.cumsum(size[of_chunk]))
+        ends = chunk_ends[np.append(0, np.cumsum(block.counts))]  # of each distinct unit's ids
+        wrong = inexact(ids, ends, block.units, Decoder(pieces).parts)
+        own, exact, out = np.diff(ends), np.ones(len(texts), bool), []
+        for i in range(0, len(block.unit), 200_000):
+            unit = block.unit[i : i + 200_000]
+            out.append(ids[ranges(ends[unit], own[unit])])
+        total = np.append(0, np.cumsum(own[block.unit]))[block.ends]
+        if wrong.any():
+            bad = np.append(0, np.cumsum(wrong[block.unit]))[block.ends]
+            exact = np.diff(bad) == 0
+        lists = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+        passed = {c: table.column(c) for c in others}
+        if at_text >= 0:
+            passed[kept.inner[at_text]] = pa.array(texts, pa.binary()).cast(pa.string())
+        return pa.table({**{c: passed[c] for c in kept.inner}, "ids": lists, "exact": pa.array(exact)})
+
+    schema = docs.select(*kept.columns()).schema.add("ids", T.ArrayType(T.IntegerType())).add("exact", "boolean")
     return kept.restored(packed.groupBy("_block").cogroup(bundles.groupBy("_block")).applyInArrow(assemble, schema), "ids", "exact")
+
+
+def inexact(ids: np.ndarray, ends: np.ndarray, units: pa.BinaryArray, parts: list[bytes]) -> np.ndarray:
+    """Of each unit, whether its ids do not give it back."""
+    spell = pa.array(parts, pa.binary())
+    wrong = np.zeros(len(units), bool)
+    for i in range(0, len(units), 50_000):
+        own = units[i : i + 50_000].to_pylist()
+        text = spell.take(pa.array(ids[ends[i] : ends[i + len(own)]])).to_pylist()
+        plain = [u.replace(MARK, b" ").replace(OWN, MARK) for u in own]
+        if b"".join(text) != b"".join(plain):
+            at = (ends[i : i + len(own) + 1] - ends[i]).tolist()
+            wrong[i : i + len(own)] = [b"".join(text[a:b]) != p for a, b, p in zip(at[:-1], at[1:], plain, strict=True)]
+    return wrong
