@@ -216,7 +216,10 @@ def all_paths(edges, n, s=0):
 
 
 def lattice_of(spark, table, words):
-    df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "chunk string, least long").withColumn("h", F.xxhash64("chunk"))
+    import pyarrow as pa
+
+    key, long = pieces.keys_of(pa.array([w.encode() for w in words]))
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(zip(key.to_pylist(), long.to_pylist(), strict=True))], "key string, long string, least long")
     return {words[r.least]: r.path for r in pieces.lattice(df, table).collect()}
 
 
@@ -277,7 +280,7 @@ def test_language(spark, real):
     rows = langid.predict(real.withColumn("score", F.lit(1)).withColumn("_text", F.lit(2)), model, ["doc_id", "lang"]).where(out & (F.length("lang") > 0)).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows if r.lang_pred != "und"]) > 0.95
     assert all(0 <= r.score <= 1 for r in rows)
-    odd = langid.predict(docs(spark, [*ODD, "12 34 !"]), model, ["doc_id"]).collect()
+    odd = langid.predict(docs(spark, [*ODD, "12 34 !"]), model, ["doc_id"], reject=False).collect()
     assert {r.doc_id for r in odd if r.lang_pred == "und"} == {0, 1, 2, len(ODD)}
     assert {r.lang_pred for r in langid.predict(docs(spark, ODD), langid.learn(real.limit(0), ~out), ["doc_id"]).collect()} == {"und"}
     assert any(r.narrow and r.lang_pred == "und" for r in langid.predict(real, model, ["doc_id"], min_margin=0.2).collect())

@@ -8,6 +8,7 @@ path. Documents then take their chunks' ids, block by block.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -156,23 +157,24 @@ def spelled(ids: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(h, key, least, path): the ids of the best path of each distinct chunk (h, chunk, least); the rest is as given.
+    """(key, least, path): the ids of the best path of each distinct chunk (key, long, least); the rest is as given.
 
-    `key` is the chunk, or of a chunk of more than SPAN characters its digest,
-    so that edges are light. The path has the highest sum of piece scores;
+    `key` is the chunk, or of a chunk of more than SPAN characters its digest
+    (see keys_of), so that edges are light; the chunk is then in `long`. The path has the highest sum of piece scores;
     ties go to the longer last piece. A character without a piece counts as
     unknown and is -1 - its code point in `path`. The piece table is
     broadcast, as its size is the vocabulary's. If `chunks` is partitioned by
-    h, nothing here shuffles it again.
+    key, nothing here shuffles it again.
     """
     spark = chunks.sparkSession
     table = spark.createDataFrame(list(zip(pieces.names, pieces.ids, pieces.scores, strict=True)), "piece string, id int, score double")
     longest = max(map(len, pieces.names))
-    subs = chunks.select("h", "chunk", "least", F.length("chunk").alias("n"))
+    # edges are told apart by a hash first, as most chunks begin alike
+    subs = chunks.select(F.xxhash64("key").alias("h"), "key", "least", "long", F.length(F.coalesce("long", "key")).alias("n"))
     subs = subs.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPAN))).alias("base"))
     # overlapping parts of a chunk; of most chunks there is one
-    part = F.when(F.col("n") <= SPAN, F.col("chunk")).otherwise(F.substring("chunk", F.col("base") + 1, F.lit(SPAN + longest)))
-    subs = subs.select("h", key_of("chunk").alias("key"), "least", "base", F.least(F.lit(SPAN), F.col("n") - F.col("base")).alias("starts"), (F.col("n") - F.col("base")).alias("rest"), part.alias("part"))
+    part = F.when(F.col("long").isNull(), F.col("key")).otherwise(F.substring("long", F.col("base") + 1, F.lit(SPAN + longest)))
+    subs = subs.select("h", "key", "least", "base", F.least(F.lit(SPAN), F.col("n") - F.col("base")).alias("starts"), (F.col("n") - F.col("base")).alias("rest"), part.alias("part"))
     subs = subs.select("*", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("at"))
     subs = subs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("rest") - F.col("at") + 1))).alias("len"))
     subs = subs.select("h", "key", "least", (F.col("base") + F.col("at")).alias("at"), "len", F.substring("part", F.col("at"), F.col("len")).alias("piece"))
@@ -184,12 +186,17 @@ def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
     )
     grouped = edges.groupBy("h", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.min("least").alias("least"))
-    return grouped.select("h", "key", viterbi(F.col("edges"), longest).alias("path"), "least")
+    return grouped.select("key", viterbi(F.col("edges"), longest).alias("path"), "least")
 
 
-def key_of(chunk: str) -> Column:
-    """The chunk, or for a long one its digest, which is longer than any short chunk."""
-    return F.when(F.length(chunk) <= SPAN, F.col(chunk)).otherwise(F.repeat(F.sha2(F.col(chunk), 256), 1 + SPAN // 64))
+def keys_of(chunks: pa.BinaryArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """(key, long) of chunks: a chunk of more than SPAN characters has its digest, longer than any shorter chunk, as its key."""
+    text = chunks.cast(pa.string())
+    size = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+    if not len(size) or size.max() <= SPAN:
+        return text, pa.nulls(len(text), pa.string())
+    rows = [(t if n <= SPAN else hashlib.sha256(t.encode()).hexdigest() * (1 + SPAN // 64), None if n <= SPAN else t) for t, n in zip(text.to_pylist(), size.tolist(), strict=True)]
+    return pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())
 
 
 NODE = "struct<score:double,start:int,id:int>"
@@ -330,15 +337,15 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     packed = source.mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block and number, chunk) of the distinct chunks of each block, in order."""
+        """(block and number, key, long) of the distinct chunks of each block, in order."""
         frugal()
         unpack = zstandard.ZstdDecompressor().decompress
 
         def questions(k: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             chunks = block_of(texts, cuts).chunks
             for i in range(0, len(chunks), 20_000):
-                part = chunks[i : i + 20_000].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)) + (k << 32)), part], ["at", "chunk"])
+                key, long = keys_of(chunks[i : i + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(key)) + (k << 32)), key, long], ["at", "key", "long"])
 
         now, held = None, []
         for b in batches:
@@ -351,10 +358,9 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
         yield from questions(now, held) if held else ()
 
     # all columns of packed, so that one exchange serves both uses; likewise `least` is carried along
-    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "at long, chunk string").repartition(F.xxhash64("chunk")).withColumn("h", F.xxhash64("chunk"))
-    distinct = asked.groupBy("h", "chunk").agg(F.min("at").alias("least"))
-    questions = asked.select("h", key_of("chunk").alias("key"), "at").hint("merge")
-    answers = questions.join(lattice(distinct, pieces), ["h", "key"]).where(F.col("least") >= 0).select("at", "path")
+    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "at long, key string, long string").repartition("key")
+    distinct = asked.groupBy("key", "long").agg(F.min("at").alias("least"))
+    answers = asked.hint("merge").join(lattice(distinct, pieces), "key").where(F.col("least") >= 0).select("at", "path", "long")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What a task has for each block, packed in one row: numbers of chunks, numbers of ids, ids."""
