@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,15 @@ class Kept:
     def columns(self) -> list[Column]:
         return [F.col(f"`{c}`").alias(i) for c, i in zip(self.names, self.inner, strict=True)]
 
+    def with_text(self) -> list[Column]:
+        """The columns and the text, once."""
+        return self.columns() if "text" in self.names else [*self.columns(), F.col("text").alias("_text")]
+
+    @property
+    def text(self) -> str:
+        """Under what name the text arrives."""
+        return self.inner[self.names.index("text")] if "text" in self.names else "_text"
+
     def restored(self, df: DataFrame, *rest) -> DataFrame:
         return df.select(*[F.col(i).alias(c) for c, i in zip(self.names, self.inner, strict=True)], *rest)
 
@@ -42,29 +56,70 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about `size` bytes, as what is made of them takes many times their room."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, stop - at).to_pylist()
+        at = stop
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where the session names none."""
+    """The folder that all machines share; in local mode a temporary one if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidefold-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back, which cuts its lineage."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+#: What the open `scratch` blocks have to delete, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def stored(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back, which cuts its lineage.
+
+    The files go with `dropped`, at the end of the `scratch` block they were
+    written in (unless they are to be kept `apart`), or else with the session,
+    as a result may still need them.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, place = _folder(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _OPEN and not apart:
+        _OPEN[-1].append(out)
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that `stored` returned."""
-    spark = df.sparkSession
-    paths = {os.path.dirname(f) for f in df.inputFiles()}
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for p in {os.path.dirname(f) for f in df.inputFiles()}:
+        system, place = _folder(df.sparkSession, p)
+        system.delete(place, True)
+
+
+@contextmanager
+def scratch():
+    """What operators store inside the block is deleted at its end."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            dropped(df)
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:

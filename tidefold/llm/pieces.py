@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Kept
+from .common import Kept, text_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -298,7 +298,48 @@ def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 8_000_000) -> DataFrame:
+@dataclass(frozen=True)
+class Frequent:
+    """Paths of frequent chunks, in order of their bytes."""
+
+    chunks: list[bytes]
+    ends: np.ndarray  # of each chunk's ids, from 0
+    ids: np.ndarray
+
+    def places(self, chunks: pa.BinaryArray) -> np.ndarray:
+        """Where each chunk is, -1 for one that is not here."""
+        return pc.fill_null(pc.index_in(chunks, value_set=pa.array(self.chunks, pa.binary())), -1).to_numpy()
+
+
+def frequent_chunks(docs: DataFrame, pieces: Pieces, portion: float, most: int) -> Frequent:
+    """The chunks that occur most often in a hashed portion of the rows, twice there at least, segmented by the lattice.
+
+    They are only asked for less often than others; every chunk has the same
+    path whether it is among them or not.
+    """
+    cuts = Cuts(pieces.pairs())
+    hashed = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
+    sample = docs.where(hashed < F.lit(int(portion * (1 << 30)))).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        for b in batches:
+            for texts in text_slices(b.column("text").cast(pa.binary())):
+                block = block_of(texts, cuts)
+                times = np.bincount(block.unit, minlength=len(block.units)).repeat(block.counts)
+                n = np.bincount(block.number[block.number >= 0], weights=times[block.number >= 0], minlength=len(block.chunks))
+                key, long = keys_of(block.chunks)
+                yield pa.RecordBatch.from_arrays([key, long, pa.array(n.astype(np.int64))], ["key", "long", "n"])
+
+    counted = sample.mapInArrow(count, "key string, long string, n long").where(F.col("long").isNull()).groupBy("key", "long").agg(F.sum("n").alias("n"))
+    some = counted.where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(most).select("key", "long", F.lit(0).cast("long").alias("least"))
+    found = lattice(some, pieces).select("key", "path").toArrow()
+    rows = sorted((k.encode(), p) for k, p in zip(found.column("key").to_pylist(), found.column("path").to_pylist(), strict=True))
+    size = [len(p) for _, p in rows]
+    return Frequent([k for k, _ in rows], np.cumsum([0, *size]), np.array([i for _, p in rows for i in p], np.int32))
+
+
+def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 8_000_000, sample_bytes: int = 16_000_000, most_frequent: int = 100_000) -> DataFrame:
     """The columns `keep` and ids (array<int>), exact (boolean): every row's whole text as piece ids.
 
     Segmentation maximises the sum of the model's piece scores over each
@@ -308,13 +349,16 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     equal ids, an empty table no rows. Columns of `keep` named like a result
     give way to it.
 
-    Rows are dealt into blocks of about `block_bytes` by hash of doc_id and
-    text. Each block numbers its distinct chunks and asks once for each; all
-    blocks' questions are joined to the segmented chunks, and the answers,
-    bundled by block, meet its texts in one task. No dictionary of the whole
-    corpus is in one place.
+    The `most_frequent` chunks of a sample of about `sample_bytes` are
+    segmented first and broadcast (some 4 MB). Rows are dealt into blocks of
+    about `block_bytes` by hash of doc_id and text. Each block numbers its
+    distinct chunks and asks once for each other one; all blocks' questions
+    are joined to the segmented chunks, and the answers, bundled by block,
+    meet its texts in one task. No dictionary of the whole corpus is in one
+    place.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, pieces, min(1.0, sample_bytes / max(1, int(total))), most_frequent))
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
     cuts = Cuts(pieces.pairs())
     kept = Kept(keep, "ids", "exact")
@@ -337,15 +381,16 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     packed = source.mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block and number, key, long) of the distinct chunks of each block, in order."""
+        """(block and number, key, long) of the distinct chunks of each block that are not known, in order."""
         frugal()
         unpack = zstandard.ZstdDecompressor().decompress
 
         def questions(k: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             chunks = block_of(texts, cuts).chunks
-            for i in range(0, len(chunks), 20_000):
-                key, long = keys_of(chunks[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(key)) + (k << 32)), key, long], ["at", "key", "long"])
+            number = np.flatnonzero(known.value.places(chunks) < 0)
+            for i in range(0, len(number), 20_000):
+                part = number[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part + (k << 32)), *keys_of(chunks.take(pa.array(part)))], ["at", "key", "long"])
 
         now, held = None, []
         for b in batches:
@@ -393,10 +438,15 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
             number.append(np.frombuffer(unpack(r["numbers"]), "<u4"))
             size.append(np.frombuffer(unpack(r["sizes"]), "<u4"))
             flat.append(np.frombuffer(unpack(r["ids"]), r["kind"]).astype(np.int32))
+        common, place = known.value, known.value.places(block.chunks)
+        number.append(np.flatnonzero(place >= 0))
+        place = place[number[-1]]
+        size.append(common.ends[place + 1] - common.ends[place])
+        flat.append(common.ids[ranges(common.ends[place], size[-1])])
         mark = np.array([pieces.byte_ids[b] for b in MARK], np.int32)
         number, size, flat = np.concatenate([*number, [len(block.chunks)]]).astype(np.int64), np.concatenate([*size, [3]]).astype(np.int64), np.concatenate([*flat, mark])
         if len(number) != len(block.chunks) + 1:
-            raise RuntimeError(f"{len(block.chunks)} chunks were asked for, {len(number) - 1} answered")
+            raise RuntimeError(f"of {len(block.chunks)} chunks, {len(number) - 1} were answered")
         flat, size = spelled(flat, size, pieces)
         row = np.empty(len(number), np.int64)
         row[number] = np.arange(len(number))
