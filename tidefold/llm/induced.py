@@ -2,77 +2,158 @@
 
 Sorted S* suffixes induce the L suffixes in ascending order, these the S
 suffixes in descending order. Both scans are driven by a priority queue whose
-entries (first symbol, order of arrival, position, common prefix with the
-entry before) lie on disk beyond a bound. All entries of one symbol that have
-arrived are taken out together, so that each step is a few array operations.
-S* suffixes are put in order by naming their substrings, sorted by the same
-two scans, and recursion on the names.
+entries (key, order of arrival, position, common prefix with the entry before)
+lie on disk but for the range of keys that is being scanned. S* suffixes are
+put in order by naming their substrings, sorted by the same two scans, and
+recursion on the names.
+
+Texts, kinds, names, queues and results are arrays in temporary files wherever
+they have more than `memory_rows` entries; what is held in memory at a time is
+a small multiple of `memory_rows`, however long the text is.
 """
 
 from __future__ import annotations
 
-import heapq
 import tempfile
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 
 FAR = np.int64(1) << 40
+INNER = 1024  # rows of a range that is kept in order, into which others are inserted
 
 
-class DiskQueue:
-    """Priority queue of (position, prefix) by key; first in, first out among equal keys.
+def array(n: int, dtype, memory_rows: int) -> np.ndarray:
+    """An empty array, in a temporary file if it is long; the operating system removes the file with the array."""
+    if n <= memory_rows:
+        return np.empty(n, dtype)
+    with tempfile.TemporaryFile(prefix="sort-") as f:
+        return np.memmap(f, dtype, "w+", shape=(n,)).view(np.ndarray)
+
+
+def blocks(n: int, size: int) -> Iterator[slice]:
+    for i in range(0, n, size):
+        yield slice(i, min(n, i + size))
+
 
-    Entries beyond `most` in memory go to one temporary file, which the
-    operating system removes when it is closed.
+class DiskQueue:
+    """Priority queue of (key, position, prefix); first in, first out among equal keys. Taken keys never fall.
+
+    `counts` says how often each key, from `first` on, arrives at most. By it,
+    keys are dealt into ranges of about `share` rows; a key with more than
+    that has a range of its own. The range in front is in memory: in order if
+    it is small, in a queue of its own with smaller ranges if not, and one run
+    after another if it is one key. Of the others, up to `most` rows wait in
+    memory; then all of them go to one temporary file.
     """
 
-    def __init__(self, most: int) -> None:
-        self.most, self.held, self.heap, self.parts = most, 0, [], {}
-        self.file, self.end = None, 0
-
-    def push(self, keys: np.ndarray, position: np.ndarray, prefix: np.ndarray) -> None:
-        """Add entries whose keys are in order; within a key they are in order of arrival."""
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-            if hi > lo:
-                key = int(keys[lo])
-                if key not in self.parts:
-                    heapq.heappush(self.heap, key)
-                    self.parts[key] = []
-                self.parts[key].append(np.stack([position[lo:hi], prefix[lo:hi]]))
+    def __init__(self, counts: np.ndarray, most: int, share: int, first: int = 0) -> None:
+        start = np.cumsum(counts) - counts
+        _, self.range_of = np.unique(start // share * 2 + (counts > share), return_inverse=True)
+        n = int(self.range_of[-1]) + 1 if len(counts) else 0
+        self.counts, self.most, self.share, self.first = counts, most, share, first
+        self.single = np.bincount(self.range_of, minlength=n) == 1
+        self.parts: list[list] = [[] for _ in range(n)]
+        self.low = np.full(n + 1, FAR)
+        self.held, self.front, self.next = 0, -1, 0
+        self.file, self.end, self.spills = None, 0, 0
+        self.rows, self.inner = np.zeros((3, 0), np.int64), None
+
+    def push(self, rows: np.ndarray) -> None:
+        """Add (keys, positions, prefixes) whose keys are in order; within a key they are in order of arrival."""
+        at = self.range_of[rows[0] - self.first]
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.shape[1]], strict=True):
+            r, part = int(at[lo]), rows[:, lo:hi]
+            if r != self.front or self.single[r]:
+                self.parts[r].append(part)
+                self.low[r] = min(self.low[r], int(part[0, 0]))
                 self.held += hi - lo
+            elif self.inner:
+                self.inner.push(part)
+            else:
+                place = np.searchsorted(self.rows[0], part[0], "right")
+                self.rows = np.insert(self.rows, place, part, axis=1)
         if self.held > self.most:
             self.spill()
 
     def spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile(prefix="queue-")
-        for parts in self.parts.values():
-            for i, part in enumerate(parts):
-                if isinstance(part, np.ndarray):
-                    self.file.seek(self.end)
-                    self.file.write(np.ascontiguousarray(part).tobytes())
-                    parts[i] = (self.end, part.shape[1])
-                    self.end += part.nbytes
+        self.spills += 1
+        self.file.seek(self.end)
+        for parts in self.parts:
+            fresh = [p for p in parts if isinstance(p, np.ndarray)]
+            if fresh:
+                whole = np.concatenate(fresh, axis=1)
+                self.file.write(whole.tobytes())
+                parts[:] = [*[p for p in parts if not isinstance(p, np.ndarray)], (self.end, whole.shape[1])]
+                self.end += whole.nbytes
         self.held = 0
 
-    def least(self) -> int | None:
-        return self.heap[0] if self.heap else None
-
-    def pop(self) -> tuple[np.ndarray, np.ndarray]:
-        """All entries of the least key, in order of arrival."""
-        got = []
-        for part in self.parts.pop(heapq.heappop(self.heap)):
-            if isinstance(part, tuple):
-                at, n = part
-                self.file.seek(at)
-                part = np.frombuffer(self.file.read(16 * n), np.int64).reshape(2, n)
-            else:
-                self.held -= part.shape[1]
-            got.append(part)
-        all_of = got[0] if len(got) == 1 else np.concatenate(got, axis=1)
-        return all_of[0], all_of[1]
+    def loaded(self, part) -> np.ndarray:
+        if isinstance(part, tuple):
+            self.file.seek(part[0])
+            return np.frombuffer(self.file.read(24 * part[1]), np.int64).reshape(3, part[1])
+        self.held -= part.shape[1]
+        return part
+
+    def least(self) -> int:
+        """The least key; FAR if the queue is empty."""
+        if self.rows.shape[1]:
+            return int(self.rows[0, 0])
+        if self.inner and (key := self.inner.least()) < FAR:
+            return key
+        at = max(self.front, 0)
+        self.next = at + int(np.argmin(self.low[at:] == FAR))  # the first range that has rows
+        return int(self.low[self.next])
+
+    def bring(self) -> None:
+        """The range of the least key to the front, of a range of one key the next run."""
+        if self.rows.shape[1] or self.inner and self.inner.least() < FAR or self.least() == FAR:
+            return
+        r, self.inner = self.next, None
+        self.front = r
+        if self.single[r]:
+            self.rows = self.loaded(self.parts[r].pop(0))  # of `most` rows and one push at most
+            self.low[r] = self.low[r] if self.parts[r] else FAR
+            return
+        whole = np.concatenate([self.loaded(p) for p in self.parts[r]], axis=1)
+        self.parts[r], self.low[r] = [], FAR
+        whole = whole[:, np.argsort(whole[0], kind="stable")]
+        if self.share > 4 * INNER:
+            lo, hi = np.searchsorted(self.range_of, [r, r + 1])
+            self.inner = DiskQueue(self.counts[lo:hi], int(FAR), INNER, self.first + int(lo))
+            self.inner.push(whole)
+        else:
+            self.rows = whole
+
+    def seen(self, many: int) -> tuple[np.ndarray, int, bool]:
+        """(the first rows, `many` at most; the key below which these are all rows there are; whether they are a run of one key)."""
+        self.bring()
+        if self.inner:
+            rows, bound, single = self.inner.seen(many)
+            return rows, min(bound, int(self.low[self.front + 1 :].min())), single
+        if not self.rows.shape[1]:
+            return self.rows, int(FAR), False
+        bound = int(self.rows[0, many]) if self.rows.shape[1] > many else int(self.low[self.front + 1 :].min())
+        return self.rows[:, :many], bound, bool(self.single[self.front])
+
+    def drop(self, n: int) -> None:
+        """Leave out the first n rows that were seen."""
+        if self.inner:
+            self.inner.drop(n)
+        else:
+            self.rows = self.rows[:, n:]
+
+    def pop(self) -> np.ndarray:
+        """Entries of the least key, in order of arrival; more of them may follow."""
+        self.bring()
+        if self.inner:
+            return self.inner.pop()
+        n = int(np.searchsorted(self.rows[0], self.rows[0, 0], "right"))
+        got, self.rows = self.rows[:, :n], self.rows[:, n:]
+        return got
 
     def close(self) -> None:
         if self.file is not None:
@@ -99,16 +180,19 @@ class RangeMinimum:
 
 
 class Prefixes:
-    """Common prefixes of suffixes, up to `most` and the next stop, read off the text eight symbols at a time."""
+    """Common prefixes of suffixes, up to `most` and the next stop, read off the text eight symbols at a time where these are bytes and stops are 0."""
 
     def __init__(self, text: np.ndarray, stop: np.ndarray, most: int) -> None:
-        self.most, self.text, self.stop = most, text, stop
-        self.words = None
-        if text.max() < 256 and np.array_equal(text == 0, stop):
-            padded = np.append(text, np.zeros(8, text.dtype)).astype(np.uint8)
-            self.words = np.zeros(len(text), np.uint64)
-            for k in range(8):
-                self.words |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
+        self.most, self.text, self.stop, self.words = most, text, stop, None
+        if text.dtype == np.uint8 and len(text) > 8:
+            # every position as the start of an eight-byte word, without a copy
+            self.words = np.ndarray((len(text) - 7,), "<u8", buffer=text, strides=(1,))
+
+    def word(self, at: np.ndarray) -> np.ndarray:
+        last = len(self.words) - 1
+        beyond = np.maximum(at - last, 0)
+        # near the end, the last word without its first symbols; what follows it is stops
+        return self.words[at - beyond] >> (np.minimum(beyond, 7) * 8).astype(np.uint64)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), np.int64)
@@ -120,7 +204,7 @@ class Prefixes:
                 live = live[(self.text[x] == self.text[y]) & ~self.stop[x] & ~self.stop[y]]
                 out[live] += 1
             else:
-                x, y = self.words[x], self.words[y]
+                x, y = self.word(x), self.word(y)
                 end = (x ^ y) | ((x - low) & ~x & high)  # where the two differ, or the first stops
                 whole = end == 0
                 part = end[~whole]
@@ -132,119 +216,271 @@ class Prefixes:
         return np.minimum(out, self.most)
 
 
-def scan(text, allowed, seeds, prefixes, sign: int, queue: DiskQueue, seam: Callable | None, most: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that the seeds induce, in the order of the scan, and common prefixes with the one before.
+class Scan:
+    """One scan: what the seeds induce, in order, and common prefixes with the one before.
 
-    `seeds` are in order of the scan, which goes up the symbols for sign 1 and
-    down for -1. A scanned suffix puts the position before it into the queue
-    if that is `allowed`. Suffixes of a symbol that were induced are scanned
-    before its seeds. Without `seam`, common prefixes are left out.
+    Keys are the symbols, counted from the top if `down`. A scanned suffix
+    puts the position before it into the queue if that is `allowed`. Suffixes
+    of a key that were induced are scanned before its seeds. Without `seam`,
+    common prefixes are left out, and keys are taken many at a time as far as
+    none of them induces another.
     """
-    found, lengths = [], []
-    running = np.full(symbols if seam else 0, -1, np.int64)  # per symbol, the least prefix since its last entry; -1: no entry yet
-
-    def step(position: np.ndarray, prefix: np.ndarray) -> None:
-        before = position - 1
-        at = np.flatnonzero((position > 0) & allowed[before])
-        symbol = text[before[at]]
-        order = np.argsort(sign * symbol, kind="stable")
-        at, symbol = at[order], symbol[order]
+
+    def __init__(self, text, allowed, symbols: int, down: bool, seam: Prefixes | None, memory_rows: int) -> None:
+        self.text, self.allowed, self.top, self.down, self.seam, self.rows = text, allowed, symbols - 1, down, seam, memory_rows
+        counts = np.zeros(symbols, np.int64)
+        for part in blocks(len(text), memory_rows):
+            counts += np.bincount(self.keys(np.flatnonzero(allowed[part]) + part.start), minlength=symbols)
+        self.queue = DiskQueue(counts, memory_rows, max(1, memory_rows // 4))
+        total = int(counts.sum())
+        self.found, self.end = array(total, np.int64, memory_rows), 0
+        self.lengths = array(total if seam else 0, np.int64, memory_rows)
+        self.running = np.full(symbols if seam else 0, -1, np.int64)  # per key, the least prefix since its last entry; -1: no entry yet
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        symbol = np.asarray(self.text[at]).astype(np.int64)
+        return self.top - symbol if self.down else symbol
+
+    def keep(self, position: np.ndarray, prefix: np.ndarray | None = None) -> None:
+        self.found[self.end : self.end + len(position)] = position
+        if prefix is not None:
+            self.lengths[self.end : self.end + len(position)] = prefix
+        self.end += len(position)
+
+    def induced(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the positions induce the one before, keys of these)."""
+        at = np.flatnonzero(position > 0)
+        at = at[self.allowed[position[at] - 1]]
+        return at, self.keys(position[at] - 1)
+
+    def step(self, position: np.ndarray, prefix: np.ndarray) -> None:
+        at, key = self.induced(position)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
         carried = np.zeros(len(at), np.int64)
-        if seam:
+        if self.seam:
             whole = int(prefix.min())
             if len(at):
                 first = np.ones(len(at), bool)
-                first[1:] = symbol[1:] != symbol[:-1]
-                table = RangeMinimum(prefix)
-                inner = np.flatnonzero(~first)
-                carried[inner] = table(at[inner - 1] + 1, at[inner])
-                head = np.flatnonzero(first)
-                carried[head] = np.minimum(running[symbol[head]], np.minimum.accumulate(prefix)[at[head]])
-                carried = np.minimum(carried + 1, most)
+                first[1:] = key[1:] != key[:-1]
+                inner, head = np.flatnonzero(~first), np.flatnonzero(first)
+                carried[inner] = RangeMinimum(prefix)(at[inner - 1] + 1, at[inner])
+                carried[head] = np.minimum(self.running[key[head]], np.minimum.accumulate(prefix)[at[head]])
+                carried = np.minimum(carried + 1, self.seam.most)
                 last = np.append(head[1:] - 1, len(at) - 1)
-                tail = np.append(np.minimum.accumulate(prefix[::-1])[::-1], FAR)
-                since = tail[at[last] + 1]
-            np.minimum(running, whole, out=running)
+                since = np.append(np.minimum.accumulate(prefix[::-1])[::-1], FAR)[at[last] + 1]
+            np.minimum(self.running, whole, out=self.running)
             if len(at):
-                running[symbol[last]] = since
+                self.running[key[last]] = since
+        if len(at):
+            self.queue.push(np.stack([key, position[at] - 1, carried]))
+
+    def run(self, seeds: np.ndarray, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """`seeds` are in order of the scan."""
+        done, many = 0, 512
+        ahead, start = np.zeros(0, np.int64), 0  # keys of the seeds from `start` on
+
+        while True:
+            if done >= start + len(ahead) and done < len(seeds):
+                start, ahead = done, self.keys(np.asarray(seeds[done : done + self.rows]))
+            seed = int(ahead[done - start]) if done < len(seeds) else FAR
+            key = min(self.queue.least(), seed)
+            if key == FAR:
+                break
+            if not self.seam:
+                taken = self.many_keys(seeds, ahead, start, done, many)
+                if taken is not None:
+                    done, alone, full = taken
+                    many = min(2 * many, self.rows) if full else max(512, many // 2)
+                    if not alone:
+                        continue
+            previous = None
+            while self.queue.least() == key:
+                _, position, prefix = self.queue.pop()
+                self.keep(position, prefix if self.seam else None)
+                previous = position[-1:]
+                self.step(position, prefix)
+            opened = True
+            while seed == key:
+                n = done + int(np.searchsorted(ahead[done - start :], key, "right"))
+                own = np.asarray(seeds[done:n])
+                prefix = np.zeros(len(own), np.int64)
+                if self.seam:
+                    prefix = np.array(prefixes[done:n])
+                    if opened:
+                        prefix[0] = self.seam(previous, own[:1])[0] if previous is not None else 0
+                self.step(own, prefix)
+                done, opened = n, False
+                if done >= start + len(ahead) and done < len(seeds):
+                    start, ahead = done, self.keys(np.asarray(seeds[done : done + self.rows]))
+                seed = int(ahead[done - start]) if done < len(seeds) else FAR
+        self.queue.close()
+        if self.end != len(self.found):
+            raise AssertionError(f"{self.end} of {len(self.found)} suffixes were induced")
+        return self.found, self.lengths
+
+    def many_keys(self, seeds, ahead, start: int, done: int, many: int) -> tuple[int, bool, bool] | None:
+        """Scan as many keys at once as are free of each other: (seeds done, whether the next key has to go alone, whether all that were looked at went)."""
+        q, own = self.queue, ahead[done - start : done - start + many]
+        if q.least() <= (own[0] if len(own) else FAR):
+            rows, bound, single = q.seen(many)
+            if single:
+                return done, True, False
+        else:  # the queue's front has to stay behind the seeds
+            rows, bound = np.zeros((3, 0), np.int64), q.least()
+        if done + len(own) < len(seeds):
+            bound = min(bound, int(ahead[done - start + many]) if done - start + many < len(ahead) else int(own[-1]))
+        rows, own = rows[:, rows[0] < bound], own[own < bound]
+        if not rows.shape[1] and not len(own):
+            return done, True, False
+        keys = np.concatenate([rows[0], own])
+        position = np.concatenate([rows[1], np.asarray(seeds[done : done + len(own)])])
+        seeded = np.repeat([False, True], [rows.shape[1], len(own)])
+        order = np.argsort(2 * keys + seeded, kind="stable")
+        keys, position, seeded = keys[order], position[order], seeded[order]
+        at, key = self.induced(position)
+        inside = key[key < bound]
+        full = not len(inside)
+        if not full:
+            n = int(np.searchsorted(keys, inside.min()))
+            if not n:
+                return done, True, False
+            keys, position, seeded = keys[:n], position[:n], seeded[:n]
+            key, at = key[at < n], at[at < n]
+        taken = int((~seeded).sum())
+        if taken:
+            q.drop(taken)
+        self.keep(position[~seeded])
         if len(at):
-            queue.push(sign * symbol, before[at], carried)
+            order = np.argsort(key, kind="stable")
+            q.push(np.stack([key[order], position[at[order]] - 1, np.zeros(len(at), np.int64)]))
+        return done + len(keys) - taken, False, full
 
-    keys = sign * text[seeds]
-    done = 0
-    while True:
-        least = queue.least()
-        if least is None and done == len(seeds):
-            break
-        key = min(k for k in (least, int(keys[done]) if done < len(seeds) else None) if k is not None)
-        previous = None
-        while queue.least() == key:
-            position, prefix = queue.pop()
-            found.append(position)
-            lengths.append(prefix)
-            previous = position[-1:]
-            step(position, prefix)
-        end = done + int(np.searchsorted(keys[done:], key, "right"))
-        if end > done:
-            prefix = prefixes[done:end].copy()
-            prefix[0] = seam(previous, seeds[done : done + 1])[0] if seam and previous is not None else 0
-            step(seeds[done:end], prefix)
-            done = end
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found), np.concatenate(lengths)) if found else (none, none)
-
-
-def kinds(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is S, is S*) of each position. Stops are S*, and smaller than all else."""
+
+def kinds(text: np.ndarray, stop: np.ndarray, memory_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(is S, is S*) of each position, from the end to the start. Stops are S*, and smaller than all else."""
     n = len(text)
-    value = np.where(stop, text.dtype.type(-1), text)
-    rises = np.append(np.sign(value[1:] - value[:-1]), 1)
-    rises[stop] = 1
-    steps = np.flatnonzero(rises)
-    s = rises[steps[np.searchsorted(steps, np.arange(n))]] > 0
-    star = s.copy()
-    star[1:] &= ~s[:-1]
-    star[0] = False
-    return s, star | stop
-
-
-def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarray, base_rows: int, memory_rows: int) -> np.ndarray:
+    s, star = array(n, bool, memory_rows), array(n, bool, memory_rows)
+    after, after_s = np.int64(0), True
+    for part in reversed(list(blocks(n, memory_rows))):
+        own = np.where(stop[part], np.int64(-1), text[part].astype(np.int64))
+        rises = np.sign(np.append(own[1:], after) - own)
+        rises[stop[part]] = 1
+        if part.stop == n:
+            rises[-1] = 1
+        place = np.where(rises != 0, np.arange(len(own)), len(own))
+        place = np.minimum.accumulate(place[::-1])[::-1]
+        s[part] = np.append(rises > 0, after_s)[place]
+        after, after_s = own[0], bool(s[part.start])
+    for part in blocks(n, memory_rows):
+        before = np.append(s[part.start - 1] if part.start else True, s[part][:-1])
+        star[part] = s[part] & ~before | stop[part]
+    return s, star
+
+
+def places_of(mask: np.ndarray, memory_rows: int) -> np.ndarray:
+    total = sum(int(np.count_nonzero(mask[p])) for p in blocks(len(mask), memory_rows))
+    out, end = array(total, np.int64, memory_rows), 0
+    for p in blocks(len(mask), memory_rows):
+        own = np.flatnonzero(mask[p]) + p.start
+        out[end : end + len(own)] = own
+        end += len(own)
+    return out
+
+
+def by_symbol(places: np.ndarray, text: np.ndarray, symbols: int, memory_rows: int) -> np.ndarray:
+    """Places in order of their symbols, those of one symbol in the order given (a counting sort)."""
+    counts = np.zeros(symbols + 1, np.int64)
+    for p in blocks(len(places), memory_rows):
+        counts[1:] += np.bincount(text[places[p]], minlength=symbols)
+    at = np.cumsum(counts)
+    out = array(len(places), np.int64, memory_rows)
+    for p in blocks(len(places), memory_rows):
+        own = np.asarray(places[p])
+        symbol = np.asarray(text[own]).astype(np.int64)
+        order = np.argsort(symbol, kind="stable")
+        symbol = symbol[order]
+        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        size = np.diff(np.append(first, len(symbol)))
+        out[np.repeat(at[symbol[first]] - first, size) + np.arange(len(symbol))] = own[order]
+        at[symbol[first]] += size
+    return out
+
+
+def named(text: np.ndarray, stop: np.ndarray, star: np.ndarray, ranked: np.ndarray, memory_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(S* positions, their names, which are stops, whether names are unique); equal substrings, from one S* position to the next, get equal names. `ranked` has the S* positions that are no stops in order of their substrings."""
+    places = places_of(star, memory_rows)
+    ends = array(len(places), bool, memory_rows)
+    names = array(len(places), np.int64, memory_rows)
+    n_stops = 0
+    for p in blocks(len(places), memory_rows):
+        ends[p] = stop[places[p]]
+        names[p] = n_stops + np.cumsum(ends[p]) - 1
+        n_stops += int(ends[p].sum())
+    name, last, last_size, unique = n_stops - 1, None, -1, True
+    for p in blocks(len(ranked), memory_rows):
+        own = np.asarray(ranked[p])
+        at = np.searchsorted(places, own)
+        size = np.append(places, len(text) - 1)[at + 1] - own if len(places) <= memory_rows else np.where(at + 1 < len(places), places[np.minimum(at + 1, len(places) - 1)], len(text) - 1) - own
+        before = np.append(-1 if last is None else last, own[:-1])
+        pair = np.flatnonzero(size == np.append(last_size, size[:-1]))
+        equal, live = np.ones(len(pair), bool), np.arange(len(pair))
+        d = 0
+        while len(live):
+            x, y = own[pair[live]] + d, before[pair[live]] + d
+            differ = (text[x] != text[y]) & ~(stop[x] & stop[y])
+            equal[live[differ]] = False
+            d += 1
+            live = live[~differ]
+            live = live[size[pair[live]] >= d]
+        new = np.ones(len(own), bool)
+        new[pair[equal]] = False
+        number = name + np.cumsum(new)
+        names[at] = number
+        unique &= bool(new.all())
+        name, last, last_size = int(number[-1]), own[-1], int(size[-1])
+    return places, names, ends, unique
+
+
+def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarray, symbols: int, memory_rows: int, levels: list | None) -> np.ndarray:
     """The S* positions that are no stops, in order of their suffixes."""
-    stops = np.flatnonzero(stop)
-    order = two_scans(text, stop, s, np.flatnonzero(star & ~stop), None, memory_rows)
-    ranked = order[star[order]]
+    inner = array(len(text), bool, memory_rows)
+    for p in blocks(len(text), memory_rows):
+        inner[p] = star[p] & ~stop[p]
+    order = two_scans(text, stop, s, places_of(inner, memory_rows), None, symbols, memory_rows, levels)
+    ranked = picked(order, star, memory_rows)
+    del order
     if not len(ranked):
         return ranked
-    # equal substrings, from one S* position to the next, get equal names
-    places = np.flatnonzero(star)
-    following = np.empty(len(text), np.int64)
-    following[places[:-1]], following[places[-1]] = places[1:], len(text) - 1
-    size = following[ranked] - ranked
-    same = np.zeros(len(ranked), bool)
-    pair = np.flatnonzero(size[1:] == size[:-1])
-    equal = np.ones(len(pair), bool)
-    live = np.arange(len(pair))
-    for d in range(int(size.max()) + 1):
-        live = live[size[pair[live]] >= d]
-        if not len(live):
-            break
-        x, y = ranked[pair[live]] + d, ranked[pair[live] + 1] + d
-        differ = (text[x] != text[y]) & ~(stop[x] & stop[y])
-        equal[live[differ]] = False
-        live = live[~differ]
-    same[pair[equal] + 1] = True
-    names = np.zeros(len(text), np.int64)
-    names[stops] = np.arange(len(stops))
-    names[ranked] = len(stops) + np.cumsum(~same) - 1
-    if not same.any():
+    places, names, ends, unique = named(text, stop, star, ranked, memory_rows)
+    if unique:
         return ranked
-    reduced, ends = names[places], stop[places]
-    if len(reduced) <= base_rows:
-        order = doubled(reduced)
+    del ranked
+    if levels is not None:
+        levels.append(len(names))
+    if len(names) <= memory_rows:
+        order = doubled(names)
         return places[order[~ends[order]]]
-    s2, star2 = kinds(reduced, ends)
-    stars2 = star_order(reduced, ends, s2, star2, base_rows, memory_rows)
-    return places[two_scans(reduced, ends, s2, stars2, None, memory_rows)]
+    top = 1 + max(int(names[p].max()) for p in blocks(len(names), memory_rows))
+    s2, star2 = kinds(names, ends, memory_rows)
+    stars2 = star_order(names, ends, s2, star2, top, memory_rows, levels)
+    order = two_scans(names, ends, s2, stars2, None, top, memory_rows, levels)
+    out = array(len(order), np.int64, memory_rows)
+    for p in blocks(len(order), memory_rows):
+        out[p] = places[order[p]]
+    return out
+
+
+def picked(order: np.ndarray, mask: np.ndarray, memory_rows: int) -> np.ndarray:
+    """The entries of `order` whose mask is set."""
+    total = sum(int(np.count_nonzero(mask[order[p]])) for p in blocks(len(order), memory_rows))
+    out, end = array(total, np.int64, memory_rows), 0
+    for p in blocks(len(order), memory_rows):
+        own = np.asarray(order[p])
+        own = own[mask[own]]
+        out[end : end + len(own)] = own
+        end += len(own)
+    return out
 
 
 def doubled(names: np.ndarray) -> np.ndarray:
@@ -264,54 +500,87 @@ def doubled(names: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def two_scans(text, stop, s, stars, most: int | None, memory_rows: int):
+def two_scans(text, stop, s, stars, most: int | None, symbols: int, memory_rows: int, levels: list | None):
     """All positions but stops in order of their suffixes, given the S* positions in order.
 
     With `most`, (positions, common prefixes up to `most`) of all; without it
     the order alone. Unsorted S* positions give the order of S* substrings.
     """
-    symbols = int(text.max()) + 1
+    n = len(text)
     seam = None if most is None else Prefixes(text, stop, most)
-    # the S* positions in order of symbols; those of one symbol stay in the order given
-    stars = stars[np.argsort(text[stars], kind="stable")]
-    stops = np.flatnonzero(stop)
-    value = np.where(stop, text.dtype.type(-1), text)
-    prefix = np.zeros(len(stars), np.int64)
-    if most is not None and len(stars) > 1:
-        prefix[1:] = seam(stars[:-1], stars[1:])
-    seeds = np.concatenate([stops, stars])
-    queue = DiskQueue(memory_rows)
-    low, low_prefix = scan(value, ~s & ~stop, seeds, np.concatenate([np.zeros(len(stops), np.int64), prefix]), 1, queue, seam, most or 0, symbols)
-    queue.close()
-    down = np.append(0, low_prefix[::-1][:-1]) if len(low) else low_prefix
-    queue = DiskQueue(memory_rows)
-    high, high_prefix = scan(value, s & ~stop, low[::-1], down, -1, queue, seam, most or 0, symbols)
-    queue.close()
-    high, high_prefix = high[::-1], np.append(0, high_prefix[::-1][:-1]) if len(high) else high_prefix
-    both = np.concatenate([low, high])
-    bucket = 2 * text[both] + s[both]
-    order = np.argsort(bucket, kind="stable")
-    both = both[order]
+    stars, stops = by_symbol(stars, text, symbols, memory_rows), places_of(stop, memory_rows)
+    seeds = array(len(stops) + len(stars), np.int64, memory_rows)
+    seeds[: len(stops)], seeds[len(stops) :] = stops, stars
+    prefix = None
+    if most is not None:
+        prefix = array(len(seeds), np.int64, memory_rows)
+        prefix[: len(stops) + 1] = 0
+        for p in blocks(max(0, len(stars) - 1), memory_rows):
+            prefix[len(stops) + 1 + p.start : len(stops) + 1 + p.stop] = seam(np.asarray(stars[p]), np.asarray(stars[p.start + 1 : p.stop + 1]))
+    allowed = array(n, bool, memory_rows)
+    for p in blocks(n, memory_rows):
+        allowed[p] = ~s[p] & ~stop[p]
+    up = Scan(text, allowed, symbols, False, seam, memory_rows)
+    low, low_prefix = up.run(seeds, prefix)
+    for p in blocks(n, memory_rows):
+        allowed[p] = s[p] & ~stop[p]
+    turned = None
+    if most is not None:  # prefixes with the one after, as the scan goes down
+        turned = array(len(low), np.int64, memory_rows)
+        turned[:1] = 0
+        turned[1:] = low_prefix[::-1][:-1]
+    back = Scan(text, allowed, symbols, True, seam, memory_rows)
+    high, high_prefix = back.run(low[::-1], turned)
+    if levels is not None:
+        levels.append((up.queue.spills, back.queue.spills))
+    # within a symbol, L suffixes come before S suffixes
+    counts = np.zeros((2, symbols + 1), np.int64)
+    for k, rows in enumerate((low, high)):
+        for p in blocks(len(rows), memory_rows):
+            counts[k, 1:] += np.bincount(text[rows[p]], minlength=symbols)
+    before = np.cumsum(counts, axis=1)
+    both = array(len(low) + len(high), np.int64, memory_rows)
+    prefixes = array(len(both) if most is not None else 0, np.int64, memory_rows)
+    for p in blocks(len(low), memory_rows):
+        own = np.asarray(low[p])
+        target = np.arange(p.start, p.stop) + before[1][text[own]]
+        both[target] = own
+        if most is not None:
+            prefixes[target] = low_prefix[p]
+    for p in blocks(len(high), memory_rows):
+        own = np.asarray(high[::-1][p])
+        target = np.arange(p.start, p.stop) + before[0][text[own].astype(np.int64) + 1]
+        both[target] = own
+        if most is not None:
+            # an S suffix has the prefix with the one after it, which is the one before it in the scan
+            prefixes[target[1:]] = np.asarray(high_prefix[::-1][p.start : p.stop - 1])
+            if p.start:
+                prefixes[target[0]] = high_prefix[::-1][p.start - 1]
     if most is None:
         return both
-    prefixes = np.concatenate([low_prefix, high_prefix])[order]
-    bucket = bucket[order]
-    turn = np.flatnonzero((bucket[1:] != bucket[:-1]) & (bucket[1:] // 2 == bucket[:-1] // 2)) + 1
-    prefixes[np.flatnonzero(np.append(True, bucket[1:] // 2 != bucket[:-1] // 2))] = 0
-    prefixes[turn] = seam(both[turn - 1], both[turn])
+    starts = before[0][:-1] + before[1][:-1]
+    some = np.flatnonzero(counts.sum(0)[1:])
+    prefixes[starts[some]] = 0
+    mixed = np.flatnonzero((counts[0, 1:] > 0) & (counts[1, 1:] > 0))
+    turn = starts[mixed] + counts[0, 1:][mixed]
+    if len(turn):
+        prefixes[turn] = seam(np.asarray(both[turn - 1]), np.asarray(both[turn]))
     return both, prefixes
 
 
-def suffixes(text: np.ndarray, stop: np.ndarray, most: int, base_rows: int = 1 << 22, memory_rows: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(text: np.ndarray, stop: np.ndarray, most: int, memory_rows: int = 1 << 18, levels: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions, prefixes): all positions but stops in order of their suffixes, and the common prefix with the one before.
 
-    `text` holds non-negative symbols; `stop` marks the ends of its strings,
-    the last symbol among them. No prefix goes past a stop or `most`. At most
-    `memory_rows` queue entries are in memory; recursion ends at `base_rows`.
+    `text` holds non-negative symbols (as bytes, with stops 0, prefixes are
+    read faster); `stop` marks the ends of its strings, the last symbol among
+    them. No prefix goes past a stop or `most`. Arrays and queues of more than
+    `memory_rows` entries are on disk; recursion ends where the names are that
+    few. `levels`, if given, is told the names of each level and the spills of
+    each pair of scans.
     """
-    if stop.all():
+    if all(bool(np.all(stop[p])) for p in blocks(len(stop), memory_rows)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = text.astype(np.int16 if text.max() < 1 << 14 else np.int64)  # short symbols sort by radix and stay in cache
-    s, star = kinds(text, stop)
-    stars = star_order(text, stop, s, star, base_rows, memory_rows)
-    return two_scans(text, stop, s, stars, most, memory_rows)
+    symbols = 1 + max(int(text[p].max()) for p in blocks(len(text), memory_rows))
+    s, star = kinds(text, stop, memory_rows)
+    stars = star_order(text, stop, s, star, symbols, memory_rows, levels)
+    return two_scans(text, stop, s, stars, most, symbols, memory_rows, levels)

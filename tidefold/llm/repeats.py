@@ -16,6 +16,7 @@ equal windows still meet and no shard gets more than its part.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept
-from .induced import suffixes
+from .induced import array, blocks, suffixes
 
 GRAM = 16
 LAST = np.iinfo(np.int64).max  # the place of a null doc_id
@@ -49,12 +50,11 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     for k, factor in zip((1, 2, 4, 8), (0x100000001B3, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), strict=True):
         h = h[:-k] * np.uint64(factor) + h[k:]
     h = mixed(h)
-    least, place, span, want = h, np.arange(len(h), dtype=np.int32), 1, width - GRAM + 1
+    # the upper half of the hash and the place in one number: of equal hashes the first is the least
+    least, span, want = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1, width - GRAM + 1
     while span < want:
         k = min(span, want - span)
-        take = least[k:] < least[:-k]  # of equal ones the first
-        least = np.where(take, least[k:], least[:-k])
-        place = np.where(take, place[k:], place[:-k])
+        least = np.minimum(least[k:], least[:-k])
         span += k
     inside = np.zeros(len(least), bool)
     for a, n in zip(start[size >= width].tolist(), size[size >= width].tolist(), strict=True):
@@ -62,7 +62,7 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     window = np.flatnonzero(inside)
     if not len(window):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    own = place[window]
+    own = (least.view(np.uint32)[::2] if sys.byteorder == "little" else least & np.uint64(0xFFFFFFFF))[window].astype(np.int64)
     new = np.append(True, own[1:] != own[:-1])
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)]
@@ -74,7 +74,7 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return text, first - start[text], last - start[text], mixed(h[own[new]] + np.uint64(1)), sign
 
 
-def portions(rows: Iterator[tuple], limit: int = 2_000_000) -> Iterator[list[tuple]]:
+def portions(rows: Iterator[tuple], limit: int = 200_000) -> Iterator[list[tuple]]:
     """Rows in lists whose last items, texts, have about `limit` bytes together."""
     held, size = [], 0
     for row in rows:
@@ -107,26 +107,34 @@ def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[part[0]]), part
 
 
-def first_documents(fragments: list[bytes], least: np.ndarray, width: int, memory_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where each fragment starts, the least document that the window at each position starts in)."""
-    size = np.fromiter(map(len, fragments), np.int64, len(fragments))
-    start = np.cumsum(size + 1) - size - 1
-    if not fragments:
-        return start, least
-    text = np.frombuffer(b"".join(f + b"\0" for f in fragments), np.uint8).astype(np.int64) + 1
-    stop = np.zeros(len(text), bool)
-    stop[start + size] = True
-    text[stop] = 0
-    owner = np.repeat(np.arange(len(fragments)), size + 1)
-    first = least[owner]
-    position, prefix = suffixes(text, stop, width, memory_rows=memory_rows)
-    group = np.flatnonzero(prefix < width)
-    lowest = np.minimum.reduceat(first[position], group) if len(group) else first[:0]
-    first[position] = np.repeat(lowest, np.diff(np.append(group, len(position))))
-    return start, first
-
-
-def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 3_000_000, memory_rows: int = 1 << 21, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
+def first_documents(text: np.ndarray, start: np.ndarray, least: np.ndarray, width: int, memory_rows: int, levels: list | None = None) -> np.ndarray:
+    """The least document that the window at each position starts in. `text` has fragments, as bytes plus 1, with a 0 after each; `start` and `least` are where each begins and the least document that has it."""
+    stop = array(len(text), bool, memory_rows)
+    for p in blocks(len(text), memory_rows):
+        stop[p] = text[p] == 0
+    position, prefix = suffixes(text, stop, width, memory_rows, levels)
+    first = array(len(text), np.int64, memory_rows)
+    held, low = [], LAST  # the group of equal windows that is open at the end of a block
+    for p in blocks(len(position), memory_rows):
+        at = position[p]
+        doc = least[np.searchsorted(start, at, "right") - 1]
+        new = np.flatnonzero(prefix[p] < width)
+        head = int(new[0]) if len(new) else len(at)
+        if head:
+            held.append(at[:head])
+            low = min(low, int(doc[:head].min()))
+        if len(new):
+            for x in held:
+                first[x] = low
+            lows, sizes = np.minimum.reduceat(doc[head:], new - head), np.diff(np.append(new, len(at)))
+            first[at[head : new[-1]]] = np.repeat(lows[:-1], sizes[:-1])
+            held, low = [at[new[-1] :]], int(lows[-1])
+    for x in held:
+        first[x] = low
+    return first
+
+
+def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 12_000_000, memory_rows: int = 1 << 19, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
     """The columns `keep` and n_bytes (long), spans (array of start, end in bytes), kept (binary), one row per input row.
 
     Texts are UTF-8 bytes, null as empty. A byte is removed if a string of
@@ -138,16 +146,21 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     their ends, so that `kept` is text. Found windows are compared by all
     their bytes, but a fragment finds its answer by a 128-bit hash.
 
-    Documents are dealt into blocks of about `block_bytes` and fragments into
-    shards for about `shard_bytes` of text each; both grow with the input. A
-    shard is held in memory, with its suffixes; of the queue of its sort,
-    `memory_rows` entries, and the rest in the task's own temporary file. An
-    anchor with more than `most_variants` fragments (counted by block, so one
-    may count several times) is dealt out by windows.
+    Documents are dealt into blocks of about `block_bytes`, by hash of doc_id
+    and text, and fragments into shards for about `shard_bytes` of text each;
+    both grow with the input. Of the sort of a shard, `memory_rows` entries of
+    each array and of its queues are in memory; text, order, prefixes and
+    answers are in temporary files of the task beyond that, and the sort
+    recurses while there are more names. In memory are a shard's packed
+    fragments as they arrive, and a digest, a document and an anchor of each
+    distinct one. An anchor with more than `most_variants` fragments (counted
+    by block, so one may count several times) is dealt out by windows. An
+    empty table gives no rows; columns of `keep` named like a result give way,
+    other names clash with nothing.
     """
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
-    shards = max(blocks, -(-total // shard_bytes))
+    n_blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // block_bytes))
+    shards = max(n_blocks, -(-total // shard_bytes))
     kept = Kept(keep, "n_bytes", "spans", "kept")
     keep, passed = kept.inner, kept.columns()
     kept_schema = docs.select(*passed).schema
@@ -159,8 +172,8 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    head = [F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_block"), order.alias("_doc"), *passed]
-    packed = docs.select(*head, F.col("text").alias("_text")).mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
+    head = [F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block"), order.alias("_doc"), *passed]
+    packed = docs.select(*head, F.col("text").alias("_text")).mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(n_blocks, "_block")
 
     def texts_of(b, *columns: str) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -248,48 +261,68 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     def sort_shard(table: pa.Table) -> pa.Table:
         """For each block, the fragments in which it has something to remove, and the first document of each of their windows in runs."""
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        number: dict[bytes, int] = {}
-        asked_by, low, anchor = [], [], []
-        for data, sizes, docs_of, keys in zip(*[table.column(c).to_pylist() for c in ("pieces", "sizes", "docs", "keys")], strict=True):
-            whole, ends = unpack(data), np.cumsum(np.frombuffer(unpack(sizes), np.int32)).tolist()
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("pieces", "sizes", "docs", "keys")], strict=True))
+        number: dict[bytes, int] = {}  # by digest
+        asked_by, low, anchor, length = [], [], [], []
+        for data, sizes, docs_of, keys in rows:
+            whole, size = unpack(data), np.frombuffer(unpack(sizes), np.int32)
+            ends = np.cumsum(size).tolist()
             pair = np.frombuffer(unpack(docs_of), np.int64).reshape(-1, 2)
-            own = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+            own = np.array([number.setdefault(xxhash.xxh3_128_digest(whole[a:b]), len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
             asked_by.append((own, pair[:, 1]))
-            low.append((own, pair[:, 0]))
+            low.append(pair[:, 0])
             anchor.append(from_six(keys))
-        least = np.full(len(number), LAST)
-        for own, docs_low in low:
+            length.append(size)
+        least, key, size = np.full(len(number), LAST), np.zeros(len(number), np.uint64), np.zeros(len(number), np.int64)
+        for (own, _), docs_low, keys, n in zip(asked_by, low, anchor, length, strict=True):
             np.minimum.at(least, own, docs_low)
+            key[own], size[own] = keys, n
+        del low, anchor, length
         # windows are equal only if their anchors are, so an anchor with but one fragment has nothing to be compared with
-        key = np.zeros(len(number), np.uint64)
-        for (own, _), keys in zip(low, anchor, strict=True):
-            key[own] = keys
         _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        pieces, sorted_ones = list(number), np.flatnonzero(count[group] > 1)
-        place = np.full(len(pieces), -1)
+        sorted_ones = np.flatnonzero(count[group] > 1)
+        place = np.full(len(number), -1)
         place[sorted_ones] = np.arange(len(sorted_ones))
-        start, first = first_documents([pieces[i] for i in sorted_ones.tolist()], least[sorted_ones], width, memory_rows)
-        windows = np.fromiter((len(pieces[i]) - width + 1 for i in sorted_ones.tolist()), np.int64, len(sorted_ones))
-        lowest = least.copy()
-        lowest[sorted_ones] = [first[a : a + n].min() for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
+        own_size = size[sorted_ones]
+        start = np.cumsum(own_size + 1) - own_size - 1
+        text = array(int((own_size + 1).sum()), np.uint8, memory_rows)
+        for p in blocks(len(text), memory_rows):
+            text[p] = 0
+        written = np.zeros(len(sorted_ones) + 1, bool)  # the last stands for those that are not sorted
+        for (data, *_), (own, _) in zip(rows, asked_by, strict=True):
+            whole, ends = np.frombuffer(unpack(data), np.uint8) + np.uint8(1), np.cumsum(size[own])
+            at = place[own]
+            fresh = np.flatnonzero((at >= 0) & ~written[at])
+            for i in fresh.tolist():
+                a, n = start[at[i]], size[own[i]]
+                text[a : a + n] = whole[ends[i] - n : ends[i]]
+            written[at[fresh]] = True
+        first = first_documents(text, start, least[sorted_ones], width, memory_rows)
+        lowest, windows = least.copy(), own_size - (width - 1)
+        for p in blocks(len(start), max(1, memory_rows // width)):
+            a, b = int(start[p.start]), int(start[p.stop - 1] + own_size[p.stop - 1] + 1)
+            edges = np.stack([start[p], start[p] + windows[p]], 1).ravel() - a
+            lowest[sorted_ones[p]] = np.minimum.reduceat(first[a:b], edges)[::2]
+        digests = list(number)
         runs: dict[int, bytes] = {}
         out = []
         for block, hot, (own, most) in zip(table.column("_block").to_pylist(), table.column("hot").to_pylist(), asked_by, strict=True):
             names, told = [], []
-            for i in own[lowest[own] < most].tolist():
+            some = own[lowest[own] < most]
+            for i in some.tolist():
                 if i not in runs:
                     k = place[i]
                     f = first[start[k] : start[k] + windows[k]] if k >= 0 else least[i : i + 1]
                     at = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
                     runs[i] = np.stack([at, f[at]]).T.tobytes()
-                names.append(xxhash.xxh3_128_digest(pieces[i]))
+                names.append(digests[i])
                 told.append(runs[i])
             if names or hot:
-                out.append((block, b"".join(names), pack(np.array([len(t) for t in told], np.int32).tobytes()), pack(b"".join(told)), hot))
-        kinds = (pa.int32(), *[pa.binary()] * 4)
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("_block", "names", "sizes", "runs", "hot"), kinds, strict=True))})
+                out.append((block, b"".join(names), six(np.unique(key[some])), pack(np.array([len(t) for t in told], np.int32).tobytes()), pack(b"".join(told)), hot))
+        kinds = (pa.int32(), *[pa.binary()] * 5)
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(("_block", "names", "keys", "sizes", "runs", "hot"), kinds, strict=True))})
 
-    told = fragments.groupBy("shard").applyInArrow(sort_shard, "_block int, names binary, sizes binary, runs binary, hot binary")
+    told = fragments.groupBy("shard").applyInArrow(sort_shard, "_block int, names binary, keys binary, sizes binary, runs binary, hot binary")
 
     def spans_of(doc: int, windows: list[tuple[int, int, bytes]]) -> list[list[int]]:
         """Maximal runs removed from one document, from (first window, last window, runs of first documents)."""
@@ -311,12 +344,16 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         for names, sizes, data in zip(*[found.column(c).to_pylist() for c in ("names", "sizes", "runs")], strict=True):
             whole, ends = unpack(data), np.cumsum(np.frombuffer(unpack(sizes), np.int32)).tolist()
             known.update((names[16 * i : 16 * i + 16], whole[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)))
+        hot_keys = np.array(sorted(apart), np.uint64)
+        asked = np.unique(np.concatenate([hot_keys, *map(from_six, found.column("keys").to_pylist())]))
         n_bytes, spans, rest = [], [], []
         for rows in portions(texts_of(table, "_doc")):
             hits: list[list] = [[] for _ in rows]
             if known:
                 text, lo, hi, key, _ = anchors([r[-1] for r in rows], width)
-                for t, a, b, k in zip(text.tolist(), lo.tolist(), hi.tolist(), (key & ~np.uint64(0xFFFF)).tolist(), strict=True):
+                key &= ~np.uint64(0xFFFF)
+                some = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key)
+                for t, a, b, k in zip(*[x[some].tolist() for x in (text, lo, hi, key)], strict=True):
                     for i, j in [(i, i) for i in range(a, b + 1)] if k in apart else ((a, b),):
                         runs = known.get(xxhash.xxh3_128_digest(rows[t][-1][i : j + width]))
                         if runs is not None:
