@@ -23,9 +23,11 @@ from .common import components, local_roots, stored
 @dataclass(frozen=True)
 class Shape:
     threshold: float = 0.98
-    cell_rows: int = 400  # aimed at on average
-    max_cells: int = 4096
-    sample_rows: int = 8000  # vectors that the centroids are fitted on
+    balance: float = 32.0  # a label of n vectors has about sqrt(n / balance) cells: more would mean more visits than they save comparisons
+    sample_rows: int = 16  # vectors for each cell that the centroids are fitted on
+    sample_bytes: int = 64_000_000  # of all vectors fitted on; where that is not enough, all labels get fewer cells
+    max_labels: int = 10_000  # largest labels that have cells of their own; the others are one cell each
+    nearest: int = 8  # centroids whose borders are looked at
     passes: int = 8
     chunk: int = 2048  # rows of a cell that one task compares with as many others
     seed: int = 8
@@ -74,49 +76,61 @@ def spherical_centroids(units: np.ndarray, cells: int, passes: int, seed: int) -
     return np.unique(centre, axis=0)
 
 
-def fitted_centroids(reps: DataFrame, shape: Shape) -> dict[int, np.ndarray]:
-    """Centroids by vector length, fitted on the first vectors by hash, at most `sample_rows`; `cells` grow with the rows up to `max_cells`."""
-    rows = reps.count()
-    got = reps.select(F.xxhash64("key", "label").alias("h"), "unit").orderBy("h", "unit").limit(shape.sample_rows).toArrow()
-    by: dict[int, list] = {}
-    for u in got.column("unit").to_pylist():
-        by.setdefault(len(u) // 8, []).append(np.frombuffer(u))
-    cells = int(np.clip(rows // shape.cell_rows, 1, shape.max_cells))
-    return {k: spherical_centroids(np.stack(v), min(cells, max(1, len(v) // 4)), shape.passes, shape.seed) for k, v in by.items()}
-
-
-def cells_of(x: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fitted_centroids(reps: DataFrame, shape: Shape) -> dict[tuple[str, int], np.ndarray]:
+    """Centroids by label and vector length, fitted on a hashed sample that `shape` bounds. Labels without are one cell."""
+    dim = (F.length("unit") / 8).cast("int")
+    sizes = reps.groupBy("label", dim.alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= 4 * shape.balance).orderBy(F.desc("n"), "label", "dim").limit(shape.max_labels).collect()
+    cells = {(r["label"], r["dim"]): np.sqrt(r["n"] / shape.balance) for r in sizes}
+    scale = min(1.0, shape.sample_bytes / max(1.0, sum(8 * d * shape.sample_rows * k for (_, d), k in cells.items())))
+    cells = {key: int(k * scale) for key, k in cells.items() if int(k * scale) > 1}
+    if not cells:
+        return {}
+    rows = [(r["label"], r["dim"], min(1.0, cells[r["label"], r["dim"]] * shape.sample_rows / r["n"])) for r in sizes if (r["label"], r["dim"]) in cells]
+    wanted = reps.sparkSession.createDataFrame(rows, "label string, dim int, portion double")
+    h = F.pmod(F.xxhash64("key", "label"), F.lit(1 << 30))
+    got = reps.withColumn("dim", dim).join(F.broadcast(wanted), ["label", "dim"]).where(h < F.col("portion") * (1 << 30)).select("label", "dim", "unit").toArrow()
+    by: dict[tuple[str, int], list] = {}
+    for label, d, u in zip(*[got.column(c).to_pylist() for c in ("label", "dim", "unit")], strict=True):
+        by.setdefault((label, d), []).append(np.frombuffer(u))
+    return {key: spherical_centroids(np.stack(sorted(v, key=bytes)), cells[key], shape.passes, shape.seed) for key, v in by.items()}
+
+
+def cells_of(x: np.ndarray, centre: np.ndarray, threshold: float, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home cell of each row, and (row, cell) of the other cells it visits.
 
     A vector y linked to x lies within the chord sqrt(2 - 2t). If y's home is
-    c and x's is h, y is on c's side of the plane between them, so x is at
-    most that chord from the plane. Only cells before the home are visited:
-    the pair then meets in the smaller of its two homes, once.
+    c, y is on c's side of the plane between c and any other centroid, so x is
+    at most that chord beyond each such plane; the planes to the centroids
+    that are nearest to x are looked at. Only cells before the home are
+    visited: the pair then meets in the smaller of its two homes, once.
     """
-    dots = x @ centre.T
-    home = dots.argmax(1)
-    rows, cols = [], []
     chord = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    for h in np.unique(home):
-        own = np.flatnonzero(home == h)
-        span = np.linalg.norm(centre[h] - centre[:h], axis=1)
-        near = dots[own, h][:, None] - dots[own][:, :h] <= chord * span + 1e-9
+    homes, rows, cols = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    span = np.sqrt(np.maximum(0.0, (centre**2).sum(1)[:, None] + (centre**2).sum(1)[None, :] - 2 * centre @ centre.T))
+    for i in range(0, len(x), 1024):
+        dots = x[i : i + 1024] @ centre.T
+        home = dots.argmax(1)
+        near = np.arange(len(centre))[None, :] < home[:, None]
+        top = np.argpartition(-dots, min(nearest, len(centre)) - 1, axis=1)[:, :nearest]
+        for j in range(top.shape[1]):
+            near &= np.take_along_axis(dots, top[:, j : j + 1], 1) - dots <= chord * span[top[:, j]] + 1e-9
         r, c = np.nonzero(near)
-        rows.append(own[r])
+        homes.append(home)
+        rows.append(r + i)
         cols.append(c)
-    return home, np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *cols])
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(cols)
 
 
-def cell_links(reps: DataFrame, centroids: dict[int, np.ndarray], shape: Shape) -> DataFrame:
+def cell_links(reps: DataFrame, centroids: dict[tuple[str, int], np.ndarray], shape: Shape) -> DataFrame:
     """(rep, links, root): partial counts of linked vectors (copies counted), and a link that joins rep to its block's smallest."""
-    shared = reps.sparkSession.sparkContext.broadcast(centroids)  # at most max_cells vectors
+    shared = reps.sparkSession.sparkContext.broadcast(centroids)  # bounded by shape.sample_bytes
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for dim, part in df.groupby(df.unit.str.len() // 8):
+            for (label, dim), part in df.groupby(["label", df.unit.str.len() // 8]):
                 x = np.stack([np.frombuffer(u) for u in part.unit])
-                centre = shared.value.get(int(dim), np.zeros((1, int(dim))))
-                home, row, cell = cells_of(x, centre, shape.threshold)
+                centre = shared.value.get((label, int(dim)), np.zeros((1, int(dim))))
+                home, row, cell = cells_of(x, centre, shape.threshold, shape.nearest)
                 for at, c, own in ((np.arange(len(x)), home, True), (row, cell, False)):
                     out = part.iloc[at][["label", "rep", "copies", "unit"]].copy()
                     out["dim"], out["cell"], out["home"] = int(dim), c, own
@@ -166,7 +180,8 @@ def near_duplicates(vectors: DataFrame, shape: Shape = Shape()) -> DataFrame:
     of each other, but only one of them is compared with others. Rows that
     repeat a vec_id count as vectors of their own. Rows with a null vec_id
     take part, but name a component only if it has no other id (then null;
-    its rows, as others that share the component's id, are all kept).
+    its rows, as others that share the component's id, are all kept). An empty
+    table gives no rows; further columns are ignored, whatever their names.
     """
     units = stored(unit_vectors(vectors), "units")
     reps = units.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
