@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Kept, words_of
 
-BUCKETS = 4096
+#: Sources whose plan is broadcast (about 100 bytes each); with more, the plan is joined by source and bucket of the key.
+FEW_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -19,7 +20,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     With sources sorted by cap over weight, the water level is the first
     quotient of what is left that no later source's cap is under, so no loop
     is needed. If all caps together are too small, every source gets its cap.
-    The two windows order sources, not documents.
+    The two windows order sources, not documents; the order of all sources is
+    one task's, with spilling.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
     everything = Window.partitionBy(F.lit(0))
@@ -47,7 +49,8 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     source misses its target by at most half of one document (half of all the
     rows that share one doc_id), and reruns agree. Documents of size 0 take
     whole repetitions only. A null source is a source of its own, last in
-    order; a null doc_id counts as the empty text. Empty input: no rows.
+    order; a null doc_id counts as the empty text. Empty input: no rows. Long
+    texts are counted whole. Columns of `keep` named like a result give way.
     """
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -64,12 +67,18 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("_whole", whole.cast("int")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     within = Window.partitionBy("_src", "_bucket").orderBy("_key")
+    # a source may hold a third of all rows, so nothing is joined by source alone but buckets: few sources are broadcast, many joined by bucket too
+    few = docs.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    small = F.broadcast if few else lambda df: df
+    buckets = buckets.join(small(targets.select("_src", "_rest")), "_src")
     placed = keys.withColumn("_upto", F.sum("_n").over(within)).join(buckets, ["_src", "_bucket"])
-    placed = placed.join(targets.select("_src", "_rest"), "_src")
     extra = placed.where((2 * (F.col("_before") + F.col("_upto")) - F.col("_n") <= 2 * F.col("_rest")) & (F.col("_rest") > 0))
     last = extra.groupBy("_src").agg(F.max("_key").alias("_last"))
     plan = targets.join(last, "_src", "left")
-    df = df.join(plan, "_src")
+    if few:
+        df = df.join(F.broadcast(plan), "_src")
+    else:
+        df = df.withColumn("_bucket", F.substring("_key", 1, 3)).join(buckets.select("_src", "_bucket").join(plan, "_src"), ["_src", "_bucket"])
     more = ((F.col("size") > 0) & (F.col("_key") <= F.coalesce("_last", F.lit("")))).cast("int")
     return kept.restored(df.withColumn("repeats", F.col("_whole") + more), *results)
 
