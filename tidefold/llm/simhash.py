@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components, local_roots, stored
+from .common import Kept, components, local_roots, stored, text_slices
 
 SEED = 42
 
@@ -45,14 +45,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, fp long): one row per input row; a null text counts as empty."""
     kept = Kept(keep, "fp")
-    columns = docs.select(*kept.columns())
+    schema = docs.select(*kept.columns()).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], [*kept.inner, "fp"])
+            fps = np.array([fingerprint(t) for texts in text_slices(b.column(kept.text)) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept.inner], pa.array(fps)], [*kept.inner, "fp"])
 
-    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, columns.schema.add("fp", "long")), "fp")
+    return kept.restored(docs.select(*kept.with_text()).mapInArrow(run, schema), "fp")
 
 
 def forest_links(shard: np.ndarray, fp: np.ndarray, query: np.ndarray, member: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +108,13 @@ def forest_links(shard: np.ndarray, fp: np.ndarray, query: np.ndarray, member: n
     return linked, label[linked]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, chunk: int = 20_000) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 4, chunk: int = 20_000, portion: int = 200_000) -> DataFrame:
     """(a, b): links between distinct values of `fp` that give the components of all pairs within the radius.
 
     A shard of more than `chunk` fingerprints is cut into chunks, and each
-    pair of chunks (one as the tree, one to look up) goes to a task of its
-    own, so no shard has to fit in one task.
+    pair of chunks (one as the tree, one to look up) is a shard of its own. A
+    task reads its shards in order and holds `portion` rows and one pair of
+    chunks at most.
     """
     blocks = radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -126,18 +127,25 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, chunk: int = 20_000) -> D
     dealt = dealt.select("fp", "block", "value", "own", F.inline(pairs))
     columns = ["block", "value", "lo", "hi"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = list(frames)
-        if not got:
-            return
-        df = pd.concat(got, ignore_index=True)
+    def linked(df: pd.DataFrame) -> pd.DataFrame:
         shard = df.groupby(columns, sort=False).ngroup().to_numpy()
         member, query = (df.own == df.lo).to_numpy(), (df.own == df.hi).to_numpy()
         fp = df.fp.to_numpy().view(np.uint64)
         a, b = forest_links(shard, fp, query, member, radius)
-        yield pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
+        return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if len(held) >= portion:
+                last = (held[columns] == held[columns].iloc[-1]).all(axis=1)  # its shard may go on
+                yield linked(held[~last].reset_index(drop=True))
+                held = held[last].reset_index(drop=True)
+        if held is not None:
+            yield linked(held)
 
-    return dealt.repartition(*columns).mapInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(*columns).sortWithinPartitions(*columns).mapInPandas(run, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, keep: list[str], radius: int = 4) -> DataFrame:
@@ -152,8 +160,9 @@ def grouped(docs: DataFrame, keep: list[str], radius: int = 4) -> DataFrame:
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("_first"))
     found = components(fingerprint_links(fps, radius), "a", "b").withColumnRenamed("node", "fp")
     groups = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = groups.groupBy("component").agg(F.min("_first").alias("component_id"))
-    named = groups.join(least, "component").select("fp", "component", "component_id")
+    # a component may hold a third of all fingerprints: both sides are salted
+    least = groups.groupBy("component").agg(F.min("_first").alias("component_id")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    named = groups.withColumn("_part", F.pmod(F.xxhash64("fp"), F.lit(8)).cast("int")).join(least, ["component", "_part"]).select("fp", "component", "component_id")
     # equal fingerprints may be a third of all rows, with null ids or one id too: both sides are salted, rows by their place in the stored files
     named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     fps = fps.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(8)).cast("int"))
@@ -167,6 +176,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     differing bits; equal fingerprints are linked. Null and empty texts have
     fingerprint 0 and are linked like any other. Rows with a null doc_id take
     part, but never name a component unless it has no other id (then null).
+    Rows that share a doc_id are rows of their own. Long texts are read whole.
+    An empty table gives no rows; further columns are ignored, whatever their
+    names.
     """
     return grouped(docs, ["doc_id"], radius).select("doc_id", "fp", "component_id")
 
