@@ -104,12 +104,12 @@ def test_induced_sorting_is_brute_force():
     for trial in range(60):
         parts = [bytes(rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 30)).astype(np.uint8)) for _ in range(rng.integers(1, 12))]
         parts += parts[: trial % 3]
-        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.int64)
+        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype((np.uint8, np.int64)[trial % 2])
         suffixes, at = {}, 0
         for p in parts:
             suffixes |= {at + i: p[i:] for i in range(len(p))}
             at += len(p) + 1
-        pos, prefix = induced.suffixes(text, text == 0, 10, base_rows=(1 << 20, 0)[trial % 2], memory_rows=(1 << 20, 3)[trial % 2])
+        pos, prefix = induced.suffixes(text, text == 0, 10, memory_rows=(1 << 20, 8, 3, 1)[trial % 4])
         assert sorted(pos.tolist()) == sorted(suffixes)
         order = [suffixes[p] for p in pos.tolist()]
         assert order == sorted(order)
@@ -117,6 +117,29 @@ def test_induced_sorting_is_brute_force():
         assert prefix.tolist() == [0] + [min(10, common(a, b)) for a, b in zip(order, order[1:], strict=False)]
 
 
+def test_sorting_spills_and_recurses_in_little_memory():
+    """A text of which the budget holds a fiftieth."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    words = [bytes(w) for w in rng.integers(97, 123, (400, 8)).astype(np.uint8)]
+    text = np.frombuffer(b"".join(b" ".join(words[i] for i in rng.integers(0, 400, 8)) + b"\0" for _ in range(6000)), np.uint8)
+    levels = []
+    tracemalloc.start()
+    pos, prefix = induced.suffixes(text, text == 0, 50, memory_rows=1 << 13, levels=levels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    names, spills = [x for x in levels if isinstance(x, int)], [x for x in levels if isinstance(x, tuple)]
+    assert len(names) >= 2 and min(spills[-1]) > 0 and peak < 20 * len(text)
+    assert len(pos) == np.count_nonzero(text)
+    raw, at = text.tobytes(), rng.integers(1, len(pos), 2000)
+    suffix = lambda p: raw[p : raw.index(b"\0", p)]
+    for i in at.tolist():
+        a, b = suffix(pos[i - 1]), suffix(pos[i])
+        same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert a <= b and prefix[i] == min(50, same)
+
+
 def brute_removed(rows, width=50):
     first = {}
     big = 1 << 62
@@ -160,9 +183,9 @@ def test_an_anchor_of_many_variants_is_dealt_out(spark, monkeypatch, tmp_path):
     texts += [texts[i][c : -1 - c] for i, c in zip(rng.integers(0, 20_000, 90).tolist(), [0, 20, 40] * 30, strict=True)]
     folder = str(tmp_path)
 
-    def noted(fragments, *rest, real=repeats.first_documents, folder=folder):
-        open(f"{folder}/{sum(map(len, fragments))}", "w").close()
-        return real(fragments, *rest)
+    def noted(text, *rest, real=repeats.first_documents, folder=folder):
+        open(f"{folder}/{len(text)}", "w").close()
+        return real(text, *rest)
 
     monkeypatch.setattr(repeats, "first_documents", noted)  # reaches the workers with the functions that use it
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
@@ -348,7 +371,22 @@ def test_common_lines_deplete(spark):
     assert len(rows) == len(texts) and rows[0].kept and rows[0].removed_chars == 19
     assert rows[13].base_failed and not rows[13].kept and rows[13].n_words == 0
     assert all(r.removed_chars == 0 for r in line_rules.line_verdicts(df, max_docs=13).collect())
+    assert all(r.removed_chars == 0 for r in line_rules.line_verdicts(df, max_docs=10, max_share=0.9).collect())
     assert line_rules.line_verdicts(df.limit(0)).count() == 0
+    cleaned = {r.doc_id: r.cleaned for r in line_rules.line_verdicts(df, max_docs=10, with_text=True).collect()}
+    assert cleaned[0] == unique(0) and cleaned[12] == "\n".join(f"q{k}" for k in range(60)) and [cleaned[13 + i] for i in range(3)] == ODD[:3]
+
+
+def test_repeated_rows_lose_lines_once(spark):
+    common = "the line that all have in common"  # 26 word characters
+    unique = lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    texts = [f"{common}\n{unique(i)}\n {common.upper()} " for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 9 + [(1, f"{common}\n{unique(99)}"), (1, unique(98)), (None, texts[2]), (None, texts[2]), (None, unique(97))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("_copy", F.lit("clash"))
+    got = [(r.doc_id, r.word_chars, r.removed_chars, r.kept) for r in line_rules.line_verdicts(df, max_docs=12).collect()]
+    chars = lambda t: len("".join(t.split()))
+    lost = lambda t: 26 * sum(x.split() == common.split() for x in t.lower().split("\n"))
+    assert sorted(got, key=str) == sorted([(i, chars(t), lost(t), True) for i, t in rows], key=str)
 
 
 # --- 8 embeddings -----------------------------------------------------------------
@@ -372,7 +410,7 @@ def test_embeddings_are_brute_force(spark):
     root = np.arange(n)
     for _ in range(n):
         root = np.minimum(root, np.where(hit, root[None, :], n).min(1))
-    for shape in (embed_dedup.Shape(cell_rows=10, chunk=7), embed_dedup.Shape()):
+    for shape in (embed_dedup.Shape(balance=0.5, chunk=7, nearest=3), embed_dedup.Shape(balance=2.0, sample_bytes=20_000), embed_dedup.Shape()):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, shape).collect()}
         assert len(got) == len(rows)
         assert {i: got[i] for i in range(n)} == {i: (int(hit[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(n)}
@@ -407,15 +445,19 @@ def test_water_filling(spark):
         assert got == pytest.approx(target.tolist()) and sum(got) == pytest.approx(total)
 
 
-def test_mixing_comes_near_its_targets(spark, real):
+def test_mixing_comes_near_its_targets(spark, real, monkeypatch):
     rows = mixing.mixed(real, ["doc_id", "source"]).collect()
     assert rows == mixing.mixed(real.repartition(7), ["doc_id", "source"]).orderBy("doc_id").collect() or sorted(rows) == sorted(mixing.mixed(real.repartition(7), ["doc_id", "source"]).collect())
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
         assert abs(sum(r.size * r.repeats for r in own) - own[0].target) <= max(r.size for r in own)
     assert all(r.repeats <= 2 for r in rows)
-    odd = mixing.mixed(docs(spark, ODD), ["doc_id"]).collect()
+    odd = mixing.mixed(docs(spark, ODD).withColumn("repeats", F.lit("clash")), ["doc_id", "size", "repeats", "count"]).collect()
+    assert all(r["count"] == "clash" and isinstance(r.repeats, int) for r in odd)
     assert len(odd) == len(ODD) and all(r.repeats <= 2 for r in odd)
+    rows.sort(key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(mixing.mixed(real, ["doc_id", "source"]).collect(), key=str) == rows
     assert mixing.mixed(real.limit(0), ["doc_id"]).count() == 0
 
 
@@ -447,13 +489,21 @@ def test_simhash_is_brute_force(spark, real):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_needs_no_key(spark):
+    a, b = ("alpha beta gamma delta " * 5).strip(), ("one two three four five " * 5).strip()
+    rows = [(None, a), (None, a), (4, b), (2, b), (2, a), (2, None), (None, ""), (9, "w " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("clash"))
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2), (None, 2), (4, 2), (2, 2), (2, 2), (2, 2), (None, 2), (9, 9)], key=str)
+
+
 @pytest.mark.parametrize("chunk", [5, 10_000])
 def test_trees_lose_no_link(spark, chunk):
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fp = np.unique(np.concatenate([centre, *[centre ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for _ in range(6)]]))
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    links = simhash.fingerprint_links(df, 4, chunk).collect()
+    links = simhash.fingerprint_links(df, 4, chunk, portion=2 * chunk).collect()
     at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
     from tidefold.llm.common import local_roots
 
@@ -462,37 +512,6 @@ def test_trees_lose_no_link(spark, chunk):
     assert np.array_equal(got, local_roots(len(fp), a, b))
 
 
-# --- pipeline ---------------------------------------------------------------------------
-
-
-def test_pipeline(spark, real):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, DATA)
-    rows = out.collect()
-    assert rows and all(r.exact for r in rows) and {r.doc_id for r in rows} <= {r.doc_id for r in real.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, real.withColumn("more", F.lit(1)).limit(0), DATA)
-        assert empty.count() == 0, name
-    odd = docs(spark, ODD)
-    assert corpus_pipeline.drop_near_copies(spark, odd, DATA).columns == odd.columns
-    kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, odd, DATA).collect()}
-    assert len(kept) == len(ODD) and kept[0] is None and kept[1] == ""
-
-
-def test_near_copies_are_rows(spark):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(5)
-    a, b, *rest = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 60)) for _ in range(12)]
-    rows = [(3, a), (7, a), (7, b), (None, a), *[(None, t) for t in rest], (None, rest[0]), (None, None), (9, None), (9, "")]
-    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
-    out = corpus_pipeline.drop_near_copies(spark, df, DATA)
-    assert out.columns == df.columns
-    got = [(r.doc_id, r.text) for r in out.collect()]
-    assert sorted(got, key=str) == sorted([(3, a), (7, b), *[(None, t) for t in rest], (9, None)], key=str)
-
-
 def test_digest_of_a_plain_conversation(spark):
     row = queries.op1_chat_format(spark, DATA).where("conv_id = -7").first()
     text = "\\### Assistant: </turn> ok"

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, text_slices
 
 UNKNOWN = "und"
 #: ASCII characters that say nothing of the language are left out, in texts and dictionaries.
@@ -31,9 +31,9 @@ class Shape:
     """What the dictionaries are bounded by."""
 
     dictionary_bytes: int = 100_000
-    sample_rows: int = 800  # texts per language
-    excerpt: int = 1500  # characters taken of each sample text (texts to be classified are taken whole)
-    max_languages: int = 256  # the most frequent ones
+    total_bytes: int = 64_000_000  # of all dictionaries; with more languages than fit, each gets a smaller one
+    sample_rows: int = 400  # texts per language
+    excerpt: int = 1500  # characters taken of each sample text, at a hashed place (texts to be classified are taken whole)
     level: int = 6
     piece: int = 4096  # bytes that are compressed at once, so that the dictionary stays in reach in long texts
     certainty: float = 0.5  # weight of a byte in the score
@@ -78,34 +78,43 @@ def learn(docs: DataFrame, allowed: Column, shape: Shape = Shape()) -> Model:
     Per language, the texts that are first by hash of id and text reach the
     driver as excerpts, `sample_rows` at most. They are joined with the most
     telling part (the first excerpts by hash) last, where zstandard finds
-    matches cheapest. No rows: an empty model, which answers `und`.
+    matches cheapest; the last `dictionary_bytes` of that are used, which is
+    some 70 excerpts. Every language has a dictionary. No rows: an empty
+    model, which answers `und`. Repeated rows count once in a dictionary.
     """
-    df = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    langs = [r["lang"] for r in df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(shape.max_languages).collect()]
+    df = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = df.groupBy("lang").count()
+    langs = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    size = min(shape.dictionary_bytes, shape.total_bytes // max(1, len(langs)))
     key = F.xxhash64("doc_id", "text")
-    # a language's rows are ranked within slices of their hash first, so that a frequent one is not ranked in one task
-    df = df.select("lang", key.alias("h"), F.substring("text", 1, shape.excerpt).alias("excerpt"))
-    df = df.withColumn("slice", F.pmod("h", F.lit(64)))
-    for by in (["lang", "slice"], ["lang"]):
-        df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "excerpt"))).where(F.col("rank") <= shape.sample_rows)
-    got = df.where(F.col("lang").isin(langs)).select("lang", "h", "excerpt").toArrow().to_pylist()
+    at = F.pmod(F.col("h"), F.greatest(F.length("text") - shape.excerpt, F.lit(0)) + 1).cast("int")
+    df = df.withColumn("h", key)
+    # of a frequent language, rows beyond four times the sample by hash are left out first, so that it is not ranked in one task
+    portion = F.least(F.lit(1.0), F.lit(4.0 * shape.sample_rows) / F.col("count"))
+    df = df.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < portion * (1 << 30))  # one row per language
+    df = df.select("lang", "h", F.substring("text", at + 1, F.lit(min(shape.excerpt, max(1, size)))).alias("excerpt"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))
+    got = df.withColumn("rank", rank).where(F.col("rank") <= shape.sample_rows).select("lang", "h", "excerpt").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["excerpt"]))
-    out = {}
-    for lang in langs:
-        texts = dict.fromkeys(plain(r["excerpt"]) for r in reversed(got) if r["lang"] == lang)
-        out[lang] = b"\n".join(texts)[-shape.dictionary_bytes :]
-    return Model({k: v for k, v in out.items() if len(v) >= 8}, shape)
+    own: dict[str, list] = {}
+    for r in reversed(got):
+        own.setdefault(r["lang"], []).append(plain(r["excerpt"]))
+    found = {lang: b"\n".join(dict.fromkeys(own.get(lang, ())))[-size:] for lang in langs}
+    return Model({k: v for k, v in found.items() if len(v) >= 8}, shape)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float = 0.0) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float = 0.01, reject: bool = True) -> DataFrame:
     """The columns `keep` of every row and lang_pred, score, margin, narrow.
 
     `narrow` says that the lead is below `min_margin`; such a text is rejected
-    (lang_pred `und`) only if min_margin is above 0. Null texts and texts
+    (lang_pred `und`) unless `reject` is off. Null texts and texts
     without a letter are `und` with score 0. Whole texts are compressed, in
-    pieces. Ties go to the language with more training rows.
+    pieces, however long they are. Ties go to the language with more training
+    rows. Repeated rows get equal answers, and nothing but the text counts. An
+    empty table gives no rows. Columns of `keep` named like a result give way
+    to it; other names clash with nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by shape.max_languages dictionaries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by shape.total_bytes
     results = ["lang_pred", "score", "margin", "narrow"]
     kept = Kept(keep, *results)
     keep = kept.inner
@@ -115,12 +124,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float =
         classify = Classifier(shared.value)
         for b in batches:
             lang, score, margin, narrow = [], [], [], []
-            for text in b.column("_text").to_pylist():
+            for text in (t for texts in text_slices(b.column(kept.text)) for t in texts):
                 found, s, m = classify(text)
                 narrow.append(found != UNKNOWN and m < min_margin)
-                lang.append(UNKNOWN if narrow[-1] else found)
+                lang.append(UNKNOWN if narrow[-1] and reject else found)
                 score.append(s)
                 margin.append(m)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(narrow, pa.bool_())], [*keep, "lang_pred", "score", "margin", "narrow"])
 
-    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), *results)
+    return kept.restored(docs.select(*kept.with_text()).mapInArrow(run, schema), *results)

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
-from .toxicity import calibrate, labelled_sample
+from .common import Kept, text_slices
+from .toxicity import calibrate, labelled_sample, parts_of
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Shape:
     cost: float = 1.0
     passes: int = 15
     sample_rows: int = 4000  # labelled texts to fit on, at most half of them of one label
-    sample_chars: int = 100_000  # longer texts are not fitted on (they are scored like any other)
+    sample_chars: int = 100_000  # of a longer text, a passage of so many characters is fitted on, at a hashed place (all of it is scored)
     seed: int = 6
 
 
@@ -134,18 +134,18 @@ def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Sha
     """Fit on four fifths of the sample and calibrate on the rest; `share` is that of label 1 among all labelled rows."""
     size = 1 << shape.bits
     labels = np.asarray(labels, np.int64)
-    fitted = np.arange(len(texts)) % 5 != 4
-    if len(set(labels[fitted].tolist())) < 2 or len(set(labels[~fitted].tolist())) < 2:
+    fitted, rest = parts_of(labels)
+    if not len(fitted):
         return Model(np.zeros(size), 0.0, 0.0, 0.0, share, shape)
     grams = Grams(shape.bits)
     features = [grams(t) for t in texts]
-    own, y = [f for f, k in zip(features, fitted, strict=True) if k], labels[fitted]
+    own, y = [features[i] for i in fitted], labels[fitted]
     ratio = log_count_ratio(own, y, size, shape.smoothing)
     cost = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * shape.cost
     w, bias = dual_coordinate_descent(own, ratio, y, cost, shape.passes, shape.seed)
     raw = Model(w * ratio, bias, 1.0, 0.0, share, shape)
-    x = np.array([raw.margin(f) for f, k in zip(features, fitted, strict=True) if not k])
-    y = labels[~fitted].astype(float)
+    x = np.array([raw.margin(features[i]) for i in rest])
+    y = labels[rest].astype(float)
     slope, offset = calibrate(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return Model(w * ratio, bias, slope, offset, share, shape)
 
@@ -158,9 +158,12 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, shape: Shape = Sh
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of every row and its score (double, 0 to 1).
 
-    All words of a text count. Null, empty and blank texts get the share of
-    label 1 among the training rows; so does every text where training rows of
-    one label only, or none, were to be had. Repeated rows score alike.
+    All words of a text count, however long it is. Null, empty and blank texts
+    get the share of label 1 among the training rows; so does every text where
+    training rows of one label only, or none, were to be had. Repeated rows
+    score alike, and nothing but the text counts. An empty table gives no
+    rows. Columns of `keep` named like a result give way to it; other names
+    clash with nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by shape.bits
     kept = Kept(keep, "score")
@@ -169,7 +172,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, own = Grams(shared.value.shape.bits), shared.value
         for b in batches:
-            scores = pa.array([own.score(grams(t)) for t in b.column("_text").to_pylist()], pa.float64())
+            scores = pa.array([own.score(grams(t)) for texts in text_slices(b.column(kept.text)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], scores], [*keep, "score"])
 
-    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), "score")
+    return kept.restored(docs.select(*kept.with_text()).mapInArrow(run, schema), "score")

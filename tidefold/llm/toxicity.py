@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, text_slices
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Shape:
     n_max: int = 8
     window: int = 4  # words of a passage
     sample_rows: int = 4000  # labelled texts to fit on, at most half of them of one label
-    sample_chars: int = 100_000  # longer texts are not fitted on (they are scored like any other)
+    sample_chars: int = 100_000  # of a longer text, a passage of so many characters is fitted on, at a hashed place (all of it is scored)
     text_epochs: int = 2
     passage_epochs: int = 4
     rounds: int = 2
@@ -158,6 +158,17 @@ class Model:
         return out
 
 
+def parts_of(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit on and rows to calibrate on: every fifth of each label. If a label has under five rows, all rows for both; if there is one label only, none."""
+    kinds = [np.flatnonzero(labels == y) for y in (0, 1)]
+    if not all(map(len, kinds)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if min(map(len, kinds)) < 5:
+        return np.arange(len(labels)), np.arange(len(labels))
+    rest = np.sort(np.concatenate([k[4::5] for k in kinds]))
+    return np.setdiff1d(np.arange(len(labels)), rest), rest
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a weighted one-dimensional logistic fit with a light pull to 0 (Newton)."""
     w = np.zeros(2)
@@ -176,10 +187,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Shape()) -> Model:
     """Fit on four fifths of the sample and calibrate on the rest; `share` is that of label 1 among all labelled rows."""
     labels = np.asarray(labels, np.int64)
-    fitted = np.arange(len(texts)) % 5 != 4
-    if len(set(labels[fitted].tolist())) < 2 or len(set(labels[~fitted].tolist())) < 2:
+    fitted, rest = parts_of(labels)
+    if not len(fitted):
         return Model(np.zeros(shape.buckets), 0.0, 0.0, share, shape)
-    own = [(texts[i], int(labels[i])) for i in np.flatnonzero(fitted)]
+    own = [(texts[i], int(labels[i])) for i in fitted]
     odds, _ = fit([bag(t, shape) for t, _ in own], labels[fitted], shape, shape.text_epochs)
     bags, kind = [], []
     for _ in range(shape.rounds):
@@ -194,7 +205,6 @@ def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Sha
                 each[i : i + shape.window] = -50
         odds, _ = fit(bags, np.array(kind), shape, shape.passage_epochs)
     scorer = Scorer(odds, shape)
-    rest = np.flatnonzero(~fitted)
     x = np.array([scorer.top(w)[0] for w in scorer.of_words([texts[i] for i in rest])])
     y = labels[rest].astype(float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -205,21 +215,32 @@ def train(texts: list[str], labels: np.ndarray, share: float, shape: Shape = Sha
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int, chars: int) -> tuple[list[str], np.ndarray, float]:
     """(texts, labels, share of label 1): at most rows / 2 texts of each label, first by hash of their ids.
 
-    `allowed` says of a doc_id whether its label may be used. Only `rows`
-    texts of at most `chars` characters reach the driver; the share counts all
-    allowed labels. If an id has several labels the highest holds; ids without
-    a document, null texts and null labels are left out.
+    `allowed` says of a doc_id whether its label may be used. At most `rows`
+    texts reach the driver, one per id (the least of several), and of a text
+    of more than `chars` characters a passage at a hashed place. The share
+    counts all allowed labels. If an id has several labels the highest holds;
+    null ids, null texts and null labels are left out. Where ids turn out to
+    have no text, the next ones by hash are asked for.
     """
     own = labels.where(allowed & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull())
     n, ones = own.agg(F.count("*"), F.sum("y")).first()
     own = own.withColumn("h", F.xxhash64("doc_id"))
-    picked = None
-    for y in (0, 1):
-        part = own.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2)
-        picked = part if picked is None else picked.unionByName(part)
-    text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    got = text.join(F.broadcast(picked), "doc_id").select("h", "doc_id", "y", "text").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
+    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.when(F.length("text") <= chars, F.col("text")).otherwise(F.substring("text", at.cast("int") + 1, F.lit(chars))).alias("text"))
+    got, want, after = [], {0: rows // 2, 1: rows // 2}, {0: None, 1: None}
+    while any(want.values()):
+        picked = []
+        for y, most in want.items():
+            later = F.lit(True) if after[y] is None else F.struct("h", "doc_id") > F.struct(F.lit(after[y][0]).alias("h"), F.lit(after[y][1]).alias("doc_id"))
+            picked += own.where((F.col("y") == y) & later).orderBy("h", "doc_id").limit(most).collect() if most else []
+        some = docs.sparkSession.createDataFrame(picked, own.schema)  # at most `rows` ids
+        found = text.join(F.broadcast(some), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text")).toArrow().to_pylist()
+        got += found
+        for y, most in want.items():
+            asked = [(r["h"], r["doc_id"]) for r in picked if r["y"] == y]
+            want[y] = most - sum(r["y"] == y for r in found) if most and len(asked) == most else 0
+            after[y] = max(asked, default=after[y])
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
     return [r["text"] for r in got], np.array([r["y"] for r in got], np.int64), (ones or 0) / n if n else 0.0
 
 
@@ -229,21 +250,28 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, shape: Shape = Sh
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every row and its score (double, 0 to 1).
-
-    Every word of a text counts. Null, empty and blank texts get the share of
-    label 1 among the training rows; so does every text where training rows of
-    one label only, or none, were to be had. Repeated rows score alike.
+    """The columns `keep` of every row, its score (double, 0 to 1) and judged (boolean).
+
+    Every word of a text counts, however long it is. Null, empty and blank
+    texts are not judged and get the share of label 1 among the training rows;
+    so does every text where training rows of one label only, or none, were to
+    be had. Repeated rows score alike, and nothing but the text counts. An
+    empty table gives no rows. Columns of `keep` named like a result give way
+    to it; other names clash with nothing.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by shape.buckets
-    kept = Kept(keep, "score")
-    keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double")
+    kept = Kept(keep, "score", "judged")
+    keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double").add("judged", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.odds, shared.value.shape)
+        own = shared.value
+        scorer = Scorer(own.odds, own.shape)
         for b in batches:
-            scores = pa.array(shared.value.scores(b.column("_text").to_pylist(), scorer), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], scores], [*keep, "score"])
+            scores, judged = [], []
+            for texts in text_slices(b.column(kept.text)):
+                scores += own.scores(texts, scorer)
+                judged += [bool(own.slope and t and not t.isspace()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array(judged, pa.bool_())], [*keep, "score", "judged"])
 
-    return kept.restored(docs.select(*kept.columns(), F.col("text").alias("_text")).mapInArrow(run, schema), "score")
+    return kept.restored(docs.select(*kept.with_text()).mapInArrow(run, schema), "score", "judged")
