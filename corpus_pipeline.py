@@ -2,8 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
 of docs, the last one with token ids; `run` writes each result as Parquet in
-the shared folder and reads it back. Stages accept nulls in any column, empty
-tables and further columns, which they pass on.
+the shared folder and reads it back; what a stage stores on its way, and its
+input, are deleted when its result is written. All stages accept nulls in any
+column, empty tables, repeated rows (each is a row of its own unless a stage
+says otherwise) and further columns of any name, which they pass on.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import mixing, pieces, repeats, simhash, toxicity
-from tidefold.llm.common import held_out, stored
+from tidefold.llm.common import dropped, held_out, scratch, stored
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -22,10 +24,14 @@ def aside(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents with a toxicity score of 0.3 or more; the model learns from the labels of the documents it gets."""
+    """Leave out documents with a toxicity score of 0.3 or more; the model learns from the labels of the documents it gets.
+
+    Texts that no model judges (null, blank, or all where labels of one kind
+    are missing) stay. Equal texts stay or go together.
+    """
     docs, back = aside(docs)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id"), 4, 2))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < 0.3).select(*back)
+    return toxicity.score(docs, model, docs.columns).where((F.col("score") < 0.3) | ~F.col("judged")).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +54,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be not at all."""
+    """Each document as often as the mix takes it, which may be not at all. Rows that share a doc_id are taken equally often."""
     docs, back = aside(docs)
     df = mixing.mixed(docs, docs.columns).where(F.col("repeats") > 0)
     return df.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_copy")).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
-    return pieces.encoded(docs, ["doc_id", "lang", "source"], pieces.load_pieces())
+    """All columns, and the piece ids of every text (`ids`, null texts have none) and whether decoding gives the text again (`exact`); columns of these names give way."""
+    docs, back = aside(docs)
+    back = [c for c, name in zip(back, [f.name for f in docs.select(*back).schema], strict=True) if name not in ("ids", "exact")]
+    return pieces.encoded(docs, docs.columns, pieces.load_pieces()).select(*back, "ids", "exact")
 
 
 STAGES = [
@@ -73,7 +81,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch():
+            made = stage(spark, docs, sf_dir)
+            docs = stored(made, name.replace(" ", "-"), apart=True)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
