@@ -31,6 +31,11 @@ def array(n: int, dtype, memory_rows: int) -> np.ndarray:
         return np.memmap(f, dtype, "w+", shape=(n,)).view(np.ndarray)
 
 
+def holding(top: int):
+    """The smallest type for numbers from 0 to `top`."""
+    return np.uint8 if top < 1 << 8 else np.int32 if top < 1 << 31 else np.int64
+
+
 def blocks(n: int, size: int) -> Iterator[slice]:
     for i in range(0, n, size):
         yield slice(i, min(n, i + size))
@@ -86,15 +91,16 @@ class DiskQueue:
             fresh = [p for p in parts if isinstance(p, np.ndarray)]
             if fresh:
                 whole = np.concatenate(fresh, axis=1)
-                self.file.write(whole.tobytes())
-                parts[:] = [*[p for p in parts if not isinstance(p, np.ndarray)], (self.end, whole.shape[1])]
-                self.end += whole.nbytes
+                data = whole.astype(holding(int(whole.max()) | 1 << 8))
+                self.file.write(data.tobytes())
+                parts[:] = [*[p for p in parts if not isinstance(p, np.ndarray)], (self.end, whole.shape[1], data.dtype)]
+                self.end += data.nbytes
         self.held = 0
 
     def loaded(self, part) -> np.ndarray:
         if isinstance(part, tuple):
             self.file.seek(part[0])
-            return np.frombuffer(self.file.read(24 * part[1]), np.int64).reshape(3, part[1])
+            return np.frombuffer(self.file.read(3 * part[2].itemsize * part[1]), part[2]).reshape(3, part[1]).astype(np.int64)
         self.held -= part.shape[1]
         return part
 
@@ -233,12 +239,12 @@ class Scan:
             counts += np.bincount(self.keys(np.flatnonzero(allowed[part]) + part.start), minlength=symbols)
         self.queue = DiskQueue(counts, memory_rows, max(1, memory_rows // 4))
         total = int(counts.sum())
-        self.found, self.end = array(total, np.int64, memory_rows), 0
-        self.lengths = array(total if seam else 0, np.int64, memory_rows)
+        self.found, self.end = array(total, holding(len(text)), memory_rows), 0
+        self.lengths = array(total if seam else 0, holding(seam.most if seam else 0), memory_rows)
         self.running = np.full(symbols if seam else 0, -1, np.int64)  # per key, the least prefix since its last entry; -1: no entry yet
 
     def keys(self, at: np.ndarray) -> np.ndarray:
-        symbol = np.asarray(self.text[at]).astype(np.int64)
+        symbol = self.text[at].astype(np.int64)
         return self.top - symbol if self.down else symbol
 
     def keep(self, position: np.ndarray, prefix: np.ndarray | None = None) -> None:
@@ -282,18 +288,16 @@ class Scan:
 
         while True:
             if done >= start + len(ahead) and done < len(seeds):
-                start, ahead = done, self.keys(np.asarray(seeds[done : done + self.rows]))
+                start, ahead = done, self.keys(seeds[done : done + self.rows])
             seed = int(ahead[done - start]) if done < len(seeds) else FAR
             key = min(self.queue.least(), seed)
             if key == FAR:
                 break
-            if not self.seam:
-                taken = self.many_keys(seeds, ahead, start, done, many)
-                if taken is not None:
-                    done, alone, full = taken
-                    many = min(2 * many, self.rows) if full else max(512, many // 2)
-                    if not alone:
-                        continue
+            if not self.seam and self.top > 255:  # of few keys, each induces most others
+                done, alone, full = self.many_keys(seeds, ahead, start, done, many)
+                many = min(2 * many, self.rows) if full else max(512, many // 2)
+                if not alone:
+                    continue
             previous = None
             while self.queue.least() == key:
                 _, position, prefix = self.queue.pop()
@@ -303,23 +307,23 @@ class Scan:
             opened = True
             while seed == key:
                 n = done + int(np.searchsorted(ahead[done - start :], key, "right"))
-                own = np.asarray(seeds[done:n])
+                own = seeds[done:n].astype(np.int64)
                 prefix = np.zeros(len(own), np.int64)
                 if self.seam:
-                    prefix = np.array(prefixes[done:n])
+                    prefix = prefixes[done:n].astype(np.int64)
                     if opened:
                         prefix[0] = self.seam(previous, own[:1])[0] if previous is not None else 0
                 self.step(own, prefix)
                 done, opened = n, False
                 if done >= start + len(ahead) and done < len(seeds):
-                    start, ahead = done, self.keys(np.asarray(seeds[done : done + self.rows]))
+                    start, ahead = done, self.keys(seeds[done : done + self.rows])
                 seed = int(ahead[done - start]) if done < len(seeds) else FAR
         self.queue.close()
         if self.end != len(self.found):
             raise AssertionError(f"{self.end} of {len(self.found)} suffixes were induced")
         return self.found, self.lengths
 
-    def many_keys(self, seeds, ahead, start: int, done: int, many: int) -> tuple[int, bool, bool] | None:
+    def many_keys(self, seeds, ahead, start: int, done: int, many: int) -> tuple[int, bool, bool]:
         """Scan as many keys at once as are free of each other: (seeds done, whether the next key has to go alone, whether all that were looked at went)."""
         q, own = self.queue, ahead[done - start : done - start + many]
         if q.least() <= (own[0] if len(own) else FAR):
@@ -334,7 +338,7 @@ class Scan:
         if not rows.shape[1] and not len(own):
             return done, True, False
         keys = np.concatenate([rows[0], own])
-        position = np.concatenate([rows[1], np.asarray(seeds[done : done + len(own)])])
+        position = np.concatenate([rows[1], seeds[done : done + len(own)].astype(np.int64)])
         seeded = np.repeat([False, True], [rows.shape[1], len(own)])
         order = np.argsort(2 * keys + seeded, kind="stable")
         keys, position, seeded = keys[order], position[order], seeded[order]
@@ -380,7 +384,7 @@ def kinds(text: np.ndarray, stop: np.ndarray, memory_rows: int) -> tuple[np.ndar
 
 def places_of(mask: np.ndarray, memory_rows: int) -> np.ndarray:
     total = sum(int(np.count_nonzero(mask[p])) for p in blocks(len(mask), memory_rows))
-    out, end = array(total, np.int64, memory_rows), 0
+    out, end = array(total, holding(len(mask)), memory_rows), 0
     for p in blocks(len(mask), memory_rows):
         own = np.flatnonzero(mask[p]) + p.start
         out[end : end + len(own)] = own
@@ -394,10 +398,10 @@ def by_symbol(places: np.ndarray, text: np.ndarray, symbols: int, memory_rows: i
     for p in blocks(len(places), memory_rows):
         counts[1:] += np.bincount(text[places[p]], minlength=symbols)
     at = np.cumsum(counts)
-    out = array(len(places), np.int64, memory_rows)
+    out = array(len(places), places.dtype, memory_rows)
     for p in blocks(len(places), memory_rows):
-        own = np.asarray(places[p])
-        symbol = np.asarray(text[own]).astype(np.int64)
+        own = places[p]
+        symbol = text[own].astype(np.int64)
         order = np.argsort(symbol, kind="stable")
         symbol = symbol[order]
         first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
@@ -411,7 +415,7 @@ def named(text: np.ndarray, stop: np.ndarray, star: np.ndarray, ranked: np.ndarr
     """(S* positions, their names, which are stops, whether names are unique); equal substrings, from one S* position to the next, get equal names. `ranked` has the S* positions that are no stops in order of their substrings."""
     places = places_of(star, memory_rows)
     ends = array(len(places), bool, memory_rows)
-    names = array(len(places), np.int64, memory_rows)
+    names = array(len(places), holding(len(places) | 1 << 8), memory_rows)  # never bytes, which have stops of one symbol
     n_stops = 0
     for p in blocks(len(places), memory_rows):
         ends[p] = stop[places[p]]
@@ -419,7 +423,7 @@ def named(text: np.ndarray, stop: np.ndarray, star: np.ndarray, ranked: np.ndarr
         n_stops += int(ends[p].sum())
     name, last, last_size, unique = n_stops - 1, None, -1, True
     for p in blocks(len(ranked), memory_rows):
-        own = np.asarray(ranked[p])
+        own = ranked[p].astype(np.int64)
         at = np.searchsorted(places, own)
         size = np.append(places, len(text) - 1)[at + 1] - own if len(places) <= memory_rows else np.where(at + 1 < len(places), places[np.minimum(at + 1, len(places) - 1)], len(text) - 1) - own
         before = np.append(-1 if last is None else last, own[:-1])
@@ -459,13 +463,13 @@ def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarr
     if levels is not None:
         levels.append(len(names))
     if len(names) <= memory_rows:
-        order = doubled(names)
+        order = doubled(names.astype(np.int64))
         return places[order[~ends[order]]]
     top = 1 + max(int(names[p].max()) for p in blocks(len(names), memory_rows))
     s2, star2 = kinds(names, ends, memory_rows)
     stars2 = star_order(names, ends, s2, star2, top, memory_rows, levels)
     order = two_scans(names, ends, s2, stars2, None, top, memory_rows, levels)
-    out = array(len(order), np.int64, memory_rows)
+    out = array(len(order), places.dtype, memory_rows)
     for p in blocks(len(order), memory_rows):
         out[p] = places[order[p]]
     return out
@@ -474,9 +478,9 @@ def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarr
 def picked(order: np.ndarray, mask: np.ndarray, memory_rows: int) -> np.ndarray:
     """The entries of `order` whose mask is set."""
     total = sum(int(np.count_nonzero(mask[order[p]])) for p in blocks(len(order), memory_rows))
-    out, end = array(total, np.int64, memory_rows), 0
+    out, end = array(total, order.dtype, memory_rows), 0
     for p in blocks(len(order), memory_rows):
-        own = np.asarray(order[p])
+        own = order[p]
         own = own[mask[own]]
         out[end : end + len(own)] = own
         end += len(own)
@@ -509,14 +513,14 @@ def two_scans(text, stop, s, stars, most: int | None, symbols: int, memory_rows:
     n = len(text)
     seam = None if most is None else Prefixes(text, stop, most)
     stars, stops = by_symbol(stars, text, symbols, memory_rows), places_of(stop, memory_rows)
-    seeds = array(len(stops) + len(stars), np.int64, memory_rows)
+    seeds = array(len(stops) + len(stars), holding(n), memory_rows)
     seeds[: len(stops)], seeds[len(stops) :] = stops, stars
     prefix = None
     if most is not None:
-        prefix = array(len(seeds), np.int64, memory_rows)
+        prefix = array(len(seeds), holding(most), memory_rows)
         prefix[: len(stops) + 1] = 0
         for p in blocks(max(0, len(stars) - 1), memory_rows):
-            prefix[len(stops) + 1 + p.start : len(stops) + 1 + p.stop] = seam(np.asarray(stars[p]), np.asarray(stars[p.start + 1 : p.stop + 1]))
+            prefix[len(stops) + 1 + p.start : len(stops) + 1 + p.stop] = seam(stars[p].astype(np.int64), stars[p.start + 1 : p.stop + 1].astype(np.int64))
     allowed = array(n, bool, memory_rows)
     for p in blocks(n, memory_rows):
         allowed[p] = ~s[p] & ~stop[p]
@@ -526,7 +530,7 @@ def two_scans(text, stop, s, stars, most: int | None, symbols: int, memory_rows:
         allowed[p] = s[p] & ~stop[p]
     turned = None
     if most is not None:  # prefixes with the one after, as the scan goes down
-        turned = array(len(low), np.int64, memory_rows)
+        turned = array(len(low), low_prefix.dtype, memory_rows)
         turned[:1] = 0
         turned[1:] = low_prefix[::-1][:-1]
     back = Scan(text, allowed, symbols, True, seam, memory_rows)
@@ -539,21 +543,22 @@ def two_scans(text, stop, s, stars, most: int | None, symbols: int, memory_rows:
         for p in blocks(len(rows), memory_rows):
             counts[k, 1:] += np.bincount(text[rows[p]], minlength=symbols)
     before = np.cumsum(counts, axis=1)
-    both = array(len(low) + len(high), np.int64, memory_rows)
-    prefixes = array(len(both) if most is not None else 0, np.int64, memory_rows)
+    del stars, seeds, prefix, turned, allowed
+    both = array(len(low) + len(high), low.dtype, memory_rows)
+    prefixes = array(len(both) if most is not None else 0, holding(most or 0), memory_rows)
     for p in blocks(len(low), memory_rows):
-        own = np.asarray(low[p])
+        own = low[p]
         target = np.arange(p.start, p.stop) + before[1][text[own]]
         both[target] = own
         if most is not None:
             prefixes[target] = low_prefix[p]
     for p in blocks(len(high), memory_rows):
-        own = np.asarray(high[::-1][p])
+        own = high[::-1][p]
         target = np.arange(p.start, p.stop) + before[0][text[own].astype(np.int64) + 1]
         both[target] = own
         if most is not None:
             # an S suffix has the prefix with the one after it, which is the one before it in the scan
-            prefixes[target[1:]] = np.asarray(high_prefix[::-1][p.start : p.stop - 1])
+            prefixes[target[1:]] = high_prefix[::-1][p.start : p.stop - 1]
             if p.start:
                 prefixes[target[0]] = high_prefix[::-1][p.start - 1]
     if most is None:
@@ -564,7 +569,7 @@ def two_scans(text, stop, s, stars, most: int | None, symbols: int, memory_rows:
     mixed = np.flatnonzero((counts[0, 1:] > 0) & (counts[1, 1:] > 0))
     turn = starts[mixed] + counts[0, 1:][mixed]
     if len(turn):
-        prefixes[turn] = seam(np.asarray(both[turn - 1]), np.asarray(both[turn]))
+        prefixes[turn] = seam(both[turn - 1].astype(np.int64), both[turn].astype(np.int64))
     return both, prefixes
 
 

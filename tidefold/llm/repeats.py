@@ -134,7 +134,7 @@ def first_documents(text: np.ndarray, start: np.ndarray, least: np.ndarray, widt
     return first
 
 
-def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 12_000_000, memory_rows: int = 1 << 19, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
+def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 12_000_000, memory_rows: int = 1 << 17, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
     """The columns `keep` and n_bytes (long), spans (array of start, end in bytes), kept (binary), one row per input row.
 
     Texts are UTF-8 bytes, null as empty. A byte is removed if a string of

@@ -159,14 +159,16 @@ class Model:
 
 
 def parts_of(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to fit on and rows to calibrate on: every fifth of each label. If a label has under five rows, all rows for both; if there is one label only, none."""
-    kinds = [np.flatnonzero(labels == y) for y in (0, 1)]
+    """Rows to fit on and rows to calibrate on: every fifth, or if a part would lack a label, every fifth of each label. If a label has under five rows, all rows for both; if there is one label only, none."""
+    kinds, rows = [np.flatnonzero(labels == y) for y in (0, 1)], np.arange(len(labels))
     if not all(map(len, kinds)):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return rows[:0], rows[:0]
     if min(map(len, kinds)) < 5:
-        return np.arange(len(labels)), np.arange(len(labels))
-    rest = np.sort(np.concatenate([k[4::5] for k in kinds]))
-    return np.setdiff1d(np.arange(len(labels)), rest), rest
+        return rows, rows
+    rest = rows[4::5]
+    if len(set(labels[rest].tolist())) < 2 or len(set(np.delete(labels, rest).tolist())) < 2:
+        rest = np.sort(np.concatenate([k[4::5] for k in kinds]))
+    return np.setdiff1d(rows, rest), rest
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
