@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 
 FAR = np.int64(1) << 40
+NAMES = 4  # times memory_rows: names that are put in order in memory
 INNER = 1024  # rows of a range that is kept in order, into which others are inserted
 
 
@@ -462,7 +463,7 @@ def star_order(text: np.ndarray, stop: np.ndarray, s: np.ndarray, star: np.ndarr
     del ranked
     if levels is not None:
         levels.append(len(names))
-    if len(names) <= memory_rows:
+    if len(names) <= NAMES * memory_rows:
         order = doubled(names.astype(np.int64))
         return places[order[~ends[order]]]
     top = 1 + max(int(names[p].max()) for p in blocks(len(names), memory_rows))
@@ -579,8 +580,8 @@ def suffixes(text: np.ndarray, stop: np.ndarray, most: int, memory_rows: int = 1
     `text` holds non-negative symbols (as bytes, with stops 0, prefixes are
     read faster); `stop` marks the ends of its strings, the last symbol among
     them. No prefix goes past a stop or `most`. Arrays and queues of more than
-    `memory_rows` entries are on disk; recursion ends where the names are that
-    few. `levels`, if given, is told the names of each level and the spills of
+    `memory_rows` entries are on disk; recursion ends where there are at most
+    NAMES times as many names. `levels`, if given, is told the names of each level and the spills of
     each pair of scans.
     """
     if all(bool(np.all(stop[p])) for p in blocks(len(stop), memory_rows)):

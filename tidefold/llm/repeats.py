@@ -151,7 +151,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     both grow with the input. Of the sort of a shard, `memory_rows` entries of
     each array and of its queues are in memory; text, order, prefixes and
     answers are in temporary files of the task beyond that, and the sort
-    recurses while there are more names. In memory are a shard's packed
+    recurses while there are more than four times as many names. In memory are a shard's packed
     fragments as they arrive, and a digest, a document and an anchor of each
     distinct one. An anchor with more than `most_variants` fragments (counted
     by block, so one may count several times) is dealt out by windows. An
