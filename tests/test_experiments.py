@@ -16,14 +16,73 @@ def test_shuffling_flatters_and_purging_does_not(spark):
     assert auc["naive"] > 0.8 > 0.7 > auc["purged"] and auc["naive"] - auc["purged"] > 0.15
 
 
-def test_purged_panel_matches_the_published_sharpe(spark):
-    rows = experiments.aligned_panel(generators.toy_panel(spark), 10).cache()
-    assert rows.count() == 1170
-    predictions = learn.grouped_logistic(rows, folds.purged_kfold(rows, 5, embargo_pct=0.01), list(experiments.features.FEATURES))
-    scores = scoring.fold_metrics(predictions, ["split_id", "series_id"])
-    got = scoring.protocol_summary(scores, ["series_id"]).first()
-    assert got.sharpe_mean == pytest.approx(0.164017, abs=1e-3) and got.dsr_mean == pytest.approx(0.228634, abs=1e-3)
-    assert got.auc_mean == pytest.approx(0.518012, abs=1e-3) and got.max_dd_mean == pytest.approx(-0.621914, abs=1e-3)
+#: Published figures: protocol, n_scores, auc_mean, auc_std, mcc_mean, sharpe_mean, sharpe_std, dsr_mean, frac_paths_sharpe_gt_0, ic_mean, max_dd_mean, embargo_pct.
+BENCHMARK = """
+naive_kfold_INVALID,5,0.5608490366734216,0.061331727993085554,0.08422426247876959,2.0758233639009163,0.8106219775741612,0.5282744563272471,1.0,0.1365627304847468,-0.4400548564037086,0.0
+timeseries_split,5,0.5078255157286666,0.10192472669489579,-0.012448256676192015,0.8055423224432401,3.072841105617028,0.39303358194604904,0.6,0.07894706177474956,-0.5992942064171618,0.0
+purged_kfold,5,0.5180121879935836,0.0958008362565658,-0.003934877054734112,0.16401696878752886,2.68810122846635,0.2286342637710487,0.6,0.0179718044716675,-0.6219142895850927,0.01
+cpcv,5,0.5221527341560378,0.045914034713374456,0.019101609069042663,1.220733494218614,0.6295977815654689,0.6479735423543714,1.0,0.06381029494790927,-0.6886493004432945,0.01
+purged_kfold_embargo_0.00%,5,0.516265216048371,0.09450586237660166,-0.007779580028586225,0.13269080821567308,2.683569743277656,0.22405925130695667,0.6,0.013429800346063708,-0.622047871236928,0.0
+purged_kfold_embargo_1.00%,5,0.5180121879935836,0.0958008362565658,-0.003934877054734112,0.16401696878752886,2.68810122846635,0.2286342637710487,0.6,0.0179718044716675,-0.6219142895850927,0.01
+purged_kfold_embargo_5.00%,5,0.5064398387747453,0.10093100737436023,-0.031127076731879803,0.20816318792321126,3.3387614732320854,0.23826775102870873,0.6,0.01132213660384604,-0.6723835825081336,0.05
+""".split()
+COLUMNS = ["auc_mean", "auc_std", "mcc_mean", "sharpe_mean", "sharpe_std", "dsr_mean", "frac_paths_sharpe_gt_0", "ic_mean", "max_dd_mean"]
+#: How far figures may be off where fits rest on few rows: the published ones stop at a gradient of 1e-4, these at 1e-10, and probabilities near 0.5 fall on different sides.
+OFF = {"timeseries_split": 0.05, "cpcv": 0.03}
+
+
+def test_benchmark_matches_every_published_row(spark):
+    table = experiments.benchmark(generators.toy_panel(spark), numpy_shuffle=True).cache()
+    got = {r.protocol: r for r in table.collect()}
+    assert set(got) == {line.split(",")[0] for line in BENCHMARK}
+    for line in BENCHMARK:
+        name, n, *figures = line.split(",")
+        r = got[name]
+        assert r.n_scores == int(n) and (r.tag, r.label, r.n_samples_aligned, r.model) == ("toy_synthetic", "TOY", 1170, "logistic")
+        assert r.embargo_pct == float(figures[-1]) and r.ablation == ("embargo" if "embargo" in name else None)
+        for c, x in zip(COLUMNS, figures, strict=False):
+            assert r[c] == pytest.approx(float(x), abs=OFF.get(name, 1e-3)), (name, c)
+    assert [r.protocol for r in experiments.sharpe_figure(table).collect()] == list(experiments.PROTOCOLS)
+    assert [(r.embargo_percent, round(r.auc_mean, 3)) for r in experiments.embargo_figure(table).collect()] == [(0.0, 0.516), (1.0, 0.518), (5.0, 0.506)]
+    table.unpersist()
+
+
+#: Published figures: dgp, protocol, n_folds_scored, auc_mean, auc_std, auc_min, auc_max.
+LEAKAGE = """
+overlap_local,naive_kfold_INVALID,5,0.9971082738572268,0.0011578360697472316,0.9956668271545499,0.998388136686009
+overlap_local,timeseries_split,4,0.5,0.0,0.5,0.5
+overlap_local,purged_kfold,5,0.681296189190926,0.1667901674804569,0.5,0.8269230769230769
+overlap_local,cpcv,15,0.4559416161304127,0.18846992797070025,0.1358695652173913,0.8359375
+future_column,naive_kfold_INVALID,5,0.9999062451164246,0.00013975697899540113,0.9996875000000001,1.0
+future_column,timeseries_split,5,0.9998641092994406,0.00020238293075281475,0.9995477159656264,1.0
+future_column,purged_kfold,5,0.999843023354084,0.00027216408748424167,0.9993714644877436,1.0
+future_column,cpcv,15,0.9998682290843344,0.0001964774423359163,0.9993214588634436,1.0
+future_column_dropped,naive_kfold_INVALID,5,0.5231114955998002,0.02995844987600725,0.49125,0.5694117647058824
+future_column_dropped,timeseries_split,5,0.5058907715761665,0.08316783475506656,0.38181401740723775,0.5845070422535211
+future_column_dropped,purged_kfold,5,0.5152869219866678,0.07530255051337154,0.4075814536340852,0.6060084493819433
+future_column_dropped,cpcv,15,0.510814362958891,0.04006192292366184,0.42507801418439717,0.5954519932622122
+""".split()
+
+
+def test_leakage_matches_every_published_row(spark):
+    grid, found = experiments.synthetic_leakage(spark)
+    got = {(r.dgp, r.protocol): r for r in grid.collect()}
+    assert len(got) == len(LEAKAGE)
+    for line in LEAKAGE:
+        dgp, protocol, n, *figures = line.split(",")
+        r = got[dgp, protocol]
+        assert r.n_folds_scored == int(n)
+        for c, x in zip(["auc_mean", "auc_std", "auc_min", "auc_max"], figures, strict=True):
+            assert r[c] == pytest.approx(float(x), abs=2e-3), (dgp, protocol, c)
+    row = found.first()
+    assert (row.score, row.future_columns, row.adjacent_overlap_fraction, row.median_lifetime) == (pytest.approx(0.55), ["x_leak"], 1.0, 30.0)
+
+
+def test_grid_forest(spark):
+    rows = generators.future_column(spark, 120)
+    splits = folds.purged_kfold(rows, 2).where("split_id = 0")
+    grid = learn.folds_proba(rows, splits, ["lag1", "x_leak"], lambda: learn.make_model("rf", n_estimators=80, min_samples_leaf=3))
+    assert metrics.roc_auc(grid, ["split_id"], "y", "p").first().auc > 0.95
 
 
 def test_config(tmp_path):

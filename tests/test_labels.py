@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.operators import axis, labels
 
@@ -86,8 +87,12 @@ def test_bad_input(spark):
         labels.triple_barrier(a, events(spark, [(2, 1)]), 0.1, 0.1).collect()
     with pytest.raises(Exception, match="side must be"):
         labels.triple_barrier(a, events(spark, [(0, 1)], [2]), 0.1, 0.1, side=True).collect()
-    with pytest.raises(ValueError, match="several rows"):
-        axis.check_unique(spark.createDataFrame([(0, 1, 1.0), (0, 1, 2.0)], "series_id int, t long, close double"))
+    with pytest.raises(Exception, match="not on the axis"):
+        labels.triple_barrier(a, events(spark, [(0, 3)]), 0.1, 0.1).collect()
+    twice = spark.createDataFrame([(0, 1, 1.0), (0, 1, 2.0)], "series_id int, t long, close double")
+    for slice_of in (None, F.col("t") % 2):
+        with pytest.raises(Exception, match="several rows"):
+            axis.with_positions(twice, slice_of=slice_of).collect()
 
 
 def test_zero_and_unknown_prices(spark):

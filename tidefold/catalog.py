@@ -476,6 +476,23 @@ def leakage_score(spark, sf_dir):
     return found.select("series_id", rounded("score").alias("score"), F.array_join("future_columns", "|").alias("future_columns"))
 
 
+@query(f"""WITH {_purge_sql(SCATTERED, 'any_value(0)')}{CORR.removeprefix(BARS)}{TIMES.removeprefix(BARS)}, co AS ({_corr_sql('x_now')} UNION ALL {_corr_sql('x_next')}),
+fl AS (SELECT series_id, feature FROM co WHERE abs(corr_next) >= 0.75 OR abs(corr_now) >= 0.75 UNION SELECT series_id, 'f' FROM ft WHERE f > label_start),
+fn AS (SELECT series_id, count(*) AS cols FROM fl GROUP BY series_id),
+ad AS (SELECT series_id, count(*) AS n_rows, coalesce(count(*) FILTER (pos < n - 1 AND t1_pos >= pos + 1)::DOUBLE / nullif(count(*) FILTER (pos < n - 1), 0), 0) AS a FROM lab GROUP BY series_id),
+ov AS (SELECT series_id, n_rows - te_n AS free, te_n, tr_n FROM ad JOIN (SELECT series_id, count(*) AS te_n FROM te GROUP BY series_id) USING (series_id) LEFT JOIN (SELECT series_id, count(*) AS tr_n FROM tr GROUP BY series_id) USING (series_id)),
+hz AS (SELECT series_id, count(*) AS hazards FROM (SELECT DISTINCT series_id FROM (SELECT user_id AS series_id, ts::DATE AS t, count(*) AS c FROM events GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT DISTINCT series_id FROM (SELECT series_id, t, count(*) AS c FROM bars GROUP BY ALL HAVING count(*) > 1)) GROUP BY series_id),
+o2 AS (SELECT series_id, a, coalesce((free - coalesce(tr_n, 0))::DOUBLE / nullif(free, 0), 0) AS split, coalesce(cols, 0) AS cols, coalesce(hazards, 0) AS hazards FROM ad LEFT JOIN ov USING (series_id) LEFT JOIN fn USING (series_id) LEFT JOIN hz USING (series_id))
+SELECT series_id, {R6('least(1, 0.4 * a + 0.3 * split + least(0.4, 0.15 * cols) + least(0.2, 0.1 * hazards))')} AS score, {R6('split')} AS split_overlap_fraction, cols::INTEGER AS n_columns, hazards::INTEGER AS n_hazards FROM o2""")
+def leakage_terms(spark, sf_dir):
+    """The audit with all its terms: a test set, times of features and merged tables."""
+    rows = _audit_rows(spark, sf_dir).withColumn("label_start", F.col("t"))
+    late = F.when(F.col("close") > 400, F.col("t") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("t"))
+    daily = _table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), F.to_date("ts").alias("t"))
+    found = audit.audit_leakage(rows, ["x_now", "x_next"], test=_scattered(rows), feature_times={"f": late}, merges={"daily": daily})
+    return found.select("series_id", rounded("score").alias("score"), rounded("split_overlap_fraction").alias("split_overlap_fraction"), F.size("future_columns").alias("n_columns"), F.size("hazards").alias("n_hazards"))
+
+
 # --- models and protocols -------------------------------------------------
 
 KNN = f"""WITH {_purge_sql(KFOLD_TEST, 'any_value(0)')}, lb AS (SELECT series_id, pos, close AS x, CASE WHEN lead(close) OVER (PARTITION BY series_id ORDER BY pos) > close THEN 1 ELSE 0 END AS y FROM bars),
@@ -511,10 +528,21 @@ fm AS (SELECT split_id, series_id, count(*) AS n_test,
   CASE WHEN count(*) >= 3 AND min(rp) <> max(rp) AND min(rf) <> max(rf) THEN corr(rp, rf) END AS ic, avg(tv) AS turnover FROM rk GROUP BY split_id, series_id)"""
 
 
-@query(f"WITH {FOLDS} SELECT split_id, series_id, n_test, {R6('auc')} AS auc, {R6('f1')} AS f1, {R6('sharpe')} AS sharpe, {R6('ic')} AS ic, {R6('turnover')} AS turnover FROM fm")
+FOLD_DSR_Z = f"((sharpe / sqrt(252)) * sqrt(n_test - 1) / sqrt(greatest(1 - g3 * sharpe / sqrt(252) + (g4 - 1) / 4 * (sharpe / sqrt(252)) ^ 2, 1e-12)) - {trial_quantile(20)!r})"
+
+
+@query(f"""WITH {FOLDS}, more AS (SELECT split_id, series_id, sum(y * h)::DOUBLE AS tp, sum((1 - y) * h)::DOUBLE AS fp, sum(y * (1 - h))::DOUBLE AS fn, sum((1 - y) * (1 - h))::DOUBLE AS tn,
+  (avg(s ^ 3) - 3 * avg(s) * avg(s * s) + 2 * avg(s) ^ 3) / var_pop(s) ^ 1.5 AS g3, (avg(s ^ 4) - 4 * avg(s) * avg(s ^ 3) + 6 * avg(s) ^ 2 * avg(s * s) - 3 * avg(s) ^ 4) / var_pop(s) ^ 2 AS g4 FROM st GROUP BY ALL),
+we AS (SELECT split_id, series_id, pos, product(1 + s) OVER (PARTITION BY split_id, series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS v FROM st),
+dd AS (SELECT split_id, series_id, min(f) AS max_dd FROM (SELECT split_id, series_id, v / greatest(max(v) OVER (PARTITION BY split_id, series_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 1e-16) - 1 AS f FROM we) GROUP BY ALL),
+al2 AS (SELECT *, {FOLD_DSR_Z} AS dz FROM fm JOIN more USING (split_id, series_id) JOIN dd USING (split_id, series_id))
+SELECT split_id, series_id, n_test, {R6('auc')} AS auc, {R6('f1')} AS f1, {R6('sharpe')} AS sharpe, {R6('ic')} AS ic, {R6('turnover')} AS turnover,
+{R6('coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)')} AS mcc,
+{R6('CASE WHEN tp + fn = 0 THEN tn / (tn + fp) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END')} AS balanced_acc,
+CASE WHEN n_test >= 3 THEN {R6(norm_cdf_sql('dz'))} END AS dsr, {R6('max_dd')} AS max_dd, CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS frac_sharpe_pos FROM al2""")
 def fold_metrics(spark, sf_dir):
     df = scoring.fold_metrics(_scored(spark, sf_dir), ["split_id", "series_id"])
-    return df.select("split_id", "series_id", "n_test", *[rounded(c).alias(c) for c in ("auc", "f1", "sharpe", "ic", "turnover")])
+    return df.select("split_id", "series_id", "n_test", *[rounded(c).alias(c) for c in scoring.METRICS if c != "frac_sharpe_pos"], "frac_sharpe_pos")
 
 
 @query(f"""WITH {FOLDS} SELECT split_id, count(*)::INTEGER AS n_scores, {R6('avg(auc)')} AS auc_mean, {R6('CASE WHEN count(auc) > 1 THEN stddev_samp(auc) WHEN count(auc) = 1 THEN 0 END')} AS auc_std, {R6('avg(sharpe)')} AS sharpe_mean,
@@ -524,6 +552,35 @@ def protocol_summary(spark, sf_dir):
     return df.select("split_id", "n_scores", *[rounded(c).alias(c) for c in ("auc_mean", "auc_std", "sharpe_mean", "frac_paths_sharpe_gt_0", "ic_mean")])
 
 
+PATHS = f"""{SCORED}, grp AS (SELECT *, {_group_sql(6)} AS group_id FROM al WHERE n >= 20), {ROLE_COUNTS},
+pt AS (SELECT path_id, series_id, pos, CASE WHEN (pos * 7 + split_id * 3) % 11 >= 5 THEN fwd ELSE -fwd END AS s FROM grp JOIN sizes USING (group_id)),
+pm AS (SELECT series_id, path_id, CASE WHEN min(s) = max(s) THEN NULL ELSE avg(s) / stddev_samp(s) * sqrt(252) END AS sharpe FROM pt GROUP BY ALL)"""
+
+
+def _combined(spark, sf_dir):
+    """(rows, predictions on every tested row of the combinatorial splits by a rule that differs between splits)."""
+    rows = _aligned(spark, sf_dir).where("n >= 20")
+    assigned = folds.path_assignment(spark, 6, 2).select("split_id", "group_id")
+    tested = folds.equal_groups(rows, 6).join(F.broadcast(assigned), "group_id")  # one row per split and group
+    p = 0.5 + ((F.col("pos") * 7 + F.col("split_id") * 3) % 11 - 5) / 20
+    return rows, tested.select("split_id", "series_id", "pos", "y", "fwd", p.alias("p"))
+
+
+@query(f"WITH {PATHS} SELECT series_id, path_id, {R6('sharpe')} AS sharpe FROM pm")
+def path_metrics(spark, sf_dir):
+    return scoring.path_metrics(*_combined(spark, sf_dir), 6, 2).select("series_id", "path_id", rounded("sharpe").alias("sharpe"))
+
+
+@query(f"""WITH {PATHS} SELECT series_id, count(*)::INTEGER AS n_scores, {R6('avg(sharpe)')} AS sharpe_mean, {R6('CASE WHEN count(sharpe) > 1 THEN stddev_samp(sharpe) WHEN count(sharpe) = 1 THEN 0 END')} AS sharpe_std,
+{R6('avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END)')} AS frac_paths_sharpe_gt_0 FROM pm GROUP BY series_id""")
+def path_summary(spark, sf_dir):
+    """Protocol figures with the Sharpe part taken from the reconstructed paths."""
+    rows, predictions = _combined(spark, sf_dir)
+    scores = scoring.fold_metrics(predictions, ["split_id", "series_id"])
+    df = scoring.protocol_summary(scores, ["series_id"], scoring.path_metrics(rows, predictions, 6, 2))
+    return df.select("series_id", "n_scores", *[rounded(c).alias(c) for c in ("sharpe_mean", "sharpe_std", "frac_paths_sharpe_gt_0")])
+
+
 @query(f"WITH {FOLDS} SELECT split_id, count(auc)::INTEGER AS n_folds_scored, {R6('avg(auc)')} AS auc_mean, {R6('coalesce(CASE WHEN count(auc) > 1 THEN stddev_samp(auc) END, 0)')} AS auc_std, {R6('min(auc)')} AS auc_min, {R6('max(auc)')} AS auc_max FROM fm GROUP BY split_id")
 def protocol_auc(spark, sf_dir):
     df = scoring.protocol_auc(metrics.roc_auc(_scored(spark, sf_dir), ["split_id", "series_id"], "y", "p"), ["split_id"])
@@ -540,16 +597,17 @@ def logistic_folds(spark, sf_dir):
 
 def _pooled_model(name: str, **how):
     def run(spark, sf_dir):
-        rows = _aligned(spark, sf_dir).withColumn("_late", F.col("pos") >= F.floor(F.col("n") * 0.7)).cache()
+        rows = _aligned(spark, sf_dir).withColumn("_late", F.col("pos") >= F.floor(F.col("n") * 0.7)).cache()  # a fit reads its rows several times
         model = learn.make_model(name, **how).fit(rows.where(~F.col("_late") & (F.col("t1_pos") < F.floor(F.col("n") * 0.7))), list(features.FEATURES))
+        rows.unpersist()
         return model.predict_proba(rows.where("_late")).select("series_id", "pos", "y", "p")
 
     return run
 
 
 QUERIES["logistic_model"] = _pooled_model("logistic")
-QUERIES["forest_model"] = _pooled_model("rf", n_estimators=20, max_depth=8)
-QUERIES["boosted_model"] = _pooled_model("xgboost", n_estimators=10)
+QUERIES["forest_model"] = _pooled_model("rf")
+QUERIES["boosted_model"] = _pooled_model("xgboost")
 
 
 # --- sources --------------------------------------------------------------

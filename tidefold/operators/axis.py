@@ -27,27 +27,22 @@ def bars(df: DataFrame, series: Column | str, t: Column | str, close: Column | s
     return df.select(as_col(series).alias("series_id"), as_col(t).alias("t"), finite(close).alias("close"))
 
 
-def check_unique(df: DataFrame) -> DataFrame:
-    """df, or ValueError if a series has two rows of one time."""
-    double = df.groupBy("series_id", "t").count().where("count > 1").limit(1).collect()
-    if double:
-        raise ValueError(f"series {double[0]['series_id']!r} has several rows at {double[0]['t']!r}")
-    return df
-
-
 def with_positions(df: DataFrame, order: tuple[str, ...] = ("t",), slice_of: Column | None = None) -> DataFrame:
     """df with pos (0, 1, ... in time order) and n (rows of the series).
 
     With `slice_of`, a coarser time that grows with the order, rows are
     numbered within slices and slices by their counts, so that one very long
-    series is numbered by many tasks.
+    series is numbered by many tasks. Rows of a series that are equal in all
+    of `order` raise when the plan runs, as their positions would be arbitrary.
     """
+    now = F.struct(*order)
+    checked = lambda w: F.when(F.lag(now).over(w.orderBy(*order)) == now, F.raise_error(F.lit("a series has several rows at one time")).cast("int")).otherwise(F.row_number().over(w.orderBy(*order)))
     if slice_of is None:
-        return df.withColumn("pos", (F.row_number().over(series().orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(series()))
+        return df.withColumn("pos", (checked(series()) - 1).cast("long")).withColumn("n", F.count("*").over(series()))
     df = df.withColumn("_slice", slice_of)
     sizes = df.groupBy("series_id", "_slice").agg(F.count("*").alias("_size"))
     sizes = sizes.withColumn("_before", F.sum("_size").over(series().orderBy("_slice")) - F.col("_size")).withColumn("n", F.sum("_size").over(series()))
-    inner = F.row_number().over(Window.partitionBy("series_id", "_slice").orderBy(*order))
+    inner = checked(Window.partitionBy("series_id", "_slice"))
     df = df.withColumn("_inner", inner).join(sizes, ["series_id", "_slice"])
     return df.withColumn("pos", (F.col("_before") + F.col("_inner") - 1).cast("long")).drop("_slice", "_size", "_before", "_inner")
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .axis import series
 
 SPLIT = ["split_id", "series_id"]
+#: Rows of the table of splits and tested groups, which is broadcast (16 bytes each).
+MOST_ASSIGNED = 1_000_000
 
 
 def group_edges(n: int, groups: int) -> list[int]:
@@ -71,20 +73,20 @@ def info_segments(rows: DataFrame, test: DataFrame, embargo: DataFrame | None =
     return out.withColumn("embargo", F.lit(0)) if embargo is None else out.join(embargo, "series_id")
 
 
-def overlaps() -> Column:
-    """Whether the row's closed label interval meets what the segment's labels see."""
-    return (F.col("pos") <= F.col("info_end")) & (F.col("seg_start") <= F.col("t1_pos"))
+def judged(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
+    """(split_id, series_id, pos, role): every row of the series of each split as test, train, or null where purging or embargo takes it.
 
-
-def in_embargo() -> Column:
-    return F.col("pos").between(F.col("seg_end") + 1, F.col("seg_end") + F.col("embargo"))
-
-
-def candidates(rows: DataFrame, test: DataFrame) -> DataFrame:
-    """(split_id, series_id, pos, t1_pos): for each split, the rows that are not tested."""
-    splits = test.select(*SPLIT).distinct()
-    every = rows.select("series_id", "pos", "t1_pos").join(splits, "series_id")
-    return every.join(test.select(*SPLIT, "pos").distinct(), [*SPLIT, "pos"], "left_anti")
+    The contiguous test segments of each (split, series) are few and travel as
+    one array, so rows meet them in one join and are judged where they stand.
+    """
+    segments = info_segments(rows, test, embargo)
+    segments = segments.groupBy(*SPLIT).agg(F.collect_list(F.struct("seg_start", "seg_end", "info_end", "embargo")).alias("_segments"))
+    pos, t1 = F.col("pos"), F.col("t1_pos")
+    tested = F.exists("_segments", lambda s: pos.between(s["seg_start"], s["seg_end"]))
+    seen = lambda s: (pos <= s["info_end"]) & (s["seg_start"] <= t1)  # noqa: E731  the closed label interval meets what the segment's labels see
+    after = lambda s: pos.between(s["seg_end"] + 1, s["seg_end"] + s["embargo"])
+    role = F.when(tested, "test").when(~F.exists("_segments", lambda s: seen(s) | after(s)), "train")
+    return rows.select("series_id", "pos", "t1_pos").join(segments, "series_id").select(*SPLIT, "pos", role.alias("role"))
 
 
 def purge_train(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
@@ -95,15 +97,11 @@ def purge_train(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = No
     it, and `embargo` rows after it, go. Series without test rows in a split
     keep all their rows out of that split's relation.
     """
-    segments = info_segments(rows, test, embargo)
-    segments = segments.select(F.col("split_id").alias("_split"), F.col("series_id").alias("_series"), "seg_start", "seg_end", "info_end", "embargo")
-    on = (F.col("split_id") == F.col("_split")) & (F.col("series_id") == F.col("_series")) & (overlaps() | in_embargo())
-    return candidates(rows, test).join(segments, on, "left_anti").select(*SPLIT, "pos")
+    return judged(rows, test, embargo).where("role = 'train'").select(*SPLIT, "pos")
 
 
 def with_roles(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
-    test = test.select(*SPLIT, "pos")
-    return purge_train(rows, test, embargo).withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
+    return judged(rows, test, embargo).where(F.col("role").isNotNull())
 
 
 def purged_kfold(rows: DataFrame, n_splits: int = 5, **embargo) -> DataFrame:
@@ -130,6 +128,8 @@ def n_paths(n_groups: int, n_test_groups: int) -> int:
 
 def path_assignment(spark, n_groups: int, n_test_groups: int) -> DataFrame:
     """(split_id, group_id, path_id): the path that each tested group of each split belongs to, by its order of appearance."""
+    if n_splits(n_groups, n_test_groups) * n_test_groups > MOST_ASSIGNED:
+        raise ValueError(f"{n_splits(n_groups, n_test_groups)} splits are too many; choose fewer groups")
     rows = [(i, g) for i, c in enumerate(combos(n_groups, n_test_groups)) for g in c]
     df = spark.createDataFrame(rows, "split_id int, group_id int")
     return df.withColumn("path_id", F.row_number().over(Window.partitionBy("group_id").orderBy("split_id")) - 1)
@@ -206,20 +206,19 @@ def walk_forward(rows: DataFrame, n_splits: int = 5, *, max_train_size: int | No
     return df.withColumn("role", role).where(F.col("role").isNotNull()).select(*SPLIT, "pos", "role")
 
 
+def _counts(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
+    """(split_id, series_id, n_samples, n_test, n_train_purged)."""
+    of = lambda role: F.count(F.when(F.col("role") == role, 1))
+    return judged(rows, test, embargo).groupBy(*SPLIT).agg(F.count("*").alias("n_samples"), of("test").alias("n_test"), of("train").alias("n_train_purged"))
+
+
 def overlap_fraction(rows: DataFrame, test: DataFrame) -> DataFrame:
     """(split_id, series_id, overlap): share of the untested rows whose labels overlap the test set's; 0 without such rows."""
-    kept = purge_train(rows, test).groupBy(*SPLIT).agg(F.count("*").alias("_kept"))
-    asked = test.select(*SPLIT).distinct()
-    free = candidates(rows, test).groupBy(*SPLIT).agg(F.count("*").alias("_free"))
-    out = asked.join(free, SPLIT, "left").join(kept, SPLIT, "left").na.fill(0, ["_free", "_kept"])
-    return out.select(*SPLIT, F.coalesce(F.try_divide(F.col("_free") - F.col("_kept"), F.col("_free")), F.lit(0.0)).alias("overlap"))
+    free = F.col("n_samples") - F.col("n_test")
+    return _counts(rows, test).select(*SPLIT, F.coalesce(F.try_divide(free - F.col("n_train_purged"), free), F.lit(0.0)).alias("overlap"))
 
 
 def purge_preview(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
     """(split_id, series_id, n_samples, n_test, n_train_naive, n_train_purged, n_dropped)."""
-    kept = purge_train(rows, test, embargo).groupBy(*SPLIT).agg(F.count("*").alias("n_train_purged"))
-    tested = test.select(*SPLIT, "pos").distinct().groupBy(*SPLIT).agg(F.count("*").alias("n_test"))
-    total = rows.groupBy("series_id").agg(F.count("*").alias("n_samples"))
-    out = tested.join(total, "series_id").join(kept, SPLIT, "left").na.fill(0, ["n_train_purged"])
     naive = F.col("n_samples") - F.col("n_test")
-    return out.select(*SPLIT, "n_samples", "n_test", naive.alias("n_train_naive"), "n_train_purged", (naive - F.col("n_train_purged")).alias("n_dropped"))
+    return _counts(rows, test, embargo).select(*SPLIT, "n_samples", "n_test", naive.alias("n_train_naive"), "n_train_purged", (naive - F.col("n_train_purged")).alias("n_dropped"))

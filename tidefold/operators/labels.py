@@ -53,7 +53,8 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     signs the path. A width of 0 switches a barrier off; the event's own bar
     never touches. Touches at the same bar count as vertical. Without a touch
     the label ends at t1_pos; its bin is the sign of the return, 0 below
-    min_ret. With `side` the bin is 1 or 0. Events whose price is unknown or
+    min_ret. With `side` the bin is 1 or 0. A t1_pos before its event or off
+    the axis raises. Events whose price is unknown or
     not positive are left out, and events without a bar.
 
     Paths are found by an equi-join on buckets of positions, with the interval
@@ -63,12 +64,14 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
         raise ValueError("pt and sl must not be negative")
     own = events.where(F.col("t1_pos").isNotNull())
     ends_before = F.when(F.col("t1_pos") < F.col("pos"), F.raise_error(F.lit("t1 precedes the event")))
-    own = own.select("series_id", "pos", F.coalesce(ends_before.cast("long"), F.col("t1_pos")).alias("t1_pos"), (F.col("side").cast("double") if side else F.lit(1.0)).alias("side"))
+    own = own.select("series_id", "pos", "t1_pos", F.coalesce(ends_before.cast("long"), F.lit(0)).alias("_ok"), (F.col("side").cast("double") if side else F.lit(1.0)).alias("side"))
     if side:
         own = own.where(F.col("side").isNotNull())
         own = own.withColumn("side", F.when(F.abs("side") == 1, F.col("side")).otherwise(F.raise_error(F.lit("side must be 1 or -1")).cast("double")))
-    start = axis.select("series_id", "pos", finite("close").alias("p0"))
+    off = F.when((F.col("t1_pos") >= F.col("n")) | (F.col("t1_pos") < 0), F.raise_error(F.lit("t1 is not on the axis")).cast("long"))
+    start = axis.select("series_id", "pos", "n", finite("close").alias("p0"))
     own = own.join(start, ["series_id", "pos"]).where(F.col("p0") > 0)
+    own = own.select("series_id", "pos", (F.coalesce(off, F.col("t1_pos")) + F.col("_ok")).alias("t1_pos"), "side", "p0")
     spread = own.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("pos") / bucket), F.floor(F.col("t1_pos") / bucket))))
     path = axis.select("series_id", F.floor(F.col("pos") / bucket).alias("bucket"), F.col("pos").alias("q"), finite("close").alias("close"))
     path = spread.join(path, ["series_id", "bucket"]).where(F.col("q").between(F.col("pos"), F.col("t1_pos")))

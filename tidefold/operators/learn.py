@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import SPLIT
@@ -95,6 +95,7 @@ def folds_proba(rows: DataFrame, splits: DataFrame, features: list[str], factory
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, sorted(ids)))
+    both.unpersist()  # all fits are done
     if not parts:
         return both.limit(0).select(*SPLIT, "pos", "y", F.lit(0.0).alias("p"))
     out = parts[0]
@@ -144,19 +145,30 @@ def grouped_logistic(rows: DataFrame, splits: DataFrame, features: list[str], ke
     return kept.groupBy(*keys).applyInPandas(one, schema)
 
 
-def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int = 11) -> DataFrame:
+def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int = 11, block: int = 512) -> DataFrame:
     """(split_id, series_id, pos, y, p): share of label 1 among the k nearest training rows of the same split, ties by position.
 
-    Exact, by an equi-join on split and series; ranks beyond k are dropped
-    before they are sorted out of the tasks.
+    Exact. Training rows go in blocks of `block` positions; each test row
+    meets each block once, finds its k nearest there, and the blocks' finds
+    are merged. So a pair of rows is never a row of its own, and a long series
+    is spread over the tasks by its blocks.
     """
     both = splits.join(rows.select("series_id", "pos", "y", *features), ["series_id", "pos"])
-    test = both.where("role = 'test'").select(*SPLIT, "pos", "y", *[F.col(f).alias(f"_t{i}") for i, f in enumerate(features)])
-    train = both.where("role = 'train'").select(*SPLIT, F.col("pos").alias("_at"), F.col("y").alias("_y"), *[F.col(f).alias(f"_n{i}") for i, f in enumerate(features)])
-    square = lambda i: (F.col(f"_t{i}") - F.col(f"_n{i}")) * (F.col(f"_t{i}") - F.col(f"_n{i}"))
-    distance = square(0)
-    for i in range(1, len(features)):
-        distance = distance + square(i)
-    near = Window.partitionBy(*SPLIT, "pos").orderBy("_d", "_at")
-    pairs = test.join(train, SPLIT).withColumn("_d", distance).withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k)
-    return pairs.groupBy(*SPLIT, "pos", "y").agg(F.avg(F.col("_y").cast("double")).alias("p"))
+    own = [F.col(f).alias(f"_t{i}") for i, f in enumerate(features)]
+    test = both.where("role = 'test'").select(*SPLIT, "pos", "y", *own)
+    train = both.where("role = 'train'").select(*SPLIT, F.floor(F.col("pos") / block).alias("_block"), F.struct(F.col("pos").alias("at"), F.col("y").cast("double").alias("y"), *own).alias("_row"))
+    blocks = train.groupBy(*SPLIT, "_block").agg(F.collect_list("_row").alias("_rows"))
+    asked = test.join(blocks.select(*SPLIT, "_block"), SPLIT)
+    square = lambda r, i: (F.col(f"_t{i}") - r[f"_t{i}"]) * (F.col(f"_t{i}") - r[f"_t{i}"])
+
+    def pair(r):
+        distance = square(r, 0)
+        for i in range(1, len(features)):
+            distance = distance + square(r, i)
+        return F.struct(distance.alias("d"), r["at"].alias("at"), r["y"].alias("y"))
+
+    nearest = lambda pairs: F.slice(F.sort_array(pairs), 1, k)
+    found = asked.join(blocks, [*SPLIT, "_block"]).select(*SPLIT, "pos", "y", nearest(F.transform("_rows", pair)).alias("_near"))
+    merged = found.groupBy(*SPLIT, "pos", "y").agg(nearest(F.flatten(F.collect_list("_near"))).alias("_near"))
+    total = F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + x["y"])
+    return merged.select(*SPLIT, "pos", "y", (total / F.size("_near")).alias("p"))

@@ -13,9 +13,15 @@ from ..functions.numeric import finite
 from ..functions.stats import pearson
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank from 1 within the keys; equal values share the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_rank(value: str, keys: list[str], known: Column | None = None) -> Column:
+    """Rank from 1 within the keys; equal values share the mean of their ranks. One sort gives both the rank and the number of equals.
+
+    With `known`, ranks are among the rows where it is true, and null elsewhere.
+    """
+    order = [value] if known is None else [F.when(known, 0).otherwise(1), value]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rank = F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+    return rank if known is None else F.when(known, rank)
 
 
 def turnover(df: DataFrame, keys: list[str], position: str = "position", order: str = "pos") -> DataFrame:

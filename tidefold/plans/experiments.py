@@ -64,6 +64,8 @@ def leakage_grid(rows: DataFrame, columns: list[str], model: str, *, seed: int =
         scored = learn.knn_proba(rows, splits, columns)
     elif model == "logistic":
         scored = learn.grouped_logistic(rows.withColumn("fwd", F.lit(0.0)), splits, columns)
+    elif model == "rf":
+        scored = learn.folds_proba(rows, splits, columns, lambda: learn.make_model("rf", seed=seed, n_estimators=80, min_samples_leaf=3))
     else:
         scored = learn.folds_proba(rows, splits, columns, lambda: learn.make_model(model, seed=seed))
     aucs = metrics.roc_auc(scored, ["split_id"], "y", "p").withColumn("protocol", F.element_at(F.split("split_id", ":"), 1))
@@ -86,8 +88,8 @@ def aligned_panel(panel: DataFrame, horizon: int) -> DataFrame:
     return features.align_xy(labels.fixed_horizon_returns(features.causal_features(rows), horizon), horizon=horizon)
 
 
-def benchmark(panel: DataFrame, config: Config = Config(), *, numpy_shuffle: bool = False) -> DataFrame:
-    """One row per series, protocol and embargo: the figures of protocol_summary.
+def benchmark(panel: DataFrame, config: Config = Config(), *, tag: str = "toy_synthetic", numpy_shuffle: bool = False) -> DataFrame:
+    """One row per series, protocol and embargo: the figures of protocol_summary, embargo_pct, tag, label, n_samples_aligned, model, ablation and notes.
 
     All protocols' folds of all series are fitted in one job. Combinatorial
     Sharpe figures are those of its paths; if a fold was too small to be
@@ -98,7 +100,7 @@ def benchmark(panel: DataFrame, config: Config = Config(), *, numpy_shuffle: boo
     splits = protocols(rows, n_splits=config.n_splits, n_groups=config.n_groups, n_test_groups=config.n_test_groups, embargo_pct=default, seed=config.seed, numpy_shuffle=numpy_shuffle)
     for e in config.embargo_grid:
         own = folds.purged_kfold(rows, config.n_splits, embargo_pct=e)
-        splits = splits.unionByName(own.select(F.lit(f"purged_embargo_{e:.2%}").alias("protocol"), F.col("split_id").cast("int").alias("split_id"), "series_id", "pos", "role"))
+        splits = splits.unionByName(own.select(F.lit(embargo_name(e)).alias("protocol"), F.col("split_id").cast("int").alias("split_id"), "series_id", "pos", "role"))
     keys = ["protocol", "series_id", "split_id"]
     splits = scoring.enough_rows(splits, keys)
     predictions = learn.grouped_logistic(rows, splits, list(features.FEATURES), keys).cache()
@@ -111,11 +113,40 @@ def benchmark(panel: DataFrame, config: Config = Config(), *, numpy_shuffle: boo
     by_path = scoring.protocol_summary(scores.where("protocol = 'cpcv'"), ["protocol", "series_id"], paths.withColumn("protocol", F.lit("cpcv"))).withColumn("notes", F.lit(None).cast("string"))
     rest = summary.join(by_path.select("protocol", "series_id"), ["protocol", "series_id"], "left_anti")
     note = F.when(F.col("protocol") == "cpcv", F.lit("paths incomplete: figures are per fold"))
-    return rest.withColumn("notes", note).unionByName(by_path)
+    out = rest.withColumn("notes", note).unionByName(by_path)
+    share = F.when(F.col("protocol").isin("purged_kfold", "cpcv"), F.lit(float(default))).otherwise(F.lit(0.0))
+    ablation = F.lit(None).cast("string")
+    for e in config.embargo_grid:
+        own = F.col("protocol") == embargo_name(e)
+        share, ablation = F.when(own, F.lit(float(e))).otherwise(share), F.when(own, F.lit("embargo")).otherwise(ablation)
+    out = out.join(rows.groupBy("series_id").agg(F.count("*").alias("n_samples_aligned")), "series_id")
+    label = "TOY" if tag.startswith("toy") else "DOWNLOADED"
+    more = [share.alias("embargo_pct"), F.lit(tag).alias("tag"), F.lit(label).alias("label"), "n_samples_aligned", F.lit(config.model).alias("model"), ablation.alias("ablation"), "notes"]
+    return out.select("series_id", *[c for c in summary.columns if c not in ("series_id", "notes")], *more)
+
+
+def embargo_name(embargo_pct: float) -> str:
+    return f"purged_kfold_embargo_{embargo_pct:.2%}"
+
+
+PROTOCOLS = ("naive_kfold_INVALID", "timeseries_split", "purged_kfold", "cpcv")
+
+
+def in_order_of_protocols(table: DataFrame) -> DataFrame:
+    return table.where(F.col("protocol").isin(*PROTOCOLS)).orderBy(F.array_position(F.array(*map(F.lit, PROTOCOLS)), F.col("protocol")))
 
 
 def figure_data(grid: DataFrame, dgp: str) -> DataFrame:
     """Rows behind a bar chart of one experiment, in the order of its bars."""
-    order = ["naive_kfold_INVALID", "timeseries_split", "purged_kfold", "cpcv"]
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("protocol"))
-    return grid.where(F.col("dgp") == dgp).orderBy(place).select("protocol", "auc_mean", "auc_std")
+    return in_order_of_protocols(grid.where(F.col("dgp") == dgp)).select("protocol", "auc_mean", "auc_std")
+
+
+def sharpe_figure(table: DataFrame) -> DataFrame:
+    """Rows behind the bar chart of Sharpe ratios by protocol on the synthetic panel, in the order of its bars."""
+    return in_order_of_protocols(table.where(F.col("tag") == "toy_synthetic")).select("protocol", "sharpe_mean", "sharpe_std")
+
+
+def embargo_figure(table: DataFrame) -> DataFrame:
+    """Points of the line of AUC by embargo, in percent of the rows, on the synthetic panel."""
+    own = table.where((F.col("tag") == "toy_synthetic") & (F.col("ablation") == "embargo"))
+    return own.orderBy("embargo_pct").select((F.col("embargo_pct") * 100).alias("embargo_percent"), "auc_mean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -21,26 +21,42 @@ def with_overlay(predictions: DataFrame) -> DataFrame:
 
 
 def fold_metrics(predictions: DataFrame, keys: list[str], *, n_trials: int = 20, periods_per_year: float = 252) -> DataFrame:
-    """(keys, the ten METRICS): one row per group of predictions (keys, pos, y, p, fwd)."""
+    """(keys, n_test, the ten METRICS): one row per group of predictions (keys, pos, y of 0 or 1, p, fwd).
+
+    Ranks, changes of position and wealth are columns over windows of the same
+    keys, so that one shuffle serves all of them and the aggregation.
+    """
     df = with_overlay(predictions)
-    plain = df.groupBy(*keys).agg(
+    df = df.select(*keys, "pos", "prediction", "strat", finite("y").alias("y"), finite("p").alias("p"), finite("fwd").alias("fwd"), finite("position").alias("_x"), finite("strat").alias("_s"))
+    labelled, paired = F.col("y").isNotNull() & F.col("p").isNotNull(), F.col("fwd").isNotNull() & F.col("p").isNotNull()
+    in_order = Window.partitionBy(*keys).orderBy("pos")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_auc", metrics.average_rank("p", keys, labelled))
+    df = df.withColumn("_rp", metrics.average_rank("p", keys, paired)).withColumn("_rf", metrics.average_rank("fwd", keys, paired))
+    df = df.withColumn("_step", F.abs(F.col("_x") - F.last("_x", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))))
+    df = df.withColumn("_wealth", F.product(1 + F.col("_s")).over(so_far))
+    df = df.withColumn("_fall", F.col("_wealth") / F.greatest(F.max("_wealth").over(so_far), F.lit(1e-16)) - 1)
+    one, zero, up = F.col("y") == 1, F.col("y") == 0, F.col("prediction") == 1
+    ones, n = stats.hits(labelled & one), stats.hits(labelled)
+    tp, fp, fn, tn = stats.hits(one & up), stats.hits(zero & up), stats.hits(one & ~up), stats.hits(zero & ~up)
+    total, true, called = tp + fp + fn + tn, (tp + fn, tn + fp), (tp + fp, tn + fn)
+    mcc = F.try_divide((tp + tn) * total - true[0] * called[0] - true[1] * called[1], F.sqrt((total * total - called[0] * called[0] - called[1] * called[1]) * (total * total - true[0] * true[0] - true[1] * true[1])))
+    recall = [F.try_divide(hit, t) for hit, t in zip((tp, tn), true, strict=True)]
+    occurring = sum((F.when(t > 0, 1.0).otherwise(0.0) for t in true), F.lit(0.0))
+    out = df.groupBy(*keys).agg(
         F.count("*").alias("n_test"),
+        F.try_divide(F.sum(F.when(one, F.col("_auc")).otherwise(0.0)) - ones * (ones + 1) / 2, ones * (n - ones)).alias("auc"),
+        F.when(total > 0, F.coalesce(mcc, F.lit(0.0))).alias("mcc"),
         stats.f1_binary("y", "prediction").alias("f1"),
+        F.try_divide(F.coalesce(recall[0], F.lit(0.0)) + F.coalesce(recall[1], F.lit(0.0)), occurring).alias("balanced_acc"),
+        F.when(stats.hits(paired) >= 3, stats.pearson(F.col("_rp"), F.col("_rf"))).alias("ic"),
         stats.sharpe_ratio("strat", periods_per_year=periods_per_year).alias("sharpe"),
         stats.deflated_sharpe_ratio("strat", n_trials=n_trials).alias("dsr"),
+        F.min("_fall").alias("max_dd"),
+        F.avg("_step").alias("turnover"),
     )
-    parts = [
-        metrics.roc_auc(df, keys, "y", "p"),
-        metrics.matthews(df, keys, "y", "prediction"),
-        metrics.balanced_accuracy(df, keys, "y", "prediction").withColumnRenamed("balanced_accuracy", "balanced_acc"),
-        metrics.information_coefficient(df, keys, "fwd", "p"),
-        metrics.max_drawdown(df, keys, "strat").withColumnRenamed("max_drawdown", "max_dd"),
-        metrics.turnover(df, keys),
-    ]
-    for part in parts:
-        plain = plain.join(part, keys, "left")
     positive = F.when(F.col("sharpe") > 0, 1.0).otherwise(0.0)
-    return plain.withColumn("frac_sharpe_pos", positive).select(*keys, "n_test", *METRICS)
+    return out.withColumn("frac_sharpe_pos", positive).select(*keys, "n_test", *METRICS)
 
 
 def enough_rows(splits: DataFrame, keys: list[str], least_train: int = 20, least_test: int = 5) -> DataFrame:

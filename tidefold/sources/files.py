@@ -78,7 +78,7 @@ def load_factors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of each file under a path."""
+    """(file, bytes, sha256) of each file under a path. A file is one value of a row, so it may have 2 GB at most."""
     df = spark.read.format("binaryFile").load(path)
     return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
