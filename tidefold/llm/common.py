@@ -90,7 +90,7 @@ def stored(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back, which cuts its lineage.
 
     The files go with `dropped`, at the end of the `scratch` block they were
-    written in (unless they are to be kept `apart`), or else with the session,
+    written in (`apart`: of the block around that), or else with the session,
     as a result may still need them.
     """
     spark = df.sparkSession
@@ -99,8 +99,9 @@ def stored(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
     system, place = _folder(spark, path)
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
-    if _OPEN and not apart:
-        _OPEN[-1].append(out)
+    owners = _OPEN[:-1] if apart else _OPEN
+    if owners:
+        owners[-1].append(out)
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, stored
+from .common import components, local_roots, scratch, stored
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,8 @@ def near_duplicates(vectors: DataFrame, shape: Shape = Shape()) -> DataFrame:
     units = stored(unit_vectors(vectors), "units")
     reps = units.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # vec_id is no key; rep is fixed by the files
-    links = stored(cell_links(reps, fitted_centroids(reps, shape), shape), "cell-links")
+    with scratch():
+        links = stored(cell_links(reps, fitted_centroids(reps, shape), shape), "cell-links", apart=True)
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     found = components(links.where(F.col("root") != F.col("rep")), "rep", "root")
     reps = reps.join(counts, "rep", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
