@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -56,6 +57,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def frugal() -> None:
+    """What earlier tasks of this worker have freed goes back to the system, and Arrow's memory does when it is freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about `size` bytes, as what is made of them takes many times their room."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, text_slices
+from .common import Kept, frugal, text_slices
 
 UNKNOWN = "und"
 #: ASCII characters that say nothing of the language are left out, in texts and dictionaries.
@@ -121,6 +121,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float =
     schema = docs.select(*kept.columns()).schema.add("lang_pred", "string").add("score", "double").add("margin", "double").add("narrow", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         classify = Classifier(shared.value)
         for b in batches:
             lang, score, margin, narrow = [], [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Kept, text_slices
+from .common import Kept, frugal, text_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -266,11 +266,6 @@ def long_path(spans: Column, first: Column, longest: int) -> Column:
     return named(F.aggregate(spans, zero, forward), path)
 
 
-def frugal() -> None:
-    """Arrow memory of this worker goes back to the system when it is freed."""
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
 class Decoder:
     """Ids back to text; the counterpart of encoding, exact for every text."""
 
@@ -339,7 +334,7 @@ def frequent_chunks(docs: DataFrame, pieces: Pieces, portion: float, most: int)
     return Frequent([k for k, _ in rows], np.cumsum([0, *size]), np.array([i for _, p in rows for i in p], np.int32))
 
 
-def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 8_000_000, sample_bytes: int = 16_000_000, most_frequent: int = 100_000) -> DataFrame:
+def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 4_000_000, sample_bytes: int = 16_000_000, most_frequent: int = 100_000) -> DataFrame:
     """The columns `keep` and ids (array<int>), exact (boolean): every row's whole text as piece ids.
 
     Segmentation maximises the sum of the model's piece scores over each

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, text_slices
+from .common import Kept, frugal, text_slices
 from .toxicity import calibrate, labelled_sample, parts_of
 
 
@@ -170,6 +170,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         grams, own = Grams(shared.value.shape.bits), shared.value
         for b in batches:
             scores = pa.array([own.score(grams(t)) for texts in text_slices(b.column(kept.text)) for t in texts], pa.float64())

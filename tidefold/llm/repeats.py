@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, frugal, text_slices
 from .induced import array, blocks, suffixes
 
 GRAM = 16
@@ -134,7 +134,7 @@ def first_documents(text: np.ndarray, start: np.ndarray, least: np.ndarray, widt
     return first
 
 
-def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 24_000_000, shard_bytes: int = 12_000_000, memory_rows: int = 1 << 17, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
+def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int = 12_000_000, shard_bytes: int = 12_000_000, memory_rows: int = 1 << 17, whole_characters: bool = False, most_variants: int = 8192) -> DataFrame:
     """The columns `keep` and n_bytes (long), spans (array of start, end in bytes), kept (binary), one row per input row.
 
     Texts are UTF-8 bytes, null as empty. A byte is removed if a string of
@@ -167,8 +167,9 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
+        frugal()
         for b in batches:
-            texts = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
+            texts = [packer.compress(t or b"") for part in text_slices(b.column("_text").cast(pa.binary())) for t in part]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
@@ -182,6 +183,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors of each block, whether several of its documents have them, and in how many variants about."""
+        frugal()
         seen: dict[int, list] = {}
         packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -226,6 +228,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
 
     def cut_out(table: pa.Table, found: pa.Table) -> pa.Table:
         """Each distinct fragment of a block with a shared anchor (of hot anchors, each window), with the least and the largest document that has it."""
+        frugal()
         hot = b"".join(found.column("hot").to_pylist())
         apart = set(from_six(hot).tolist())
         wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(from_six, found.column("keys").to_pylist())]))
@@ -261,6 +264,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
     def sort_shard(table: pa.Table) -> pa.Table:
         """For each block, the fragments in which it has something to remove, and the first document of each of their windows in runs."""
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        frugal()
         rows = list(zip(*[table.column(c).to_pylist() for c in ("pieces", "sizes", "docs", "keys")], strict=True))
         number: dict[bytes, int] = {}  # by digest
         asked_by, low, anchor, length = [], [], [], []
@@ -338,6 +342,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
         return out
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
+        frugal()
         unpack = zstandard.ZstdDecompressor().decompress
         known: dict[bytes, bytes] = {}
         apart = set(from_six(b"".join(found.column("hot").to_pylist())).tolist())

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components, local_roots, stored, text_slices
+from .common import Kept, components, frugal, local_roots, stored, text_slices
 
 SEED = 42
 
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = docs.select(*kept.columns()).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for b in batches:
             fps = np.array([fingerprint(t) for texts in text_slices(b.column(kept.text)) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept.inner], pa.array(fps)], [*kept.inner, "fp"])
@@ -135,6 +136,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, chunk: int = 20_000, port
         return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frugal()
         held = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)

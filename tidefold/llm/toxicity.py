@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, text_slices
+from .common import Kept, frugal, text_slices
 
 
 @dataclass(frozen=True)
@@ -267,6 +267,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     keep, schema = kept.inner, docs.select(*kept.columns()).schema.add("score", "double").add("judged", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         own = shared.value
         scorer = Scorer(own.odds, own.shape)
         for b in batches:
