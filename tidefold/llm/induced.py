@@ -37,6 +37,10 @@ def holding(top: int):
     return np.uint8 if top < 1 << 8 else np.int32 if top < 1 << 31 else np.int64
 
 
+def holding_signed(top: int):
+    return np.int16 if top < 1 << 15 else np.int64
+
+
 def blocks(n: int, size: int) -> Iterator[slice]:
     for i in range(0, n, size):
         yield slice(i, min(n, i + size))
@@ -242,6 +246,7 @@ class Scan:
         total = int(counts.sum())
         self.found, self.end = array(total, holding(len(text)), memory_rows), 0
         self.lengths = array(total if seam else 0, holding(seam.most if seam else 0), memory_rows)
+        self.narrow = holding_signed(self.top)
         self.running = np.full(symbols if seam else 0, -1, np.int64)  # per key, the least prefix since its last entry; -1: no entry yet
 
     def keys(self, at: np.ndarray) -> np.ndarray:
@@ -262,7 +267,7 @@ class Scan:
 
     def step(self, position: np.ndarray, prefix: np.ndarray) -> None:
         at, key = self.induced(position)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key.astype(self.narrow), kind="stable")  # few keys sort by radix
         at, key = at[order], key[order]
         carried = np.zeros(len(at), np.int64)
         if self.seam:
@@ -403,7 +408,7 @@ def by_symbol(places: np.ndarray, text: np.ndarray, symbols: int, memory_rows: i
     for p in blocks(len(places), memory_rows):
         own = places[p]
         symbol = text[own].astype(np.int64)
-        order = np.argsort(symbol, kind="stable")
+        order = np.argsort(symbol.astype(holding_signed(symbols)), kind="stable")
         symbol = symbol[order]
         first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
         size = np.diff(np.append(first, len(symbol)))
