@@ -89,7 +89,8 @@ def common_lines(docs: DataFrame, host: str, max_docs: int, max_share: float) ->
     lose their own lines.
     """
     rows = docs.select("doc_id", copy_of().alias("_copy"), host_of(host).alias("_host"), F.explode(line_sums(F.col("text"))).alias("_line"))
-    rows = rows.select("doc_id", "_copy", "_host", F.col("_line.hash").alias("_hash"), F.col("_line.n").alias("_n"))
+    # the condition, which always holds, is what Spark would else add to one of the uses below only
+    rows = rows.select("doc_id", "_copy", "_host", F.col("_line.hash").alias("_hash"), F.col("_line.n").alias("_n")).where(F.col("_hash").isNotNull())
     # one row per document and line; the document is part of the key, so no line gathers in one task
     lines = rows.groupBy("doc_id", "_host", "_hash", "_copy").agg(F.max("_n").alias("_n"))
     # both uses read the same columns (a line has a word, so _n is above 0), so the explosion and its shuffle are done once
@@ -100,7 +101,8 @@ def common_lines(docs: DataFrame, host: str, max_docs: int, max_share: float) ->
     counts = counts.join(sizes, "_host").where(F.col("_docs") > F.lit(max_share) * F.col("_rows")).select("_host", "_hash")
     # the few common lines are repeated over salts, so that a line of a third of all documents joins in SALTS tasks
     counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("_salt", F.pmod("_copy", F.lit(SALTS)).cast("int"))
+    # the salt takes _n in, so that the join stays above the aggregation and both uses share it
+    salted = lines.withColumn("_salt", F.xxhash64("_copy", "_n").bitwiseAND(F.lit(SALTS - 1)).cast("int"))
     return salted.join(counts, ["_host", "_hash", "_salt"], "left_semi").select(F.col("doc_id").alias("_doc"), "_copy", "_host", "_hash", "_n")
 
 
