@@ -151,16 +151,17 @@ def cell_links(reps: DataFrame, centroids: dict[tuple[str, int], np.ndarray], sh
         low, high = (df.own == df.lo).to_numpy(), (df.own == df.hi).to_numpy()
         a, b = np.flatnonzero(low), np.flatnonzero(high)
         links, root = np.zeros(n, np.int64), np.arange(n)
-        for i in range(0, len(a), 1024):
-            rows = a[i : i + 1024]
-            hit = x[rows] @ x[b].T >= shape.threshold
-            hit &= home[rows][:, None] | home[b][None, :]  # two visitors meet elsewhere
-            hit &= rows[:, None] != b[None, :]
-            links[rows] += hit @ copies[b]
-            if df.lo[0] != df.hi[0]:
-                links[b] += hit.T @ copies[rows]
-            r, c = np.nonzero(hit)
-            root = local_roots(n, rows[r], b[c], root)
+        # two visitors meet elsewhere: home rows are compared with all, visitors with home rows
+        for own, others in ((a[home[a]], b), (a[~home[a]], b[home[b]])):
+            for i in range(0, len(own), 1024):
+                rows = own[i : i + 1024]
+                hit = x[rows] @ x[others].T >= shape.threshold
+                hit &= rows[:, None] != others[None, :]
+                links[rows] += hit @ copies[others]
+                if df.lo[0] != df.hi[0]:
+                    links[others] += hit.T @ copies[rows]
+                r, c = np.nonzero(hit)
+                root = local_roots(n, rows[r], others[c], root)
         rep = df.rep.to_numpy()
         out = pd.DataFrame({"rep": rep, "links": links, "root": rep[root]})
         return out[(out.links > 0) | (out.root != out.rep)]
