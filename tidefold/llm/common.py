@@ -65,16 +65,25 @@ def frugal() -> None:
         trim(0)
 
 
-def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
-    """The texts in order, in lists of about `size` bytes, as what is made of them takes many times their room."""
+def array_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """The texts in order, in slices of about `size` bytes, as what is made of them takes many times their room."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        yield texts.slice(at, stop - at).to_pylist()
+        yield texts.slice(at, stop - at)
         at = stop
 
 
+def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list]:
+    """array_slices as lists. What is no UTF-8 in a text, which a Parquet file may hold, counts as U+FFFD."""
+    for part in array_slices(texts, size):
+        try:
+            yield part.to_pylist()
+        except UnicodeDecodeError:
+            yield [x if x is None else x.decode(errors="replace") for x in part.cast(pa.binary()).to_pylist()]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share; in local mode a temporary one if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, words_of
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,6 +105,51 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    df = whitened(_read(spark, sf_dir, "embeddings"), ["vec_id"])
+    df = df.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"))
+    return df.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("of.whitened").alias("whitened"), F.col("of.explained").alias("explained"), "identity_error")
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """docs of which a tenth, by crc32 of the id (null: of the empty text), go round in a loop from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    df = docs.select("doc_id", "text", h.alias("h"), words_of(F.col("text")).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    looped = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return df.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    df = periodic_runs(_looped(_read(spark, sf_dir, "documents")), ["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    longer = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)  # noqa: E731  runs come by start, then period
+    best = F.aggregate("runs", F.try_element_at("runs", F.lit(1)), longer)
+    df = df.select("doc_id", "runs", best.alias("best"), "collapsed")
+    return df.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import load, token_counts
+
+    df = token_counts(_read(spark, sf_dir, "documents"), ["doc_id"], load())
+    return df.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
