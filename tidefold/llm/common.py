@@ -6,6 +6,7 @@ import ctypes
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -57,6 +58,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
 
 
+def block_of_row(blocks: int) -> Column:
+    """The block a row of documents goes to, by its id, its text and the input partition it is in.
+
+    So of rows that are equal in both, no more than an input partition's share
+    a block, however many there are; and a task that is run again sends its
+    rows where it sent them before.
+    """
+    return F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+
+
 def frugal() -> None:
     """What earlier tasks of this worker have freed goes back to the system, and Arrow's memory does when it is freed."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -95,8 +106,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: What the open `scratch` blocks have to delete, innermost last.
-_OPEN: list[list[DataFrame]] = []
+class _Open(threading.local):
+    """What the open `scratch` blocks of this thread have to delete, innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[DataFrame]] = []
+
+
+_OPEN = _Open()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -117,7 +134,8 @@ def stored(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
     system, place = _folder(spark, path)
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
-    owners = _OPEN[:-1] if apart else _OPEN
+    out._stored_at = path
+    owners = _OPEN.blocks[:-1] if apart else _OPEN.blocks
     if owners:
         owners[-1].append(out)
     return out
@@ -125,19 +143,18 @@ def stored(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that `stored` returned."""
-    for p in {os.path.dirname(f) for f in df.inputFiles()}:
-        system, place = _folder(df.sparkSession, p)
-        system.delete(place, True)
+    system, place = _folder(df.sparkSession, df._stored_at)
+    system.delete(place, True)
 
 
 @contextmanager
 def scratch():
     """What operators store inside the block is deleted at its end."""
-    _OPEN.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        for df in _OPEN.pop():
+        for df in _OPEN.blocks.pop():
             dropped(df)
 
 

@@ -79,20 +79,21 @@ def learn(docs: DataFrame, allowed: Column, shape: Shape = Shape()) -> Model:
     driver as excerpts, `sample_rows` at most. They are joined with the most
     telling part (the first excerpts by hash) last, where zstandard finds
     matches cheapest; the last `dictionary_bytes` of that are used, which is
-    some 70 excerpts. Every language has a dictionary. No rows: an empty
+    some 70 excerpts. Every language has a dictionary, however little text it
+    has, but one whose texts are all empty. No rows: an empty
     model, which answers `und`. Repeated rows count once in a dictionary.
     """
     df = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = df.groupBy("lang").count()
     langs = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
-    size = min(shape.dictionary_bytes, shape.total_bytes // max(1, len(langs)))
+    size = max(8, min(shape.dictionary_bytes, shape.total_bytes // max(1, len(langs))))
     key = F.xxhash64("doc_id", "text")
     at = F.pmod(F.col("h"), F.greatest(F.length("text") - shape.excerpt, F.lit(0)) + 1).cast("int")
     df = df.withColumn("h", key)
     # of a frequent language, rows beyond four times the sample by hash are left out first, so that it is not ranked in one task
     portion = F.least(F.lit(1.0), F.lit(4.0 * shape.sample_rows) / F.col("count"))
     df = df.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < portion * (1 << 30))  # one row per language
-    df = df.select("lang", "h", F.substring("text", at + 1, F.lit(min(shape.excerpt, max(1, size)))).alias("excerpt"))
+    df = df.select("lang", "h", F.make_valid_utf8(F.substring("text", at + 1, F.lit(min(shape.excerpt, max(1, size))))).alias("excerpt"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))
     got = df.withColumn("rank", rank).where(F.col("rank") <= shape.sample_rows).select("lang", "h", "excerpt").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["excerpt"]))
@@ -100,7 +101,8 @@ def learn(docs: DataFrame, allowed: Column, shape: Shape = Shape()) -> Model:
     for r in reversed(got):
         own.setdefault(r["lang"], []).append(plain(r["excerpt"]))
     found = {lang: b"\n".join(dict.fromkeys(own.get(lang, ())))[-size:] for lang in langs}
-    return Model({k: v for k, v in found.items() if len(v) >= 8}, shape)
+    # a dictionary has 8 bytes at least, so what is shorter is repeated
+    return Model({k: v * -(-8 // len(v)) for k, v in found.items() if v}, shape)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], min_margin: float = 0.01, reject: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, words_of
+from .common import Kept, stored, words_of
 
 #: Sources whose plan is broadcast (about 100 bytes each); with more, the plan is joined by source and bucket of the key.
 FEW_SOURCES = 100_000
@@ -59,6 +59,7 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     df = docs.select(*kept.columns(), src.alias("_src"), key.alias("_key"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
     # a source's documents are spread over buckets of their key, whose sums are put in order first
     keys = df.groupBy("_src", F.substring("_key", 1, 3).alias("_bucket"), "_key").agg(F.sum("size").alias("_n"))
+    keys = stored(keys, "mixing-keys")  # the texts are read for the sizes once, and once for the result
     buckets = keys.groupBy("_src", "_bucket").agg(F.sum("_n").alias("_n"))
     in_order = Window.partitionBy("_src").orderBy("_bucket")
     buckets = buckets.select("_src", "_bucket", (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"))
@@ -68,7 +69,7 @@ def mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2)
     targets = targets.withColumn("_whole", whole.cast("int")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     within = Window.partitionBy("_src", "_bucket").orderBy("_key")
     # a source may hold a third of all rows, so nothing is joined by source alone but buckets: few sources are broadcast, many joined by bucket too
-    few = docs.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    few = keys.select("_src").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     small = F.broadcast if few else lambda df: df
     buckets = buckets.join(small(targets.select("_src", "_rest")), "_src")
     placed = keys.withColumn("_upto", F.sum("_n").over(within)).join(buckets, ["_src", "_bucket"])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Kept, frugal, text_slices
+from .common import Kept, block_of_row, frugal, text_slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -341,17 +341,19 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     chunk; characters without a piece become the ids of their UTF-8 bytes, and
     so does U+2581 where the text itself holds it. `exact` says that decoding
     the ids gives the text again. Null and empty texts have no ids, equal rows
-    equal ids, an empty table no rows. Columns of `keep` named like a result
+    equal ids, an empty table no rows. Bytes that are no UTF-8 count as U+FFFD
+    (a text that is passed on is passed on so). Columns of `keep` named like a result
     give way to it.
 
     The `most_frequent` chunks of a sample of about `sample_bytes` are
     segmented first and broadcast (some 4 MB). Rows are dealt into blocks of
-    about `block_bytes` by hash of doc_id and text. Each block numbers its
+    about `block_bytes` by hash of doc_id, text and input partition. Each block numbers its
     distinct chunks and asks once for each other one; all blocks' questions
     are joined to the segmented chunks, and the answers, bundled by block,
     meet its texts in one task. No dictionary of the whole corpus is in one
     place.
     """
+    docs = docs.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     known = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, pieces, min(1.0, sample_bytes / max(1, int(total))), most_frequent))
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
@@ -371,7 +373,7 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
                 texts += [None if t is None else packer.compress(t) for t in b.column("_text").slice(i, 256).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
-    head = [F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"), *columns]
+    head = [block_of_row(blocks).alias("_block"), *columns]
     source = docs.select(*head, F.col("text").alias("_text"))
     packed = source.mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(blocks, "_block")
 
@@ -476,7 +478,8 @@ def inexact(ids: np.ndarray, ends: np.ndarray, units: pa.BinaryArray, parts: lis
         own = units[i : i + 50_000].to_pylist()
         text = spell.take(pa.array(ids[ends[i] : ends[i + len(own)]])).to_pylist()
         plain = [u.replace(MARK, b" ").replace(OWN, MARK) for u in own]
-        if b"".join(text) != b"".join(plain):
+        size = np.cumsum([0, *map(len, text)])[ends[i : i + len(own) + 1] - ends[i]]
+        if b"".join(text) != b"".join(plain) or np.any(np.diff(size) != list(map(len, plain))):
             at = (ends[i : i + len(own) + 1] - ends[i]).tolist()
             wrong[i : i + len(own)] = [b"".join(text[a:b]) != p for a, b, p in zip(at[:-1], at[1:], plain, strict=True)]
     return wrong

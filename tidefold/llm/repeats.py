@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, frugal, text_slices
+from .common import Kept, block_of_row, frugal, text_slices
 from .induced import array, blocks, suffixes
 
 GRAM = 16
@@ -173,7 +173,7 @@ def removed(docs: DataFrame, keep: list[str], width: int = 50, block_bytes: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*b.schema.names[:-1], "_packed"])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    head = [F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block"), order.alias("_doc"), *passed]
+    head = [block_of_row(n_blocks).alias("_block"), order.alias("_doc"), *passed]
     packed = docs.select(*head, F.col("text").alias("_text")).mapInArrow(pack, docs.select(*head).schema.add("_packed", "binary")).repartition(n_blocks, "_block")
 
     def texts_of(b, *columns: str) -> Iterator[tuple]:

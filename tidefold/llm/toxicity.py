@@ -236,7 +236,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
             later = F.lit(True) if after[y] is None else F.struct("h", "doc_id") > F.struct(F.lit(after[y][0]).alias("h"), F.lit(after[y][1]).alias("doc_id"))
             picked += own.where((F.col("y") == y) & later).orderBy("h", "doc_id").limit(most).collect() if most else []
         some = docs.sparkSession.createDataFrame(picked, own.schema)  # at most `rows` ids
-        found = text.join(F.broadcast(some), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text")).toArrow().to_pylist()
+        found = text.join(F.broadcast(some), "doc_id").groupBy("h", "doc_id", "y").agg(F.make_valid_utf8(F.min("text")).alias("text")).toArrow().to_pylist()
         got += found
         for y, most in want.items():
             asked = [(r["h"], r["doc_id"]) for r in picked if r["y"] == y]
