@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.numeric import norm_cdf, norm_cdf_sql, rounded, trial_quantile
-from .operators import audit, axis, features, folds, labels, learn, metrics
+from .operators import audit, axis, features, folds, labels, learn, metrics, slices
 from .plans import scoring
 from .sources import files, generators
 
@@ -424,6 +424,91 @@ def max_drawdown(spark, sf_dir):
     return metrics.max_drawdown(_returns(spark, sf_dir), ["series_id"]).withColumn("max_drawdown", rounded("max_drawdown"))
 
 
+# --- long series ----------------------------------------------------------
+
+#: Orders as bars, of which a third is one series.
+LONG_BARS = "bars AS (SELECT series_id, t, o_orderkey, close, row_number() OVER (PARTITION BY series_id ORDER BY t, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS series_id, o_orderdate AS t, o_orderkey, o_totalprice / 1000 AS close FROM orders WHERE o_totalprice > 0))"
+SLICE_ROWS = 1024
+
+
+def _long_bars(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").where("o_totalprice > 0")
+    o = o.select(F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey")).cast("long").alias("series_id"), F.col("o_orderdate").alias("t"), "o_orderkey", (F.col("o_totalprice") / 1000).alias("close"))
+    return axis.with_positions(o, ("t", "o_orderkey"), F.date_trunc("month", "t"))
+
+
+@query(f"""WITH {LONG_BARS} SELECT series_id, pos, {R6('sum(close / 997) OVER w')} AS total, {R6('product(1 + (close - 150) / 50000) OVER w')} AS wealth, {R6('max(close) OVER w')} AS peak,
+{R6('last_value(CASE WHEN close > 300 THEN close END IGNORE NULLS) OVER w')} AS last_high FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING)""")
+def scan_by_slices(spark, sf_dir):
+    c = F.col("close")
+    scans = {"total": ("sum", c / 997), "wealth": ("product", 1 + (c - 150) / 50000), "peak": ("max", c), "last_high": ("last", F.when(c > 300, c))}
+    df = slices.prefix_scan(_long_bars(spark, sf_dir), scans, ["series_id"], rows=SLICE_ROWS)
+    return df.select("series_id", "pos", *[rounded(x).alias(x) for x in scans])
+
+
+LONG_FEATURES = FEATURES.replace(BARS, LONG_BARS)
+
+
+def _long_features(spark, sf_dir):
+    df = features.causal_features(features.with_log_return(_long_bars(spark, sf_dir), SLICE_ROWS), slice_rows=SLICE_ROWS)
+    return labels.fixed_horizon_returns(df, 10, slice_rows=SLICE_ROWS)
+
+
+@query(f"WITH {LONG_FEATURES} SELECT series_id, pos, " + ", ".join(f"{R6(f)} AS {f}" for f in (*features.FEATURES, "fwd")) + " FROM feat")
+def features_by_slices(spark, sf_dir):
+    return _long_features(spark, sf_dir).select("series_id", "pos", *[rounded(f).alias(f) for f in (*features.FEATURES, "fwd")])
+
+
+@query(f"WITH {ALIGNED.replace(BARS, LONG_BARS)} SELECT series_id, pos, n, y, {R6('fwd')} AS fwd, t1_pos FROM al")
+def align_by_slices(spark, sf_dir):
+    return features.align_xy(_long_features(spark, sf_dir), horizon=10, slice_rows=SLICE_ROWS).select("series_id", "pos", "n", "y", rounded("fwd").alias("fwd"), "t1_pos")
+
+
+@query(f"WITH {LONG_BARS} SELECT a.series_id, a.pos, b.pos AS t1_pos, b.t AS t1 FROM bars a JOIN bars b ON b.series_id = a.series_id AND b.pos = least(a.pos + 30, a.n - 1) WHERE a.pos < a.n - 1")
+def vertical_barrier_long(spark, sf_dir):
+    return labels.vertical_barrier(_long_bars(spark, sf_dir), 30, by_join=True).select("series_id", "pos", "t1_pos", "t1")
+
+
+@query(f"""WITH {LONG_BARS}, w AS (SELECT series_id, pos, CASE WHEN close > 150 THEN 1.0 ELSE -1.0 END AS x, product(1 + (close - 150) / 5000) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS v FROM bars),
+d AS (SELECT series_id, abs(x - lag(x) OVER (PARTITION BY series_id ORDER BY pos)) AS s, v / greatest(max(v) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 1e-16) - 1 AS f FROM w)
+SELECT series_id, {R6('avg(s)')} AS turnover, {R6('min(f)')} AS max_drawdown FROM d GROUP BY series_id""")
+def drawdown_by_slices(spark, sf_dir):
+    df = _long_bars(spark, sf_dir).select("series_id", "pos", F.when(F.col("close") > 150, 1.0).otherwise(-1.0).alias("position"), ((F.col("close") - 150) / 5000).alias("ret"))
+    out = metrics.turnover(df, ["series_id"], slice_rows=SLICE_ROWS).join(metrics.max_drawdown(df, ["series_id"], slice_rows=SLICE_ROWS), "series_id")
+    return out.select("series_id", rounded("turnover").alias("turnover"), rounded("max_drawdown").alias("max_drawdown"))
+
+
+#: Line items of which a third is one group.
+GROUPED = "g AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS series_id, l_extendedprice AS p, floor(l_quantity / 7) AS q, l_discount AS d, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
+
+
+def _grouped(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("l_suppkey")).cast("long").alias("series_id"),
+        F.col("l_extendedprice").alias("p"), F.floor(F.col("l_quantity") / 7).alias("q"), F.col("l_discount").alias("d"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
+    )
+
+
+@query(f"WITH {GROUPED} SELECT series_id, p, count(*) AS n, {R6('any_value(r)')} AS rank FROM (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY p) + (count(*) OVER (PARTITION BY series_id, p) - 1) / 2.0 AS r FROM g) GROUP BY series_id, p")
+def rank_by_ranges(spark, sf_dir):
+    return slices.value_ranks(_grouped(spark, sf_dir), ["series_id"], "p").select("series_id", "p", "n", rounded("rank").alias("rank"))
+
+
+WHOLE_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+AUC_OF_RANKS = "(sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y <> 1), 0)"
+
+
+@query(f"""WITH {GROUPED}, r AS (SELECT series_id, y, {AVG_RANK.format('p')} AS k, {AVG_RANK.format('p')} AS a, {AVG_RANK.format('q')} AS b FROM g), w AS (SELECT y, {WHOLE_RANK.format('d')} AS k, {WHOLE_RANK.format('p')} AS a, {WHOLE_RANK.format('q')} AS b FROM g)
+SELECT series_id, {R6(AUC_OF_RANKS)} AS auc, CASE WHEN count(*) >= 3 THEN {R6('corr(a, b)')} END AS ic FROM r GROUP BY series_id UNION ALL SELECT NULL, {R6(AUC_OF_RANKS)}, {R6('corr(a, b)')} FROM w""")
+def auc_by_ranges(spark, sf_dir):
+    """AUC and information coefficient of each group, and (null) of the whole table as one."""
+    g = _grouped(spark, sf_dir)
+    own = slices.auc_by_ranges(g, ["series_id"], "y", "p").join(slices.ic_by_ranges(g, ["series_id"], "p", "q"), "series_id")
+    whole = slices.auc_by_ranges(g, [], "y", "d").crossJoin(slices.ic_by_ranges(g, [], "p", "q"))  # one row each
+    out = own.unionByName(whole.select(F.lit(None).cast("long").alias("series_id"), "auc", "ic"))
+    return out.select("series_id", rounded("auc").alias("auc"), rounded("ic").alias("ic"))
+
+
 # --- audit ----------------------------------------------------------------
 
 
@@ -587,9 +672,31 @@ def protocol_auc(spark, sf_dir):
     return df.select("split_id", "n_folds_scored", *[rounded(c).alias(c) for c in ("auc_mean", "auc_std", "auc_min", "auc_max")])
 
 
+def _newton_sql(steps: int = 12) -> str:
+    """The fit of one scaled feature per fold, Newton steps written out."""
+    one = """n{k} AS MATERIALIZED (SELECT split_id, series_id, a - (gb_ * -hab + ga * hbb) / det AS a, b - (ga * -hab + gb_ * haa) / det AS b FROM (
+  SELECT *, haa * hbb - hab * hab AS det FROM (
+    SELECT split_id, series_id, any_value(a) AS a, any_value(b) AS b, sum((p - y) * x) + any_value(a) AS ga, sum(p - y) AS gb_, sum(p * (1 - p) * x * x) + 1 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) AS hbb
+    FROM (SELECT f.*, a, b, 1 / (1 + exp(-(a * x + b))) AS p FROM f JOIN n{j} USING (split_id, series_id)) GROUP BY split_id, series_id)))"""
+    return f"""WITH {_purge_sql(KFOLD_TEST, 'any_value(0)')}, lb AS (SELECT series_id, pos, close AS x, CASE WHEN lead(close) OVER (PARTITION BY series_id ORDER BY pos) > close THEN 1 ELSE 0 END AS y FROM bars),
+sc AS MATERIALIZED (SELECT split_id, series_id, avg(x) AS m, CASE WHEN min(x) = max(x) THEN 1 ELSE stddev_pop(x) END AS s FROM tr JOIN lb USING (series_id, pos) GROUP BY split_id, series_id HAVING min(y) < max(y)),
+f AS MATERIALIZED (SELECT split_id, series_id, y, (x - m) / s AS x FROM tr JOIN lb USING (series_id, pos) JOIN sc USING (split_id, series_id)),
+n0 AS MATERIALIZED (SELECT split_id, series_id, 0::DOUBLE AS a, 0::DOUBLE AS b FROM sc), {', '.join(one.format(j=i, k=i + 1) for i in range(steps))}
+SELECT split_id, series_id, te.pos, y, {R6(f'1 / (1 + exp(-(a * (x - m) / s + b)))')} AS p FROM te JOIN lb USING (series_id, pos) JOIN sc USING (split_id, series_id) JOIN n{steps} USING (split_id, series_id)"""
+
+
+@query(_newton_sql())
+def newton_folds(spark, sf_dir):
+    """Logistic fits on the price alone, of the purged folds of all series together."""
+    b = _bars(spark, sf_dir)
+    up = F.when(F.lead("close").over(Window.partitionBy("series_id").orderBy("pos")) > F.col("close"), 1).otherwise(0)
+    rows = b.select("series_id", "pos", "n", F.col("close").alias("x"), up.alias("y"), F.lit(0.0).alias("fwd"), F.least(F.col("pos") + 5, F.col("n") - 1).alias("t1_pos"))
+    return learn.grouped_logistic(rows, folds.purged_kfold(rows, 5), ["x"]).select("split_id", "series_id", "pos", "y", rounded("p").alias("p"))
+
+
 @query()
 def logistic_folds(spark, sf_dir):
-    """Logistic probabilities of every series' purged folds, fitted in one job."""
+    """Logistic probabilities on all features of every series' purged folds, fitted together."""
     rows = _aligned(spark, sf_dir).where("n >= 30")
     splits = scoring.enough_rows(folds.purged_kfold(rows, 3, embargo_pct=0.01), ["split_id", "series_id"], 10, 5)
     return learn.grouped_logistic(rows, splits, list(features.FEATURES))

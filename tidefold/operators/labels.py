@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, guarded_ln
 from .axis import by_pos, series
+from .slices import framed
 
-def fixed_horizon_returns(axis: DataFrame, horizon: int, *, kind: str = "log") -> DataFrame:
-    """axis with fwd: the return over the next `horizon` bars, null for the last ones."""
+
+def fixed_horizon_returns(axis: DataFrame, horizon: int, *, kind: str = "log", slice_rows: int | None = None) -> DataFrame:
+    """axis with fwd: the return over the next `horizon` bars, null for the last ones. With `slice_rows`, in slices of a long series."""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
+    if kind not in ("log", "simple"):
+        raise ValueError(f"unknown kind {kind!r}")
     now = finite("close")
-    ahead = F.lead(now, horizon).over(by_pos())
-    if kind == "log":
-        return axis.withColumn("fwd", F.ln(ahead) - F.ln(now))
-    if kind == "simple":
-        return axis.withColumn("fwd", F.try_divide(ahead, now) - 1)
-    raise ValueError(f"unknown kind {kind!r}")
+
+    def build(df: DataFrame, window: WindowSpec) -> DataFrame:
+        ahead = F.lead(now, horizon).over(window)
+        return df.withColumn("fwd", F.ln(ahead) - F.ln(now) if kind == "log" else F.try_divide(ahead, now) - 1)
+
+    return framed(axis, build, ahead=horizon, rows=slice_rows)
 
 
-def vertical_barrier(axis: DataFrame, horizon: int, events: DataFrame | None = None) -> DataFrame:
+def vertical_barrier(axis: DataFrame, horizon: int, events: DataFrame | None = None, *, by_join: bool = False) -> DataFrame:
     """(series_id, pos, t, t1_pos, t1): where each event's label ends, `horizon` bars on or at the last bar.
 
     Events are rows (series_id, t) of which those on the axis count; without
-    them every bar is one. An event at the last bar has no label.
+    them every bar is one. An event at the last bar has no label. `by_join`
+    looks the end up by its position, for series too long for one task.
     """
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
+    if by_join:
+        df = t1_from_horizon(axis, horizon).join(axis.select("series_id", "pos", "t"), ["series_id", "pos"])
+        df = df.where(F.col("pos") < F.col("n") - 1).join(axis.select("series_id", F.col("pos").alias("t1_pos"), F.col("t").alias("t1")), ["series_id", "t1_pos"])
+        df = df.select("series_id", "pos", "t", "t1_pos", "t1")
+        return df if events is None else df.join(events.select("series_id", "t").distinct(), ["series_id", "t"], "left_semi")
     df = axis.select("series_id", "pos", "t", "n", F.least(F.col("pos") + horizon, F.col("n") - 1).alias("t1_pos"), F.coalesce(F.lead("t", horizon).over(by_pos()), F.max("t").over(series())).alias("t1"))
     df = df.where(F.col("pos") < F.col("n") - 1).drop("n")
     return df if events is None else df.join(events.select("series_id", "t").distinct(), ["series_id", "t"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import SPLIT
+from .store import Stored, stored
 
 
 @dataclass
@@ -123,26 +125,89 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 1
     return w
 
 
+def _newton_state(frames: Iterator[pd.DataFrame], keys: list[str], d: int, c: float) -> Iterator[pd.DataFrame]:
+    """What a fold tries next, from the sums over its rows at the weights `w` that it tried.
+
+    Weights that do not raise the loss become the base of a new Newton step;
+    others halve the step from the last base. A fold is done when its step is
+    so small that what is left of the error after it is beyond double
+    precision, as each step squares the error.
+    """
+    upper = np.triu_indices(d + 1)
+    pull = np.diag([*np.ones(d), 0.0])
+    for df in frames:
+        rows = []
+        for r in df.itertuples(index=False):
+            w, base, step, size, base_loss = np.array(r.w), np.array(r.base), np.array(r.step), r.size, r.base_loss
+            sums = np.array(r.sums)
+            loss = c * sums[0] + 0.5 * w[:-1] @ w[:-1]
+            done = False
+            if loss <= base_loss + 1e-13 * abs(base_loss) or size <= 1e-8:
+                h = np.zeros((d + 1, d + 1))
+                h[upper] = c * sums[d + 2 :]
+                h = h + np.triu(h, 1).T + pull + 1e-12 * np.eye(d + 1)
+                step = np.linalg.solve(h, c * sums[1 : d + 2] + pull @ w)
+                base, base_loss, size = w, loss, 1.0
+                done = bool(np.abs(step).max() < 1e-6)
+            else:
+                size /= 2
+            rows.append((*[getattr(r, k) for k in keys], (base - size * step).tolist(), base.tolist(), step.tolist(), size, base_loss, done))
+        yield pd.DataFrame(rows, columns=[*keys, "w", "base", "step", "size", "base_loss", "done"])
+
+
+def newton_weights(train: DataFrame, keys: list[str], d: int, c: float = 1.0, rounds: int = 60) -> Stored:
+    """(keys, w) of the logistic fit of each fold: weights and, last, the intercept, as newton_logistic has them.
+
+    train: (keys, y, x0 .. x{d-1}). A round is one pass for all folds: gradient
+    and Hessian are sums, added up in the tasks before the shuffle, so a fold
+    of any size and any number of folds are fitted alike; what is solved per
+    fold is one small system. The weights of a round are a stored table, joined
+    to the rows by their size (broadcast where they are few).
+    """
+    zero = F.array(*[F.lit(0.0)] * (d + 1))
+    state = stored(train.select(*keys).distinct().select("*", zero.alias("w"), zero.alias("base"), zero.alias("step"), F.lit(1.0).alias("size"), F.lit(float("inf")).alias("base_loss"), F.lit(False).alias("done")), "newton")
+    x = [F.col(f"x{j}") for j in range(d)] + [F.lit(1.0)]
+    for _ in range(rounds):
+        open_ = state.df.where("NOT done")
+        if open_.isEmpty():
+            break
+        z = sum((F.col("w")[j] * x[j] for j in range(d)), F.col("w")[d])
+        at = train.join(open_.select(*keys, "w"), keys).withColumn("_z", z)
+        p = 1 / (1 + F.exp(-F.greatest(F.least("_z", F.lit(500.0)), F.lit(-500.0))))
+        # log(1 + exp(v)) without overflow, v being -z for label 1 and z for label 0
+        v = F.when(F.col("y") == 1, -F.col("_z")).otherwise(F.col("_z"))
+        at = at.withColumn("_loss", F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))).withColumn("_p", p)
+        off, curve = F.col("_p") - F.col("y"), F.col("_p") * (1 - F.col("_p"))
+        sums = [F.sum("_loss"), *[F.sum(off * x[j]) for j in range(d + 1)], *[F.sum(curve * x[i] * x[j]) for i in range(d + 1) for j in range(i, d + 1)]]
+        found = at.groupBy(*keys).agg(*[s.alias(f"_s{i}") for i, s in enumerate(sums)]).select(*keys, F.array(*[f"_s{i}" for i in range(len(sums))]).alias("sums"))
+        asked = found.join(open_, keys)
+        moved = asked.select(*keys, "sums", "w", "base", "step", "size", "base_loss").mapInPandas(lambda frames: _newton_state(frames, keys, d, c), state.df.schema)
+        new = stored(moved.unionByName(state.df.where("done")), "newton")
+        state.drop()
+        state = new
+    return state
+
+
 def grouped_logistic(rows: DataFrame, splits: DataFrame, features: list[str], keys: list[str] | None = None, c: float = 1.0) -> DataFrame:
-    """(keys, pos, y, fwd, p) on test rows: every fold's logistic fit in one job, for many folds that each fit in a task."""
+    """(keys, pos, y, fwd, p) on test rows: the logistic fits of all folds, by Newton steps that all folds take together.
+
+    Features are centred and scaled by the training rows of each fold.
+    Folds without both classes in training are left out.
+    """
     keys = keys or SPLIT
-    both = splits.join(rows.select("series_id", "pos", "y", "fwd", *features), ["series_id", "pos"])
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        train, test = df[df.role == "train"], df[df.role == "test"].sort_values("pos")
-        out = test[[*keys, "pos", "y", "fwd"]].copy()
-        if train.y.nunique() < 2 or test.empty:
-            return out.iloc[:0].assign(p=[])
-        mean, dev = train[features].mean().to_numpy(), train[features].std(ddof=0).to_numpy()
-        dev = np.where(dev > 0, dev, 1)
-        w = newton_logistic((train[features].to_numpy() - mean) / dev, train.y.to_numpy(), c)
-        z = (test[features].to_numpy() - mean) / dev @ w[:-1] + w[-1]
-        out["p"] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        return out
-
-    kept = both.select(*keys, "pos", "role", F.col("y").cast("int"), F.col("fwd").cast("double"), *features)
-    schema = kept.select(*keys, "pos", "y", "fwd").schema.add("p", "double")
-    return kept.groupBy(*keys).applyInPandas(one, schema)
+    both = splits.join(rows.select("series_id", "pos", F.col("y").cast("int").alias("y"), F.col("fwd").cast("double").alias("fwd"), *[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)]), ["series_id", "pos"])
+    names = [f"x{j}" for j in range(len(features))]
+    train = both.where("role = 'train'").select(*keys, "y", *names)
+    flat = lambda x: F.min(x) == F.max(x)
+    scale = train.groupBy(*keys).agg(*[F.avg(x).alias(f"_m{x}") for x in names], *[F.when(flat(x) | (F.stddev_pop(x) == 0), 1.0).otherwise(F.stddev_pop(x)).alias(f"_d{x}") for x in names], F.min("y").alias("_a"), F.max("y").alias("_b"))
+    scale = stored(scale.where("_a < _b").drop("_a", "_b"), "scale").df
+    scaled = [((F.col(x) - F.col(f"_m{x}")) / F.col(f"_d{x}")).alias(x) for x in names]
+    fitted_rows = stored(train.join(scale, keys).select(*keys, "y", *scaled), "fold-rows")
+    weights = newton_weights(fitted_rows.df, keys, len(names), c).df.select(*keys, "w")
+    fitted_rows.drop()
+    test = both.where("role = 'test'").join(scale, keys).join(weights, keys).select(*keys, "pos", "y", "fwd", "w", *scaled)
+    z = sum((F.col("w")[j] * F.col(x) for j, x in enumerate(names)), F.col("w")[len(names)])
+    return test.select(*keys, "pos", "y", "fwd", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("p"))
 
 
 def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int = 11, block: int = 512) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..functions.stats import pearson
+from .slices import matched, slice_of
 
 
 def average_rank(value: str, keys: list[str], known: Column | None = None) -> Column:
@@ -24,19 +25,47 @@ def average_rank(value: str, keys: list[str], known: Column | None = None) -> Co
     return rank if known is None else F.when(known, rank)
 
 
-def turnover(df: DataFrame, keys: list[str], position: str = "position", order: str = "pos") -> DataFrame:
-    """(keys, turnover): mean absolute change between successive known positions; null for fewer than two."""
-    known = df.select(*keys, order, finite(position).alias("_x")).where(F.col("_x").isNotNull())
-    step = F.abs(F.col("_x") - F.lag("_x", 1).over(Window.partitionBy(*keys).orderBy(order)))
-    return known.withColumn("_step", step).groupBy(*keys).agg(F.avg("_step").alias("turnover"))
-
+def turnover(df: DataFrame, keys: list[str], position: str = "position", order: str = "pos", slice_rows: int | None = None) -> DataFrame:
+    """(keys, turnover): mean absolute change between successive known positions; null for fewer than two.
 
-def max_drawdown(df: DataFrame, keys: list[str], returns: str = "ret", order: str = "pos") -> DataFrame:
-    """(keys, max_drawdown): the lowest wealth over its running peak, less 1. The peak starts at the first wealth, not at 1."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    With `slice_rows`, changes are added up within slices of so many values of
+    the order (a whole number), and those between slices from their ends.
+    """
+    known = df.select(*keys, order, finite(position).alias("_x")).where(F.col("_x").isNotNull())
+    if slice_rows is None:
+        step = F.abs(F.col("_x") - F.lag("_x", 1).over(Window.partitionBy(*keys).orderBy(order)))
+        return known.withColumn("_step", step).groupBy(*keys).agg(F.avg("_step").alias("turnover"))
+    own = [*keys, "_slice"]
+    known = known.withColumn("_slice", slice_of(order, slice_rows))
+    known = known.withColumn("_step", F.abs(F.col("_x") - F.lag("_x", 1).over(Window.partitionBy(*own).orderBy(order))))
+    ends = known.groupBy(*own).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("_sum"), F.count("_step").alias("_n"), F.min_by("_x", order).alias("_first"), F.max_by("_x", order).alias("_last"))
+    border = F.abs(F.col("_first") - F.lag("_last", 1).over(Window.partitionBy(*keys).orderBy("_slice")))
+    ends = ends.withColumn("_border", border)
+    return ends.groupBy(*keys).agg(F.try_divide(F.sum("_sum") + F.coalesce(F.sum("_border"), F.lit(0.0)), F.sum("_n") + F.count("_border")).alias("turnover"))
+
+
+def max_drawdown(df: DataFrame, keys: list[str], returns: str = "ret", order: str = "pos", slice_rows: int | None = None) -> DataFrame:
+    """(keys, max_drawdown): the lowest wealth over its running peak, less 1. The peak starts at the first wealth, not at 1.
+
+    With `slice_rows`, wealth and peak run within slices of so many values of
+    the order, and the wealth and peak of earlier slices are joined to them.
+    """
     known = df.select(*keys, order, finite(returns).alias("_x")).where(F.col("_x").isNotNull())
-    known = known.withColumn("_wealth", F.product(1 + F.col("_x")).over(w))
-    known = known.withColumn("_fall", F.col("_wealth") / F.greatest(F.max("_wealth").over(w), F.lit(1e-16)) - 1)
+    own = keys if slice_rows is None else [*keys, "_slice"]
+    if slice_rows is not None:
+        known = known.withColumn("_slice", slice_of(order, slice_rows))
+    w = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("_wealth", F.product(1 + F.col("_x")).over(w)).withColumn("_peak", F.max("_wealth").over(w))
+    if slice_rows is not None:
+        low = known.groupBy(*own).agg(F.max_by("_wealth", order).alias("_all"), F.max("_wealth").alias("_top"), F.min("_wealth").alias("_bottom"))
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+        low = low.withColumn("_scale", F.coalesce(F.product("_all").over(before), F.lit(1.0)))
+        # a negative scale turns the largest wealth into the smallest
+        low = low.withColumn("_above", F.max(F.greatest(F.col("_scale") * F.col("_top"), F.col("_scale") * F.col("_bottom"))).over(before))
+        known = matched(known, low.select(*own, "_scale", "_above"), own)
+        known = known.withColumn("_wealth", F.col("_scale") * F.col("_wealth"))
+        known = known.withColumn("_peak", F.greatest("_above", F.max("_wealth").over(w)))
+    known = known.withColumn("_fall", F.col("_wealth") / F.greatest(F.col("_peak"), F.lit(1e-16)) - 1)
     return known.groupBy(*keys).agg(F.min("_fall").alias("max_drawdown"))
 
 
