@@ -491,7 +491,7 @@ def _grouped(spark, sf_dir):
 
 @query(f"WITH {GROUPED} SELECT series_id, p, count(*) AS n, {R6('any_value(r)')} AS rank FROM (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY p) + (count(*) OVER (PARTITION BY series_id, p) - 1) / 2.0 AS r FROM g) GROUP BY series_id, p")
 def rank_by_ranges(spark, sf_dir):
-    return slices.value_ranks(_grouped(spark, sf_dir), ["series_id"], "p").select("series_id", "p", "n", rounded("rank").alias("rank"))
+    return slices.value_ranks(_grouped(spark, sf_dir), ["series_id"], "p", 32).select("series_id", "p", "n", rounded("rank").alias("rank"))
 
 
 WHOLE_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"

@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import SPLIT
+from .slices import in_ranges, prefix_scan
 from .store import Stored, stored
 
 
@@ -210,30 +211,71 @@ def grouped_logistic(rows: DataFrame, splits: DataFrame, features: list[str], ke
     return test.select(*keys, "pos", "y", "fwd", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("p"))
 
 
-def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int = 11, block: int = 512) -> DataFrame:
+def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int = 11, cell: int = 32, range_rows: int = 1 << 18) -> DataFrame:
     """(split_id, series_id, pos, y, p): share of label 1 among the k nearest training rows of the same split, ties by position.
 
-    Exact. Training rows go in blocks of `block` positions; each test row
-    meets each block once, finds its k nearest there, and the blocks' finds
-    are merged. So a pair of rows is never a row of its own, and a long series
-    is spread over the tasks by its blocks.
+    Exact. The training rows of each split and series are put in order of the
+    first feature, by ranges of its values of `range_rows` rows or so (so no
+    task sees a series of more), and cut into cells of `cell` rows. A test row is compared with the cell it falls in
+    and those beside it, which hold k rows at least. What is nearer than the
+    k-th of these can lie only in cells whose first feature comes that near;
+    these alone are visited besides, and there are none for one feature
+    without ties. Of equal training rows the k first are enough.
     """
-    both = splits.join(rows.select("series_id", "pos", "y", *features), ["series_id", "pos"])
-    own = [F.col(f).alias(f"_t{i}") for i, f in enumerate(features)]
-    test = both.where("role = 'test'").select(*SPLIT, "pos", "y", *own)
-    train = both.where("role = 'train'").select(*SPLIT, F.floor(F.col("pos") / block).alias("_block"), F.struct(F.col("pos").alias("at"), F.col("y").cast("double").alias("y"), *own).alias("_row"))
-    blocks = train.groupBy(*SPLIT, "_block").agg(F.collect_list("_row").alias("_rows"))
-    asked = test.join(blocks.select(*SPLIT, "_block"), SPLIT)
-    square = lambda r, i: (F.col(f"_t{i}") - r[f"_t{i}"]) * (F.col(f"_t{i}") - r[f"_t{i}"])
+    if cell < k:
+        raise ValueError("a cell holds k rows at least")
+    f = [f"_f{i}" for i in range(len(features))]
+    both = splits.join(rows.select("series_id", "pos", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, f, strict=True)]), ["series_id", "pos"])
+    y_type = rows.schema["y"].dataType
+    both = stored(both.select(*SPLIT, "pos", "y", *f, F.when(F.col("role") == "train", 1).otherwise(0).alias("_train")), "neighbours").df
+    copy = F.row_number().over(Window.partitionBy(*SPLIT, *f).orderBy("pos"))
+    train = both.where("_train = 1").withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
+
+    ranges = -(-both.count() // range_rows)
+
+    def counted(points: DataFrame) -> DataFrame:
+        """points (keys, _v, _train, _tie, ..) with _before: training rows before each in order of _v and _tie."""
+        placed = in_ranges(points, "_v", max(1, ranges)).withColumn("_order", F.struct("_v", "_tie"))
+        if ranges <= 1:
+            out = placed.withColumn("_before", F.sum("_train").over(Window.partitionBy(*SPLIT).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)))
+        else:
+            out = prefix_scan(placed, {"_before": ("sum", F.col("_train"))}, SPLIT, "_order", part="_range", inclusive=False)
+        return out.withColumn("_before", F.coalesce("_before", F.lit(0))).drop("_range", "_order")
+
+    line = train.unionByName(both.where("_train = 0")).withColumn("_v", F.col("_f0")).withColumn("_tie", F.struct(F.col("_train").alias("kind"), "pos", F.lit(0).alias("side")))
+    line = counted(line).withColumn("_cell", F.floor(F.col("_before") / cell)).drop("_v", "_tie")
+    row = F.struct(F.col("pos").alias("at"), "y", *f)
+    cells = line.where("_train = 1").groupBy(*SPLIT, "_cell").agg(F.collect_list(row).alias("_rows"), F.min("_f0").alias("_lo"), F.max("_f0").alias("_hi"))
+    beside = F.abs(F.col("_cell") - F.col("_home")) <= 1
+    only = lambda c: F.when(beside, F.col(c))
+    near = cells.withColumn("_home", F.explode(F.sequence(F.col("_cell") - 2, F.col("_cell") + 2))).groupBy(*SPLIT, "_home").agg(
+        F.flatten(F.collect_list(only("_rows"))).alias("_rows"), F.min(only("_lo")).alias("_lo"), F.max(only("_hi")).alias("_hi"), F.min("_cell").alias("_first"), F.max("_cell").alias("_last")
+    )
 
     def pair(r):
-        distance = square(r, 0)
-        for i in range(1, len(features)):
-            distance = distance + square(r, i)
+        distance = sum(((F.col(c) - r[c]) * (F.col(c) - r[c]) for c in f), F.lit(0.0))
         return F.struct(distance.alias("d"), r["at"].alias("at"), r["y"].alias("y"))
 
     nearest = lambda pairs: F.slice(F.sort_array(pairs), 1, k)
-    found = asked.join(blocks, [*SPLIT, "_block"]).select(*SPLIT, "pos", "y", nearest(F.transform("_rows", pair)).alias("_near"))
-    merged = found.groupBy(*SPLIT, "pos", "y").agg(nearest(F.flatten(F.collect_list("_near"))).alias("_near"))
-    total = F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + x["y"])
-    return merged.select(*SPLIT, "pos", "y", (total / F.size("_near")).alias("p"))
+    share = F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + x["y"]) / F.size("_near")
+    result = lambda df: df.select(*SPLIT, "pos", F.col("y").cast(y_type).alias("y"), share.alias("p"))
+    test = line.where("_train = 0").withColumnRenamed("_cell", "_home")
+    found = test.join(near, [*SPLIT, "_home"]).withColumn("_near", nearest(F.transform("_rows", pair)))
+    reach, gap = F.try_element_at("_near", F.lit(k))["d"], lambda c: (F.col("_f0") - F.col(c)) * (F.col("_f0") - F.col(c))
+    more = (F.col("_first") < F.col("_home") - 1) & (gap("_lo") <= reach) | (F.col("_last") > F.col("_home") + 1) & (gap("_hi") <= reach)
+    found = stored(found.select(*SPLIT, "pos", "y", *f, "_home", "_near", reach.alias("_reach"), F.coalesce(more, F.lit(False)).alias("_more")), "neighbours").df
+    asking = found.where("_more")
+    if asking.isEmpty():
+        return result(found)
+    # how many training rows lie before the interval that may hold nearer ones, and up to its end
+    margin = F.sqrt("_reach") * (1 + 1e-12)
+    ends = asking.select(*SPLIT, "pos", F.lit(0).alias("_train"), F.inline(F.array(F.struct((F.col("_f0") - margin).alias("_v"), F.lit(-1).alias("side")), F.struct((F.col("_f0") + margin).alias("_v"), F.lit(1).alias("side")))))
+    points = train.select(*SPLIT, "pos", "_train", F.col("_f0").alias("_v"), F.lit(0).alias("side")).unionByName(ends)
+    points = counted(points.withColumn("_tie", F.struct(F.col("side").alias("kind"), "pos", F.col("side").alias("side"))))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("_before")))
+    spans = points.where("side <> 0").groupBy(*SPLIT, "pos").agg(F.floor(of(-1) / cell).alias("_from"), F.floor((of(1) - 1) / cell).alias("_to"))
+    wanted = asking.join(spans, [*SPLIT, "pos"]).withColumn("_cell", F.explode(F.sequence("_from", F.greatest("_from", "_to"))))
+    wanted = wanted.where(F.abs(F.col("_cell") - F.col("_home")) > 1)
+    visited = wanted.join(cells, [*SPLIT, "_cell"]).select(*SPLIT, "pos", "y", nearest(F.transform("_rows", pair)).alias("_near"))
+    merged = visited.unionByName(found.select(*SPLIT, "pos", "y", "_near")).groupBy(*SPLIT, "pos", "y").agg(nearest(F.flatten(F.collect_list("_near"))).alias("_near"))
+    return result(merged)

@@ -96,8 +96,8 @@ def in_ranges(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame
     bounds = sorted({x for x in found or () if abs(x) < float("inf")})
     if not bounds:
         return df.withColumn("_range", F.lit(0))
-    made = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_v", outputCol="_range").transform(df.withColumn("_v", F.col(value).cast("double")))
-    return made.withColumn("_range", F.col("_range").cast("int")).drop("_v")
+    made = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_in_ranges", outputCol="_range").transform(df.withColumn("_in_ranges", F.col(value).cast("double")))
+    return made.withColumn("_range", F.col("_range").cast("int")).drop("_in_ranges")
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int | None = None, **counts: Column) -> DataFrame:
