@@ -75,7 +75,7 @@ def test_triple_barrier_is_brute_force(spark):
     rng = np.random.default_rng(3)
     close = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 200)))
     pairs = [(i, min(199, i + int(rng.integers(0, 40)))) for i in range(0, 199, 3)]
-    got = {r.pos: (r.barrier, r.t1_pos, r.bin) for r in labels.triple_barrier(make(spark, close), events(spark, pairs), 0.08, 0.05, min_ret=0.01, bucket=7).collect()}
+    got = {r.pos: (r.barrier, r.t1_pos, r.bin) for r in labels.triple_barrier(make(spark, close), events(spark, pairs), 0.08, 0.05, min_ret=0.01, levels=1).collect()}
     assert got == {p: brute(close, p, e, 0.08, 0.05, 0.01, 1) for p, e in pairs}
 
 

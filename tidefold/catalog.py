@@ -469,6 +469,20 @@ def vertical_barrier_long(spark, sf_dir):
     return labels.vertical_barrier(_long_bars(spark, sf_dir), 30, by_join=True).select("series_id", "pos", "t1_pos", "t1")
 
 
+LONG_HORIZON = 3000
+
+
+@query(f"""WITH {LONG_BARS}, ev AS (SELECT series_id, pos, least(pos + {LONG_HORIZON}, n - 1) AS t1_pos, close AS p0 FROM bars WHERE pos < n - 1 AND pos % 5 = 0),
+h AS (SELECT e.series_id, e.pos, e.t1_pos, p0, min(b.pos) AS q FROM ev e LEFT JOIN bars b ON b.series_id = e.series_id AND b.pos > e.pos AND b.pos <= e.t1_pos AND (ln(b.close / p0) >= 1.2 OR ln(b.close / p0) <= -3.5) GROUP BY ALL),
+o AS (SELECT h.series_id, h.pos, coalesce(q, t1_pos) AS t1_pos, ln(b.close / p0) AS ret, CASE WHEN q IS NULL THEN 'vertical' WHEN ln(b.close / p0) > 0 THEN 'upper' ELSE 'lower' END AS barrier FROM h JOIN bars b ON b.series_id = h.series_id AND b.pos = coalesce(q, t1_pos))
+SELECT series_id, pos, t1_pos, {R6('ret')} AS ret, sign(ret)::INTEGER AS bin, barrier FROM o""")
+def triple_barrier_long(spark, sf_dir):
+    """Paths of up to 3,000 bars, by blocks of 8 to 4,096."""
+    b = _long_bars(spark, sf_dir)
+    events = labels.t1_from_horizon(b, LONG_HORIZON).where((F.col("pos") < F.col("n") - 1) & (F.col("pos") % 5 == 0)).select("series_id", "pos", "t1_pos")
+    return labels.triple_barrier(b, events, 1.2, 3.5, levels=4).withColumn("ret", rounded("ret"))
+
+
 @query(f"""WITH {LONG_BARS}, w AS (SELECT series_id, pos, CASE WHEN close > 150 THEN 1.0 ELSE -1.0 END AS x, product(1 + (close - 150) / 5000) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS v FROM bars),
 d AS (SELECT series_id, abs(x - lag(x) OVER (PARTITION BY series_id ORDER BY pos)) AS s, v / greatest(max(v) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 1e-16) - 1 AS f FROM w)
 SELECT series_id, {R6('avg(s)')} AS turnover, {R6('min(f)')} AS max_drawdown FROM d GROUP BY series_id""")

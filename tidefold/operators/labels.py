@@ -56,7 +56,63 @@ def label_lifetime(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lifetime", F.col("t1_pos") - F.col("pos"))
 
 
-def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *, min_ret: float = 0.0, side: bool = False, log_returns: bool = True, bucket: int = 64) -> DataFrame:
+#: Blocks of a level hold so many of the level below.
+FAN = 8
+
+
+def extremes(axis: DataFrame, levels: int, least: float | None = None) -> DataFrame:
+    """(series_id, level, block, lo, hi): the least and greatest known close of blocks of 8, 64, .. bars, and (level 0) each bar's own.
+
+    Closes below `least` count as unknown. One pass: a bar gives a row per level, added up before the shuffle.
+    """
+    close = finite("close") if least is None else F.when(finite("close") >= least, finite("close"))
+    bars = axis.select("series_id", "pos", close.alias("close"))
+    level = F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")
+    above = bars.select("series_id", "pos", "close", level).withColumn("block", F.floor(F.col("pos") / F.pow(F.lit(float(FAN)), "level")))
+    above = above.groupBy("series_id", "level", "block").agg(F.min("close").alias("lo"), F.max("close").alias("hi"))
+    return bars.select("series_id", F.lit(0).alias("level"), F.col("pos").alias("block"), F.col("close").alias("lo"), F.col("close").alias("hi")).unionByName(above)
+
+
+def covering_blocks(first: Column, last: Column, levels: int) -> Column:
+    """Array of (level, block): the fewest blocks that make up the positions first..last, some 14 a level and what is left of the top one."""
+    blocks = lambda level, a, b: F.when(b > a, F.transform(F.sequence(a, b - 1), lambda i: F.struct(F.lit(level).alias("level"), i.alias("block"))))
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    a, b, parts = first.cast("long"), (last + 1).cast("long"), []
+    for level in range(levels):
+        up, down = F.ceil(a / FAN), F.floor(b / FAN)
+        ends = up >= down  # no block of the next level is inside
+        parts += [blocks(level, a, F.when(ends, b).otherwise(up * FAN)), F.when(~ends, blocks(level, down * FAN, b))]
+        a, b = F.when(ends, F.lit(0)).otherwise(up), F.when(ends, F.lit(0)).otherwise(down)
+    parts.append(blocks(levels, a, b))
+    return F.concat(*[F.coalesce(p, none) for p in parts])
+
+
+def first_touch(index: DataFrame, asks: DataFrame, touched: Column, levels: int) -> DataFrame:
+    """asks with q: the first position of pos + 1 .. t1_pos that `touched` holds for, null if there is none.
+
+    `touched` is a condition on a row of asks and on lo and hi, which must hold
+    for a block if it holds for one of its bars. The blocks that cover the
+    path are looked up, and of the first one that is touched the first of
+    its eight parts that is, down to a bar: tens of rows for each event
+    however long the path, all found by equi-joins on (series, level, block).
+    """
+    names = asks.columns
+    key = ["series_id", "level", "block"]
+    size = F.pow(F.lit(float(FAN)), "level")
+    at = asks.withColumn("_b", F.explode(covering_blocks(F.col("pos") + 1, F.col("t1_pos"), levels))).select(*names, "_b.level", "_b.block")
+    for level in range(levels, -1, -1):
+        hit = at.join(index, key).where(touched)
+        first = hit.groupBy(*names).agg(F.min_by(F.struct("level", "block"), F.col("block") * size).alias("_b"))
+        if level == 0:
+            found = first.select(*names, F.col("_b.block").alias("q"))
+            break
+        # blocks of this level give way to their parts, smaller ones wait
+        parts = F.when(F.col("_b.level") == level, F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.struct((F.col("_b.level") - 1).alias("level"), (F.col("_b.block") * FAN + i).alias("block")))).otherwise(F.array("_b"))
+        at = first.withColumn("_b", F.explode(parts)).select(*names, "_b.level", "_b.block")
+    return asks.join(found, names, "left")
+
+
+def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *, min_ret: float = 0.0, side: bool = False, log_returns: bool = True, levels: int = 2) -> DataFrame:
     """(series_id, pos, t1_pos, ret, bin, barrier): the first barrier that each event's path touches.
 
     events: (series_id, pos, t1_pos) and, with `side`, side of 1 or -1, which
@@ -67,8 +123,10 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     the axis raises. Events whose price is unknown or
     not positive are left out, and events without a bar.
 
-    Paths are found by an equi-join on buckets of positions, with the interval
-    as residual condition, so the plan has hash or merge joins only.
+    A path is walked over blocks of 8, 64, .. bars (`levels` of them; one for
+    each power of eight of the horizon) by their least and greatest close:
+    a return is a rising function of the close, so a block has a touch if the
+    return at its least or greatest close is one.
     """
     if pt < 0 or sl < 0:
         raise ValueError("pt and sl must not be negative")
@@ -82,23 +140,23 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     start = axis.select("series_id", "pos", "n", finite("close").alias("p0"))
     own = own.join(start, ["series_id", "pos"]).where(F.col("p0") > 0)
     own = own.select("series_id", "pos", (F.coalesce(off, F.col("t1_pos")) + F.col("_ok")).alias("t1_pos"), "side", "p0")
-    spread = own.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("pos") / bucket), F.floor(F.col("t1_pos") / bucket))))
-    path = axis.select("series_id", F.floor(F.col("pos") / bucket).alias("bucket"), F.col("pos").alias("q"), finite("close").alias("close"))
-    path = spread.join(path, ["series_id", "bucket"]).where(F.col("q").between(F.col("pos"), F.col("t1_pos")))
-    ratio = F.col("close") / F.col("p0")
-    path = path.withColumn("r", F.col("side") * (guarded_ln(ratio) if log_returns else ratio - 1))
-    at = F.struct("q", "r")
-    later = F.col("q") > F.col("pos")
-    touched = path.groupBy("series_id", "pos", "t1_pos").agg(
-        F.min(F.when(later & (F.col("r") >= pt) & F.lit(pt > 0), at)).alias("up"),
-        F.min(F.when(later & (F.col("r") <= -sl) & F.lit(sl > 0), at)).alias("down"),
-        F.max(F.when(F.col("q") == F.col("t1_pos"), at)).alias("end"),
-    )
-    up, down = F.col("up.q"), F.col("down.q")
-    touched = touched.where(F.col("end").isNotNull())
-    touched = touched.withColumn("barrier", F.when(down.isNull() & up.isNotNull() | (up < down), "upper").when(up.isNull() & down.isNotNull() | (down < up), "lower").otherwise("vertical"))
-    hit = F.when(F.col("barrier") == "lower", F.col("down")).otherwise(F.coalesce("up", "end"))
-    touched = touched.select("series_id", "pos", hit["q"].alias("t1_pos"), hit["r"].alias("ret"), "barrier")
+
+    def ret(close: Column) -> Column:
+        ratio = close / F.col("p0")
+        return F.col("side") * (guarded_ln(ratio) if log_returns else ratio - 1)
+
+    up = lambda r: (r >= pt) & F.lit(pt > 0)
+    down = lambda r: (r <= -sl) & F.lit(sl > 0)
+    either = [test(ret(F.col(c))) for c in ("lo", "hi") for test in (up, down)]
+    index = extremes(axis, levels, 0.0 if log_returns else None)
+    touched = first_touch(index, own, F.coalesce(either[0], F.lit(False)) | F.coalesce(either[1], F.lit(False)) | F.coalesce(either[2], F.lit(False)) | F.coalesce(either[3], F.lit(False)), levels)
+    # the label ends where a barrier is touched, or at t1
+    touched = touched.withColumn("_end", F.coalesce("q", "t1_pos"))
+    last = axis.select("series_id", F.col("pos").alias("_end"), finite("close").alias("_close"))
+    touched = touched.join(last, ["series_id", "_end"]).withColumn("ret", ret(F.col("_close")))
+    hit = F.col("q").isNotNull()
+    barrier = F.when(hit & up(F.col("ret")) & ~down(F.col("ret")), "upper").when(hit & down(F.col("ret")) & ~up(F.col("ret")), "lower").otherwise("vertical")
+    touched = touched.select("series_id", "pos", F.col("_end").alias("t1_pos"), "ret", barrier.alias("barrier"))
     raw = F.when(F.col("barrier") == "upper", 1).when(F.col("barrier") == "lower", -1).when(F.abs("ret") < min_ret, 0).otherwise(F.signum("ret").cast("int"))
     label = F.when(raw > 0, 1).when(raw.isNotNull(), 0) if side else raw
     return touched.select("series_id", "pos", "t1_pos", "ret", label.cast("int").alias("bin"), "barrier")
