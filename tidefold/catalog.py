@@ -523,6 +523,25 @@ def auc_by_ranges(spark, sf_dir):
     return out.select("series_id", rounded("auc").alias("auc"), rounded("ic").alias("ic"))
 
 
+LONG_ROWS = ROWS.replace(BARS, LONG_BARS).replace("FROM bars)", "FROM bars WHERE n >= 6)")
+LONG_CPCV = _purge_sql(CPCV_TEST, "floor(count(*) * 0.02)").replace(ROWS, LONG_ROWS)
+
+
+def _long_rows(spark, sf_dir):
+    return labels.t1_from_horizon(_long_bars(spark, sf_dir).where("n >= 6"), 5)
+
+
+@query(f"WITH {CPCV_ASSIGN}, {LONG_CPCV} {ROLES}")
+def cpcv_long(spark, sf_dir):
+    return folds.cpcv(_long_rows(spark, sf_dir), 6, 2, embargo_pct=0.02)
+
+
+@query(f"""WITH {CPCV_ASSIGN}, {LONG_CPCV}, a AS (SELECT split_id, series_id, count(*) AS n_test FROM te GROUP BY ALL), b AS (SELECT split_id, series_id, count(*) AS c FROM tr GROUP BY ALL), m AS (SELECT series_id, count(*) AS n_samples FROM lab GROUP BY ALL)
+SELECT split_id, series_id, n_samples, n_test, n_samples - n_test AS n_train_naive, coalesce(c, 0) AS n_train_purged, n_samples - n_test - coalesce(c, 0) AS n_dropped FROM a JOIN m USING (series_id) LEFT JOIN b USING (split_id, series_id)""")
+def cpcv_preview(spark, sf_dir):
+    return folds.cpcv_preview(_long_rows(spark, sf_dir), 6, 2, embargo_pct=0.02)
+
+
 # --- audit ----------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .axis import series
+from .slices import SLICE, slice_of
 
 SPLIT = ["split_id", "series_id"]
 #: Rows of the table of splits and tested groups, which is broadcast (16 bytes each).
@@ -42,11 +43,23 @@ def equal_groups(rows: DataFrame, groups: int) -> DataFrame:
     return rows.withColumn("group_id", group_of(groups))
 
 
-def contiguous_segments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seg_start, seg_end): maximal runs of successive positions; repeated positions count once."""
-    rows = rows.select(*keys, "pos").distinct()
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    return rows.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end")).drop("_island")
+def contiguous_segments(rows: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, seg_start, seg_end): maximal runs of successive positions; repeated positions count once.
+
+    Runs are found within slices of positions, and those that meet at a
+    border are joined, so that no task sees all rows of the keys. `more` are
+    largest values over each run, by name; with it, no position may repeat.
+    """
+    more = more or {}
+    rows = rows.select(*keys, "pos", *[c.alias(n) for n, c in more.items()]) if more else rows.select(*keys, "pos").distinct()
+    rows = rows.withColumn("_slice", slice_of("pos", SLICE))
+    own = [*keys, "_slice"]
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(*own).orderBy("pos"))
+    parts = rows.withColumn("_island", island).groupBy(*own, "_island").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), *[F.max(n).alias(n) for n in more])
+    in_order = Window.partitionBy(*keys).orderBy("seg_start")  # one row per run and slice
+    new = F.when(F.lag("seg_end").over(in_order) == F.col("seg_start") - 1, 0).otherwise(1)
+    parts = parts.withColumn("_new", new).withColumn("_run", F.sum("_new").over(in_order))
+    return parts.groupBy(*keys, "_run").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), *[F.max(n).alias(n) for n in more]).drop("_run")
 
 
 def embargo_bars(rows: DataFrame, *, embargo_pct: float = 0.0, embargo_bars: int | None = None, embargo_lifetime_frac: float | None = None) -> DataFrame:
@@ -67,19 +80,34 @@ def embargo_bars(rows: DataFrame, *, embargo_pct: float = 0.0, embargo_bars: int
 def info_segments(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
     """(split_id, series_id, seg_start, seg_end, info_end, embargo): test segments and how far their labels reach."""
     test = test.select(*SPLIT, "pos").distinct().join(rows.select("series_id", "pos", "t1_pos"), ["series_id", "pos"])
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*SPLIT).orderBy("pos"))
-    out = test.withColumn("_island", island).groupBy(*SPLIT, "_island").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.max("t1_pos").alias("_reach"))
+    out = contiguous_segments(test, SPLIT, {"_reach": F.col("t1_pos")})
     out = out.select(*SPLIT, "seg_start", "seg_end", F.greatest("seg_end", "_reach").alias("info_end"))
     return out.withColumn("embargo", F.lit(0)) if embargo is None else out.join(embargo, "series_id")
 
 
-def judged(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
+def group_segments(rows: DataFrame, assigned: DataFrame, n_groups: int, embargo: DataFrame | None = None) -> DataFrame:
+    """info_segments of splits whose test sets are equal groups; assigned: (split_id, group_id), which is broadcast.
+
+    A group is known by its first and last position and the furthest label
+    end, so there is one row per (series, group) and no test row is expanded;
+    groups of a split that follow each other are one segment.
+    """
+    extents = equal_groups(rows, n_groups).groupBy("series_id", "group_id").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.max("t1_pos").alias("_reach"))
+    tested = extents.join(F.broadcast(assigned), "group_id")
+    follows = F.lag("group_id").over(Window.partitionBy(*SPLIT).orderBy("group_id")) == F.col("group_id") - 1  # a few rows each
+    tested = tested.withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(Window.partitionBy(*SPLIT).orderBy("group_id")))
+    out = tested.groupBy(*SPLIT, "_run").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.max("_reach").alias("_reach"))
+    out = out.select(*SPLIT, "seg_start", "seg_end", F.greatest("seg_end", "_reach").alias("info_end"))
+    return out.withColumn("embargo", F.lit(0)) if embargo is None else out.join(embargo, "series_id")
+
+
+def judged_by(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """(split_id, series_id, pos, role): every row of the series of each split as test, train, or null where purging or embargo takes it.
 
     The contiguous test segments of each (split, series) are few and travel as
-    one array, so rows meet them in one join and are judged where they stand.
+    one array, so rows meet them in one join (whose small side Spark
+    broadcasts, or whose long series it splits) and are judged where they stand.
     """
-    segments = info_segments(rows, test, embargo)
     segments = segments.groupBy(*SPLIT).agg(F.collect_list(F.struct("seg_start", "seg_end", "info_end", "embargo")).alias("_segments"))
     pos, t1 = F.col("pos"), F.col("t1_pos")
     tested = F.exists("_segments", lambda s: pos.between(s["seg_start"], s["seg_end"]))
@@ -89,6 +117,11 @@ def judged(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -
     return rows.select("series_id", "pos", "t1_pos").join(segments, "series_id").select(*SPLIT, "pos", role.alias("role"))
 
 
+def judged(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
+    """judged_by for test rows of any kind."""
+    return judged_by(rows, info_segments(rows, test, embargo))
+
+
 def purge_train(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
     """(split_id, series_id, pos): the training rows that survive purging and embargo.
 
@@ -100,16 +133,12 @@ def purge_train(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = No
     return judged(rows, test, embargo).where("role = 'train'").select(*SPLIT, "pos")
 
 
-def with_roles(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
-    return judged(rows, test, embargo).where(F.col("role").isNotNull())
-
-
 def purged_kfold(rows: DataFrame, n_splits: int = 5, **embargo) -> DataFrame:
     """Contiguous folds in time order, each purged and embargoed. rows: (series_id, pos, n, t1_pos)."""
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
-    test = rows.select(group_of(n_splits).alias("split_id"), "series_id", "pos")
-    return with_roles(rows, test, embargo_bars(rows, **embargo))
+    assigned = rows.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("split_id"), F.col("id").cast("int").alias("group_id"))
+    return judged_by(rows, group_segments(rows, assigned, n_splits, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
 
 
 def combos(n_groups: int, n_test_groups: int) -> list[tuple[int, ...]]:
@@ -138,8 +167,7 @@ def path_assignment(spark, n_groups: int, n_test_groups: int) -> DataFrame:
 def cpcv(rows: DataFrame, n_groups: int = 6, n_test_groups: int = 2, **embargo) -> DataFrame:
     """Combinatorial purged splits: every choice of test groups is a split; neighbouring groups form one segment."""
     assigned = path_assignment(rows.sparkSession, n_groups, n_test_groups).select("split_id", "group_id")
-    test = equal_groups(rows, n_groups).join(F.broadcast(assigned), "group_id").select(*SPLIT, "pos")  # one row per split and group
-    return with_roles(rows, test, embargo_bars(rows, **embargo))
+    return judged_by(rows, group_segments(rows, assigned, n_groups, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
 
 
 def reconstruct_paths(rows: DataFrame, predictions: DataFrame, n_groups: int, n_test_groups: int) -> DataFrame:
@@ -206,19 +234,62 @@ def walk_forward(rows: DataFrame, n_splits: int = 5, *, max_train_size: int | No
     return df.withColumn("role", role).where(F.col("role").isNotNull()).select(*SPLIT, "pos", "role")
 
 
-def _counts(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
-    """(split_id, series_id, n_samples, n_test, n_train_purged)."""
-    of = lambda role: F.count(F.when(F.col("role") == role, 1))
-    return judged(rows, test, embargo).groupBy(*SPLIT).agg(F.count("*").alias("n_samples"), of("test").alias("n_test"), of("train").alias("n_train_purged"))
+def counted_by(rows: DataFrame, segments: DataFrame, bucket: int = 64) -> DataFrame:
+    """(split_id, series_id, n_samples, n_test, n_train_purged), without a row for each row of each split.
+
+    Positions from a segment's start to the end of what its labels see, and
+    of its embargo, are taken whole, so their union is counted by end points.
+    Of the rows before a segment, those whose labels reach it are taken; they
+    lie within the longest label of it, and are looked up by buckets of
+    positions. rows: all rows of the series, at positions 0, 1, .. (labels that
+    end before their row, which no interval holds, are judged one by one).
+    """
+    reach = F.greatest("t1_pos", "pos")
+    size = rows.groupBy("series_id").agg(F.count("*").alias("n_samples"), F.max("pos").alias("_top"), F.max(reach - F.col("pos")).alias("_longest"))
+    seg = segments.join(size, "series_id")
+    in_order = Window.partitionBy(*SPLIT).orderBy("seg_start")  # segments
+    seg = seg.withColumn("_cover", F.least(F.greatest("info_end", F.col("seg_end") + F.col("embargo")), "_top"))
+    seg = seg.withColumn("_before", F.coalesce(F.max("_cover").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    total = seg.groupBy(*SPLIT).agg(
+        F.first("n_samples").alias("n_samples"),
+        F.sum(F.col("seg_end") - F.col("seg_start") + 1).alias("n_test"),
+        F.sum(F.greatest(F.col("_cover") - F.greatest(F.col("seg_start") - 1, "_before"), F.lit(0))).alias("_covered"),
+    )
+    gaps = seg.select(*SPLIT, "seg_start", F.greatest(F.col("_before") + 1, F.col("seg_start") - F.col("_longest")).alias("_from")).where(F.col("_from") < F.col("seg_start"))
+    place = lambda c: F.floor(c / F.lit(bucket))
+    gaps = gaps.withColumn("_bucket", F.explode(F.sequence(place(F.col("_from")), place(F.col("seg_start") - 1))))
+    ends = rows.select("series_id", "pos", reach.alias("_end"), place(F.col("pos")).alias("_bucket"))
+    reaching = gaps.join(ends, ["series_id", "_bucket"]).where((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("seg_start")) & (F.col("_end") >= F.col("seg_start")))
+    reaching = reaching.groupBy(*SPLIT).agg(F.count("*").alias("_reaching"))
+    odd = rows.where(F.col("t1_pos") < F.col("pos"))
+    # such a row counts as covered where its position is; it is trained on if its label is not seen
+    covered = (F.col("pos") >= F.col("seg_start")) & (F.col("pos") <= F.col("info_end"))
+    inside = F.max(F.when(covered, 1).otherwise(0))
+    taken = F.max(F.when(F.col("pos").between(F.col("seg_start"), F.col("seg_end") + F.col("embargo")) | (F.col("pos") <= F.col("info_end")) & (F.col("seg_start") <= F.col("t1_pos")), 1).otherwise(0))
+    odd = odd.select("series_id", "pos", "t1_pos").join(segments, "series_id").groupBy(*SPLIT, "pos").agg((inside - taken).alias("_kept"))
+    odd = odd.where("_kept > 0").groupBy(*SPLIT).agg(F.count("*").alias("_kept"))
+    out = total.join(reaching, SPLIT, "left").join(odd, SPLIT, "left")
+    dropped = F.col("_covered") - F.col("n_test") + F.coalesce("_reaching", F.lit(0)) - F.coalesce("_kept", F.lit(0))
+    return out.select(*SPLIT, "n_samples", "n_test", (F.col("n_samples") - F.col("n_test") - dropped).alias("n_train_purged"))
 
 
 def overlap_fraction(rows: DataFrame, test: DataFrame) -> DataFrame:
     """(split_id, series_id, overlap): share of the untested rows whose labels overlap the test set's; 0 without such rows."""
     free = F.col("n_samples") - F.col("n_test")
-    return _counts(rows, test).select(*SPLIT, F.coalesce(F.try_divide(free - F.col("n_train_purged"), free), F.lit(0.0)).alias("overlap"))
+    return counted_by(rows, info_segments(rows, test)).select(*SPLIT, F.coalesce(F.try_divide(free - F.col("n_train_purged"), free), F.lit(0.0)).alias("overlap"))
+
+
+def _preview(counts: DataFrame) -> DataFrame:
+    naive = F.col("n_samples") - F.col("n_test")
+    return counts.select(*SPLIT, "n_samples", "n_test", naive.alias("n_train_naive"), "n_train_purged", (naive - F.col("n_train_purged")).alias("n_dropped"))
 
 
 def purge_preview(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
     """(split_id, series_id, n_samples, n_test, n_train_naive, n_train_purged, n_dropped)."""
-    naive = F.col("n_samples") - F.col("n_test")
-    return _counts(rows, test, embargo).select(*SPLIT, "n_samples", "n_test", naive.alias("n_train_naive"), "n_train_purged", (naive - F.col("n_train_purged")).alias("n_dropped"))
+    return _preview(counted_by(rows, info_segments(rows, test, embargo)))
+
+
+def cpcv_preview(rows: DataFrame, n_groups: int = 6, n_test_groups: int = 2, **embargo) -> DataFrame:
+    """purge_preview of all combinatorial splits, from the extents of the groups."""
+    assigned = path_assignment(rows.sparkSession, n_groups, n_test_groups).select("split_id", "group_id")
+    return _preview(counted_by(rows, group_segments(rows, assigned, n_groups, embargo_bars(rows, **embargo))))
