@@ -523,6 +523,29 @@ def auc_by_ranges(spark, sf_dir):
     return out.select("series_id", rounded("auc").alias("auc"), rounded("ic").alias("ic"))
 
 
+ASKED = f"{LONG_BARS}, asks AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS series_id, l_orderkey, l_linenumber, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"""WITH {ASKED}, l AS (SELECT series_id, t, max(pos) AS hi, min(pos) AS lo FROM bars GROUP BY ALL), z AS (SELECT series_id, max(pos) AS top FROM bars GROUP BY ALL),
+b AS (SELECT a.*, l.hi AS as_of_pos FROM asks a ASOF LEFT JOIN l ON a.series_id = l.series_id AND a.at >= l.t),
+f AS (SELECT b.*, l.lo AS nxt FROM b ASOF LEFT JOIN l ON b.series_id = l.series_id AND b.at <= l.t)
+SELECT f.series_id, l_orderkey, l_linenumber, as_of_pos, coalesce(nxt, top) AS t1_pos FROM f LEFT JOIN z USING (series_id)""")
+def as_of_by_buckets(spark, sf_dir):
+    """For each line item, the last order of its series up to its shipment and the first one from then on, by quarters."""
+    marks = _long_bars(spark, sf_dir).select("series_id", "t", "pos")
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey")).cast("long").alias("series_id"))
+    asks = _table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("series_id", "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"))
+    quarter = lambda t: F.date_trunc("quarter", t)
+    found = axis.last_at_or_before(marks, asks, "at", quarter)
+    return axis.first_at_or_after(marks, found, "at", quarter).select("series_id", "l_orderkey", "l_linenumber", "as_of_pos", "t1_pos")
+
+
+@query()
+def naive_kfold_published(spark, sf_dir):
+    """Shuffled folds in numpy's order, one order for each length of a series."""
+    return folds.naive_kfold_permuted(_bars(spark, sf_dir), 5)
+
+
 LONG_ROWS = ROWS.replace(BARS, LONG_BARS).replace("FROM bars)", "FROM bars WHERE n >= 6)")
 LONG_CPCV = _purge_sql(CPCV_TEST, "floor(count(*) * 0.02)").replace(ROWS, LONG_ROWS)
 
@@ -672,7 +695,9 @@ def protocol_summary(spark, sf_dir):
 
 PATHS = f"""{SCORED}, grp AS (SELECT *, {_group_sql(6)} AS group_id FROM al WHERE n >= 20), {ROLE_COUNTS},
 pt AS (SELECT path_id, series_id, pos, CASE WHEN (pos * 7 + split_id * 3) % 11 >= 5 THEN fwd ELSE -fwd END AS s FROM grp JOIN sizes USING (group_id)),
-pm AS (SELECT series_id, path_id, CASE WHEN min(s) = max(s) THEN NULL ELSE avg(s) / stddev_samp(s) * sqrt(252) END AS sharpe FROM pt GROUP BY ALL)"""
+p0 AS (SELECT series_id, path_id, count(*) AS n_test, CASE WHEN min(s) = max(s) THEN NULL ELSE avg(s) / stddev_samp(s) * sqrt(252) END AS sharpe,
+  (avg(s ^ 3) - 3 * avg(s) * avg(s * s) + 2 * avg(s) ^ 3) / var_pop(s) ^ 1.5 AS g3, (avg(s ^ 4) - 4 * avg(s) * avg(s ^ 3) + 6 * avg(s) ^ 2 * avg(s * s) - 3 * avg(s) ^ 4) / var_pop(s) ^ 2 AS g4 FROM pt GROUP BY ALL),
+pm AS (SELECT *, CASE WHEN n_test >= 3 THEN {norm_cdf_sql(FOLD_DSR_Z)} END AS dsr FROM p0)"""
 
 
 def _combined(spark, sf_dir):
@@ -681,22 +706,22 @@ def _combined(spark, sf_dir):
     assigned = folds.path_assignment(spark, 6, 2).select("split_id", "group_id")
     tested = folds.equal_groups(rows, 6).join(F.broadcast(assigned), "group_id")  # one row per split and group
     p = 0.5 + ((F.col("pos") * 7 + F.col("split_id") * 3) % 11 - 5) / 20
-    return rows, tested.select("split_id", "series_id", "pos", "y", "fwd", p.alias("p"))
+    return rows, tested.select("split_id", "series_id", "pos", "n", "group_id", "y", "fwd", p.alias("p"))
 
 
-@query(f"WITH {PATHS} SELECT series_id, path_id, {R6('sharpe')} AS sharpe FROM pm")
+@query(f"WITH {PATHS} SELECT series_id, path_id, {R6('sharpe')} AS sharpe, {R6('dsr')} AS dsr FROM pm")
 def path_metrics(spark, sf_dir):
-    return scoring.path_metrics(*_combined(spark, sf_dir), 6, 2).select("series_id", "path_id", rounded("sharpe").alias("sharpe"))
+    return scoring.path_metrics(*_combined(spark, sf_dir), 6, 2).select("series_id", "path_id", rounded("sharpe").alias("sharpe"), rounded("dsr").alias("dsr"))
 
 
 @query(f"""WITH {PATHS} SELECT series_id, count(*)::INTEGER AS n_scores, {R6('avg(sharpe)')} AS sharpe_mean, {R6('CASE WHEN count(sharpe) > 1 THEN stddev_samp(sharpe) WHEN count(sharpe) = 1 THEN 0 END')} AS sharpe_std,
-{R6('avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END)')} AS frac_paths_sharpe_gt_0 FROM pm GROUP BY series_id""")
+{R6('avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END)')} AS frac_paths_sharpe_gt_0, {R6('avg(dsr)')} AS dsr_mean FROM pm GROUP BY series_id""")
 def path_summary(spark, sf_dir):
     """Protocol figures with the Sharpe part taken from the reconstructed paths."""
     rows, predictions = _combined(spark, sf_dir)
     scores = scoring.fold_metrics(predictions, ["split_id", "series_id"])
     df = scoring.protocol_summary(scores, ["series_id"], scoring.path_metrics(rows, predictions, 6, 2))
-    return df.select("series_id", "n_scores", *[rounded(c).alias(c) for c in ("sharpe_mean", "sharpe_std", "frac_paths_sharpe_gt_0")])
+    return df.select("series_id", "n_scores", *[rounded(c).alias(c) for c in ("sharpe_mean", "sharpe_std", "frac_paths_sharpe_gt_0", "dsr_mean")])
 
 
 @query(f"WITH {FOLDS} SELECT split_id, count(auc)::INTEGER AS n_folds_scored, {R6('avg(auc)')} AS auc_mean, {R6('coalesce(CASE WHEN count(auc) > 1 THEN stddev_samp(auc) END, 0)')} AS auc_std, {R6('min(auc)')} AS auc_min, {R6('max(auc)')} AS auc_max FROM fm GROUP BY split_id")

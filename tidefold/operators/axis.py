@@ -6,10 +6,13 @@ everything is keyed by series_id, so series spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from .slices import matched, prefix_scan
 
 
 def series():
@@ -47,32 +50,48 @@ def with_positions(df: DataFrame, order: tuple[str, ...] = ("t",), slice_of: Col
     return df.withColumn("pos", (F.col("_before") + F.col("_inner") - 1).cast("long")).drop("_slice", "_size", "_before", "_inner")
 
 
-def first_at_or_after(axis: DataFrame, lookups: DataFrame, value: str = "t1") -> DataFrame:
+def _line(axis: DataFrame, lookups: DataFrame, value: str, marks_first: bool, bucket: Callable[[Column], Column] | None) -> DataFrame:
+    """Marks (with pos) and look-ups (with their columns as _name) on one time line: _order, and _bucket of the time."""
+    kind = 0 if marks_first else 1
+    names = lookups.columns
+    marks = axis.select("series_id", F.col("t").alias("_t"), "pos", F.lit(kind).alias("_kind"), *[F.lit(None).cast(lookups.schema[c].dataType).alias(f"_{c}") for c in names])
+    asks = lookups.select("series_id", F.col(value).alias("_t"), F.lit(None).cast("long").alias("pos"), F.lit(1 - kind).alias("_kind"), *[F.col(c).alias(f"_{c}") for c in names])
+    line = marks.unionByName(asks).withColumn("_order", F.struct("_t", "_kind", "pos"))
+    return line.withColumn("_bucket", bucket(F.col("_t")) if bucket else F.lit(0))
+
+
+def first_at_or_after(axis: DataFrame, lookups: DataFrame, value: str = "t1", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """lookups with t1_pos: the first position whose t is at or after `value`, the last position if there is none.
 
     Both sides are put on one time line per series and read backwards: one
-    sort, no inequality join. Exact matches are the position itself.
+    sort, no inequality join. Exact matches are the position itself. `bucket`
+    gives a coarser time that grows with the time: lines are then read within
+    buckets, and the first mark of later buckets is carried to them over empty
+    ones, so that a long series is spread over the tasks.
     """
     names = lookups.columns
-    marks = axis.select("series_id", F.col("t").alias("_t"), "pos", F.lit(1).alias("_kind"), *[F.lit(None).cast(lookups.schema[c].dataType).alias(f"_{c}") for c in names])
-    asks = lookups.select("series_id", F.col(value).alias("_t"), F.lit(None).cast("long").alias("pos"), F.lit(0).alias("_kind"), *[F.col(c).alias(f"_{c}") for c in names])
-    line = marks.unionByName(asks)
-    ahead = series().orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    line = line.withColumn("_next", F.first("pos", ignorenulls=True).over(ahead)).withColumn("_last", F.max("pos").over(series()))
+    line = _line(axis, lookups, value, False, bucket)
+    if bucket:
+        line = prefix_scan(line, {"_next": ("last", F.col("pos"))}, ["series_id"], "_order", part="_bucket", backward=True)
+        line = matched(line.where(F.col("_kind") == 0), axis.groupBy("series_id").agg(F.max("pos").alias("_last")), ["series_id"], "left")
+    else:
+        ahead = series().orderBy("_order").rowsBetween(0, Window.unboundedFollowing)
+        line = line.withColumn("_next", F.first("pos", ignorenulls=True).over(ahead)).withColumn("_last", F.max("pos").over(series()))
     return line.where(F.col("_kind") == 0).select(*[F.col(f"_{c}").alias(c) for c in names], F.coalesce("_next", "_last").alias("t1_pos"))
 
 
-def last_at_or_before(axis: DataFrame, lookups: DataFrame, value: str = "t") -> DataFrame:
-    """lookups with as_of_pos: the last position whose t is at or before `value`, null if there is none (the leak-free merge)."""
+def last_at_or_before(axis: DataFrame, lookups: DataFrame, value: str = "t", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """lookups with as_of_pos: the last position whose t is at or before `value`, null if there is none (the leak-free merge). `bucket` as in first_at_or_after."""
     names = lookups.columns
-    marks = axis.select("series_id", F.col("t").alias("_t"), "pos", F.lit(0).alias("_kind"), *[F.lit(None).cast(lookups.schema[c].dataType).alias(f"_{c}") for c in names])
-    asks = lookups.select("series_id", F.col(value).alias("_t"), F.lit(None).cast("long").alias("pos"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_{c}") for c in names])
-    behind = series().orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    line = marks.unionByName(asks).withColumn("_back", F.last("pos", ignorenulls=True).over(behind))
+    line = _line(axis, lookups, value, True, bucket)
+    if bucket:
+        line = prefix_scan(line, {"_back": ("last", F.col("pos"))}, ["series_id"], "_order", part="_bucket")
+    else:
+        line = line.withColumn("_back", F.last("pos", ignorenulls=True).over(series().orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)))
     return line.where(F.col("_kind") == 1).select(*[F.col(f"_{c}").alias(c) for c in names], F.col("_back").alias("as_of_pos"))
 
 
-def resolve_label_ends(axis: DataFrame, ends: DataFrame | None) -> DataFrame:
+def resolve_label_ends(axis: DataFrame, ends: DataFrame | None, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """(series_id, pos, n, t1_pos) of every row of the axis.
 
     `ends` is (series_id, pos, t1_pos) or (series_id, pos, t1 as a time), or
@@ -83,7 +102,7 @@ def resolve_label_ends(axis: DataFrame, ends: DataFrame | None) -> DataFrame:
     if ends is None:
         return rows.withColumn("t1_pos", F.col("pos"))
     if "t1_pos" not in ends.columns:
-        ends = first_at_or_after(axis, ends.select("series_id", "pos", "t1"))
+        ends = first_at_or_after(axis, ends.select("series_id", "pos", "t1"), bucket=bucket)
     rows = rows.join(ends.select("series_id", "pos", "t1_pos"), ["series_id", "pos"], "left")
     end = F.when(F.col("t1_pos").isNull(), F.raise_error(F.lit("t1 is missing for some rows"))).when((F.col("t1_pos") < 0) | (F.col("t1_pos") > F.col("n")), F.raise_error(F.lit("t1 is out of range"))).otherwise(F.least("t1_pos", F.col("n") - 1))
     return rows.withColumn("t1_pos", end.cast("long"))

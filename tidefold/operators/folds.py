@@ -7,9 +7,11 @@ are one relation, made by one plan for all series at once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,21 +172,29 @@ def cpcv(rows: DataFrame, n_groups: int = 6, n_test_groups: int = 2, **embargo)
     return judged_by(rows, group_segments(rows, assigned, n_groups, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
 
 
+def placed_on_paths(rows: DataFrame, predictions: DataFrame, n_groups: int, n_test_groups: int) -> DataFrame:
+    """(path_id, series_id, pos, n, value): each prediction on its path. Predictions that carry n and group_id are not joined to the rows."""
+    if not {"n", "group_id"} <= set(predictions.columns):
+        predictions = predictions.join(equal_groups(rows, n_groups).select("series_id", "pos", "n", "group_id"), ["series_id", "pos"])
+    assigned = path_assignment(rows.sparkSession, n_groups, n_test_groups)
+    return predictions.join(F.broadcast(assigned), ["split_id", "group_id"]).select("path_id", "series_id", "pos", "n", "value")
+
+
+def uncovered() -> Column:
+    """An aggregate over a path of a series: raises unless each position is there once, else 0."""
+    wrong = (F.count("*") != F.max("n")) | (F.count_distinct("pos") != F.max("n"))
+    return F.when(wrong, F.raise_error(F.lit("a path does not cover every row once")).cast("int")).otherwise(0)
+
+
 def reconstruct_paths(rows: DataFrame, predictions: DataFrame, n_groups: int, n_test_groups: int) -> DataFrame:
     """(path_id, series_id, pos, value) from predictions (split_id, series_id, pos, value) on all test rows.
 
     Each path covers each row of a series once; where it does not, the plan
-    raises.
+    raises. Rows are counted by path, so no task sees a series.
     """
-    assigned = path_assignment(rows.sparkSession, n_groups, n_test_groups)
-    placed = predictions.join(equal_groups(rows, n_groups).select("series_id", "pos", "n", "group_id"), ["series_id", "pos"])
-    out = placed.join(F.broadcast(assigned), ["split_id", "group_id"])
-    path = Window.partitionBy("path_id", "series_id")
-    double = F.count("*").over(Window.partitionBy("path_id", "series_id", "pos"))
-    out = out.withColumn("_rows", F.count("*").over(path)).withColumn("_double", double)
-    wrong = (F.col("_rows") != F.col("n")) | (F.col("_double") > 1)
-    checked = F.when(wrong, F.raise_error(F.lit("a path does not cover every row once")).cast("long")).otherwise(F.col("pos"))
-    return out.select("path_id", "series_id", checked.alias("pos"), "value")
+    placed = placed_on_paths(rows, predictions, n_groups, n_test_groups)
+    checked = placed.groupBy("path_id", "series_id").agg(uncovered().alias("_wrong"))
+    return placed.join(checked, ["path_id", "series_id"]).select("path_id", "series_id", (F.col("pos") + F.col("_wrong")).alias("pos"), "value")
 
 
 def naive_kfold(rows: DataFrame, n_splits: int = 5, *, shuffle: bool = True, seed: int = 42) -> DataFrame:
@@ -201,14 +211,27 @@ def naive_kfold(rows: DataFrame, n_splits: int = 5, *, shuffle: bool = True, see
 
 
 def naive_kfold_permuted(rows: DataFrame, n_splits: int = 5, *, seed: int = 42) -> DataFrame:
-    """As naive_kfold for one short series, with numpy's legacy shuffle, which published results depend on."""
-    n = rows.count()
-    order = np.arange(n)
-    np.random.RandomState(seed).shuffle(order)
-    place = np.empty(n, int)
-    place[order] = np.arange(n)
-    table = rows.sparkSession.createDataFrame(list(enumerate(place.tolist())), "pos long, _place long")
-    return _every_role(rows.select("series_id", "pos", "n").join(table, "pos"), n_splits)
+    """As naive_kfold, with numpy's legacy shuffle, which published results depend on.
+
+    That order depends on the length of a series and the seed alone, so it is
+    made once for each length, in the tasks, and joined by length and position.
+    A task holds the order of one length (16 bytes a row of the longest series).
+    """
+    if n_splits < 2:
+        raise ValueError("n_splits must be at least 2")
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                order = np.arange(n)
+                np.random.RandomState(seed).shuffle(order)
+                for at in range(0, n, 1 << 16):
+                    part = order[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(np.arange(at, at + len(part)), pa.int64())], ["n", "pos", "_place"])
+
+    lengths = rows.select(F.col("n").cast("long").alias("n")).distinct()
+    table = lengths.mapInArrow(orders, "n long, pos long, _place long")
+    return _every_role(rows.select("series_id", "pos", F.col("n").cast("long").alias("n")).join(table, ["n", "pos"]), n_splits)
 
 
 def _every_role(placed: DataFrame, n_splits: int) -> DataFrame:

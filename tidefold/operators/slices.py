@@ -58,11 +58,11 @@ _KINDS = {
 }
 
 
-def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[str], order: str = "pos", *, rows: int = SLICE, part: str | None = None, inclusive: bool = True) -> DataFrame:
+def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[str], order: str = "pos", *, rows: int = SLICE, part: str | None = None, inclusive: bool = True, backward: bool = False) -> DataFrame:
     """df with a running value for each of `scans`: name -> (sum, product, max, min or last known; of what).
 
     `inclusive` or not of the row itself; nulls are passed over, and before
-    the first known value the result is null. Slices are `rows` values of
+    the first known value the result is null. `backward` scans from the end. Slices are `rows` values of
     `order` wide, or the values of the column `part`, which must rise with
     the order. `order` has no ties within the keys.
     """
@@ -72,9 +72,11 @@ def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[
     names = df.columns
     df = df.withColumns({"_part": F.col(part) if part else slice_of(order, rows), **{f"_x_{n}": x for n, (_, x) in scans.items()}})
     own = [*keys, "_part"]
-    inner = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
-    totals = df.groupBy(*own).agg(*[_KINDS[kind][0](F.col(f"_x_{n}"), F.col(order)).alias(f"_t_{n}") for n, (kind, _) in scans.items()])
+    along = (lambda c: F.col(c).desc()) if backward else F.col
+    inner = Window.partitionBy(*own).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    total = lambda kind, x, o: F.min_by(x, F.when(x.isNotNull(), o)) if backward and kind == "last" else _KINDS[kind][0](x, o)
+    totals = df.groupBy(*own).agg(*[total(kind, F.col(f"_x_{n}"), F.col(order)).alias(f"_t_{n}") for n, (kind, _) in scans.items()])
     totals = totals.select(*own, *[_KINDS[kind][1](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in scans.items()])
     df = df.withColumns({n: _KINDS[kind][1](F.col(f"_x_{n}")).over(inner) for n, (kind, _) in scans.items()})
     df = matched(df, totals, own)

@@ -9,7 +9,7 @@ from ..functions import stats
 from ..functions.numeric import finite
 from ..operators import metrics
 from ..operators.features import overlay_return, position_from_proba
-from ..operators.folds import reconstruct_paths
+from ..operators.folds import placed_on_paths, uncovered
 
 METRICS = ("auc", "mcc", "f1", "balanced_acc", "ic", "sharpe", "dsr", "max_dd", "turnover", "frac_sharpe_pos")
 
@@ -68,9 +68,12 @@ def enough_rows(splits: DataFrame, keys: list[str], least_train: int = 20, least
 
 def path_metrics(rows: DataFrame, predictions: DataFrame, n_groups: int, n_test_groups: int, *, n_trials: int = 20, periods_per_year: float = 252) -> DataFrame:
     """(series_id, path_id, sharpe, dsr) of the reconstructed paths of combinatorial predictions."""
-    strat = with_overlay(predictions).select("split_id", "series_id", "pos", F.col("strat").alias("value"))
-    paths = reconstruct_paths(rows, strat, n_groups, n_test_groups)
-    return paths.groupBy("series_id", "path_id").agg(stats.sharpe_ratio("value", periods_per_year=periods_per_year).alias("sharpe"), stats.deflated_sharpe_ratio("value", n_trials=n_trials).alias("dsr"))
+    carried = [c for c in ("n", "group_id") if c in predictions.columns]
+    strat = with_overlay(predictions).select("split_id", "series_id", "pos", *carried, F.col("strat").alias("value"))
+    paths = placed_on_paths(rows, strat, n_groups, n_test_groups)
+    sharpe, dsr = stats.sharpe_ratio("value", periods_per_year=periods_per_year), stats.deflated_sharpe_ratio("value", n_trials=n_trials)
+    found = paths.groupBy("series_id", "path_id").agg(sharpe.alias("sharpe"), dsr.alias("dsr"), uncovered().alias("_wrong"))
+    return found.select("series_id", "path_id", (F.col("sharpe") + F.col("_wrong")).alias("sharpe"), "dsr")
 
 
 def deviation(x: str):

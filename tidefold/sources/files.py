@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +82,38 @@ def load_factors(spark: SparkSession, path: str) -> DataFrame:
     return parse_factors(spark.read.option("encoding", "ISO-8859-1").text(path))
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of each file under a path. A file is one value of a row, so it may have 2 GB at most."""
-    df = spark.read.format("binaryFile").load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def checksums(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
+    """(file, bytes, sha256) of each file under a path.
+
+    Spark lists the files and deals them out by size without reading them;
+    each is read by a task in chunks, so it may have any size; Spark lists no
+    empty files. Stores that
+    pyarrow does not reach are read by Spark, a file as one value of a row
+    (2 GB at most).
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    first = listed.select("path").first()
+    try:
+        if first:
+            pa.fs.FileSystem.from_uri(first["path"])
+    except (pa.ArrowException, OSError, ValueError):
+        return listed.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for uri in b.column("path").to_pylist():
+                system, place = pa.fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.string())], [*b.schema.names, "sha256"])
+
+    found = listed.select("path", "length").mapInArrow(read, "path string, length long, sha256 string")
+    return found.select(name, F.col("length").alias("bytes"), "sha256")
 
 
 def save_csv(df: DataFrame, path: str) -> None:
