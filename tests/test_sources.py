@@ -51,7 +51,7 @@ def test_look_ups_by_buckets(spark):
     """Empty buckets, ties of time, look-ups before, between, at and after all marks, a series without marks."""
     rng = np.random.default_rng(4)
     marks, asks = [], []
-    for s, n, top in (("long", 90, 1000), ("a", 12, 300), ("b", 1, 50)):
+    for s, n, top in (("long", 90, 1000), ("a", 12, 300), ("b", 1, 150)):
         marks += [(s, int(t), p) for p, t in enumerate(sorted(rng.integers(100, top, n).tolist()))]
         asks += [(s, i, int(t)) for i, t in enumerate(rng.integers(0, top + 200, 60).tolist())]
     asks.append(("none", 0, 5))

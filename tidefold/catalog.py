@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.numeric import norm_cdf, norm_cdf_sql, rounded, trial_quantile
-from .operators import audit, axis, features, folds, labels, learn, metrics, slices
+from .operators import audit, axis, features, folds, labels, learn, metrics, slices, trees
 from .plans import scoring
 from .sources import files, generators
 
@@ -760,6 +760,26 @@ def logistic_folds(spark, sf_dir):
     return learn.grouped_logistic(rows, splits, list(features.FEATURES))
 
 
+STUMPS = f"""WITH {_purge_sql(KFOLD_TEST, 'any_value(0)')}, lb AS (SELECT series_id, pos, floor(close / 25) AS x, CASE WHEN lead(close) OVER (PARTITION BY series_id ORDER BY pos) > close THEN 1 ELSE 0 END AS y FROM bars),
+tot AS (SELECT split_id, series_id, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS g FROM tr JOIN lb USING (series_id, pos) GROUP BY ALL HAVING min(y) < max(y)),
+c AS (SELECT split_id, series_id, x, count(*) AS c, sum(y) AS s FROM tr JOIN lb USING (series_id, pos) GROUP BY ALL),
+cum AS (SELECT split_id, series_id, x, (sum(c) OVER w)::DOUBLE AS nl, (sum(s) OVER w)::DOUBLE AS gl FROM c WINDOW w AS (PARTITION BY split_id, series_id ORDER BY x)),
+gain AS (SELECT cum.*, gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n AS gain FROM cum JOIN tot USING (split_id, series_id) WHERE nl >= 5 AND n - nl >= 5),
+best AS (SELECT *, row_number() OVER (PARTITION BY split_id, series_id ORDER BY round(gain, 9) DESC, x) AS k FROM gain WHERE gain > 1e-12)
+SELECT split_id, series_id, te.pos, y, {R6('CASE WHEN b.x IS NULL THEN g / n WHEN lb.x <= b.x THEN gl / nl ELSE (g - gl) / (n - nl) END')} AS p
+FROM te JOIN lb USING (series_id, pos) JOIN tot USING (split_id, series_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (split_id, series_id)"""
+
+
+@query(STUMPS)
+def tree_folds(spark, sf_dir):
+    """One split of each purged fold of all series, grown together; edges of bins are all values, so SQL can follow."""
+    b = _bars(spark, sf_dir)
+    up = F.when(F.lead("close").over(Window.partitionBy("series_id").orderBy("pos")) > F.col("close"), 1).otherwise(0)
+    rows = b.select("series_id", "pos", "n", F.floor(F.col("close") / 25).alias("x"), up.alias("y"), F.least(F.col("pos") + 5, F.col("n") - 1).alias("t1_pos"))
+    shape = trees.Shape(trees=1, depth=1, bins=128, bootstrap=False)
+    return trees.grouped_forest(rows, folds.purged_kfold(rows, 5), ["x"], shape=shape).select("split_id", "series_id", "pos", "y", rounded("p").alias("p"))
+
+
 def _pooled_model(name: str, **how):
     def run(spark, sf_dir):
         rows = _aligned(spark, sf_dir).withColumn("_late", F.col("pos") >= F.floor(F.col("n") * 0.7)).cache()  # a fit reads its rows several times
