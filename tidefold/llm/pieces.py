@@ -297,13 +297,13 @@ def decoded(df: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
 class Frequent:
     """Paths of frequent chunks, in order of their bytes."""
 
-    chunks: list[bytes]
+    chunks: pa.BinaryArray
     ends: np.ndarray  # of each chunk's ids, from 0
     ids: np.ndarray
 
     def places(self, chunks: pa.BinaryArray) -> np.ndarray:
         """Where each chunk is, -1 for one that is not here."""
-        return pc.fill_null(pc.index_in(chunks, value_set=pa.array(self.chunks, pa.binary())), -1).to_numpy()
+        return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy()
 
 
 def frequent_chunks(docs: DataFrame, pieces: Pieces, portion: float, most: int) -> Frequent:
@@ -331,7 +331,7 @@ def frequent_chunks(docs: DataFrame, pieces: Pieces, portion: float, most: int)
     found = lattice(some, pieces).select("key", "path").toArrow()
     rows = sorted((k.encode(), p) for k, p in zip(found.column("key").to_pylist(), found.column("path").to_pylist(), strict=True))
     size = [len(p) for _, p in rows]
-    return Frequent([k for k, _ in rows], np.cumsum([0, *size]), np.array([i for _, p in rows for i in p], np.int32))
+    return Frequent(pa.array([k for k, _ in rows], pa.binary()), np.cumsum([0, *size]), np.array([i for _, p in rows for i in p], np.int32))
 
 
 def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 4_000_000, sample_bytes: int = 16_000_000, most_frequent: int = 100_000) -> DataFrame:
@@ -426,7 +426,11 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     bundles = answers.mapInArrow(bundle, "_block int, numbers binary, sizes binary, kind string, ids binary")
 
     def assemble(table: pa.Table, found: pa.Table) -> pa.Table:
-        frugal()
+        out = assembled(table, found)
+        frugal()  # what the block took goes back while the worker waits for the next one
+        return out
+
+    def assembled(table: pa.Table, found: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         texts = [None if x is None else unpack(x) for x in table.column("_packed").to_pylist()]
         block = block_of(texts, cuts)
