@@ -24,7 +24,7 @@ def brute(close, pos, t1, pt, sl, side, log):
     return t1, "vertical", ret(t1)
 
 
-@pytest.mark.parametrize(("levels", "log", "pt", "sl"), [(1, True, 0.3, 0.4), (2, False, 0.5, 0.2), (3, True, 0.0, 0.6), (4, True, 1.0, 0.0), (5, False, 0.7, 0.7)])
+@pytest.mark.parametrize(("levels", "log", "pt", "sl"), [(0, True, 0.3, 0.4), (1, True, 0.3, 0.4), (2, False, 0.5, 0.2), (3, True, 0.0, 0.6), (4, True, 1.0, 0.0), (5, False, 0.7, 0.7)])
 def test_walk_is_brute_force(spark, levels, log, pt, sl):
     """One series has a third of the bars; unknown, zero and negative closes; both sides; events at and far before their ends."""
     rng = np.random.default_rng(levels)

@@ -112,7 +112,23 @@ def first_touch(index: DataFrame, asks: DataFrame, touched: Column, levels: int)
     return asks.join(found, names, "left")
 
 
-def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *, min_ret: float = 0.0, side: bool = False, log_returns: bool = True, levels: int = 2) -> DataFrame:
+def nearby_touch(axis: DataFrame, asks: DataFrame, touched: Column, bucket: int = 64) -> DataFrame:
+    """asks with q as first_touch has it, and _close, the close there or else at t1_pos: for paths of tens of bars, each of which is looked at.
+
+    Bars are joined by buckets of positions, with the path as residual
+    condition; events off the axis give no row.
+    """
+    names = asks.columns
+    spread = asks.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("pos") / bucket), F.floor(F.col("t1_pos") / bucket))))
+    close = finite("close")
+    path = axis.select("series_id", F.floor(F.col("pos") / bucket).alias("_bucket"), F.col("pos").alias("q"), close.alias("lo"), close.alias("hi"))
+    path = spread.join(path, ["series_id", "_bucket"]).where(F.col("q").between(F.col("pos"), F.col("t1_pos")))
+    at = F.struct("q", "lo")
+    found = path.groupBy(*names).agg(F.min(F.when((F.col("q") > F.col("pos")) & touched, at)).alias("_hit"), F.max(F.when(F.col("q") == F.col("t1_pos"), at)).alias("_last")).where(F.col("_last").isNotNull())
+    return found.select(*names, F.col("_hit.q").alias("q"), F.coalesce("_hit.q", "t1_pos").alias("_end"), F.when(F.col("_hit").isNotNull(), F.col("_hit.lo")).otherwise(F.col("_last.lo")).alias("_close"))
+
+
+def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *, min_ret: float = 0.0, side: bool = False, log_returns: bool = True, levels: int = 0) -> DataFrame:
     """(series_id, pos, t1_pos, ret, bin, barrier): the first barrier that each event's path touches.
 
     events: (series_id, pos, t1_pos) and, with `side`, side of 1 or -1, which
@@ -123,9 +139,10 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     the axis raises. Events whose price is unknown or
     not positive are left out, and events without a bar.
 
-    A path is walked over blocks of 8, 64, .. bars (`levels` of them; one for
-    each power of eight of the horizon) by their least and greatest close:
-    a return is a rising function of the close, so a block has a touch if the
+    Paths of tens of bars are looked at bar by bar. For longer ones give
+    `levels`, one for each power of eight of the horizon: a path is then
+    walked over blocks of 8, 64, .. bars by their least and greatest close. A
+    return is a rising function of the close, so a block has a touch if the
     return at its least or greatest close is one.
     """
     if pt < 0 or sl < 0:
@@ -148,12 +165,16 @@ def triple_barrier(axis: DataFrame, events: DataFrame, pt: float, sl: float, *,
     up = lambda r: (r >= pt) & F.lit(pt > 0)
     down = lambda r: (r <= -sl) & F.lit(sl > 0)
     either = [test(ret(F.col(c))) for c in ("lo", "hi") for test in (up, down)]
-    index = extremes(axis, levels, 0.0 if log_returns else None)
-    touched = first_touch(index, own, F.coalesce(either[0], F.lit(False)) | F.coalesce(either[1], F.lit(False)) | F.coalesce(either[2], F.lit(False)) | F.coalesce(either[3], F.lit(False)), levels)
     # the label ends where a barrier is touched, or at t1
-    touched = touched.withColumn("_end", F.coalesce("q", "t1_pos"))
-    last = axis.select("series_id", F.col("pos").alias("_end"), finite("close").alias("_close"))
-    touched = touched.join(last, ["series_id", "_end"]).withColumn("ret", ret(F.col("_close")))
+    if levels:
+        any_of = F.lit(False)
+        for test in either:
+            any_of = any_of | F.coalesce(test, F.lit(False))
+        touched = first_touch(extremes(axis, levels, 0.0 if log_returns else None), own, any_of, levels).withColumn("_end", F.coalesce("q", "t1_pos"))
+        touched = touched.join(axis.select("series_id", F.col("pos").alias("_end"), finite("close").alias("_close")), ["series_id", "_end"])
+    else:
+        touched = nearby_touch(axis, own, F.coalesce(either[0] | either[1], F.lit(False)))
+    touched = touched.withColumn("ret", ret(F.col("_close")))
     hit = F.col("q").isNotNull()
     barrier = F.when(hit & up(F.col("ret")) & ~down(F.col("ret")), "upper").when(hit & down(F.col("ret")) & ~up(F.col("ret")), "lower").otherwise("vertical")
     touched = touched.select("series_id", "pos", F.col("_end").alias("t1_pos"), "ret", barrier.alias("barrier"))

@@ -228,11 +228,12 @@ def knn_proba(rows: DataFrame, splits: DataFrame, features: list[str], k: int =
     both = splits.join(rows.select("series_id", "pos", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, f, strict=True)]), ["series_id", "pos"])
     y_type = rows.schema["y"].dataType
     both = stored(both.select(*SPLIT, "pos", "y", *f, F.when(F.col("role") == "train", 1).otherwise(0).alias("_train")), "neighbours").df
+    ranges = -(-both.count() // range_rows)
     copy = F.row_number().over(Window.partitionBy(*SPLIT, *f).orderBy("pos"))
+    if ranges <= 1:
+        both = both.repartition(*SPLIT)  # serves all windows and cells, as no series is long
     train = both.where("_train = 1").withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
 
-    ranges = -(-both.count() // range_rows)
-
     def counted(points: DataFrame) -> DataFrame:
         """points (keys, _v, _train, _tie, ..) with _before: training rows before each in order of _v and _tie."""
         placed = in_ranges(points, "_v", max(1, ranges)).withColumn("_order", F.struct("_v", "_tie"))
