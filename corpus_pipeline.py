@@ -35,7 +35,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row of the least (doc_id, text) stays, null ids last; of rows equal in both, one."""
+    """Of each SimHash component the row of the least (doc_id, text) stays, null ids last; of rows equal in both, one.
+
+    Texts without a word (null, empty, blank) have the fingerprint zero, so they are one component and one of them stays.
+    """
     docs, back = aside(docs)
     # ranked before the shuffle too (a group limit), so that a component of a third of all rows does not gather in one task
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text"))
@@ -43,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 50 bytes or more that also start in a document of smaller doc_id, by whole characters; n_chars follows the text. Null texts stay null."""
+    """Cut strings of 50 bytes or more that also start in a document of smaller doc_id, by whole characters; n_chars follows the text. Null texts stay null, empty texts empty; a text of which nothing is left stays as an empty one."""
     docs, back = aside(docs)
     rest = [c for c in docs.columns if c != "text"]
     df = repeats.removed(docs.withColumn("_none", F.col("text").isNull()), [*rest, "_none"], whole_characters=True)
