@@ -10,6 +10,9 @@ says otherwise) and further columns of any name, which they pass on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +85,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Bytes of rows that travel to a Python worker at a time; Spark's 64 MB take several times as much on both sides.
+BATCH_BYTES = "2m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of about `size` inside the block, of one row at least; afterwards the session's own setting is back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table `documents`."""
+    """All stages over the table `documents`. Each is written inside this call, with small Arrow batches, as the rows of a batch may hold long texts."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        with scratch():
+        with scratch(), small_batches(spark):
             made = stage(spark, docs, sf_dir)
             docs = stored(made, name.replace(" ", "-"), apart=True)
         if before is not None:
