@@ -80,3 +80,22 @@ def test_whole_run_leaves_one_copy_behind(spark):
     rows = out.collect()
     assert rows and all(r.exact and r.source == docs[r.doc_id].source and r.n_chars == len(r.text) for r in rows if r.text is not None)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "ids", "exact"}
+
+
+def test_batches_are_small_inside_a_block_only(spark):
+    key, longest = "spark.sql.execution.arrow.maxBytesPerBatch", 3_000_000
+    own = spark.conf.get(key)
+    df = spark.range(0, 400, 1, 1).select(F.when(F.col("id") == 7, F.repeat(F.lit("x"), longest)).otherwise(F.repeat(F.lit("y"), 20_000)).alias("t"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    with pytest.raises(KeyError), corpus_pipeline.small_batches(spark, "1m"):
+        got = df.mapInArrow(sizes, "rows long, bytes long").collect()
+        raise KeyError
+    assert sum(r.rows for r in got) == 400
+    assert len(got) > 6 and max(r.bytes for r in got) < longest + 1_100_000
+    assert spark.conf.get(key) == own
