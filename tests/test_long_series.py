@@ -62,6 +62,20 @@ def test_turnover_and_drawdown(spark, bars):
         same(metrics.max_drawdown(df, ["k"], "x", slice_rows=size), metrics.max_drawdown(df, ["k"], "x"), ["k"])
 
 
+def test_overflow_stays(spark):
+    """Wealth that overflows within a slice, or at its end, and would come back below the largest double."""
+    up = [8.0] * 340 + [4.0, 2.0, 1.5, 0.9, 1.5, 0.5, 0.5, 0.5, 1.1, 0.25] + [0.9] * 9
+    rows = [(k, i, x) for k, sign in ((0, 1.0), (1, -1.0)) for i, x in enumerate([sign, *up])] + [(2, i, x) for i, x in enumerate([1.0, 2.0, 0.5])]
+    df = spark.createDataFrame(rows, "k int, pos long, x double")
+    for inclusive in (True, False):
+        w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        for size in (4, 7, 50):
+            same(slices.prefix_scan(df, {"a": ("product", F.col("x"))}, ["k"], rows=size, inclusive=inclusive), df.select("*", F.product("x").over(w).alias("a")), ["k", "pos"])
+    rise = df.where("k <> 1").withColumn("x", F.col("x") - 1)
+    for size in (4, 7, 50):
+        same(metrics.max_drawdown(rise, ["k"], "x", slice_rows=size), metrics.max_drawdown(rise, ["k"], "x"), ["k"])
+
+
 def test_ranks_by_ranges(spark):
     """Ties within and across keys, a value that a third of the rows have, NaN and nulls, a null key, one group only."""
     rng = np.random.default_rng(1)

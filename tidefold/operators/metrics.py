@@ -49,6 +49,7 @@ def max_drawdown(df: DataFrame, keys: list[str], returns: str = "ret", order: st
 
     With `slice_rows`, wealth and peak run within slices of so many values of
     the order, and the wealth and peak of earlier slices are joined to them.
+    From where wealth overflows on, falls are unknown and left out.
     """
     known = df.select(*keys, order, finite(returns).alias("_x")).where(F.col("_x").isNotNull())
     own = keys if slice_rows is None else [*keys, "_slice"]
@@ -65,7 +66,9 @@ def max_drawdown(df: DataFrame, keys: list[str], returns: str = "ret", order: st
         known = matched(known, low.select(*own, "_scale", "_above"), own)
         known = known.withColumn("_wealth", F.col("_scale") * F.col("_wealth"))
         known = known.withColumn("_peak", F.greatest("_above", F.max("_wealth").over(w)))
-    known = known.withColumn("_fall", F.col("_wealth") / F.greatest(F.col("_peak"), F.lit(1e-16)) - 1)
+    # one window keeps an infinite wealth, slices may come back from it: the fall is not -1 then
+    fall = F.when(F.col("_peak") == float("inf"), float("nan")).otherwise(F.col("_wealth") / F.greatest(F.col("_peak"), F.lit(1e-16)) - 1)
+    known = known.withColumn("_fall", fall)
     return known.groupBy(*keys).agg(F.min("_fall").alias("max_drawdown"))
 
 
