@@ -64,7 +64,9 @@ def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[
     `inclusive` or not of the row itself; nulls are passed over, and before
     the first known value the result is null. `backward` scans from the end. Slices are `rows` values of
     `order` wide, or the values of the column `part`, which must rise with
-    the order. `order` has no ties within the keys.
+    the order. `order` has no ties within the keys. A product that has
+    overflowed stays infinite, as it does in one window, though later factors
+    would bring it back.
     """
     for kind, _ in scans.values():
         if kind not in _KINDS:
@@ -76,11 +78,21 @@ def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[
     inner = Window.partitionBy(*own).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     total = lambda kind, x, o: F.min_by(x, F.when(x.isNotNull(), o)) if backward and kind == "last" else _KINDS[kind][0](x, o)
-    totals = df.groupBy(*own).agg(*[total(kind, F.col(f"_x_{n}"), F.col(order)).alias(f"_t_{n}") for n, (kind, _) in scans.items()])
-    totals = totals.select(*own, *[_KINDS[kind][1](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in scans.items()])
     df = df.withColumns({n: _KINDS[kind][1](F.col(f"_x_{n}")).over(inner) for n, (kind, _) in scans.items()})
+    products = [n for n, (kind, _) in scans.items() if kind == "product"]
+    if products:
+        df = df.withColumns({f"_m_{n}": F.max(F.abs(n)).over(inner.rowsBetween(Window.unboundedPreceding, 0)) for n in products})
+    totals = df.groupBy(*own).agg(*[total(kind, F.col(f"_x_{n}"), F.col(order)).alias(f"_t_{n}") for n, (kind, _) in scans.items()], *[F.max(f"_m_{n}").alias(f"_m_{n}") for n in products])
+    totals = totals.select(*own, *[_KINDS[kind][1](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in scans.items()], *[F.greatest(f"_m_{n}", F.abs(f"_t_{n}")).alias(f"_m_{n}") for n in products])
+    carried = {n: F.abs(F.coalesce(f"_c_{n}", F.lit(1.0))) * F.col(f"_m_{n}") for n in products}  # the largest product on the way
+    totals = totals.select(*own, *[f"_c_{n}" for n in scans], *[F.max(carried[n]).over(before).alias(f"_o_{n}") for n in products])
     df = matched(df, totals, own)
-    return df.select(*names, *[_KINDS[kind][2](F.col(f"_c_{n}"), F.col(n)).alias(n) for n, (kind, _) in scans.items()])
+
+    def joined(n: str, kind: str) -> Column:
+        out = _KINDS[kind][2](F.col(f"_c_{n}"), F.col(n))
+        return out if kind != "product" else F.when(F.greatest(carried[n], f"_o_{n}") == float("inf"), F.signum(out) * float("inf")).otherwise(out)
+
+    return df.select(*names, *[joined(n, kind).alias(n) for n, (kind, _) in scans.items()])
 
 
 # --- ranges of values -------------------------------------------------------
