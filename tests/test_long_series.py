@@ -137,6 +137,21 @@ def test_newton_steps_together_equal_one_fold_at_a_time(spark):
     assert learn.grouped_logistic(df, splits.limit(0), ["a"]).count() == 0
 
 
+def test_rows_of_many_folds_are_shuffled_once(spark, monkeypatch):
+    """With weights too large to broadcast, a round's join reads rows that lie by fold already; weights are the same."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, int(y), float(x)) for k in range(40) for y, x in zip(rng.integers(0, 2, 30), rng.normal(size=30), strict=True)], "k int, y int, x0 double")
+    before = {r.k: r.w for r in learn.newton_weights(df, ["k"], 1).df.collect()}
+    asked = []
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: asked.append(a) or repartition(self, *a))
+    monkeypatch.setattr(learn, "MANY_WEIGHTS", 1, raising=False)
+    monkeypatch.setattr(learn, "TASK_FOLDS", 8, raising=False)
+    after = {r.k: r.w for r in learn.newton_weights(df, ["k"], 1).df.collect()}
+    assert asked == [(5, "k")]
+    assert set(after) == set(before) and all(after[k] == pytest.approx(before[k], rel=1e-9, abs=1e-12) for k in before)
+
+
 def test_newton_in_purged_folds(spark, bars):
     rows = bars.where("close IS NOT NULL AND series_id = 'long'").select("series_id", "pos", "close")
     rows = rows.withColumn("y", (F.pmod(F.hash("pos"), F.lit(2))).cast("int")).withColumn("fwd", F.lit(0.0)).withColumn("n", F.lit(200))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -156,6 +157,10 @@ def _newton_state(frames: Iterator[pd.DataFrame], keys: list[str], d: int, c: fl
         yield pd.DataFrame(rows, columns=[*keys, "w", "base", "step", "size", "base_loss", "done"])
 
 
+#: Numbers in the weights of all folds (4 MB) from which on rows are placed by fold, and folds of a task then.
+MANY_WEIGHTS, TASK_FOLDS = 1 << 19, 1 << 13
+
+
 def newton_weights(train: DataFrame, keys: list[str], d: int, c: float = 1.0, rounds: int = 60) -> Stored:
     """(keys, w) of the logistic fit of each fold: weights and, last, the intercept, as newton_logistic has them.
 
@@ -163,11 +168,18 @@ def newton_weights(train: DataFrame, keys: list[str], d: int, c: float = 1.0, ro
     and Hessian are sums, added up in the tasks before the shuffle, so a fold
     of any size and any number of folds are fitted alike; what is solved per
     fold is one small system. The weights of a round are a stored table, joined
-    to the rows by their size (broadcast where they are few).
+    to the rows by their size (broadcast where they are few). Where they are
+    many, the rows are put in order of the folds once, on disk, and only
+    weights are shuffled in a round.
     """
     zero = F.array(*[F.lit(0.0)] * (d + 1))
     state = stored(train.select(*keys).distinct().select("*", zero.alias("w"), zero.alias("base"), zero.alias("step"), F.lit(1.0).alias("size"), F.lit(float("inf")).alias("base_loss"), F.lit(False).alias("done")), "newton")
     x = [F.col(f"x{j}") for j in range(d)] + [F.lit(1.0)]
+    folds = state.df.count()
+    placed = folds * (d + 1 + len(keys)) >= MANY_WEIGHTS
+    if placed:
+        parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), folds // TASK_FOLDS)
+        train = train.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
     for _ in range(rounds):
         open_ = state.df.where("NOT done")
         if open_.isEmpty():
@@ -186,6 +198,8 @@ def newton_weights(train: DataFrame, keys: list[str], d: int, c: float = 1.0, ro
         new = stored(moved.unionByName(state.df.where("done")), "newton")
         state.drop()
         state = new
+    if placed:
+        train.unpersist()
     return state
 
 
