@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.numeric import norm_cdf, norm_cdf_sql, rounded, trial_quantile
-from .operators import audit, axis, features, folds, labels, learn, metrics, slices, trees
+from .operators import audit, axis, features, folds, forest, labels, learn, metrics, slices, trees
 from .plans import scoring
 from .sources import files, generators
 
@@ -791,7 +791,16 @@ def _pooled_model(name: str, **how):
 
 
 QUERIES["logistic_model"] = _pooled_model("logistic")
-QUERIES["forest_model"] = _pooled_model("rf")
+
+
+@query()
+def forest_model(spark, sf_dir):
+    """A forest on the first 70 % of every series; the deep trees' small nodes are grown in one task each."""
+    rows = _aligned(spark, sf_dir).withColumn("_late", F.col("pos") >= F.floor(F.col("n") * 0.7))
+    rows = rows.where(F.col("_late") | (F.col("t1_pos") < F.floor(F.col("n") * 0.7)))
+    return forest.deep_forest(rows, "_late", list(features.FEATURES), ["series_id", "pos", "y"])
+
+
 QUERIES["boosted_model"] = _pooled_model("xgboost")
 
 
