@@ -294,6 +294,29 @@ def test_inexact_ids_are_told(table):
     assert pieces.inexact(np.array([the, the], np.int32), np.array([0, 1, 2]), units, parts).tolist() == [False, True]
 
 
+def test_inexact_units_of_other_lengths(table):
+    """Units of another length, of the same length with other bytes, with own marks, and without ids."""
+    import pyarrow as pa
+
+    parts = pieces.Decoder(table).parts
+    units = [b"\xe2\x96\x81the", b"\xe2\x96\x81of", b"\xe2\x96\x81\xed\xa0\x80x", b"", b"\xe2\x96\x81the", b"\xe2\x96\x81a\xe2\x96\x81"]
+    right = [[table.byte_ids[b] for b in u.replace(pieces.MARK, b" ").replace(pieces.OWN, pieces.MARK)] for u in units]
+    for bad in range(-1, len(units)):
+        for change in ([], [table.byte_ids[0]] * 4, [table.byte_ids[0]]):
+            ids = [change if k == bad else r for k, r in enumerate(right)]
+            wrong = pieces.inexact(np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]), pa.array(units, pa.binary()), parts)
+            assert wrong.tolist() == [k == bad and change != right[k] for k in range(len(units))]
+
+
+def test_frequent_chunks_have_the_paths_of_the_lattice(spark, table):
+    """Frequent chunks come from several tasks, in order of their bytes."""
+    df = docs(spark, ["the one of many, étés 漢字 " * 3 + "aeiou" * k for k in range(8)] * 2)
+    known = pieces.frequent_chunks(df, table, 1.0, 20)
+    keys = known.chunks.to_pylist()
+    assert len(keys) > 10 and keys == sorted(keys)
+    assert {k.decode(): known.ids[a:b].tolist() for k, a, b in zip(keys, known.ends[:-1], known.ends[1:], strict=True)} == {k.decode(): best_path(table, k.decode()) for k in keys}
+
+
 # --- 4 to 6 classifiers -----------------------------------------------------
 
 

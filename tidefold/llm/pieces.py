@@ -328,13 +328,14 @@ def frequent_chunks(docs: DataFrame, pieces: Pieces, portion: float, most: int)
 
     counted = sample.mapInArrow(count, "key string, long string, n long").where(F.col("long").isNull()).groupBy("key", "long").agg(F.sum("n").alias("n"))
     some = counted.where(F.col("n") > 1).orderBy(F.desc("n"), "key").limit(most).select("key", "long", F.lit(0).cast("long").alias("least"))
-    found = lattice(some, pieces).select("key", "path").toArrow()
-    rows = sorted((k.encode(), p) for k, p in zip(found.column("key").to_pylist(), found.column("path").to_pylist(), strict=True))
-    size = [len(p) for _, p in rows]
-    return Frequent(pa.array([k for k, _ in rows], pa.binary()), np.cumsum([0, *size]), np.array([i for _, p in rows for i in p], np.int32))
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    found = lattice(some.repartition(parts, "key"), pieces).select(F.col("key").cast("binary").alias("key"), "path").toArrow().sort_by("key")
+    path = found.column("path").combine_chunks()
+    size = pc.list_value_length(path).to_numpy(zero_copy_only=False)
+    return Frequent(found.column("key").combine_chunks(), np.append(0, np.cumsum(size)), path.flatten().to_numpy().astype(np.int32))
 
 
-def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 4_000_000, sample_bytes: int = 16_000_000, most_frequent: int = 100_000) -> DataFrame:
+def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int = 4_000_000, sample_bytes: int = 32_000_000, most_frequent: int = 200_000) -> DataFrame:
     """The columns `keep` and ids (array<int>), exact (boolean): every row's whole text as piece ids.
 
     Segmentation maximises the sum of the model's piece scores over each
@@ -346,7 +347,7 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     give way to it.
 
     The `most_frequent` chunks of a sample of about `sample_bytes` are
-    segmented first and broadcast (some 4 MB). Rows are dealt into blocks of
+    segmented first and broadcast (some 8 MB). Rows are dealt into blocks of
     about `block_bytes` by hash of doc_id, text and input partition. Each block numbers its
     distinct chunks and asks once for each other one; all blocks' questions
     are joined to the segmented chunks, and the answers, bundled by block,
@@ -356,7 +357,10 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
     docs = docs.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     known = docs.sparkSession.sparkContext.broadcast(frequent_chunks(docs, pieces, min(1.0, sample_bytes / max(1, int(total))), most_frequent))
-    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(total) // block_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(cores, -(-int(total) // block_bytes))
+    # what the tasks of the lattice hold and sort at a time; no more than usual, as each of them answers each block in a row
+    parts = max(cores, min(blocks // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = Cuts(pieces.pairs())
     kept = Kept(keep, "ids", "exact")
     # a text that is to be passed on is unpacked at the end instead of travelling twice
@@ -400,7 +404,7 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
         yield from questions(now, held) if held else ()
 
     # all columns of packed, so that one exchange serves both uses; likewise `least` is carried along
-    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "at long, key string, long string").repartition("key")
+    asked = packed.sortWithinPartitions("_block").mapInArrow(ask, "at long, key string, long string").repartition(parts, "key")
     distinct = asked.groupBy("key", "long").agg(F.min("at").alias("least"))
     answers = asked.hint("merge").join(lattice(distinct, pieces), "key").where(F.col("least") >= 0).select("at", "path", "long")
 
@@ -476,14 +480,20 @@ def encoded(docs: DataFrame, keep: list[str], pieces: Pieces, block_bytes: int =
 
 def inexact(ids: np.ndarray, ends: np.ndarray, units: pa.BinaryArray, parts: list[bytes]) -> np.ndarray:
     """Of each unit, whether its ids do not give it back."""
-    spell = pa.array(parts, pa.binary())
+    letters, size = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
+    start = np.cumsum(size) - size
     wrong = np.zeros(len(units), bool)
     for i in range(0, len(units), 50_000):
-        own = units[i : i + 50_000].to_pylist()
-        text = spell.take(pa.array(ids[ends[i] : ends[i + len(own)]])).to_pylist()
-        plain = [u.replace(MARK, b" ").replace(OWN, MARK) for u in own]
-        size = np.cumsum([0, *map(len, text)])[ends[i : i + len(own) + 1] - ends[i]]
-        if b"".join(text) != b"".join(plain) or np.any(np.diff(size) != list(map(len, plain))):
-            at = (ends[i : i + len(own) + 1] - ends[i]).tolist()
-            wrong[i : i + len(own)] = [b"".join(text[a:b]) != p for a, b, p in zip(at[:-1], at[1:], plain, strict=True)]
+        plain = pc.replace_substring(pc.replace_substring(units[i : i + 50_000], MARK, b" "), OWN, MARK)
+        want = np.append(0, np.cumsum(pc.binary_length(plain).to_numpy().astype(np.int64)))
+        own = ids[ends[i] : ends[i + len(plain)]]
+        have = np.append(0, np.cumsum(size[own]))[ends[i : i + len(plain) + 1] - ends[i]]
+        text = letters[ranges(start[own], size[own])]
+        given = np.frombuffer(b"".join(plain.to_pylist()), np.uint8)
+        same = np.flatnonzero(np.diff(have) == np.diff(want))  # of the same length
+        wrong[i : i + len(plain)] = True
+        wrong[i + same] = False
+        long = np.diff(want)[same]
+        owner = np.repeat(same, long)
+        wrong[i + owner[text[ranges(have[same], long)] != given[ranges(want[same], long)]]] = True
     return wrong
