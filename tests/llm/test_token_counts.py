@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from tidefold.llm import queries
-from tidefold.llm.token_counts import Shape, load, token_counts
+from tidefold.llm.token_counts import Shape, Units, load, token_counts
 
 ODD = [
     None, "", " ", "\n\n  \n", "one", "it's we're 'r 'll", "é ü 漢字 😀 ▁ \x00 end" * 30, "a" * 3000, "ab " * 900, " " * 900 + "x", ("x" + " " * 37) * 40,
@@ -42,6 +42,23 @@ def test_hot_long_text_and_repeats(spark, library):
     assert {r.doc_id: r.n_tokens for r in got if r.doc_id is not None} == {i: library(f"{i} {text[: i * 9]}") for i in range(80)}
 
 
+@pytest.mark.parametrize("most", [300_000, 5])
+def test_units_give_the_librarys_counts(library, most):
+    """White space of all kinds beside a space, at both ends, special tokens, contractions; repeated units are encoded once."""
+    blanks = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "\u180e"]
+    texts = [t or "" for t in ODD] + [f"{a}w{b} {c}x y{d}" for w in blanks for a, b, c, d in ((w, "", "", ""), ("", w, "", ""), ("", "", w, ""), ("", "", "", w), (w, w, w, w))]
+    texts += [" a", "a ", "a b c a b", "it 's we 're", "x <|endoftext|> y <|endoftext|>z", "1 23 4a é ü 漢 字 😀 .", "a\nb c\nd"]
+    units = Units(load(), most)
+    for _ in range(2):
+        assert units(texts).tolist() == [library(t) for t in texts]
+    asked = []
+    own, units = Units(load()), None
+    encoded = own.encoded
+    own.encoded = lambda u: asked.extend(u) or encoded(u)
+    own(["one two two", "one two three"]), own(["one three four"])
+    assert sorted(asked) == [" four", " three", " two", "one"]
+
+
 def test_bad_bytes_empty_table_and_other_tokenizers(spark, library):
     df = spark.sql("SELECT 1 AS doc_id, CAST(X'61FF20C3' AS STRING) AS text")
     assert token_counts(df, ["doc_id"], load()).first()[1:] == (4, library("a� �"))
