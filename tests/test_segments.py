@@ -77,3 +77,16 @@ def test_runs_across_slices(spark, monkeypatch):
     assert sorted(map(tuple, folds.contiguous_segments(df, ["series_id"]).collect())) == sorted(expected)
     reach = {(r.series_id, r.seg_start): r.m for r in folds.contiguous_segments(df.distinct(), ["series_id"], {"m": F.col("pos") * 2}).collect()}
     assert reach == {(k, a): 2 * b for k, a, b in expected}
+
+
+def test_groups_as_bits(spark):
+    """Splits by bits equal those by segments, also with labels that end early, or far, and rows that are missing; no segments are collected."""
+    rng = np.random.default_rng(3)
+    data = [(k, i, n, int(max(0, min(n - 1, i + rng.integers(-20, 25))))) for k, n in enumerate((12, 40, 61)) for i in range(n) if k < 2 or not 20 <= i < 31]
+    rows = spark.createDataFrame(data, "series_id int, pos long, n long, t1_pos long")
+    for groups, tested, how in ((6, 2, {"embargo_bars": 3}), (7, 4, {})):
+        assigned = folds.path_assignment(spark, groups, tested).select("split_id", "group_id")
+        want = folds.judged_by(rows, folds.group_segments(rows, assigned, groups, folds.embargo_bars(rows, **how))).where("role IS NOT NULL")
+        got = folds.cpcv(rows, groups, tested, **how)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "collect_list" not in got._jdf.queryExecution().toString()

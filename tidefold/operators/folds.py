@@ -21,6 +21,8 @@ from .slices import SLICE, slice_of
 SPLIT = ["split_id", "series_id"]
 #: Rows of the table of splits and tested groups, which is broadcast (16 bytes each).
 MOST_ASSIGNED = 1_000_000
+#: Groups of a split as bits of a long.
+MOST_BITS = 62
 
 
 def group_edges(n: int, groups: int) -> list[int]:
@@ -66,6 +68,11 @@ def contiguous_segments(rows: DataFrame, keys: list[str], more: dict[str, Column
 
 def embargo_bars(rows: DataFrame, *, embargo_pct: float = 0.0, embargo_bars: int | None = None, embargo_lifetime_frac: float | None = None) -> DataFrame:
     """(series_id, embargo): bars, else a part of the median label lifetime (rounded up), else a part of the rows (rounded down)."""
+    return rows.groupBy("series_id").agg(embargo_size(embargo_pct, embargo_bars, embargo_lifetime_frac).alias("embargo"))
+
+
+def embargo_size(embargo_pct: float = 0.0, embargo_bars: int | None = None, embargo_lifetime_frac: float | None = None) -> Column:
+    """The embargo of a series, as an aggregate over its rows."""
     for v in (embargo_pct, embargo_bars, embargo_lifetime_frac):
         if v is not None and v < 0:
             raise ValueError("embargo must not be negative")
@@ -76,7 +83,7 @@ def embargo_bars(rows: DataFrame, *, embargo_pct: float = 0.0, embargo_bars: int
         size = F.ceil(F.lit(float(embargo_lifetime_frac)) * F.percentile(lifetime, F.lit(0.5)))
     else:
         size = F.floor(F.count("*") * F.lit(float(embargo_pct)))
-    return rows.groupBy("series_id").agg(size.cast("long").alias("embargo"))
+    return size.cast("long")
 
 
 def info_segments(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
@@ -119,6 +126,45 @@ def judged_by(rows: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.select("series_id", "pos", "t1_pos").join(segments, "series_id").select(*SPLIT, "pos", role.alias("role"))
 
 
+def judged_by_groups(rows: DataFrame, assigned: DataFrame, n_groups: int, **embargo) -> DataFrame:
+    """(split_id, series_id, pos, role) of the rows of splits whose test sets are equal groups; what purging or embargo takes is left out.
+
+    Equal to judged_by with group_segments. A series is one row with the
+    extents of its groups, which its rows meet in one join, before they are
+    multiplied by the splits. Which groups take a row out of training, if they
+    are tested, does not depend on the split: these are bits of a number, and
+    a split, whose groups are bits too (assigned is broadcast), is compared
+    with it. Only for labels that end before their row does it matter where a
+    segment of several groups begins: they are also taken out by a split that
+    tests all groups from the one in which the label ends to the first whose
+    labels reach the row.
+    """
+    if n_groups > MOST_BITS:
+        return judged_by(rows, group_segments(rows, assigned, n_groups, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
+    grouped = equal_groups(rows, n_groups).select("series_id", "pos", "t1_pos", F.col("group_id").alias("_group"))
+    own = lambda g, c: F.when(F.col("_group") == g, F.col(c))
+    extents = [a for g in range(n_groups) for a in (F.min(own(g, "pos")).alias(f"_s{g}"), F.max(own(g, "pos")).alias(f"_e{g}"), F.max(own(g, "t1_pos")).alias(f"_r{g}"))]
+    known = grouped.groupBy("series_id").agg(*extents, embargo_size(**embargo).alias("_embargo"))
+    bits = lambda when: sum((F.when(when(g), F.lit(1 << g)).otherwise(F.lit(0)).cast("long") for g in range(n_groups)), F.lit(0).cast("long"))
+    pos, t1 = F.col("pos"), F.col("t1_pos")
+    start, end, reach = (lambda g: F.col(f"_s{g}")), (lambda g: F.col(f"_e{g}")), (lambda g: F.col(f"_r{g}"))
+    known = known.withColumn("_present", bits(lambda g: start(g).isNotNull()))
+    met = grouped.join(known, "series_id")
+    begun = lambda g: F.coalesce(start(g) <= t1, F.lit(True))  # noqa: E731  an unknown end is taken for any
+    ahead = lambda g: (start(g) > pos) & begun(g)
+    behind = lambda g: (end(g) < pos) & ((reach(g) >= pos) & begun(g) | (pos - end(g) <= F.col("_embargo")))
+    late = bits(lambda g: (end(g) < pos) & (reach(g) >= pos) & ~begun(g))
+    last = F.greatest(*[F.when(start(g) <= t1, F.lit(1 << g)).otherwise(F.lit(0)).cast("long") for g in range(n_groups)])
+    span = 2 * late.bitwiseAND(-late) - last  # the bits from the last group that has begun to the first that is late
+    span = F.when((t1 < pos) & (late != 0) & (last != 0) & (span.bitwiseAND(F.col("_present")) == span), span).otherwise(F.lit(0).cast("long"))
+    met = met.select("series_id", "pos", bits(lambda g: F.col("_group") == g).alias("_own"), bits(lambda g: ahead(g) | behind(g)).alias("_taken"), span.alias("_span"), "_present")
+    sets = assigned.groupBy("split_id").agg(F.sum(F.expr("shiftleft(1L, group_id)")).alias("_set"))
+    has = lambda c: F.col("_set").bitwiseAND(F.col(c)) != 0
+    trained = ~has("_taken") & ((F.col("_span") == 0) | (F.col("_set").bitwiseAND(F.col("_span")) != F.col("_span")))
+    out = met.join(F.broadcast(sets), has("_present") & (has("_own") | trained))
+    return out.select(*SPLIT, "pos", F.when(has("_own"), "test").otherwise("train").alias("role"))
+
+
 def judged(rows: DataFrame, test: DataFrame, embargo: DataFrame | None = None) -> DataFrame:
     """judged_by for test rows of any kind."""
     return judged_by(rows, info_segments(rows, test, embargo))
@@ -140,7 +186,7 @@ def purged_kfold(rows: DataFrame, n_splits: int = 5, **embargo) -> DataFrame:
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
     assigned = rows.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("split_id"), F.col("id").cast("int").alias("group_id"))
-    return judged_by(rows, group_segments(rows, assigned, n_splits, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
+    return judged_by_groups(rows, assigned, n_splits, **embargo)
 
 
 def combos(n_groups: int, n_test_groups: int) -> list[tuple[int, ...]]:
@@ -169,7 +215,7 @@ def path_assignment(spark, n_groups: int, n_test_groups: int) -> DataFrame:
 def cpcv(rows: DataFrame, n_groups: int = 6, n_test_groups: int = 2, **embargo) -> DataFrame:
     """Combinatorial purged splits: every choice of test groups is a split; neighbouring groups form one segment."""
     assigned = path_assignment(rows.sparkSession, n_groups, n_test_groups).select("split_id", "group_id")
-    return judged_by(rows, group_segments(rows, assigned, n_groups, embargo_bars(rows, **embargo))).where(F.col("role").isNotNull())
+    return judged_by_groups(rows, assigned, n_groups, **embargo)
 
 
 def placed_on_paths(rows: DataFrame, predictions: DataFrame, n_groups: int, n_test_groups: int) -> DataFrame:
