@@ -123,3 +123,18 @@ def test_price_files(spark, tmp_path):
     files.save_csv(out, str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report"), header=True).first().future_columns == "x_leak"
     assert files.checksums(spark, str(text)).first().bytes == text.stat().st_size
+
+
+def test_boosted_fit_has_tasks_by_rows(spark, monkeypatch):
+    """A boosted fit has hundreds of passes: few rows in many partitions must not be a task each in every pass."""
+    seen = []
+
+    class Fit:
+        def fit(self, train):
+            seen.append((train.rdd.getNumPartitions(), train.count()))
+
+    monkeypatch.setattr(learn.Classifier, "estimator", lambda self, n: Fit())
+    monkeypatch.setattr(learn, "TASK_ROWS", 100)
+    df = spark.range(0, 1000, 1, 50).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    learn.make_model("gbm").fit(df, ["x"])
+    assert seen == [(10, 1000)]

@@ -20,6 +20,10 @@ from .slices import in_ranges, prefix_scan
 from .store import Stored, stored
 
 
+#: Rows of a task of a boosted fit: it has some 240 passes, each of a task for each partition.
+TASK_ROWS = 1 << 17
+
+
 @dataclass
 class Classifier:
     """fit(df, features) and predict_proba(df); `fallback_from` names the model that this one stands in for."""
@@ -55,7 +59,10 @@ class Classifier:
         n, *moments = df.agg(*aggs).first()
         if moments:
             self.centre = {f: (moments[2 * i], moments[2 * i + 1] or 1.0) for i, f in enumerate(features)}
-        self.fitted = self.estimator(n).fit(self.assembled(df).select("_x", F.col("y").cast("double")))
+        train = self.assembled(df).select("_x", F.col("y").cast("double"))
+        if self.name == "gbm":  # partitions by the rows, not by what was shuffled before
+            train = train.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+        self.fitted = self.estimator(n).fit(train)
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
