@@ -89,6 +89,14 @@ def test_ranks_by_ranges(spark):
     assert slices.value_ranks(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_rank_sums_join_no_values(spark):
+    """Sums of ranks are made where the ranks are: a join, and a shuffle of all values for it, was there before."""
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("y"), (F.col("id") * 7 % 101).cast("double").alias("s"))
+    got = slices.auc_by_ranges(df, ["k"], "y", "s", 9)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    same(got, metrics.roc_auc(df, ["k"], "y", "s"), ["k"])
+
+
 def windows(df):
     """Partition keys of the windows of a plan."""
     text = df._jdf.queryExecution().executedPlan().toString()

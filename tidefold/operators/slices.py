@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .store import stored
+
 #: Rows of a slice.
 SLICE = 1 << 16
 
@@ -114,14 +116,17 @@ def in_ranges(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame
     return made.withColumn("_range", F.col("_range").cast("int")).drop("_in_ranges")
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int | None = None, **counts: Column) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int | None = None, weight: str | None = None, **counts: Column) -> DataFrame:
     """(keys, value, n, counts.., rank, total): each different known value once, its rows and their average rank from 1 among `total`.
 
     Rows are counted by value before anything is ordered, so a value that is
     that of a third of all rows is one row; then values are numbered within
-    ranges, and ranges by their counts. No task sees a group.
+    ranges, and ranges by their counts. No task sees a group. The counts are
+    stored, as bounds of ranges, ranks and totals are all found from them. A
+    row counts as `weight` rows, if that is given.
     """
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()])
+    n = F.sum(weight) if weight else F.count("*")
+    distinct = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"), *[c.alias(k) for k, c in counts.items()]), "values").df
     placed = in_ranges(distinct, value, ranges)
     out = prefix_scan(placed, {"_below": ("sum", F.col("n"))}, keys, value, part="_range", inclusive=False)
     totals = distinct.groupBy(*keys).agg(F.sum("n").alias("total"))
@@ -129,26 +134,51 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int | None =
     return matched(out.withColumn("rank", rank), totals, keys).select(*keys, value, "n", *counts, "rank", "total")
 
 
+def rank_sums(counted: DataFrame, keys: list[str], value: str, weights: list[str], ranges: int | None = None) -> DataFrame:
+    """(keys, total, squares, and for each weight w its sum, w, and off_w) of different values, each with its rows as `n`.
+
+    With d the average rank of a value less the mean of all ranks: squares is
+    the sum of n * d * d, off_w that of w * d. Ranks are taken within ranges of
+    values and summed there; what lies before a range moves these sums, so no
+    rank is joined to a value.
+    """
+    own = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = F.coalesce(F.sum("n").over(own), F.lit(0)) + (F.col("n") + 1) / 2
+    parts = in_ranges(counted, value, ranges).withColumn("_d", d).groupBy(*keys, "_range").agg(
+        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_d")).alias("_nd"), F.sum(F.col("n") * F.col("_d") * F.col("_d")).alias("_ndd"),
+        *[a for w in weights for a in (F.sum(w).alias(w), F.sum(F.col(w) * F.col("_d")).alias(f"off_{w}"))],
+    )
+    whole = Window.partitionBy(*keys)  # one row per range
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("total", F.sum("_n").over(whole)).withColumn("_c", before - (F.col("total") + 1) / 2)
+    squares = F.sum(F.col("_ndd") + 2 * F.col("_c") * F.col("_nd") + F.col("_c") * F.col("_c") * F.col("_n"))
+    return parts.groupBy(*keys).agg(F.sum("_n").alias("total"), squares.alias("squares"), *[a for w in weights for a in (F.sum(w).alias(w), F.sum(F.col(f"off_{w}") + F.col("_c") * F.col(w)).alias(f"off_{w}"))])
+
+
 def auc_by_ranges(df: DataFrame, keys: list[str], y_true: str = "y_true", score: str = "score", ranges: int | None = None) -> DataFrame:
     """metrics.roc_auc of groups of any size, from the ranks of values."""
     from ..functions.numeric import finite
 
     known = df.select(*keys, finite(y_true).alias("_t"), finite(score).alias("_p")).where(F.col("_t").isNotNull() & F.col("_p").isNotNull())
-    ranks = value_ranks(known, keys, "_p", ranges, _ones=F.sum(F.when(F.col("_t") == 1, 1).otherwise(0)))
-    ones, n = F.sum("_ones").cast("double"), F.sum("n")
-    return ranks.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_ones") * F.col("rank")) - ones * (ones + 1) / 2, ones * (n - ones)).alias("auc"))
+    counted = stored(known.groupBy(*keys, "_p").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_t") == 1, 1).otherwise(0)).alias("_ones")), "values").df
+    ones, n = F.col("_ones").cast("double"), F.col("total")
+    ranked = F.col("off__ones") + ones * (n + 1) / 2
+    return rank_sums(counted, keys, "_p", ["_ones"], ranges).select(*keys, F.try_divide(ranked - ones * (ones + 1) / 2, ones * (n - ones)).alias("auc"))
 
 
 def ic_by_ranges(df: DataFrame, keys: list[str], y_true: str = "y_true", y_pred: str = "y_pred", ranges: int | None = None) -> DataFrame:
-    """metrics.information_coefficient of groups of any size. Equal pairs are counted first; ranks join them by value."""
+    """metrics.information_coefficient of groups of any size.
+
+    Equal pairs are counted first. Ranks of predictions join them by value,
+    and are summed by the true value before that is ranked: one join, not two.
+    """
     from ..functions.numeric import finite
 
     known = df.select(*keys, finite(y_true).alias("_t"), finite(y_pred).alias("_p")).where(F.col("_t").isNotNull() & F.col("_p").isNotNull())
-    pairs = known.groupBy(*keys, "_t", "_p").agg(F.count("*").alias("_n"))
-    for side in ("_t", "_p"):
-        ranks = value_ranks(known.select(*keys, side), keys, side, ranges)
-        # ranks of all values have the mean (total + 1) / 2
-        pairs = matched(pairs, ranks.select(*keys, side, (F.col("rank") - (F.col("total") + 1) / 2).alias(f"_r{side}")), [*keys, side])
-    total = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
-    ic = F.try_divide(total("_r_t", "_r_p"), F.sqrt(total("_r_t", "_r_t")) * F.sqrt(total("_r_p", "_r_p")))
-    return pairs.groupBy(*keys).agg(F.when(F.sum("_n") >= 3, ic).alias("ic"))
+    pairs = stored(known.groupBy(*keys, "_t", "_p").agg(F.count("*").alias("_n")), "pairs").df
+    off = F.col("rank") - (F.col("total") + 1) / 2  # ranks of all values have the mean (total + 1) / 2
+    pairs = matched(pairs, value_ranks(pairs, keys, "_p", ranges, "_n").select(*keys, "_p", off.alias("_off")), [*keys, "_p"])
+    sums = [F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_off")).alias("_sum"), F.sum(F.col("_n") * F.col("_off") * F.col("_off")).alias("_squares")]
+    counted = stored(pairs.groupBy(*keys, "_t").agg(*sums), "values").df
+    ic = F.try_divide(F.col("off__sum"), F.sqrt("squares") * F.sqrt("_squares"))
+    return rank_sums(counted, keys, "_t", ["_sum", "_squares"], ranges).select(*keys, F.when(F.col("total") >= 3, ic).alias("ic"))
