@@ -194,6 +194,27 @@ def test_an_anchor_of_many_variants_is_dealt_out(spark, monkeypatch, tmp_path):
     assert 0 < max(int(f.name) for f in tmp_path.iterdir()) < 8192 * 84
 
 
+def test_short_common_strings_are_not_sorted(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    digits = [" ".join(map(str, x)) for x in rng.integers(0, 10**9, (400, 8)).tolist()]
+    texts = [f"{a} the same twenty-four {b}" for a, b in zip(digits[::2], digits[1::2], strict=True)]
+    folder = str(tmp_path)
+
+    def noted(text, *rest, real=repeats.first_documents, folder=folder):
+        open(f"{folder}/{len(text)}", "w").close()
+        return real(text, *rest)
+
+    monkeypatch.setattr(repeats, "first_documents", noted)
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(4)
+    assert not any(r.spans for r in repeats.removed(frame(texts), ["doc_id"]).collect())
+    assert max((int(f.name) for f in tmp_path.iterdir()), default=0) == 0
+    # longer ones are, or their windows dealt out
+    texts = [f"{a} and see also, for what follows: http://example.org/terms/of/use {b}" for a, b in zip(digits[::2], digits[1::2], strict=True)]
+    for most in (8192, 20):
+        got = sorted(((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in repeats.removed(frame(texts), ["doc_id"], most_variants=most).collect()), key=str)
+        assert got == brute_removed([(i, t.encode()) for i, t in enumerate(texts)])
+
+
 # --- 3 SentencePiece --------------------------------------------------------
 
 

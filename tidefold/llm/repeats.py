@@ -1,13 +1,15 @@
 """Suffix-array deduplication of byte strings that start in several documents.
 
 The repeats that are looked for have `width` bytes. Every window of that many
-bytes has an anchor, the 16-gram of least hash in it, and equal windows have
-equal anchors. So windows are dealt out by anchor: a fragment is the bytes of
-neighbouring windows of one anchor, and all fragments of an anchor go to one
-shard, whose suffixes are sorted (see `induced`) to find equal windows. Only
-fragments whose anchor is in two documents or more are sent, each once per
-block of documents, with the least doc_id it has there; so copies, however
-many, weigh as one per block.
+bytes has an anchor: the 16-gram of least hash in it, with the bytes beside it
+that all windows have in which that gram lies in the same half (33 or 34 bytes
+of 50). Equal windows have equal anchors. So windows are dealt out by anchor: a
+fragment is the bytes of neighbouring windows of one anchor, and all fragments
+of an anchor go to one shard, whose suffixes are sorted (see `induced`) to find
+equal windows. Only fragments whose anchor is in two documents or more are
+sent, each once per block of documents, with the least doc_id it has there; so
+copies, however many, weigh as one per block. The gram alone would be in many
+documents by chance, and most of what is sorted would have no equal.
 
 An anchor with many variants is not sent to one shard: its fragments are cut
 into single windows, which are dealt out by the hash of all their bytes, so
@@ -63,7 +65,9 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     if not len(window):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     own = (least.view(np.uint32)[::2] if sys.byteorder == "little" else least & np.uint64(0xFFFFFFFF))[window].astype(np.int64)
-    new = np.append(True, own[1:] != own[:-1])
+    half = (width - GRAM) // 2
+    left = own - window > half
+    new = np.append(True, (own[1:] != own[:-1]) | (left[1:] != left[:-1]))
     first = window[new]
     last = window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)]
     text = np.searchsorted(start, first, "right") - 1  # of texts that start at one place, the last is the one that is not empty
@@ -71,7 +75,12 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     sign = (end - first).astype(np.uint64)
     for k in range(0, 2 * (width - GRAM) + GRAM, GRAM):  # grams that cover the longest fragment
         sign = mixed(sign + h[np.minimum(first + k, end)])
-    return text, first - start[text], last - start[text], mixed(h[own[new]] + np.uint64(1)), sign
+    own, left = own[new], left[new]
+    core, core_end = own - (half + 1) * left, own + (width - half - GRAM) * ~left  # the first and the last gram of what all windows of this side have
+    key = left.astype(np.uint64) + np.uint64(1)
+    for k in range(0, width - half, GRAM):
+        key = mixed(key + h[np.minimum(core + k, core_end)])
+    return text, first - start[text], last - start[text], key, sign
 
 
 def portions(rows: Iterator[tuple], limit: int = 200_000) -> Iterator[list[tuple]]:
