@@ -197,3 +197,20 @@ def test_neighbours_are_brute_force(spark, d, range_rows):
     expected = brute_neighbours(rows, splits, 5)
     assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k]) for k in got)
     assert learn.knn_proba(df.limit(0), s, names).count() == 0
+
+
+def test_last_position_of_a_long_series_needs_no_join_by_series(spark):
+    marks = spark.createDataFrame([(s, 10 * i, i) for s, n in ((0, 60), (1, 5), (None, 40)) for i in range(n)], "series_id long, t long, pos long")
+    asks = spark.createDataFrame([(s, t) for s in (0, 1, 2, None) for t in (-1, 0, 7, 40, 41, 390, 595, None)], "series_id long, at long")
+    want = axis.first_at_or_after(marks, axis.last_at_or_before(marks, asks, "at"), "at")
+    tens = lambda t: F.floor(t / 100)
+    got = axis.first_at_or_after(marks, axis.last_at_or_before(marks, asks, "at", tens), "at", tens)
+    one = axis.first_at_or_after(marks, asks, "at", tens)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # with the totals of buckets
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want)
+    assert key(axis.first_at_or_after(marks, axis.last_at_or_before(marks, asks, "at", tasks=3), "at", tasks=3)) == key(want)
+    for rows, many in ((44, {0, None}), (60, {0}), (100, set())):
+        long = axis.long_series([marks, asks], rows)
+        assert {r[0] for r in marks.where(long).select("series_id").distinct().collect()} == many
+        assert marks.where(long).count() + marks.where(~long).count() == marks.count()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .functions.numeric import norm_cdf, norm_cdf_sql, rounded, trial_quantile
 from .operators import audit, axis, features, folds, forest, labels, learn, metrics, slices, trees
+from .operators.store import stored
 from .plans import scoring
 from .sources import files, generators
 
@@ -531,13 +532,20 @@ b AS (SELECT a.*, l.hi AS as_of_pos FROM asks a ASOF LEFT JOIN l ON a.series_id
 f AS (SELECT b.*, l.lo AS nxt FROM b ASOF LEFT JOIN l ON b.series_id = l.series_id AND b.at <= l.t)
 SELECT f.series_id, l_orderkey, l_linenumber, as_of_pos, coalesce(nxt, top) AS t1_pos FROM f LEFT JOIN z USING (series_id)""")
 def as_of_by_buckets(spark, sf_dir):
-    """For each line item, the last order of its series up to its shipment and the first one from then on, by quarters."""
-    marks = _long_bars(spark, sf_dir).select("series_id", "t", "pos")
+    """For each line item, the last order of its series up to its shipment and the first one from then on; long series by days."""
+    marks = stored(_long_bars(spark, sf_dir).select("series_id", "t", "pos"), "marks").df
     o = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey")).cast("long").alias("series_id"))
     asks = _table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("series_id", "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"))
-    quarter = lambda t: F.date_trunc("quarter", t)
-    found = axis.last_at_or_before(marks, asks, "at", quarter)
-    return axis.first_at_or_after(marks, found, "at", quarter).select("series_id", "l_orderkey", "l_linenumber", "as_of_pos", "t1_pos")
+    asks = stored(asks, "asks").df
+    tasks = 1 + (marks.count() + asks.count()) // (1 << 20)
+
+    def found(marks, asks, bucket):
+        return axis.first_at_or_after(marks, axis.last_at_or_before(marks, asks, "at", bucket, tasks), "at", bucket, tasks)
+
+    long = axis.long_series([marks, asks])
+    whole = found(marks.where(~long), asks.where(~long), None)
+    out = whole.unionByName(found(marks.where(long), asks.where(long), lambda t: F.date_trunc("day", t)))
+    return out.select("series_id", "l_orderkey", "l_linenumber", "as_of_pos", "t1_pos")
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from .slices import matched, prefix_scan
+from .slices import prefix_scan
 
 
 def series():
@@ -50,40 +50,58 @@ def with_positions(df: DataFrame, order: tuple[str, ...] = ("t",), slice_of: Col
     return df.withColumn("pos", (F.col("_before") + F.col("_inner") - 1).cast("long")).drop("_slice", "_size", "_before", "_inner")
 
 
-def _line(axis: DataFrame, lookups: DataFrame, value: str, marks_first: bool, bucket: Callable[[Column], Column] | None) -> DataFrame:
+def _line(axis: DataFrame, lookups: DataFrame, value: str, marks_first: bool, bucket: Callable[[Column], Column] | None, tasks: int | None) -> DataFrame:
     """Marks (with pos) and look-ups (with their columns as _name) on one time line: _order, and _bucket of the time."""
     kind = 0 if marks_first else 1
     names = lookups.columns
     marks = axis.select("series_id", F.col("t").alias("_t"), "pos", F.lit(kind).alias("_kind"), *[F.lit(None).cast(lookups.schema[c].dataType).alias(f"_{c}") for c in names])
     asks = lookups.select("series_id", F.col(value).alias("_t"), F.lit(None).cast("long").alias("pos"), F.lit(1 - kind).alias("_kind"), *[F.col(c).alias(f"_{c}") for c in names])
-    line = marks.unionByName(asks).withColumn("_order", F.struct("_t", "_kind", "pos"))
+    line = marks.unionByName(asks)
+    if tasks and not bucket:
+        line = line.repartition(tasks, "series_id")
+    line = line.withColumn("_order", F.struct("_t", "_kind", "pos"))
     return line.withColumn("_bucket", bucket(F.col("_t")) if bucket else F.lit(0))
 
 
-def first_at_or_after(axis: DataFrame, lookups: DataFrame, value: str = "t1", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+def long_series(frames: list[DataFrame], rows: int = 1 << 19) -> Column:
+    """Whether series_id has more than `rows` rows in all frames together.
+
+    Look-ups of long series go by buckets, those of the others need none. Rows
+    are counted at once; the long series, of which there are no more than all
+    rows / `rows`, are named in the condition.
+    """
+    keys = frames[0].select("series_id")
+    for f in frames[1:]:
+        keys = keys.unionByName(f.select("series_id"))
+    some = [r[0] for r in keys.groupBy("series_id").count().where(F.col("count") > rows).select("series_id").collect()]
+    known = F.coalesce(F.col("series_id").isin([x for x in some if x is not None]), F.lit(False))
+    return known | F.col("series_id").isNull() if None in some else known
+
+
+def first_at_or_after(axis: DataFrame, lookups: DataFrame, value: str = "t1", bucket: Callable[[Column], Column] | None = None, tasks: int | None = None) -> DataFrame:
     """lookups with t1_pos: the first position whose t is at or after `value`, the last position if there is none.
 
     Both sides are put on one time line per series and read backwards: one
     sort, no inequality join. Exact matches are the position itself. `bucket`
     gives a coarser time that grows with the time: lines are then read within
     buckets, and the first mark of later buckets is carried to them over empty
-    ones, so that a long series is spread over the tasks.
+    ones, so that a long series is spread over the tasks (see `long_series`).
+    Without it, series are dealt to so many `tasks`, if that is given.
     """
     names = lookups.columns
-    line = _line(axis, lookups, value, False, bucket)
+    line = _line(axis, lookups, value, False, bucket, tasks)
     if bucket:
-        line = prefix_scan(line, {"_next": ("last", F.col("pos"))}, ["series_id"], "_order", part="_bucket", backward=True)
-        line = matched(line.where(F.col("_kind") == 0), axis.groupBy("series_id").agg(F.max("pos").alias("_last")), ["series_id"], "left")
+        line = prefix_scan(line, {"_next": ("last", F.col("pos")), "_last": ("top", F.col("pos"))}, ["series_id"], "_order", part="_bucket", backward=True)
     else:
         ahead = series().orderBy("_order").rowsBetween(0, Window.unboundedFollowing)
         line = line.withColumn("_next", F.first("pos", ignorenulls=True).over(ahead)).withColumn("_last", F.max("pos").over(series()))
     return line.where(F.col("_kind") == 0).select(*[F.col(f"_{c}").alias(c) for c in names], F.coalesce("_next", "_last").alias("t1_pos"))
 
 
-def last_at_or_before(axis: DataFrame, lookups: DataFrame, value: str = "t", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
-    """lookups with as_of_pos: the last position whose t is at or before `value`, null if there is none (the leak-free merge). `bucket` as in first_at_or_after."""
+def last_at_or_before(axis: DataFrame, lookups: DataFrame, value: str = "t", bucket: Callable[[Column], Column] | None = None, tasks: int | None = None) -> DataFrame:
+    """lookups with as_of_pos: the last position whose t is at or before `value`, null if there is none (the leak-free merge). `bucket` and `tasks` as in first_at_or_after."""
     names = lookups.columns
-    line = _line(axis, lookups, value, True, bucket)
+    line = _line(axis, lookups, value, True, bucket, tasks)
     if bucket:
         line = prefix_scan(line, {"_back": ("last", F.col("pos"))}, ["series_id"], "_order", part="_bucket")
     else:

@@ -57,11 +57,12 @@ _KINDS = {
     "max": (lambda x, o: F.max(x), F.max, lambda a, b: F.greatest(a, b)),
     "min": (lambda x, o: F.min(x), F.min, lambda a, b: F.least(a, b)),
     "last": (lambda x, o: F.max_by(x, F.when(x.isNotNull(), o)), lambda x: F.last(x, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+    "top": (lambda x, o: F.max(x), F.max, lambda a, b: a),
 }
 
 
 def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[str], order: str = "pos", *, rows: int = SLICE, part: str | None = None, inclusive: bool = True, backward: bool = False) -> DataFrame:
-    """df with a running value for each of `scans`: name -> (sum, product, max, min or last known; of what).
+    """df with a running value for each of `scans`: name -> (sum, product, max, min or last known; of what), or top: the largest of all rows of the keys.
 
     `inclusive` or not of the row itself; nulls are passed over, and before
     the first known value the result is null. `backward` scans from the end. Slices are `rows` values of
@@ -80,12 +81,13 @@ def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, Column]], keys: list[
     inner = Window.partitionBy(*own).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     total = lambda kind, x, o: F.min_by(x, F.when(x.isNotNull(), o)) if backward and kind == "last" else _KINDS[kind][0](x, o)
-    df = df.withColumns({n: _KINDS[kind][1](F.col(f"_x_{n}")).over(inner) for n, (kind, _) in scans.items()})
+    over = {n: Window.partitionBy(*keys) if kind == "top" else before for n, (kind, _) in scans.items()}
+    df = df.withColumns({n: F.col(f"_x_{n}") if kind == "top" else _KINDS[kind][1](F.col(f"_x_{n}")).over(inner) for n, (kind, _) in scans.items()})
     products = [n for n, (kind, _) in scans.items() if kind == "product"]
     if products:
         df = df.withColumns({f"_m_{n}": F.max(F.abs(n)).over(inner.rowsBetween(Window.unboundedPreceding, 0)) for n in products})
     totals = df.groupBy(*own).agg(*[total(kind, F.col(f"_x_{n}"), F.col(order)).alias(f"_t_{n}") for n, (kind, _) in scans.items()], *[F.max(f"_m_{n}").alias(f"_m_{n}") for n in products])
-    totals = totals.select(*own, *[_KINDS[kind][1](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in scans.items()], *[F.greatest(f"_m_{n}", F.abs(f"_t_{n}")).alias(f"_m_{n}") for n in products])
+    totals = totals.select(*own, *[_KINDS[kind][1](F.col(f"_t_{n}")).over(over[n]).alias(f"_c_{n}") for n, (kind, _) in scans.items()], *[F.greatest(f"_m_{n}", F.abs(f"_t_{n}")).alias(f"_m_{n}") for n in products])
     carried = {n: F.abs(F.coalesce(f"_c_{n}", F.lit(1.0))) * F.col(f"_m_{n}") for n in products}  # the largest product on the way
     totals = totals.select(*own, *[f"_c_{n}" for n in scans], *[F.max(carried[n]).over(before).alias(f"_o_{n}") for n in products])
     df = matched(df, totals, own)
